@@ -5,11 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack
+from tessera.llm.substring_dedup import dedup_substrings
+from tessera.llm.token_files import token_files
 from tessera.plans import Registry, table
 
 registry = Registry()
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@registry.add("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=1024)
+
+
+@registry.add("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids")
+
+
+@registry.add("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 @registry.add("op5_minhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
