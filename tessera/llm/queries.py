@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.quality import quality
 from tessera.llm.substring_dedup import dedup_substrings
 from tessera.llm.token_files import token_files
+from tessera.llm.toxicity import toxicity
 from tessera.plans import Registry, table
 
 registry = Registry()
@@ -43,3 +45,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+@registry.add("op7_quality_trees")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=0, modulus=5, threshold=0.3)
+
+
+@registry.add("op10_toxicity_cnn")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=2, modulus=4, threshold=0.3)
