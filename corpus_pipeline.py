@@ -6,19 +6,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
+from tessera.llm.decontaminate import decontaminate
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack
+from tessera.llm.substring_dedup import dedup_substrings
+from tessera.llm.toxicity import classify, fit
 
 #: No SQL expresses the trained classifier or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``kept`` (doc_id)."""
+    named = kept.select(F.col("doc_id").alias("_kept"))
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose score reaches their language's threshold; the classifier learns from ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit(docs, labels, F.lit(True))
+    return _keep(docs, classify(docs, model).where("not rejected"))
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each near-duplicate group stays: the smallest doc_id."""
+    return _keep(docs, near_duplicates(docs).where("kept"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that 200-byte repeats cover; n_chars follows the text.
+
+    A removed run may end inside a code point; such a torn one is dropped.
+    """
+    kept = dedup_substrings(docs).where("n_removed > 0").select("doc_id", F.expr("try_validate_utf8(cast(kept as string))").alias("_clean"), F.expr("regexp_replace(decode(kept, 'UTF-8'), '\\uFFFD', '')").alias("_repaired"))
+    text = F.when(F.col("_gone.doc_id").isNotNull(), F.coalesce("_gone._clean", "_gone._repaired")).otherwise(F.col("d.text"))
+    out = docs.alias("d").join(kept.alias("_gone"), F.col("d.doc_id") == F.col("_gone.doc_id"), "left")
+    columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"d.{c}") for c in docs.columns]
+    return out.select(*columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _keep(docs, decontaminate(docs, items).where("not contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("minhash near-dedup", near)]
+STAGES = [("toxicity", toxic), ("minhash near-dedup", near), ("suffix-array dedup", substrings), ("benchmark decontamination", benchmark), ("best-fit packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

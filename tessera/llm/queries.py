@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import licences
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.perplexity import quality_rules
 from tessera.llm.quality import quality
 from tessera.llm.substring_dedup import dedup_substrings
 from tessera.llm.token_files import token_files
@@ -55,3 +57,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op10_toxicity_cnn")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=2, modulus=4, threshold=0.3)
+
+
+@registry.add("op8_perplexity_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@registry.add("op9_licence_scan", licences.oracle_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
