@@ -35,15 +35,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that 200-byte repeats cover; n_chars follows the text.
-
-    A removed run may end inside a code point; such a torn one is dropped.
-    """
-    kept = dedup_substrings(docs).where("n_removed > 0").select("doc_id", F.expr("try_validate_utf8(cast(kept as string))").alias("_clean"), F.expr("regexp_replace(decode(kept, 'UTF-8'), '\\uFFFD', '')").alias("_repaired"))
-    text = F.when(F.col("_gone.doc_id").isNotNull(), F.coalesce("_gone._clean", "_gone._repaired")).otherwise(F.col("d.text"))
-    out = docs.alias("d").join(kept.alias("_gone"), F.col("d.doc_id") == F.col("_gone.doc_id"), "left")
-    columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"d.{c}") for c in docs.columns]
-    return out.select(*columns)
+    """Texts without the bytes that 200-byte repeats cover; n_chars follows the text."""
+    cleaned = dedup_substrings(docs, with_text=True).where("n_removed > 0").selectExpr("doc_id as _doc", "kept as _kept").dropDuplicates(["_doc"])
+    out = docs.join(cleaned, F.col("doc_id") == F.col("_doc"), "left")
+    text = F.when(F.col("_doc").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"), length=200).drop("kept")
+    return dedup_substrings(table(spark, sf_dir, "documents"), length=200)
 
 
 @registry.add("op5_minhash_near_dedup")

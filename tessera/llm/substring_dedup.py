@@ -272,15 +272,17 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     return reduce(DataFrame.unionByName, spans)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``.
+def dedup_substrings(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of ``docs``.
 
-    ``kept`` holds the UTF-8 bytes that no repeated ``length``-byte string
-    covers, concatenated; n_spans counts maximal removed runs. Matches never
-    cross documents, and overlapping occurrences in one document count.
+    The UTF-8 bytes that a repeated ``length``-byte string covers go; n_spans
+    counts maximal removed runs, and the digest is of the other bytes,
+    concatenated. Matches never cross documents, and overlapping occurrences in
+    one document count. ``kept`` is the rest as text, for which a code point
+    that a removed run tears is dropped.
 
     A null text is the empty one. Texts below ``length`` bytes lose nothing.
     A doc_id names one text: rows that repeat both are copies of each other and
@@ -290,7 +292,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as long) as own_id", "coalesce(cast(doc_id as long), xxhash64(text)) as doc_id", "text")
     texts = docs.select("doc_id", "text")
     spans = repeated_spans(texts, length).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,8 +308,9 @@ def dedup_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
                             n += 1
                         upto = max(upto, x[1])
                     kept = b"".join(kept) + text[upto:]
-                    for f, v in zip(out.values(), (own, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    values = [own, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()]
+                    for f, v in zip(out.values(), [*values, kept.decode(errors="ignore")] if with_text else values, strict=True):
                         f.append(v)
                 yield record(schema, **out)
 
-    return docs.join(spans, "doc_id", "left").select("own_id", "text", "spans").mapInArrow(run, RESULT)
+    return docs.join(spans, "doc_id", "left").select("own_id", "text", "spans").mapInArrow(run, RESULT + (", kept string" if with_text else ""))
