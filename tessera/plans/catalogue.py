@@ -1,7 +1,493 @@
-"""The engine's own queries over the driver's tables."""
+"""The engine's own queries over the driver's tables, each with its SQL where SQL can give the same rows."""
 
 from __future__ import annotations
 
-from tessera.plans import Registry
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import seq
+from tessera.functions.sets import OPERATIONS, text
+from tessera.operators import annotate, build, colour, edits, score, topology, transit, validate
+from tessera.operators.compact import compact, expand
+from tessera.operators.components import connected_components
+from tessera.operators.ids import ranked
+from tessera.plans import Registry, table
+from tessera.plans.views import DOC_SEQS, HOPS, READS, TAXONOMY, UNITIGS, doc_seqs, graph_sql, hops, kmers_sql, rc_sql, read_graph, reads, supplier_edges, taxonomy
 
 registry = Registry()
+query = registry.add
+K = 15
+
+
+# Sequence functions ---------------------------------------------------------
+
+
+@query("seq_revcomp", f"WITH {DOC_SEQS} SELECT doc_id, length(seq) AS n, md5({rc_sql('seq')}) AS revcomp_md5 FROM seqs")
+def seq_revcomp(spark: SparkSession, d: str) -> DataFrame:
+    return doc_seqs(spark, d).select("doc_id", F.length("seq").cast("long").alias("n"), F.md5(seq.reverse_complement(F.col("seq"))).alias("revcomp_md5"))
+
+
+def _share(c: str) -> str:
+    n = "length(seq)"
+    p = f"(({n} - length(replace(seq, '{c}', ''))) / {n}::DOUBLE)"
+    return f"(CASE WHEN {n} > 0 AND {p} > 0 THEN -{p} * log2({p}) ELSE 0 END)"
+
+
+@query("seq_gc_entropy", f"WITH {DOC_SEQS} SELECT doc_id, round(CASE WHEN length(seq) > 0 THEN (length(seq) - length(translate(seq, 'GC', ''))) / length(seq)::DOUBLE ELSE 0 END, 6) AS gc, round({' + '.join(map(_share, 'ACGTN'))}, 6) AS entropy FROM seqs")
+def seq_gc_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return doc_seqs(spark, d).select("doc_id", F.round(seq.gc(F.col("seq")), 6).alias("gc"), F.round(seq.entropy(F.col("seq")), 6).alias("entropy"))
+
+
+@query("seq_canonical_kmers", f"WITH {READS}, {kmers_sql(9)} SELECT least(kmer, {rc_sql('kmer')}) AS kmer, count(*) AS n FROM kmers GROUP BY 1")
+def seq_canonical_kmers(spark: SparkSession, d: str) -> DataFrame:
+    rows = build.kmer_rows(reads(spark, d), 9)
+    return rows.groupBy(seq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+
+
+def _motif(m: str) -> str:
+    return f"len(list_filter(range(1, length(seq) - {len(m)} + 2), lambda i: substr(seq, i, {len(m)}) = '{m}'))"
+
+
+@query("seq_motif_count", f"WITH {READS} SELECT read_id, ({_motif('ACA')})::BIGINT AS forward, ({_motif('ACA')} + {_motif('TGT')})::BIGINT AS either FROM reads")
+def seq_motif_count(spark: SparkSession, d: str) -> DataFrame:
+    s, m = F.col("seq"), F.lit("ACA")
+    return reads(spark, d).select("read_id", seq.motif_count(s, m).alias("forward"), seq.either_strand_count(s, m).cast("long").alias("either"))
+
+
+@query("seq_junctions", f"WITH {graph_sql(K)} SELECT edge_id, right(a.kmer, {K}) || substr(b.kmer, {K}, 1) AS motif FROM edges JOIN nodes a ON a.node_id = source JOIN nodes b ON b.node_id = target")
+def seq_junctions(spark: SparkSession, d: str) -> DataFrame:
+    g = read_graph(spark, d, K)
+    a = g.nodes.select(F.col("node_id").alias("source"), F.col("sequence").alias("l"))
+    b = g.nodes.select(F.col("node_id").alias("target"), F.col("sequence").alias("r"))
+    return g.edges.join(a, "source").join(b, "target").select("edge_id", seq.junction(F.col("l"), F.col("r"), K).alias("motif"))
+
+
+# Construction ---------------------------------------------------------------
+
+
+@query("dbg_nodes", f"WITH {graph_sql(K)} SELECT node_id, kmer AS sequence FROM nodes")
+def dbg_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return read_graph(spark, d, K).nodes
+
+
+@query("dbg_edges", f"WITH {graph_sql(K)} SELECT edge_id, source, target FROM edges")
+def dbg_edges(spark: SparkSession, d: str) -> DataFrame:
+    return read_graph(spark, d, K).edges.select("edge_id", "source", "target")
+
+
+@query("contig_overlap", f"WITH {READS} SELECT a.read_id AS source, b.read_id AS target FROM reads a JOIN reads b ON right(a.seq, 8) = left(b.seq, 8) AND a.read_id <> b.read_id WHERE length(a.seq) >= 9 AND length(b.seq) >= 9")
+def contig_overlap(spark: SparkSession, d: str) -> DataFrame:
+    contigs = reads(spark, d).where(F.length("seq") >= 9).select(F.col("read_id").alias("id"), "seq")
+    return build.overlap_graph(contigs, 9)
+
+
+@query(
+    "simulate_reads",
+    f"""WITH {READS}, g AS (SELECT read_id AS genome_id, seq FROM reads WHERE length(seq) >= 60),
+r AS (SELECT genome_id, seq, unnest(range(0, length(seq) // 60)) AS i FROM g)
+SELECT 's_' || genome_id || '_' || printf('%04d', i) AS read_id, genome_id, substr(seq, (1 + 3 * i + list_sum(list_transform(string_split(genome_id, ''), lambda c: ascii(c)))::BIGINT) % (length(seq) - 16 + 1) + 1, 16) AS seq FROM r""",
+)
+def simulate_reads(spark: SparkSession, d: str) -> DataFrame:
+    genomes = reads(spark, d).where(F.length("seq") >= 60).select(F.col("read_id").alias("genome_id"), "seq")
+    dealt = genomes.select(F.lit("s").alias("sample_id"), "genome_id", F.floor(F.length("seq") / 60).alias("n"))
+    return build.simulate_reads(genomes, dealt, 16, 1).select("read_id", "genome_id", "seq")
+
+
+# Topology -------------------------------------------------------------------
+
+
+@query(
+    "strand_junctions",
+    f"""WITH {graph_sql(11)} SELECT (SELECT count(*) FROM (SELECT source FROM edges GROUP BY 1 HAVING count(*) > 1)) AS branch_nodes,
+(SELECT count(*) FROM (SELECT target FROM edges GROUP BY 1 HAVING count(*) > 1)) AS join_nodes""",
+)
+def strand_junctions(spark: SparkSession, d: str) -> DataFrame:
+    return topology.strand_junctions(read_graph(spark, d, 11).edges)
+
+
+@query(
+    "bubble_sources",
+    f"""WITH RECURSIVE {graph_sql(11)}, fork AS (SELECT source FROM edges GROUP BY 1 HAVING count(*) > 1),
+starts AS (SELECT source AS origin, target AS start FROM edges JOIN fork USING (source)),
+reach AS (SELECT origin, start, start AS node, 0 AS depth FROM starts UNION SELECT origin, start, target, depth + 1 FROM reach JOIN edges ON source = node WHERE depth < 4),
+reached AS (SELECT DISTINCT origin, start, node FROM reach WHERE depth > 0),
+met AS (SELECT origin FROM reached WHERE (origin, node) NOT IN (SELECT origin, start FROM starts) GROUP BY origin, node HAVING count(*) > 1),
+crossed AS (SELECT r.origin FROM reached r JOIN starts s ON r.origin = s.origin AND r.node = s.start AND r.start <> s.start)
+SELECT DISTINCT origin AS source FROM (SELECT * FROM met UNION ALL SELECT * FROM crossed)""",
+)
+def bubble_sources(spark: SparkSession, d: str) -> DataFrame:
+    return topology.bubble_sources(read_graph(spark, d, 11).edges)
+
+
+@query("compact_mapping", f"WITH RECURSIVE {graph_sql(K)}, {UNITIGS} SELECT node_id, unitig_id, ordinal::BIGINT AS ordinal FROM mapping")
+def compact_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return compact(read_graph(spark, d, K)).mapping.select("node_id", "unitig_id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(
+    "compact_unitigs",
+    f"""WITH RECURSIVE {graph_sql(K)}, {UNITIGS} SELECT unitig_id, string_agg(CASE WHEN ordinal = 0 THEN kmer ELSE right(kmer, 1) END, '' ORDER BY ordinal) AS sequence, count(*) AS n_members
+FROM mapping JOIN nodes USING (node_id) GROUP BY unitig_id""",
+)
+def compact_unitigs(spark: SparkSession, d: str) -> DataFrame:
+    return compact(read_graph(spark, d, K)).unitigs.select("unitig_id", "sequence", F.size("members").cast("long").alias("n_members"))
+
+
+LINKS = "links AS (SELECT e.edge_id AS link_id, a.unitig_id AS source, b.unitig_id AS target FROM edges e JOIN mapping a ON a.node_id = e.source JOIN mapping b ON b.node_id = e.target WHERE e.edge_id NOT IN (SELECT edge_id FROM absorbed))"
+
+
+@query("compact_links", f"WITH RECURSIVE {graph_sql(K)}, {UNITIGS}, {LINKS} SELECT link_id, source, target FROM links")
+def compact_links(spark: SparkSession, d: str) -> DataFrame:
+    return compact(read_graph(spark, d, K)).links.select("link_id", "source", "target")
+
+
+@query("expand_edges", f"WITH {graph_sql(K)} SELECT edge_id, source, target FROM edges")
+def expand_edges(spark: SparkSession, d: str) -> DataFrame:
+    return expand(compact(read_graph(spark, d, K))).edges.select("edge_id", "source", "target")
+
+
+@query("expand_nodes", f"WITH {graph_sql(K)} SELECT node_id, kmer AS sequence FROM nodes")
+def expand_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return expand(compact(read_graph(spark, d, K))).nodes
+
+
+S_EDGES = f"""{HOPS}, ids AS (SELECT DISTINCT source AS node_id FROM g_edges UNION SELECT target FROM g_edges),
+dense AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS dense_id FROM ids),
+csr AS (SELECT row_number() OVER (ORDER BY a.dense_id, b.dense_id, g.source || '>' || g.target) - 1 AS slot, a.dense_id AS src, b.dense_id AS dst FROM g_edges g JOIN dense a ON a.node_id = source JOIN dense b ON b.node_id = target)"""
+
+
+def _dense(edges: DataFrame) -> DataFrame:
+    ids = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    return ranked(ids, ["node_id"], "dense_id").withColumn("dense_id", F.col("dense_id") - 1)
+
+
+def _csr(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = supplier_edges(spark, d).withColumn("link_id", F.concat_ws(">", "source", "target"))
+    nodes = _dense(e)
+    return topology.csr_slots(e, nodes), nodes
+
+
+@query("csr_slots", f"WITH {S_EDGES} SELECT slot, src, dst FROM csr")
+def csr_slots(spark: SparkSession, d: str) -> DataFrame:
+    return _csr(spark, d)[0].select("slot", "src", "dst")
+
+
+@query("csc_slots", f"WITH {S_EDGES} SELECT row_number() OVER (ORDER BY dst, slot) - 1 AS position, dst, slot, src FROM csr")
+def csc_slots(spark: SparkSession, d: str) -> DataFrame:
+    return topology.csc_slots(_csr(spark, d)[0])
+
+
+@query("csr_pointers", f"WITH {S_EDGES} SELECT dense_id, (SELECT count(*) FROM csr WHERE src < dense_id) AS indptr FROM dense")
+def csr_pointers(spark: SparkSession, d: str) -> DataFrame:
+    slots, nodes = _csr(spark, d)
+    return topology.pointers(slots, nodes, "src")
+
+
+@query("degree", f"WITH {HOPS} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT source AS node, 1 AS o, 0 AS i FROM g_edges UNION ALL SELECT target, 0, 1 FROM g_edges) GROUP BY 1")
+def degree(spark: SparkSession, d: str) -> DataFrame:
+    return topology.degrees(supplier_edges(spark, d))
+
+
+@query("circle_layout", f"WITH {S_EDGES} SELECT node_id, round(cos(2 * pi() * dense_id / (SELECT count(*) FROM dense)), 6) AS x, round(sin(2 * pi() * dense_id / (SELECT count(*) FROM dense)), 6) AS y FROM dense")
+def circle_layout(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _dense(supplier_edges(spark, d))
+    angle = 2 * F.pi() * F.col("dense_id") / F.col("n")
+    return nodes.crossJoin(F.broadcast(nodes.agg(F.count("*").alias("n")))).select("node_id", F.round(F.cos(angle), 6).alias("x"), F.round(F.sin(angle), 6).alias("y"))
+
+
+@query(
+    "components",
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, -(o_custkey % 7) * 100000 - date_part('year', o_orderdate)::BIGINT - 1 AS b FROM orders),
+roots AS (SELECT b, min(a) AS m FROM e GROUP BY b)
+SELECT node, min(component) AS component FROM (SELECT a AS node, min(b) OVER (PARTITION BY a % 7) AS component FROM e UNION ALL SELECT b, min(b) OVER (PARTITION BY a % 7) FROM e) GROUP BY node""",
+)
+def components(spark: SparkSession, d: str) -> DataFrame:
+    hub = -(F.col("o_custkey") % 7) * 100000 - F.year("o_orderdate") - 1
+    return connected_components(table(spark, d, "orders").select(F.col("o_custkey").alias("src"), hub.cast("long").alias("dst")))
+
+
+@query(
+    "neighbour_mean",
+    """WITH n AS (SELECT vec_id AS node, embedding FROM embeddings), m AS (SELECT max(node) AS hi FROM n),
+e AS (SELECT node AS source, node AS target FROM n UNION ALL SELECT node, node + 1 FROM n, m WHERE node < hi),
+x AS (SELECT e.source, unnest(range(1, 65)) AS i, embedding FROM e JOIN n ON n.node = e.target)
+SELECT source AS node, i - 1 AS pos, round(avg(embedding[i]::DOUBLE), 5) AS x FROM x GROUP BY 1, 2""",
+)
+def neighbour_mean(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("features"))
+    ring = nodes.select(F.col("node").alias("source"), (F.col("node") + 1).alias("target"))
+    return topology.neighbour_mean(nodes, ring).select("node", F.posexplode("features").alias("pos", "x")).select("node", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
+
+
+# Colours --------------------------------------------------------------------
+
+SETS = """a AS (SELECT p_partkey, list_distinct([p_size % 5, p_partkey % 7, p_size % 3]) AS own, list_distinct([p_partkey % 5, p_size % 7]) AS given FROM part)"""
+SQL_OPS = {"replace": "given", "merge": "list_distinct(own || given)", "intersect": "list_intersect(own, given)", "subtract": "list_filter(own, lambda x: NOT list_contains(given, x))"}
+#: An element that is not named: cleared by replace and subtract, else unchanged.
+SQL_ABSENT = {"replace": "[]", "merge": "own", "intersect": "own", "subtract": "[]"}
+
+
+def _register_combine(op: str) -> None:
+    sql = f"WITH {SETS} SELECT p_partkey, array_to_string(list_sort(CASE WHEN p_partkey % 10 = 0 THEN {SQL_ABSENT[op]} ELSE {SQL_OPS[op]} END), ',') AS colors FROM a"
+
+    @query(f"colour_{op}", sql)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        p = table(spark, d, "part")
+        size, key = F.col("p_size").cast("int"), F.col("p_partkey").cast("int")
+        own = p.select("p_partkey", F.array_sort(F.array_distinct(F.array(size % 5, key % 7, size % 3))).alias("color_ids"))
+        given = p.where("p_partkey % 10 <> 0").select("p_partkey", F.array_distinct(F.array(key % 5, size % 7)).alias("colors"))
+        return colour.apply_colours(own, given, "p_partkey", op).select("p_partkey", text(F.col("color_ids")).alias("colors"))
+
+
+for _op in OPERATIONS:
+    _register_combine(_op)
+
+
+@query("colour_filter", "SELECT p_partkey, CASE WHEN x = y THEN x::VARCHAR ELSE least(x, y) || ',' || greatest(x, y) END AS colors FROM (SELECT p_partkey, p_size % 5 AS x, p_partkey % 5 AS y FROM part)")
+def colour_filter(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.array_sort(F.array_distinct(F.array((F.col("p_size") % 5).cast("int"), (F.col("p_partkey") % 5).cast("int"), (F.col("p_partkey") % 9 + 10).cast("int")))).alias("color_ids"))
+    names = spark.range(0, 19).select(F.col("id").cast("int").alias("color_id"), F.when(F.col("id") < 10, "low").otherwise("high").alias("namespace"), F.col("id").cast("string").alias("value"))
+    kept, _ = colour.filter_colours(p, names, namespaces=["low"])
+    return kept.select("p_partkey", text(F.col("color_ids")).alias("colors"))
+
+
+@query(
+    "colour_reads_nodes",
+    f"""WITH {graph_sql(K)}, both_ AS (SELECT DISTINCT read_id, sample_id, kmer FROM kmers UNION SELECT DISTINCT read_id, sample_id, {rc_sql('kmer')} FROM kmers)
+SELECT node_id, sample_id, count(*) AS depth FROM both_ JOIN nodes USING (kmer) GROUP BY 1, 2""",
+)
+def colour_reads_nodes(spark: SparkSession, d: str) -> DataFrame:
+    r = reads(spark, d).where(F.length("seq") >= K)
+    return colour.colour_nodes_by_reads(read_graph(spark, d, K).nodes, r, K)
+
+
+@query(
+    "colour_reads_edges",
+    f"""WITH {graph_sql(K)}, n AS (SELECT sample_id, kmer AS motif, count(*) AS c FROM pairs_ GROUP BY 1, 2),
+m AS (SELECT edge_id, right(a.kmer, {K}) || right(b.kmer, 1) AS motif FROM edges JOIN nodes a ON a.node_id = source JOIN nodes b ON b.node_id = target),
+b AS (SELECT edge_id, motif FROM m UNION SELECT edge_id, {rc_sql('motif')} FROM m)
+SELECT edge_id, sample_id, sum(c)::BIGINT AS density FROM b JOIN n USING (motif) GROUP BY 1, 2 HAVING sum(c) >= 2""",
+)
+def colour_reads_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = read_graph(spark, d, K)
+    return colour.colour_edges_by_reads(g.edges, g.nodes, reads(spark, d), K)
+
+
+@query(
+    "colour_calls",
+    f"""WITH {HOPS}, c AS (SELECT s_suppkey AS node_id, s_nationkey::VARCHAR AS t FROM supplier UNION SELECT l_suppkey, (l_partkey % 5)::VARCHAR FROM lineitem),
+v AS (SELECT node_id, list(DISTINCT t) AS ts FROM c GROUP BY 1)
+SELECT source, target, array_to_string(list_sort(list_intersect(a.ts, b.ts)), ',') AS colors FROM g_edges JOIN v a ON a.node_id = source JOIN v b ON b.node_id = target""",
+)
+def colour_calls(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").cast("long").alias("taxon"))
+    sold = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node_id"), (F.col("l_partkey") % 5).alias("taxon"))
+    e = supplier_edges(spark, d).withColumn("edge_id", F.struct("source", "target"))
+    return colour.colour_from_calls(e, own.unionByName(sold)).select("edge_id.source", "edge_id.target", F.array_join("values", ",").alias("colors"))
+
+
+def _decay_sql(rounds: int) -> str:
+    parts = ["own AS (SELECT s_suppkey AS node, s_nationkey AS colour, 1.0::DOUBLE AS mass FROM supplier WHERE s_suppkey % 3 <> 0)", "m0 AS (SELECT * FROM own)"]
+    for i in range(1, rounds + 1):
+        parts += [
+            f"w{i} AS (SELECT source AS node, count(*) AS w FROM g_edges WHERE target IN (SELECT node FROM m{i - 1}) AND source IN (SELECT node FROM own) GROUP BY 1)",
+            f"v{i} AS (SELECT source AS node, colour, 0.5 * sum(mass) / any_value(w) AS mass FROM g_edges JOIN m{i - 1} ON node = target JOIN w{i} ON w{i}.node = source GROUP BY 1, 2)",
+            f"x{i} AS (SELECT node, colour, sum(mass) AS mass FROM (SELECT node, colour, 0.5 * mass AS mass FROM own WHERE node IN (SELECT node FROM w{i}) UNION ALL SELECT * FROM v{i}) GROUP BY 1, 2)",
+            f"m{i} AS (SELECT node, colour, mass / sum(mass) OVER (PARTITION BY node) AS mass FROM x{i} UNION ALL SELECT * FROM own WHERE node NOT IN (SELECT node FROM w{i}))",
+        ]
+    return f"WITH {HOPS}, {', '.join(parts)} SELECT node, colour::BIGINT AS colour, round(mass, 6) AS mass FROM m{rounds}"
+
+
+@query("decaying_mass", _decay_sql(4))
+def decaying_mass(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").cast("long").alias("colour"), F.lit(1.0).alias("weight"))
+    return colour.decaying_mass(own, supplier_edges(spark, d)).select("node", "colour", F.round("mass", 6).alias("mass"))
+
+
+@query(
+    "kmer_vectors",
+    f"""WITH {READS}, {kmers_sql(4)}, n AS (SELECT read_id, least(kmer, {rc_sql('kmer')}) AS kmer, count(*) AS c FROM kmers GROUP BY 1, 2)
+SELECT read_id AS node_id, kmer, round(c / sqrt(sum(c * c) OVER (PARTITION BY read_id)), 6) AS x FROM n""",
+)
+def kmer_vectors(spark: SparkSession, d: str) -> DataFrame:
+    nodes = reads(spark, d).select(F.col("read_id").alias("node_id"), F.col("seq").alias("sequence"))
+    return colour.composition(nodes, 4).select("node_id", "kmer", F.round("x", 6).alias("x"))
+
+
+@query(
+    "facet_frames",
+    """WITH l AS (SELECT DISTINCT c_mktsegment AS level FROM customer), s AS (SELECT c_nationkey AS id, c_mktsegment AS level, count(*) AS n FROM customer GROUP BY 1, 2),
+i AS (SELECT DISTINCT c_nationkey AS id FROM customer), t AS (SELECT c_nationkey AS id, count(DISTINCT c_custkey % 11)::BIGINT AS n FROM customer GROUP BY 1)
+SELECT level, i.id::BIGINT AS id, CASE WHEN s.n > 0 THEN t.n END AS value FROM i CROSS JOIN l LEFT JOIN s USING (id, level) JOIN t ON t.id = i.id""",
+)
+def facet_frames(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("id"), F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 11).cast("string").alias("eleventh"))
+    names = c.select(F.lit("segment").alias("namespace"), F.col("segment").alias("value")).distinct().unionByName(c.select(F.lit("eleventh").alias("namespace"), F.col("eleventh").alias("value")).distinct())
+    names = ranked(names, ["namespace", "value"], "color_id")
+    pairs = c.select("id", F.explode(F.array(F.struct(F.lit("segment").alias("namespace"), F.col("segment").alias("value")), F.struct(F.lit("eleventh").alias("namespace"), F.col("eleventh").alias("value")))).alias("p"))
+    elements = pairs.select("id", "p.*").join(names, ["namespace", "value"]).groupBy("id").agg(F.collect_set("color_id").alias("color_ids"))
+    return colour.facet_frames(elements, names, "segment", "eleventh", F.count_distinct("value"))
+
+
+# Annotations ----------------------------------------------------------------
+
+ANNOTATED = {
+    "mean": "avg(c_acctbal)", "sum": "sum(c_acctbal)", "min": "min(c_acctbal)", "max": "max(c_acctbal)", "median": "median(c_acctbal)", "weighted_mean": "sum(c_acctbal * (c_custkey + 1)) / sum(c_custkey + 1)",
+}
+
+
+def _register_policy(policy: str) -> None:
+    @query(f"annot_{policy}", f"SELECT c_nationkey::BIGINT AS \"group\", round({ANNOTATED[policy]}, 4) AS value FROM customer GROUP BY 1")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c = table(spark, d, "customer")
+        members = c.select(F.col("c_nationkey").cast("long").alias("group"), F.col("c_custkey").alias("id"))
+        weights = c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1).alias("weight"))
+        return annotate.aggregate(members, c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value")), policy, weights=weights).select("group", F.round("value", 4).alias("value"))
+
+
+for _policy in ANNOTATED:
+    _register_policy(_policy)
+
+
+@query("annot_union", "SELECT c_nationkey::BIGINT AS \"group\", string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS value FROM customer GROUP BY 1")
+def annot_union(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    members = c.select(F.col("c_nationkey").cast("long").alias("group"), F.col("c_custkey").alias("id"))
+    return annotate.aggregate(members, c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value")), "union", "category")
+
+
+@query("annot_majority", "SELECT \"group\", value FROM (SELECT c_nationkey::BIGINT AS \"group\", c_mktsegment AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY c_nationkey, c_mktsegment) WHERE r = 1")
+def annot_majority(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.most_frequent(table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("group"), F.col("c_mktsegment").alias("value")))
+
+
+# Scores and taxonomy --------------------------------------------------------
+
+
+@query("n50", f"WITH {DOC_SEQS}, r AS (SELECT length(seq) AS n, sum(length(seq)) OVER (ORDER BY length(seq) DESC, doc_id) AS upto, sum(length(seq)) OVER () AS whole FROM seqs) SELECT max(n)::BIGINT AS n50 FROM r WHERE 2 * upto >= whole")
+def n50(spark: SparkSession, d: str) -> DataFrame:
+    return score.n50(doc_seqs(spark, d).select(F.length("seq").cast("long").alias("length")))
+
+
+@query(
+    "contig_f1",
+    """WITH r AS (SELECT vec_id % 13 AS cluster, CASE WHEN vec_id % 17 = 0 THEN -1 ELSE label END AS truth FROM embeddings), n AS (SELECT cluster, truth, count(*) AS hits FROM r GROUP BY 1, 2),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY hits DESC, truth) AS k FROM n) WHERE k = 1 AND truth >= 0),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY hits DESC, cluster) AS j FROM o) WHERE j = 1),
+s AS (SELECT (SELECT sum(hits) FROM b)::DOUBLE AS tp, (SELECT count(*) FROM r) AS n, (SELECT count(*) FROM r WHERE truth >= 0) AS l)
+SELECT round(tp / n, 6) AS precision, round(tp / l, 6) AS recall, round(2 * (tp / n) * (tp / l) / (tp / n + tp / l), 6) AS f1 FROM s""",
+)
+def contig_f1(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") % 13).alias("cluster"), F.when(F.col("vec_id") % 17 == 0, -1).otherwise(F.col("label")).alias("truth"))
+    return score.contig_f1(rows).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    "profile_scores",
+    """WITH p AS (SELECT c_nationkey AS taxon, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), t AS (SELECT s_nationkey AS taxon, sum(s_acctbal + 2000) AS v FROM supplier GROUP BY 1),
+pp AS (SELECT taxon, v / sum(v) OVER () AS p FROM p), c AS (SELECT taxon, coalesce(p, 0) AS p, coalesce(t.v, 0) AS t FROM pp FULL JOIN t USING (taxon)), s AS (SELECT sum(t) AS st FROM c)
+SELECT round(sum(abs(p - t / st)), 6) AS l1, round(1 - 2 * sum(least(p, t)) / sum(p + t), 6) AS bray_curtis, round(corr(p, t), 6) AS pearson,
+round(2 * count(*) FILTER (p > 0 AND t > 0 AND taxon <> 0) / (count(*) FILTER (p > 0 AND taxon <> 0) + count(*) FILTER (t > 0 AND taxon <> 0))::DOUBLE, 6) AS presence_f1 FROM c, s""",
+)
+def profile_scores(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    p = o.groupBy(F.col("c_nationkey").alias("taxon")).agg(F.sum("o_totalprice").alias("value"))
+    p = p.crossJoin(F.broadcast(p.agg(F.sum("value").alias("_s")))).select("taxon", (F.col("value") / F.col("_s")).alias("value"))
+    t = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("taxon")).agg(F.sum(F.col("s_acctbal") + 2000).alias("value"))
+    return score.profile_scores(p, t).select(*[F.round(c, 6).alias(c) for c in ("l1", "bray_curtis", "pearson", "presence_f1")])
+
+
+@query(
+    "rank_rollup",
+    f"""WITH RECURSIVE {TAXONOMY}, climb AS (SELECT taxon_id, taxon_id AS pos_, 0 AS n FROM taxonomy UNION ALL SELECT c.taxon_id, t.parent_id, n + 1 FROM climb c JOIN taxonomy t ON t.taxon_id = c.pos_ WHERE t.rank <> 'family' AND t.parent_id <> t.taxon_id AND n < 9)
+SELECT climb.taxon_id AS taxon_id, max(CASE WHEN t.rank = 'family' THEN pos_ END) AS ancestor FROM climb JOIN taxonomy t ON t.taxon_id = pos_ GROUP BY 1""",
+)
+def rank_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return score.rank_rollup(taxonomy(spark, d), "family")
+
+
+@query("abundance_rollup", "SELECT n_regionkey::BIGINT + 2 AS taxon, round(count(*) / (SELECT count(*) FROM orders)::DOUBLE, 6) AS share FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def abundance_rollup(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "orders").groupBy((F.col("o_custkey") + 1000).alias("taxon_id")).agg(F.count("*").alias("n"))
+    return score.abundance_rollup(counts, score.rank_rollup(taxonomy(spark, d), "family")).select("taxon", F.round("share", 6).alias("share"))
+
+
+@query(
+    "largest_remainder",
+    """WITH w AS (SELECT c_nationkey AS id, count(*) AS w FROM customer GROUP BY 1), q AS (SELECT id, w * 1009 / (SELECT sum(w) FROM w)::DOUBLE AS q FROM w),
+r AS (SELECT id, floor(q)::BIGINT AS b, row_number() OVER (ORDER BY q - floor(q) DESC, id) AS r FROM q) SELECT id::BIGINT AS id, (b + CASE WHEN r <= 1009 - (SELECT sum(b) FROM r) THEN 1 ELSE 0 END)::BIGINT AS n FROM r""",
+)
+def largest_remainder(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.count("*").alias("weight"))
+    return score.largest_remainder(w, 1009)
+
+
+@query("pair_halving", "WITH f AS (SELECT o_custkey, dense_rank() OVER (ORDER BY min(o_orderkey)) AS r FROM orders GROUP BY 1) SELECT o_custkey AS pair_id, o_orderkey AS pos FROM orders JOIN f USING (o_custkey) WHERE r % 2 = 1")
+def pair_halving(spark: SparkSession, d: str) -> DataFrame:
+    return score.halves(table(spark, d, "orders").select(F.col("o_custkey").alias("pair_id"), F.col("o_orderkey").alias("pos")))
+
+
+@query("label_thresholds", "SELECT label, p AS threshold FROM (SELECT s_nationkey AS label, s_acctbal AS p, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r, count(*) FILTER (s_suppkey % 3 = 0) OVER (PARTITION BY s_nationkey) AS k FROM supplier) WHERE r = k")
+def label_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("label"), F.col("s_acctbal").alias("p"), (F.col("s_suppkey") % 3 == 0).cast("int").alias("y"))
+    return score.top_threshold(s)
+
+
+# Transit --------------------------------------------------------------------
+
+
+@query("transit_edges", f"WITH {HOPS} SELECT source, target, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS routes FROM hops JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def transit_edges(spark: SparkSession, d: str) -> DataFrame:
+    routes = table(spark, d, "orders").select(F.col("o_orderkey").alias("trip_id"), F.col("o_orderpriority").alias("route_id"))
+    h = hops(spark, d).withColumnRenamed("l_orderkey", "trip_id")
+    return transit.route_edges(h, routes).select("source", "target", F.array_join("route_ids", ",").alias("routes"))
+
+
+@query(
+    "stop_clusters",
+    """WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_nationkey AS k, 10 + s_acctbal / 1000 AS lat, 20 + s_suppkey % 3 * 0.001 AS lon FROM supplier),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.k = b.k AND a.id <> b.id AND 2 * 6371000.0 * asin(least(1, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))) <= 60000),
+r AS (SELECT id, id AS c FROM p UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT id AS stop_id, min(c) AS cluster_id FROM r GROUP BY 1""",
+)
+def stop_clusters(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("stop_id"), F.col("s_nationkey").cast("string").alias("name"), (10 + F.col("s_acctbal") / 1000).alias("lat"), (20 + F.col("s_suppkey") % 3 * 0.001).alias("lon"))
+    return transit.cluster_stops(p, 60000).select("stop_id", "cluster_id")
+
+
+# Edits, validation, identity ------------------------------------------------
+
+
+@query("edit_remove", f"WITH {HOPS} SELECT source || '>' || target AS link_id FROM g_edges WHERE (source + target) % 4 <> 0")
+def edit_remove(spark: SparkSession, d: str) -> DataFrame:
+    e = supplier_edges(spark, d)
+    gone = e.where("(source + target) % 4 = 0")
+    return e.join(gone, ["source", "target"], "left_anti").select(F.concat_ws(">", "source", "target").alias("link_id"))
+
+
+@query("edit_upsert", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'MARKED' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT -c_custkey - 1, 'NEW' FROM customer WHERE c_custkey % 50 = 0")
+def edit_upsert(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    new = c.where("c_custkey % 50 = 0").select((-F.col("c_custkey") - 1).alias("id"), F.lit("NEW").alias("value"))
+    changed = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.lit("MARKED").alias("value"))
+    return edits.upsert(c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value")), changed.unionByName(new))
+
+
+@query(
+    "validate_violations",
+    """SELECT 5::BIGINT AS rule, l_orderkey::VARCHAR AS at FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1
+UNION ALL SELECT 6, l_orderkey::VARCHAR FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey <> 3)
+UNION ALL SELECT 7, l_orderkey::VARCHAR FROM lineitem WHERE l_partkey % 100 NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey <> 3)
+UNION ALL SELECT 4, s_suppkey::VARCHAR FROM supplier WHERE s_nationkey <> 3""",
+)
+def validate_violations(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "supplier").where("s_nationkey <> 3").select(F.col("s_suppkey").cast("string").alias("node_id"), F.col("s_name").alias("sequence"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("edge_id"), F.col("l_suppkey").cast("string").alias("source"), (F.col("l_partkey") % 100).cast("string").alias("target"))
+    return validate.graph_violations(nodes, e).select(F.col("rule").cast("long").alias("rule"), "at")
+
+
+@query("graph_identity", f"WITH {HOPS} SELECT sha256(string_agg(source || '>' || target, chr(10) ORDER BY source, target)) AS digest, count(*) AS n FROM g_edges")
+def graph_identity(spark: SparkSession, d: str) -> DataFrame:
+    e = supplier_edges(spark, d)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("source", "target"))), lambda x: F.concat_ws(">", x.source, x.target))
+    return e.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.count("*").alias("n"))
