@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import licences
+from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
@@ -67,3 +68,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op9_licence_scan", licences.oracle_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+@registry.add("op6_chat_transcripts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
