@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = END) -> Da
         close = int(end).to_bytes(4, "little")
         for batch, texts in text_blocks(batches):
             out: dict[str, list] = {f.name: [] for f in PIECE}
-            for doc, ids in zip(batch.column(0).to_pylist(), tool.encode([t.decode() for t in texts]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), tool.encode(texts), strict=True):
                 ids += close
                 n = len(ids) // 4
                 at = 0

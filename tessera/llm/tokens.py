@@ -4,23 +4,37 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Sequence
 
-import numpy as np
-
 END = 2
-#: Words whose ids a worker keeps at a time; beyond it the store starts anew.
-KEPT_WORDS = 150_000
+#: Words whose ids a worker keeps at a time, at some 200 bytes each; beyond it the store starts anew.
+KEPT_WORDS = 1_400_000
+#: Words that go through the library as one text, apart by what always becomes one id.
+GLUED = 64
 _READY: dict[str, Encoder] = {}
 
+#: White space other than a space or a newline; a text that holds any is encoded whole.
+_ODD_ASCII = "\0\t\v\f\r\x1c\x1d\x1e\x1f"
+_ODD_WIDE = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_ENDS = (" ", "\n")
+
+
+def _even(text: str) -> bool:
+    """Whether only spaces and newlines separate words, one at a time, none at an end."""
+    if text.startswith(_ENDS) or text.endswith(_ENDS) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in _ODD_ASCII) and (text.isascii() or not any(c in text for c in _ODD_WIDE))
+
 
 class Encoder:
     """Ids of texts, without special tokens; their literal strings are ordinary text.
 
-    Both pre-tokenizers that ``_splits_at_spaces`` knows end a word before every
-    single space between two non-space characters, so what stands between such
-    spaces can be encoded by itself. A word's ids are then computed once and
-    looked up afterwards. Other tokenizer files encode whole texts.
+    A word's ids are computed once and looked up afterwards. That is exact for
+    pre-tokenizers that end a word at every space or newline that stands alone
+    between other characters, and between a letter or digit and one comma or
+    full stop at a word's end; ``_kind`` knows two. Texts with other white
+    space, and other tokenizer files, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -29,62 +43,89 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
-        self.by_word = _splits_at_spaces(path)
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if not self.by_word:
-            return self._ids(list(texts))
-        split = [_parts(t) for t in texts]
-        if len(self.first) + len(self.rest) > KEPT_WORDS:
-            self.first, self.rest = {}, {}
-        new = list({p[0] for p in split} - self.first.keys())
-        self.first.update(zip(new, self._ids(new), strict=True))
-        new = set()
-        for p in split:
-            new.update(p[1:])
-        new = list(new - self.rest.keys())
-        self.rest.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-        rest = self.rest.__getitem__
-        return [self.first[p[0]] + b"".join(map(rest, p[1:])) for p in split]
-
-
-def _parts(text: str) -> list[str]:
-    """``text`` cut at its single spaces between non-space characters; the spaces are dropped."""
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    odd = [i for i, p in enumerate(parts) if not p or p[0].isspace() or p[-1].isspace()]
-    if not odd:
-        return parts
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-            out.append(p)
+        self.kind = _kind(path)
+        self.ids: dict[str, bytes] = {}
+        self.stops = {c: self._whole([c])[0] for c in ",."}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Stores the ids of words that are not known yet."""
+        closed = {w for w in words if w[-1:] in (",", ".") and len(w) > 1 and w[-2].isalnum()}
+        plain = list((words - closed) | {x for w in closed if (x := w[:-1]) not in self.ids})
+        if self.kind == "lower":
+            self._glued(plain, plain, " \1 ")
         else:
-            out[-1] += " " + p
-    return out
-
-
-def _splits_at_spaces(path: str) -> bool:
+            bare = [w for w in plain if w[:1] in ("\0", "\n")]
+            self.ids.update(zip(bare, self._whole([w.removeprefix("\0") for w in bare]), strict=True))
+            inner = [w for w in plain if w[:1] not in ("\0", "\n")]
+            self._glued(inner, [" " + w for w in inner], "\n")
+        for w in closed:
+            self.ids[w] = self.ids[w[:-1]] + self.stops[w[-1]]
+
+    def _glued(self, words: list[str], given: list[str], glue: str) -> None:
+        """Stores the ids of ``given``, found between the glue's, as the words' ids."""
+        mark = array("I", self._whole([glue.strip(" ")])[0])
+        step = 128 * GLUED
+        for lo in range(0, len(given), step):
+            chunks = [given[k : k + GLUED] for k in range(lo, min(lo + step, len(given)), GLUED)]
+            found: list[bytes] = []
+            for chunk, e in zip(chunks, self.tool.encode_batch_fast([glue.join(c) for c in chunks], add_special_tokens=False), strict=True):
+                ids = e.ids
+                if len(mark) != 1 or ids.count(mark[0]) != len(chunk) - 1:  # some word holds the glue itself
+                    found += self._whole(chunk)
+                    continue
+                s = 0
+                for _ in range(len(chunk) - 1):
+                    at = ids.index(mark[0], s)
+                    found.append(array("I", ids[s:at]).tobytes())
+                    s = at + 1
+                found.append(array("I", ids[s:]).tobytes())
+            self.ids.update(zip(words[lo : lo + step], found, strict=True))
+
+    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        if self.kind is None:
+            return self._whole([t.decode() for t in texts])
+        if self.kind == "lower":  # the file lower-cases anyway; A-Z can go first
+            texts = [t.lower() for t in texts]
+        split: list[list[str] | None] = []
+        odd: list[str] = []
+        new: set[str] = set()
+        for t in texts:
+            t = t.decode()
+            if not t or not _even(t):
+                odd.append(t)
+                split.append(None)
+                continue
+            # a word of the first kind keeps its newline; the text's first word has no space before it
+            parts = t.replace("\n", " ").split(" ") if self.kind == "lower" else ("\0" + t.replace("\n", " \n")).split(" ")
+            new.update(parts)
+            split.append(parts)
+        if len(self.ids) > KEPT_WORDS:
+            self.ids = {}
+        self._learn(new - self.ids.keys())
+        rest, of = iter(self._whole(odd)), self.ids.__getitem__
+        return [next(rest) if p is None else b"".join(map(of, p)) for p in split]
+
+
+def _kind(path: str) -> str | None:
+    """'spaced': byte-level words with their leading space; 'lower': lower-cased words without spaces."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", ())):
-        return False
-    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-        return norm is None
+    if spec.get("post_processor") or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", ())):
+        return None
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
+        return "spaced"
     kinds = [p.get("type") for p in pre.get("pretokenizers", ())]
     inner = [n.get("type") for n in (norm or {}).get("normalizers", ())]
-    if kinds != ["Split", "ByteLevel"] or not set(inner) <= {"NFC", "Replace", "Lowercase"}:
-        return False
+    if kinds != ["Split", "ByteLevel"] or inner != ["NFC", "Replace", "Lowercase"]:
+        return None
     split, level = pre["pretokenizers"]
-    return split.get("behavior") == "Removed" and split.get("invert") is True and "\\s" in str(split.get("pattern")) and not level.get("use_regex") and not level.get("add_prefix_space")
+    removed = split.get("behavior") == "Removed" and split.get("invert") is True and split.get("pattern", {}).get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return "lower" if removed and not level.get("use_regex") and not level.get("add_prefix_space") else None
 
 
 def encoder(path: str) -> Encoder:
