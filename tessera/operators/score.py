@@ -56,7 +56,7 @@ def profile_scores(predicted: DataFrame, truth: DataFrame, minimum: float = 0.0)
     return c.crossJoin(F.broadcast(sums)).agg(
         F.sum(F.abs(F.col("p") - F.when(F.col("_t") > 0, F.col("t") / F.col("_t")).otherwise(0.0))).alias("l1"),
         F.when(total > 0, 1 - 2 * both / total).otherwise(0.0).alias("bray_curtis"),
-        F.when(spread, F.corr("p", "t")).alias("pearson"),
+        F.when(spread, F.try_divide(F.covar_pop("p", "t"), F.sqrt(F.var_pop("p") * F.var_pop("t")))).alias("pearson"),
         F.when(hit(yes_p) + hit(yes_t) > 0, found).otherwise(0.0).alias("presence_f1"),
     )
 
