@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.cut import cut
 from tessera.functions import seq
 from tessera.functions.sets import OPERATIONS, text
-from tessera.operators import annotate, build, colour, edits, score, topology, transit, validate
+from tessera.operators import annotate, build, colour, edits, ml, score, tensor, topology, transit, validate
 from tessera.operators.compact import compact, expand
 from tessera.operators.components import connected_components
 from tessera.operators.ids import ranked
@@ -491,3 +492,102 @@ def graph_identity(spark: SparkSession, d: str) -> DataFrame:
     e = supplier_edges(spark, d)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("source", "target"))), lambda x: F.concat_ws(">", x.source, x.target))
     return e.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.count("*").alias("n"))
+
+
+# Layouts and learning -------------------------------------------------------
+
+
+@query("cgt_node_colors", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS dense_id, p_partkey, concat_ws('', " + ", ".join(f"CASE WHEN p_size % 5 = {c} OR p_partkey % 5 = {c} THEN 1 ELSE 0 END" for c in range(5)) + ") AS colors FROM part")
+def cgt_node_colors(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.array((F.col("p_size") % 5).cast("int"), (F.col("p_partkey") % 5).cast("int")).alias("color_ids"))
+    return tensor.colour_masks(tensor.dense_ids(p, "p_partkey"), range(5)).select("dense_id", "p_partkey", F.concat_ws("", F.col("colors").cast("array<string>")).alias("colors"))
+
+
+@query(
+    "node_classes",
+    f"""WITH {HOPS}, own AS (SELECT DISTINCT s_suppkey AS node, s_nationkey::VARCHAR AS v FROM supplier), l AS (SELECT source, target, ((source * 31 + target) % 4)::VARCHAR AS v FROM g_edges WHERE (source + target) % 3 <> 0),
+v AS (SELECT node, v, count(*) AS n FROM (SELECT source AS node, v FROM l UNION ALL SELECT target, v FROM l WHERE target <> source) GROUP BY 1, 2),
+b AS (SELECT node, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, v) AS r FROM v) WHERE r = 1)
+SELECT own.node, CASE WHEN own.node % 3 = 0 THEN own.v ELSE coalesce(b.v, 'Unclassified') END AS name FROM own LEFT JOIN b USING (node)""",
+)
+def node_classes(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    own = s.select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.col("s_nationkey").cast("string"))).otherwise(F.array().cast("array<string>")).alias("values"))
+    e = supplier_edges(spark, d).where("(source + target) % 3 <> 0")
+    return tensor.node_classes(own, e.withColumn("values", F.array(((F.col("source") * 31 + F.col("target")) % 4).cast("string"))))
+
+
+@query(
+    "genome_labels",
+    f"""WITH {READS}, {kmers_sql(9)}, r AS (SELECT sample_id, kmer FROM kmers), g AS (SELECT DISTINCT role AS genome, kmer FROM (SELECT sample_id AS role, kmer FROM r UNION ALL SELECT sample_id, {rc_sql('kmer')} FROM r)),
+own AS (SELECT read_id, kmer, count(*) AS n FROM kmers GROUP BY 1, 2), h AS (SELECT read_id, genome, sum(n) AS hits FROM own JOIN g USING (kmer) GROUP BY 1, 2),
+t AS (SELECT read_id, max(hits) AS best FROM h GROUP BY 1), w AS (SELECT h.read_id, any_value(best) AS best, count(*) AS ties, min(genome) AS genome FROM h JOIN t ON h.read_id = t.read_id AND hits = best GROUP BY 1),
+names AS (SELECT genome, row_number() OVER (ORDER BY genome) AS number FROM (SELECT DISTINCT sample_id AS genome FROM reads))
+SELECT reads.read_id AS node_id, CASE WHEN ties = 1 AND 2 * best > length(seq) - 8 THEN number ELSE 0 END::BIGINT AS label FROM reads LEFT JOIN w USING (read_id) LEFT JOIN names USING (genome)""",
+)
+def genome_labels(spark: SparkSession, d: str) -> DataFrame:
+    r = reads(spark, d)
+    return tensor.genome_labels(r.select(F.col("read_id").alias("node_id"), F.col("seq").alias("sequence")), r.select(F.col("sample_id").alias("genome_id"), "seq"), 9)
+
+
+@query("label_unanimity", "SELECT o_custkey AS \"group\", CASE WHEN min(o_orderkey % 3) = max(o_orderkey % 3) THEN min(o_orderkey % 3) ELSE 0 END AS label FROM orders GROUP BY 1")
+def label_unanimity(spark: SparkSession, d: str) -> DataFrame:
+    return tensor.unanimous(table(spark, d, "orders").select(F.col("o_custkey").alias("group"), (F.col("o_orderkey") % 3).alias("label")))
+
+
+@query(
+    "digraph_colours",
+    """WITH c AS (SELECT p_partkey AS id, p_partkey AS pos, 0 AS c, 'p_brand' AS namespace, p_brand AS value FROM part UNION ALL SELECT p_partkey, p_partkey, 1, 'p_type', p_type FROM part),
+f AS (SELECT c, namespace, value, row_number() OVER (ORDER BY c, min(pos), value) - 1 AS color_id FROM c GROUP BY 1, 2, 3)
+SELECT id, string_agg(color_id, ',' ORDER BY color_id) AS colors FROM c JOIN f USING (namespace, value) GROUP BY id""",
+)
+def digraph_colours(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), "p_brand", "p_type")
+    return tensor.coloured_rows(rows, ["p_brand", "p_type"])[0].select("id", text(F.col("color_ids")).alias("colors"))
+
+
+@query(
+    "physical_stops",
+    """WITH v AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate) AS n, l_suppkey % 7 AS stop_id FROM lineitem),
+k AS (SELECT *, lag(stop_id) OVER (PARTITION BY l_orderkey ORDER BY n) AS before FROM v)
+SELECT l_orderkey AS trip_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS pos, stop_id FROM k WHERE before IS NULL OR before <> stop_id""",
+)
+def physical_stops(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "trip_id", "l_suppkey": "stop_id"})
+    clusters = table(spark, d, "supplier").select(F.col("s_suppkey").alias("stop_id"), (F.col("s_suppkey") % 7).alias("cluster_id"))
+    out = transit.physical_stops(v, clusters, ["l_linenumber", "stop_id", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"])
+    return out.select("trip_id", F.col("pos").cast("long").alias("pos"), "stop_id")
+
+
+@query("repeat_junctions")
+def repeat_junctions(spark: SparkSession, d: str) -> DataFrame:
+    e = supplier_edges(spark, d).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))
+    return transit.repeat_junction_sequences(nodes, e, 21)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+@query("kmeans_labels")
+def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
+    return ml.kmeans(_vectors(spark, d), 8, starts=2, rounds=10)
+
+
+@query("gcn_predict")
+def gcn_predict(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    ring = v.select(F.col("node").alias("source"), (F.col("node") + 1).alias("target"))
+    hidden = topology.neighbour_mean(v.select("node", "features"), ring)
+    hidden = cut(hidden.join(v.select("node", "label"), "node"), "hidden")
+    return ml.predict_softmax(hidden, ml.fit_softmax(hidden, epochs=10))
+
+
+@query("edge_split")
+def edge_split(spark: SparkSession, d: str) -> DataFrame:
+    """The longest unitig cut behind its first member."""
+    c = compact(read_graph(spark, d, K))
+    longest = c.unitigs.where("size(members) > 1").orderBy(F.desc(F.size("members")), "unitig_id").first()
+    out = edits.split_unitig(c, longest["unitig_id"], 0, "p", "x") if longest else c
+    return out.unitigs.select("unitig_id", F.length("sequence").alias("length"), F.size("members").alias("n_members"))
