@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.cut import cut
 from tessera.functions import seq
 from tessera.functions.sets import OPERATIONS, text
-from tessera.operators import annotate, build, colour, edits, ml, score, tensor, topology, transit, validate
+from tessera.operators import annotate, build, colour, edits, identity, ml, score, tensor, topology, transit, validate
 from tessera.operators.compact import compact, expand
 from tessera.operators.components import connected_components
 from tessera.operators.ids import ranked
@@ -487,11 +487,20 @@ def validate_violations(spark: SparkSession, d: str) -> DataFrame:
     return validate.graph_violations(nodes, e).select(F.col("rule").cast("long").alias("rule"), "at")
 
 
-@query("graph_identity", f"WITH {HOPS} SELECT sha256(string_agg(source || '>' || target, chr(10) ORDER BY source, target)) AS digest, count(*) AS n FROM g_edges")
+@query(
+    "graph_identity",
+    f"""WITH {HOPS}, r AS (SELECT source || '>' || target AS line, row_number() OVER (ORDER BY source, target) - 1 AS i FROM g_edges), a AS (SELECT i // 4096 AS g, sha256(string_agg(line, chr(10) ORDER BY i)) AS h FROM r GROUP BY 1)
+SELECT CASE WHEN count(*) > 1 THEN sha256(string_agg(h, chr(10) ORDER BY g)) ELSE any_value(h) END AS digest, (SELECT count(*) FROM r) AS n FROM a""",
+)
 def graph_identity(spark: SparkSession, d: str) -> DataFrame:
-    e = supplier_edges(spark, d)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("source", "target"))), lambda x: F.concat_ws(">", x.source, x.target))
-    return e.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    e = supplier_edges(spark, d).withColumn("line", F.concat_ws(">", "source", "target"))
+    return identity.digest(e, ["source", "target"], "line")
+
+
+@query("unitig_members", f"WITH RECURSIVE {graph_sql(K)}, {UNITIGS} SELECT unitig_id, md5(string_agg(node_id, ',' ORDER BY ordinal)) AS members_md5 FROM mapping GROUP BY 1")
+def unitig_members(spark: SparkSession, d: str) -> DataFrame:
+    m = compact(read_graph(spark, d, K)).mapping
+    return identity.members_of(m, m).select("unitig_id", F.md5(F.array_join("members", ",")).alias("members_md5"))
 
 
 # Layouts and learning -------------------------------------------------------
@@ -584,8 +593,8 @@ def gcn_predict(spark: SparkSession, d: str) -> DataFrame:
     return ml.predict_softmax(hidden, ml.fit_softmax(hidden, epochs=10))
 
 
-@query("edge_split")
-def edge_split(spark: SparkSession, d: str) -> DataFrame:
+@query("edit_split")
+def edit_split(spark: SparkSession, d: str) -> DataFrame:
     """The longest unitig cut behind its first member."""
     c = compact(read_graph(spark, d, K))
     longest = c.unitigs.where("size(members) > 1").orderBy(F.desc(F.size("members")), "unitig_id").first()
