@@ -11,6 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+
+from tessera.llm import tokens
+
+# Freed batches go back to the system: a worker outlives its task, and the next one needs the room.
+pa.set_memory_pool(pa.system_memory_pool())
 
 BLOCK_BYTES = 1 << 20
 U64 = np.uint64
@@ -124,11 +130,19 @@ def run_hash(words: np.ndarray) -> np.uint64:
     return shingle_hash(words, len(words))[0]
 
 
+def begin_task() -> None:
+    """Frees what the worker holds from earlier stages."""
+    task = TaskContext.get()
+    if task is not None:
+        tokens.forget(task.stageId())
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Row ranges of the incoming batches with at most about ``size`` bytes of text each.
 
     A null text is the empty one. A single longer document makes a block of its own.
     """
+    begin_task()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -24,8 +24,8 @@ its own key, so this ends, and nothing is dropped on the way.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
-from tessera.llm.scan import POWERS, mix, prefix_hash, record
+from tessera.llm.scan import POWERS, begin_task, mix, prefix_hash, record
 from tessera.llm.suffix_groups import joined, suffix_array
 
 GRAM = 64
@@ -106,6 +106,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
         return record(ROW_ARROW, key=key.view(np.int64), content=content.view(np.int64), doc_id=doc, start=(start + base).astype(np.int32), windows=n.astype(np.int32), reach=reach.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         held, total = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
@@ -215,6 +216,7 @@ def _sorted_out(rows: DataFrame, length: int) -> DataFrame:
         return record(SPAN_ARROW, doc_id=doc, a=a, b=b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         unit, total = [], 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):

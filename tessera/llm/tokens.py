@@ -32,8 +32,8 @@ class Encoder:
 
     A word's ids are computed once and looked up afterwards. That is exact for
     pre-tokenizers that end a word at every space or newline that stands alone
-    between other characters, and between a letter or digit and one comma or
-    full stop at a word's end; ``_kind`` knows two. Texts with other white
+    between other characters, and between a letter or digit and one comma
+    or full stop at a word's end; ``_kind`` knows two. Texts with other white
     space, and other tokenizer files, are encoded whole.
     """
 
@@ -45,6 +45,7 @@ class Encoder:
         self.tool.encode_special_tokens = True
         self.kind = _kind(path)
         self.ids: dict[str, bytes] = {}
+        self.stage = -1
         self.stops = {c: self._whole([c])[0] for c in ",."}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -90,24 +91,35 @@ class Encoder:
             return self._whole([t.decode() for t in texts])
         if self.kind == "lower":  # the file lower-cases anyway; A-Z can go first
             texts = [t.lower() for t in texts]
-        split: list[list[str] | None] = []
-        odd: list[str] = []
+        if len(self.ids) > KEPT_WORDS:
+            self.ids = {}
+        known = self.ids.get
+        out: list[list[bytes | None]] = []
+        lacking: list[tuple[int, list[str], list[int]]] = []  # document, its words, the places of unknown ones
+        odd: list[tuple[int, str]] = []
         new: set[str] = set()
-        for t in texts:
+        for k, t in enumerate(texts):
             t = t.decode()
             if not t or not _even(t):
-                odd.append(t)
-                split.append(None)
+                odd.append((k, t))
+                out.append([])
                 continue
             # a word of the first kind keeps its newline; the text's first word has no space before it
             parts = t.replace("\n", " ").split(" ") if self.kind == "lower" else ("\0" + t.replace("\n", " \n")).split(" ")
-            new.update(parts)
-            split.append(parts)
-        if len(self.ids) > KEPT_WORDS:
-            self.ids = {}
-        self._learn(new - self.ids.keys())
-        rest, of = iter(self._whole(odd)), self.ids.__getitem__
-        return [next(rest) if p is None else b"".join(map(of, p)) for p in split]
+            found = list(map(known, parts))
+            out.append(found)
+            if None in found:
+                at = [i for i, x in enumerate(found) if x is None]
+                lacking.append((k, parts, at))
+                new.update([parts[i] for i in at])
+        self._learn(new)
+        for k, parts, at in lacking:
+            found = out[k]
+            for i in at:
+                found[i] = self.ids[parts[i]]
+        for (k, _), x in zip(odd, self._whole([t for _, t in odd]), strict=True):
+            out[k] = [x]
+        return [b"".join(x) for x in out]
 
 
 def _kind(path: str) -> str | None:
@@ -133,3 +145,10 @@ def encoder(path: str) -> Encoder:
     if path not in _READY:
         _READY[path] = Encoder(path)
     return _READY[path]
+
+
+def forget(stage: int) -> None:
+    """Drops word stores filled in another stage: a worker serves many stages, and later ones need the memory."""
+    for e in _READY.values():
+        if e.stage != stage:
+            e.ids, e.stage = {}, stage
