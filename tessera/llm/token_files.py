@@ -59,25 +59,43 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return words.view("<u4").reshape(-1) & MASKS[size]
 
 
-def frequencies(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """(id, n): how often each id occurs, end ids included; a task sends one row per id that it saw."""
+TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+
+
+def tokens(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """(doc_id, n, ids): ids of each text and the end id, in two bytes each where the text's ids allow it, else in four."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, close = encoder(tokenizer), int(end).to_bytes(4, "little")
+        for batch, texts in text_blocks(batches):
+            ids = [np.frombuffer(x + close, "<u4") for x in tool.encode(texts)]
+            yield record(TOKENS, doc_id=batch.column(0), n=[len(x) for x in ids], ids=[(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in ids])
+
+    return docs.mapInArrow(run, "doc_id long, n long, ids binary")
+
+
+def _wide(n: int, ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
+
+
+def frequencies(coded: DataFrame) -> DataFrame:
+    """(id, n): how often each id occurs; a task sends one row per id that it saw."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, total = encoder(tokenizer), np.zeros(1 << 16, np.int64)
-        for _, texts in text_blocks(batches):
-            n = np.bincount(np.frombuffer(b"".join(tool.encode([t.decode() for t in texts])), "<u4"), minlength=end + 1)
-            n[end] += len(texts)
-            if len(n) > len(total):
-                total = np.pad(total, (0, len(n) - len(total)))
-            total[: len(n)] += n
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                seen = np.bincount(np.concatenate([_wide(n, x) for n, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]))
+                if len(seen) > len(total):
+                    total = np.pad(total, (0, len(seen) - len(total)))
+                total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield record(schema, id=used, n=total[used])
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-CODED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 BLOCK = "shard int, block int, doc_ids array<long>, counts array<long>, control binary, data binary"
 BLOCK_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
@@ -86,28 +104,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     """Codes every row of ``docs`` (doc_id, text) into block files under ``path``, ascending by doc_id.
 
     A null text is the empty one and leaves the end id alone. Rows that repeat a
-    doc_id stay side by side, ordered by their ids' count and code; null doc_ids
+    doc_id stay side by side, ordered by their ids; null doc_ids
     come first. Other columns are ignored. An empty table writes no block.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequencies(docs, tokenizer, end).write.parquet(f"{path}/ranks")
+    # tokenized once; the copy is compressed, since ids are wider than their entropy
+    raw = f"{path}/tokens"
+    tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer, end).write.option("compression", "zstd").parquet(raw)
+    once = spark.read.schema("doc_id long, n long, ids binary").parquet(raw)
+    frequencies(once).write.parquet(f"{path}/ranks")
     rank = spark.sparkContext.broadcast(_ranks(spark, path)[0])
 
-    def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, close = encoder(tokenizer), int(end).to_bytes(4, "little")
-        for batch, texts in text_blocks(batches):
-            ids = [np.frombuffer(x + close, "<u4") for x in tool.encode([t.decode() for t in texts])]
-            streams = [code(rank.value[x]) for x in ids]
-            yield record(CODED, doc_id=batch.column(0), n=[len(x) for x in ids], control=[c for c, _ in streams], data=[d for _, d in streams])
-
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         total = 0
 
         def close() -> pa.RecordBatch:
-            control, data = code(np.concatenate([decode(c, d, n) for _, n, c, d in held]))
+            control, data = code(np.concatenate([rank.value[_wide(n, ids)] for _, n, ids in held]))
             return record(BLOCK_ARROW, shard=[shard], block=[block], doc_ids=[[h[0] for h in held]], counts=[[h[1] for h in held]], control=[control], data=[data])
 
         for batch in batches:
@@ -120,9 +134,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
         if held:
             yield close()
 
-    coded = docs.mapInArrow(to_codes, "doc_id long, n long, control binary, data binary")
+    # dealt as it was read, so that the sampling of doc_ids runs no Python
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = coded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "data")
+    dealt = once.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
     dealt.mapInArrow(to_blocks, BLOCK).write.parquet(f"{path}/blocks")
 
 
