@@ -42,6 +42,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_round(df: DataFrame, name: str = "round") -> DataFrame:
+    """:func:`cut` for a round that keeps part of the table before it: no more files than shuffle partitions.
+
+    Without the bound every round would add its files to those it copies.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.coalesce(n), name)
+
+
 def drop(df: DataFrame) -> None:
     """Removes the files behind a table made by :func:`cut`; it must not be read again."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.cut import cut
+from tessera.cut import cut, cut_round
 from tessera.errors import ContractError
 from tessera.functions import seq
 from tessera.operators.build import Graph
@@ -45,7 +45,7 @@ def _walk(state: DataFrame) -> tuple[DataFrame, int]:
     while left:
         hop = state.select(F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("dist").alias("more"), F.col("done").alias("end"))
         open_ = state.where("not done").join(hop, "jump").select("node", F.col("far").alias("jump"), (F.col("dist") + F.col("more")).alias("dist"), F.col("end").alias("done"))
-        state = cut(state.where("done").unionByName(open_), "walk")
+        state = cut_round(state.where("done").unionByName(open_), "walk")
         now = state.where("not done").count()
         if now == left:
             break
@@ -66,7 +66,7 @@ def _cycle_minimum(ring: DataFrame, n: int) -> DataFrame:
 
 def compact(graph: Graph) -> Compacted:
     """Unitigs of the graph with a lossless mapping to its nodes and edges."""
-    nodes, edges = graph.nodes, graph.edges
+    nodes, edges = cut(graph.nodes, "nodes"), cut(graph.edges, "edges")
     bad = edges.where("coalesce(orientation, '++') = '++' and overlap is not null").join(nodes.select(F.col("node_id").alias("source"), F.col("sequence").alias("_l")), "source").join(nodes.select(F.col("node_id").alias("target"), F.col("sequence").alias("_r")), "target")
     wrong = [r["edge_id"] for r in bad.where(~seq.overlaps(F.col("_l"), F.col("_r"), F.col("overlap"))).orderBy("edge_id").select("edge_id").limit(20).collect()]
     if wrong:
@@ -86,7 +86,7 @@ def compact(graph: Graph) -> Compacted:
         again = opened.select("node", F.when(F.col("root").isNotNull(), F.col("node")).otherwise(F.col("prev")).alias("jump"), F.when(F.col("root").isNotNull(), 0).otherwise(1).alias("dist"), F.col("root").isNotNull().alias("done"))
         state, _ = _walk(cut(again, "start"))
         placed = placed.unionByName(state.select("node", F.col("jump").alias("head"), F.col("dist").alias("ordinal")))
-    placed = cut(placed, "placed")
+    placed = cut_round(placed, "placed")
     heads = ranked(placed.where("ordinal = 0").select("head"), ["head"]).select("head", numbered("u", "rank").alias("unitig_id"))
     mapping = placed.join(heads, "head").join(nodes.select(F.col("node_id").alias("node"), F.length("sequence").alias("length")), "node")
     mapping = cut(mapping.select(F.col("node").alias("node_id"), "unitig_id", "ordinal", "length"), "mapping")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.cut import cut
+from tessera.cut import cut, cut_round
 from tessera.errors import ContractError
 
 
@@ -79,7 +79,7 @@ def rank_rollup(taxonomy: DataFrame, target: str, limit: int = 64) -> DataFrame:
     while span < limit and state.where("ancestor is null and up is not null").limit(1).count():
         above = state.select(F.col("taxon_id").alias("up"), F.col("ancestor").alias("_a"), F.col("up").alias("_u"))
         climbed = state.where("ancestor is null and up is not null").join(above, "up", "left").select("taxon_id", F.col("_a").alias("ancestor"), F.col("_u").alias("up"))
-        state = cut(state.where("ancestor is not null or up is null").unionByName(climbed), "lineage")
+        state = cut_round(state.where("ancestor is not null or up is null").unionByName(climbed), "lineage")
         span *= 2
     return state.select("taxon_id", "ancestor")
 
