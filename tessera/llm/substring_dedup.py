@@ -94,7 +94,17 @@ def runs(buf: bytes, piece_start: np.ndarray, piece_end: np.ndarray, length: int
     return start, n, grams[where], content, where - start
 
 
+FIRST = ROW + ", weight int, others array<struct<doc_id:long,start:int>>"
+PLACE = pa.struct([("doc_id", pa.int64()), ("start", pa.int32())])
+FIRST_ARROW = pa.schema([*ROW_ARROW, ("weight", pa.int32()), ("others", pa.list_(PLACE))])
+
+
 def anchors(docs: DataFrame, length: int) -> DataFrame:
+    """(key, content, doc_id, start, windows, reach, weight, others): runs of windows by anchor.
+
+    Equal runs of one slice of the scan come as one row with the places of the
+    others, so a line or document that is everywhere gives a row for each slice.
+    """
     def scan(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         sizes = np.fromiter((len(p[2]) for p in pieces), np.int64, len(pieces))
         end = np.cumsum(sizes)
@@ -103,7 +113,18 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
         of = np.searchsorted(end, start, "right")
         doc = np.array([p[0] for p in pieces])[of]
         base = np.array([p[1] for p in pieces])[of] - begin[of]
-        return record(ROW_ARROW, key=key.view(np.int64), content=content.view(np.int64), doc_id=doc, start=(start + base).astype(np.int32), windows=n.astype(np.int32), reach=reach.astype(np.int32))
+        start = (start + base).astype(np.int32)
+        _, first, kind, weight = np.unique(mix(key) + content, return_index=True, return_inverse=True, return_counts=True)
+        others: list[list | None] = [None] * len(first)
+        for i in np.flatnonzero(weight[kind] > 1):
+            k = kind[i]
+            if first[k] != i:
+                others[k] = others[k] or []
+                others[k].append({"doc_id": int(doc[i]), "start": int(start[i])})
+        return record(
+            FIRST_ARROW, key=key[first].view(np.int64), content=content[first].view(np.int64), doc_id=doc[first], start=start[first],
+            windows=n[first].astype(np.int32), reach=reach[first].astype(np.int32), weight=weight.astype(np.int32), others=others,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
@@ -123,7 +144,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield scan(held)
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(run, FIRST)
 
 
 def _judged(rows: DataFrame, name: str) -> DataFrame:
@@ -143,14 +164,19 @@ def _judged(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _found(judged: DataFrame, length: int) -> DataFrame:
-    """Spans of the rows whose whole content is repeated; heavier rows have given theirs in an earlier round."""
-    return judged.where("copies > 1 and weight = 1").selectExpr("doc_id", "start as a", f"start + windows - 1 + {length} as b")
+    """Spans of the rows whose whole content is repeated; in later rounds heavier rows have given theirs already."""
+    span = f"start + windows - 1 + {length} as b"
+    if "others" not in judged.columns:
+        return judged.where("copies > 1 and weight = 1").selectExpr("doc_id", "start as a", span)
+    rows = judged.where("copies > 1")
+    more = rows.where("others is not null").select("windows", F.explode("others").alias("o")).selectExpr("o.doc_id", "o.start", "windows")
+    return rows.selectExpr("doc_id", "start as a", span).unionByName(more.selectExpr("doc_id", "start as a", span))
 
 
 def _open(judged: DataFrame) -> DataFrame:
     """One row for each content of the keys that hold several, with the number of contents."""
     one = judged.where("lo <> hi and nth = 1")
-    return one.drop("lo", "hi", "nth").withColumn("members", F.expr("count(*) over (partition by key)"))
+    return one.drop("lo", "hi", "nth", "others").withColumn("members", F.expr("count(*) over (partition by key)"))
 
 
 def _with_bytes(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -260,7 +286,7 @@ def _shorten(rows: DataFrame, length: int, step: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, a, b): byte spans, possibly overlapping, that together cover exactly the repeated strings."""
-    judged = _judged(anchors(docs, length).withColumn("weight", F.lit(1)), "anchors")
+    judged = _judged(anchors(docs, length), "anchors")
     spans = [_found(judged, length)]
     rows = cut(_with_bytes(_open(judged), docs, length).withColumn("members", F.expr("count(*) over (partition by key)")), "contents")
     for step in STEPS:
