@@ -59,3 +59,20 @@ def most_frequent(rows: DataFrame) -> DataFrame:
     """(group, value): the most frequent value, the smallest of equals, for rows (group, value)."""
     n = rows.groupBy("group", "value").agg(F.count("*").alias("n"))
     return n.groupBy("group").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
+
+
+def transfer(rows: DataFrame, key: str, columns: list[str], targets: DataFrame) -> DataFrame:
+    """(id, feature, value): declared columns of original rows as a long layer for the elements of a compacted graph.
+
+    ``targets`` (id) must name exactly the rows' keys, and no cell may be blank.
+    """
+    lost = rows.select(F.col(key).alias("id")).join(targets, "id", "left_anti").agg(F.min("id")).first()[0]
+    extra = targets.join(rows.select(F.col(key).alias("id")), "id", "left_anti").agg(F.min("id")).first()[0]
+    errors = ([f"{lost} is not in the compacted graph"] if lost is not None else []) + ([f"{extra} has no row"] if extra is not None else [])
+    long = rows.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])).alias("v")).select("id", "v.*")
+    blank = long.where("value is null or trim(value) = ''").agg(F.min(F.struct("id", "feature"))).first()[0]
+    if blank is not None:
+        errors.append(f"blank cell {blank['feature']} of {blank['id']}")
+    if errors:
+        raise ContractError(errors)
+    return long

@@ -151,3 +151,19 @@ def facet_frames(elements: DataFrame, dictionary: DataFrame, facet: str, shown:
     value = has.where(F.col("namespace") == shown).groupBy("id").agg(reduce.alias("value"))
     inside = has.where(F.col("namespace") == facet).select("id", F.col("value").alias("level")).distinct().join(value, "id", "left")
     return elements.select("id").crossJoin(F.broadcast(levels)).join(inside, ["id", "level"], "left").select("level", "id", "value")
+
+
+def paint(elements: DataFrame, values: DataFrame, dictionary: DataFrame, namespace: str, operation: str = "merge") -> tuple[DataFrame, DataFrame]:
+    """Elements (id, color_ids) coloured with new colours of ``namespace``, and the longer dictionary.
+
+    values (id, value, pos) gives each element its values; colours are numbered
+    on from the dictionary's largest id in order of first appearance. They are
+    always new, even where the dictionary has the same value, so intersect
+    empties painted elements and subtract leaves them. Replace starts a new
+    dictionary from 0.
+    """
+    start = 0 if operation == "replace" else dictionary.agg(F.coalesce(F.max("color_id"), F.lit(-1))).first()[0] + 1
+    named = fresh_ids(values.select("value", F.lit(0).alias("phase"), "pos"), start)
+    given = values.join(named, "value").groupBy("id").agg(F.array_sort(F.collect_set("color_id")).alias("colors"))
+    new = named.select("color_id", F.lit(namespace).alias("namespace"), "value")
+    return apply_colours(elements, given, "id", operation), new if operation == "replace" else dictionary.unionByName(new)
