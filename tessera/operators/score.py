@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.cut import cut, cut_round
 from tessera.errors import ContractError
+from tessera.operators.ids import ranked
 
 
 def n50(lengths: DataFrame) -> DataFrame:
@@ -94,16 +95,16 @@ def largest_remainder(weights: DataFrame, total: int) -> DataFrame:
     """(id, n): ``total`` dealt in proportion to weights; what is left goes to the largest fractions, then smallest ids."""
     w = weights.crossJoin(F.broadcast(weights.agg(F.sum("weight").alias("_all")))).select("id", (F.col("weight") * total / F.col("_all")).alias("q"))
     w = w.select("id", F.floor("q").alias("base"), (F.col("q") - F.floor("q")).alias("frac"))
-    ranked = w.withColumn("r", F.row_number().over(Window.orderBy(F.desc("frac"), "id")))  # one row for each taxon
+    order = w.withColumn("r", F.row_number().over(Window.orderBy(F.desc("frac"), "id")))  # one row for each taxon
     left = w.agg((F.lit(total) - F.sum("base")).alias("_left"))
-    return ranked.crossJoin(F.broadcast(left)).select("id", (F.col("base") + (F.col("r") <= F.col("_left")).cast("long")).alias("n"))
+    return order.crossJoin(F.broadcast(left)).select("id", (F.col("base") + (F.col("r") <= F.col("_left")).cast("long")).alias("n"))
 
 
 def halves(pairs: DataFrame) -> DataFrame:
     """The rows of every other pair, by first position (pairs: pair_id, pos, ...)."""
     first = pairs.groupBy("pair_id").agg(F.min("pos").alias("_first"))
-    ranked = first.withColumn("_r", F.dense_rank().over(Window.orderBy("_first")))  # one row for each pair
-    return pairs.join(ranked.where("_r % 2 = 1").select("pair_id"), "pair_id", "left_semi")
+    places = ranked(first.select("_first").distinct(), ["_first"], "_r").where("_r % 2 = 1")
+    return pairs.join(first.join(places, "_first").select("pair_id"), "pair_id", "left_semi")
 
 
 def top_threshold(scores: DataFrame) -> DataFrame:

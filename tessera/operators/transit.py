@@ -7,9 +7,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cut import cut
 from tessera.errors import ContractError
 from tessera.functions import seq
 from tessera.operators.components import connected_components
+from tessera.operators.ids import ranked
 
 
 def cluster_stops(places: DataFrame, metres: float) -> DataFrame:
@@ -53,8 +55,8 @@ def repeat_junction_sequences(nodes: DataFrame, edges: DataFrame, k: int) -> Dat
     ends = nodes.select(F.explode(F.array(F.concat(F.lit("p:"), "node"), F.concat(F.lit("s:"), "node"))).alias("j"))
     glue = edges.select(F.concat(F.lit("s:"), "source").alias("src"), F.concat(F.lit("p:"), "target").alias("dst"))
     root = connected_components(glue)
-    named = ends.join(root, ends.j == root.node, "left").select("j", F.coalesce("component", "j").alias("root"))
-    classes = named.select("root").distinct().selectExpr("root", "row_number() over (order by root) - 1 as number")
+    named = cut(ends.join(root, ends.j == root.node, "left").select("j", F.coalesce("component", "j").alias("root")), "junctions")
+    classes = cut(ranked(named.select("root").distinct(), ["root"], "number").withColumn("number", F.col("number") - 1), "classes")
     if classes.count() > 4 ** (k - 1):
         raise ContractError([f"too many junctions for k={k}"])
     block = named.join(classes, "root").select("j", seq.base4(F.col("number"), k - 1).alias("block"))
