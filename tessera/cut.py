@@ -49,12 +49,3 @@ def cut_round(df: DataFrame, name: str = "round") -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.coalesce(n), name)
-
-
-def drop(df: DataFrame) -> None:
-    """Removes the files behind a table made by :func:`cut`; it must not be read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
