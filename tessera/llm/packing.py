@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
-from tessera.llm.scan import record, text_blocks
+from tessera.llm.scan import record, small_batches, text_blocks
 from tessera.llm.tokens import END, encoder
 
 Pattern = tuple[tuple[int, int], ...]
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
     between pieces of one length are settled by their place in the scan.
     """
     spark = docs.sparkSession
-    cutting = cut(pieces(docs, tokenizer, capacity), "pieces")
+    cutting = cut(pieces(small_batches(docs), tokenizer, capacity), "pieces")
     per_part = cutting.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part")
     ranks = cut(per_part.withColumn("upto", F.sum("n").over(before)), "ranks")

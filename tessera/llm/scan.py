@@ -7,17 +7,22 @@ one document to the next, and all per-byte work is numpy.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 from tessera.llm import tokens
 
 # Freed batches go back to the system: a worker outlives its task, and the next one needs the room.
 pa.set_memory_pool(pa.system_memory_pool())
 
+#: glibc's malloc_trim, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -131,10 +136,20 @@ def run_hash(words: np.ndarray) -> np.uint64:
 
 
 def begin_task() -> None:
-    """Frees what the worker holds from earlier stages."""
+    """Frees what the worker holds from earlier stages and gives freed memory back to the system."""
     task = TaskContext.get()
     if task is not None:
         tokens.forget(task.stageId())
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches: whole texts are wide rows, and several batches are held at once."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -159,6 +174,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int
                 total += len(t) + 1
             yield batch.slice(at, len(texts)), texts
             at += len(texts)
+    begin_task()
 
 
 def record(schema: pa.Schema, **cols) -> pa.RecordBatch:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
-from tessera.llm.scan import POWERS, begin_task, mix, prefix_hash, record
+from tessera.llm.scan import POWERS, begin_task, mix, prefix_hash, record, small_batches
 from tessera.llm.suffix_groups import joined, suffix_array
 
 GRAM = 64
@@ -317,7 +317,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, with_text: bool = False
     lose what they share. Rows without a doc_id are known by their text and come
     out with a null. Other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.selectExpr("cast(doc_id as long) as own_id", "coalesce(cast(doc_id as long), xxhash64(text)) as doc_id", "text")
+    docs = small_batches(docs).selectExpr("cast(doc_id as long) as own_id", "coalesce(cast(doc_id as long), xxhash64(text)) as doc_id", "text")
     texts = docs.select("doc_id", "text")
     spans = repeated_spans(texts, length).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if with_text else [])])

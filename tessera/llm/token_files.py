@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.cut import shared_dir
-from tessera.llm.scan import record, text_blocks
+from tessera.llm.scan import record, small_batches, text_blocks
 from tessera.llm.tokens import END, encoder
 
 #: Ids of a block, beyond which it takes no further document.
@@ -107,7 +107,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     doc_id stay side by side, ordered by their ids; null doc_ids
     come first. Other columns are ignored. An empty table writes no block.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     # tokenized once; the copy is compressed, since ids are wider than their entropy
     raw = f"{path}/tokens"
     tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer, end).write.option("compression", "zstd").parquet(raw)
