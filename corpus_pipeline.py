@@ -6,32 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
-from tessera.llm.decontaminate import decontaminate
+from tessera.llm.decontaminate import without_benchmark
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import dedup_substrings
-from tessera.llm.toxicity import classify, fit
+from tessera.llm.toxicity import accepted, fit
 
 #: No SQL expresses the trained classifier or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept`` (doc_id)."""
-    named = kept.select(F.col("doc_id").alias("_kept"))
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose score reaches their language's threshold; the classifier learns from ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs, labels, F.lit(True))
-    return _keep(docs, classify(docs, model).where("not rejected"))
+    return accepted(docs, fit(docs, labels, F.lit(True)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the smallest doc_id."""
-    return _keep(docs, near_duplicates(docs).where("kept"))
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +39,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _keep(docs, decontaminate(docs, items).where("not contaminated"))
+    return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

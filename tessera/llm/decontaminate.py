@@ -17,17 +17,17 @@ benchmark is, and the documents are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
-from tessera.llm.scan import ALNUM, Block, record, shingle_hash, text_blocks
+from tessera.llm.scan import ALNUM, Block, record, shingle_hash, small_batches, text_blocks
 
 SHINGLE = 4
 #: Windows broadcast at a time, at some 100 bytes each.
@@ -169,20 +169,41 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     repeated items are judged as they stand (an item_id counts once). Other
     columns are ignored. No items, or no documents, give no hits, or no rows.
     """
-    spark = docs.sparkSession
-    windows = item_windows(items, window).groupBy("window", "keys").agg(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("items"))
+    parts = [_scan(docs, w) for w in _window_blocks(docs, items, window)]
+    found = parts[0] if len(parts) == 1 else _merged(parts)
+    return found.mapInArrow(_summary, RESULT)
+
+
+def without_benchmark(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item window occurs: passes over the table and no shuffle."""
+    names = docs.columns
+    for windows in _window_blocks(docs, items, window):
+        held = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            for batch, texts in text_blocks(batches):
+                block = Block(texts, ALNUM, lower=True)
+                start, _, _ = held.value.occurrences(block)
+                hit = np.zeros(len(texts), bool)
+                hit[np.searchsorted(block.first, start, "right") - 1] = True
+                yield batch.filter(pa.array(~hit))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs.select(*names)
+
+
+def _window_blocks(docs: DataFrame, items: DataFrame, window: int) -> Iterator[Windows]:
+    """The items' windows, at most about BLOCK_WINDOWS at a time, with prefixes chosen by counts over ``docs``."""
+    windows = item_windows(small_batches(items), window).groupBy("window", "keys").agg(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("items"))
     windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(1 << 20))), "windows")
     blocks = max(1, -(-windows.count() // (BLOCK_WINDOWS // 2)))
-    parts = []
     for k in range(blocks):
-        rows = windows.where(F.col("block") % blocks == k).orderBy("window").collect()  # at most about BLOCK_WINDOWS
+        rows = windows.where(F.col("block") % blocks == k).orderBy("window").collect()
         keys = [np.array(r["keys"], np.int64) for r in rows]
         flat = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
         sizes = sorted({min(SHINGLE, r["window"].count(" ") + 1) for r in rows})
         counts = {r["key"]: r["n"] for r in shingle_counts(docs, flat, sizes).collect()} if rows else {}
-        parts.append(_scan(docs, Windows([r["window"].encode() for r in rows], [r["items"] for r in rows], keys, counts)))
-    found = parts[0] if blocks == 1 else _merged(parts)
-    return found.mapInArrow(_summary, RESULT)
+        yield Windows([r["window"].encode() for r in rows], [r["items"] for r in rows], keys, counts)
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import remainder, training_labels
-from tessera.llm.scan import record, text_blocks
+from tessera.llm.scan import record, small_batches, text_blocks
 from tessera.llm.stats import FEATURES, Stats
 
 BINS = 64
@@ -102,8 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_RO
             x = Stats(texts).features()
             yield record(schema, doc_id=batch.column(0), y=batch.column(1), weight=batch.column(2), x=[v.tobytes() for v in x])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = own.join(training_labels(labels, "quality", learn, rows), "doc_id").select("doc_id", "y", "weight", "text")
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = own.join(F.broadcast(training_labels(labels, "quality", learn, rows)), "doc_id").select("doc_id", "y", "weight", "text")
     got = sorted(sample.mapInArrow(run, "doc_id long, y int, weight double, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, FEATURES)
     return grow(x, np.array([r["y"] for r in got]), np.array([r["weight"] for r in got], float))

@@ -49,3 +49,13 @@ def test_no_items(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in dc.decontaminate(odd, none).collect())
     assert dc.decontaminate(empty, none).count() == 0
+
+
+@pytest.mark.parametrize("block", [200_000, 2])
+def test_filter_agrees_with_the_verdicts(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(dc, "BLOCK_WINDOWS", block)
+    items = spark.createDataFrame([(1, "w1 w2 w3"), (2, "one"), (3, "nothing like it")], "item_id long, text string")
+    bad = {r["doc_id"] for r in dc.decontaminate(odd, items).where("contaminated").collect()}
+    left = dc.without_benchmark(odd, items)
+    assert left.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(r["doc_id"]) for r in odd.collect() if r["doc_id"] not in bad)
