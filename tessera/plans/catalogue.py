@@ -12,6 +12,7 @@ from tessera.operators import annotate, build, colour, edits, identity, ml, scor
 from tessera.operators.compact import compact, expand
 from tessera.operators.components import connected_components
 from tessera.operators.ids import ranked
+from tessera.operators.proposals import apply_proposal
 from tessera.plans import Registry, table
 from tessera.plans.views import DOC_SEQS, HOPS, READS, TAXONOMY, UNITIGS, doc_seqs, graph_sql, hops, kmers_sql, rc_sql, read_graph, reads, supplier_edges, taxonomy
 
@@ -600,3 +601,18 @@ def edit_split(spark: SparkSession, d: str) -> DataFrame:
     longest = c.unitigs.where("size(members) > 1").orderBy(F.desc(F.size("members")), "unitig_id").first()
     out = edits.split_unitig(c, longest["unitig_id"], 0, "p", "x") if longest else c
     return out.unitigs.select("unitig_id", F.length("sequence").alias("length"), F.size("members").alias("n_members"))
+
+
+@query(
+    "edit_batch",
+    f"""WITH RECURSIVE {graph_sql(K)}, {UNITIGS}, u AS (SELECT unitig_id, count(*) AS n FROM mapping GROUP BY 1)
+SELECT unitig_id, {K} + n - 1 AS length, n AS n_members FROM u WHERE n < 3
+UNION ALL SELECT 'u_p_' || unitig_id || '_a', {K}, 1 FROM u WHERE n >= 3
+UNION ALL SELECT 'u_p_' || unitig_id || '_b', {K} + n - 2, n - 1 FROM u WHERE n >= 3""",
+)
+def edit_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every unitig of three or more members cut behind its first, in one batch."""
+    c = compact(read_graph(spark, d, K))
+    batch = c.unitigs.where("size(members) >= 3").selectExpr("unitig_id as edit_id", "'split' as kind", "unitig_id", "cast(null as string) as other", "cast(null as string) as link_id", "0 as cut_after", "cast(null as string) as orientation", "cast(null as int) as overlap")
+    out = apply_proposal(c, batch, "p", "reads").graph
+    return out.unitigs.select("unitig_id", F.length("sequence").cast("long").alias("length"), F.size("members").cast("long").alias("n_members"))
