@@ -4,13 +4,15 @@ The language model is modified Kneser-Ney over the bytes of words: a word is
 its lower-cased bytes between two spaces, and its n-grams never reach beyond
 it. (Word n-grams are no choice here: their table cannot be broadcast, and
 looking it up by a join shuffles every word of every document, several times
-the input; the n-grams of words fit a bounded table and still follow the
-corpus.) Spark counts the highest order over all documents, derives the lower
-orders' continuation counts, discounts and back-off weights by grouping, and
-the probabilities end up in arrays sorted by hash that scoring searches.
-
-``MAX_GRAMS`` bounds an order's table: beyond it the rarest n-grams are left
-out of that order and their mass goes to the order below.
+the input; the n-grams of words are few and still follow the corpus.) Spark
+counts the highest order over all documents, derives the lower orders'
+continuation counts, discounts and back-off weights by grouping, all over
+every n-gram.
+
+The documents that are scored are those that were counted, so each n-gram in
+them has a probability of its own, and scoring looks that up. The table of
+probabilities goes out in shards of about ``SHARD_GRAMS`` n-grams, with a pass
+over the documents for each, and the passes' sums are added.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from tessera.llm.scan import LOWER, mix, record, small_batches, text_blocks
 from tessera.llm.stats import Stats
 
 ORDER = 5
-#: N-grams of an order in the broadcast table, 12 bytes each.
-MAX_GRAMS = 1_000_000
+#: N-grams in a broadcast shard, 12 bytes each.
+SHARD_GRAMS = 4_000_000
 #: Larger blocks share more words, each of which is scored once a block.
 BLOCK = 1 << 21
 #: Quartile ranges outside the middle half that a document's log-perplexity may lie.
@@ -146,48 +148,80 @@ def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == key, at
 
 
-def kneser_ney(raw: DataFrame) -> KneserNey:
-    """The model of the counts; tables of at most MAX_GRAMS rows for each order come to the driver."""
-    model = KneserNey(*([np.zeros(0)] * (ORDER + 1) for _ in range(4)))
+def tables(raw: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1 on, (key, p) of all its n-grams and (context, gamma) of all its contexts, as written tables."""
     upper = None
-    tables = {}
+    grams_of = {}
     for n in range(ORDER, 0, -1):
         c = raw.where(F.col("order") == n).select("key", "c")
         if upper is not None:  # how many different bytes precede; word beginnings keep their counts
             low = (1 << (8 * n)) - 1
             c = c.unionByName(upper.select(F.col("key").bitwiseAND(F.lit(low)).alias("key")).groupBy("key").agg(F.count("*").alias("c")))
             c = c.groupBy("key").agg(F.sum("c").alias("c"))
-        tables[n] = upper = cut(c.withColumn("context", F.shiftright("key", 8)), f"grams{n}")
-    lower = None
+        grams_of[n] = upper = cut(c.withColumn("context", F.shiftright("key", 8)), f"grams{n}")
+    out = []
     for n in range(1, ORDER + 1):
-        t = tables[n]
-        t = t.join(_least_count(t), F.col("c") >= F.col("_least")).drop("_least") if t.count() > MAX_GRAMS else t
+        t = grams_of[n]
         of = {r["k"]: r["n"] for r in t.where("c <= 4").groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n")).collect()}
         d = _discounts(of)
         own = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        whole = tables[n].groupBy("context").agg(F.sum("c").alias("total"))
-        kept = t.withColumn("left", F.greatest(F.col("c") - own, F.lit(0.0)))
-        given = kept.groupBy("context").agg(F.sum("left").alias("given")).join(whole, "context").withColumn("gamma", F.greatest(1 - F.col("given") / F.col("total"), F.lit(1e-9)))
-        p = kept.join(given.select("context", "total", "gamma"), "context")
-        if lower is None:
+        t = t.withColumn("left", F.greatest(F.col("c") - own, F.lit(0.0)))
+        given = t.groupBy("context").agg(F.sum("left").alias("given"), F.sum("c").alias("total"))
+        given = cut(given.withColumn("gamma", F.greatest(1 - F.col("given") / F.col("total"), F.lit(1e-9))), f"contexts{n}")
+        p = t.join(given.select("context", "total", "gamma"), "context")
+        if not out:
             p = p.withColumn("p", F.col("left") / F.col("total") + F.col("gamma") / 256)
         else:
             low = (1 << (8 * (n - 1))) - 1
-            p = p.withColumn("suffix", F.col("key").bitwiseAND(F.lit(low))).join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix", "left")
+            p = p.withColumn("suffix", F.col("key").bitwiseAND(F.lit(low))).join(out[-1][0].select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix", "left")
             p = p.withColumn("p", F.col("left") / F.col("total") + F.col("gamma") * F.coalesce("q", F.lit(1e-7)))
-        lower = cut(p.select("key", "p"), f"p{n}")
-        model.gram[n], model.logp[n] = _arrays(lower.toArrow(), n)
-        model.context[n], model.backoff[n] = _arrays(given.select("context", "gamma").toArrow(), n)
+        out.append((cut(p.select("key", "p"), f"p{n}"), given.select("context", "gamma")))
+    return out
+
+
+def kneser_ney(raw: DataFrame) -> KneserNey:
+    """The whole model in the driver's memory, for texts that were not counted; quality_rules does not gather it."""
+    model = KneserNey(*([np.zeros(0)] * (ORDER + 1) for _ in range(4)))
+    for n, (p, given) in enumerate(tables(raw), 1):
+        model.gram[n], model.logp[n] = _arrays(p.toArrow(), n)
+        model.context[n], model.backoff[n] = _arrays(given.toArrow(), n)
         if n == 1 and len(model.backoff[1]):
             model.backoff[1] = model.backoff[1] - np.float32(np.log(256))
     return model
 
 
-def _least_count(t: DataFrame) -> DataFrame:
-    """The smallest count with which at most MAX_GRAMS n-grams of the order stay."""
-    n = t.groupBy("c").agg(F.count("*").alias("n"))
-    above = n.selectExpr("c", "sum(n) over (order by c desc) as upto")  # one row for each count
-    return above.where(F.col("upto") <= MAX_GRAMS).agg(F.coalesce(F.min("c"), F.lit(2**62)).alias("_least"))
+def probabilities(raw: DataFrame) -> DataFrame:
+    """(gram, p) of every n-gram that ``counts`` finds; ``gram`` has the order above the bytes."""
+    of = [p.select(F.lit(n).alias("order"), "key", "p") for n, (p, _) in enumerate(tables(raw), 1) if n > 1]
+    every = of[0]
+    for p in of[1:]:
+        every = every.unionByName(p)
+    begins = F.expr(f"order = {ORDER} or shiftright(key, 8 * (order - 1)) = {SPACE}")  # shorter ones begin a word
+    return every.where(begins).select(F.col("key").bitwiseOR(F.shiftleft(F.col("order").cast("long"), 56)).alias("gram"), "p")
+
+
+@dataclass
+class Shard:
+    """Log-probabilities of some n-grams, in arrays sorted by n-gram."""
+
+    gram: np.ndarray
+    logp: np.ndarray
+
+    def score(self, key: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Log-probability of the last byte of each n-gram of this shard, 0 for those of other shards."""
+        hit, at = _find(self.gram, key | (order.astype(np.uint64) << U64(56)))
+        return np.where(hit, self.logp[at] if len(self.gram) else 0.0, 0.0)
+
+
+def shards(raw: DataFrame) -> Iterator[tuple[int, int, Shard]]:
+    """(number, how many in all, shard): the n-grams of a shard are those of a range of hashes, about SHARD_GRAMS."""
+    every = cut(probabilities(raw), "probabilities")
+    n = max(1, -(-every.count() // SHARD_GRAMS))
+    for k in range(n):
+        t = every.where(F.pmod(F.xxhash64("gram"), F.lit(n)) == k).toArrow()
+        gram = t.column(0).to_numpy().astype(np.int64).view(np.uint64)
+        by = np.argsort(gram)
+        yield k, n, Shard(gram[by], np.log(t.column(1).to_numpy()[by]).astype(np.float32))
 
 
 def _discounts(of: dict[int, int]) -> tuple[float, float, float]:
@@ -205,19 +239,20 @@ def _arrays(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[by], np.log(table.column(1).to_numpy()[by]).astype(np.float32)
 
 
-RULES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-RULES_ARROW = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("log_perplexity", pa.float64())])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored")
+RULES = "row long, doc_id long, lang string, " + ", ".join(f"{f} long" for f in COUNTS) + ", logp double"
+RULES_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in COUNTS), ("logp", pa.float64())])
 
 
-def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """Counts of the rules and the mean negative log-probability of a byte, null without words."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def measure(docs: DataFrame, shard: Shard) -> DataFrame:
+    """For rows (row, doc_id, lang, text) the counts of the rules, how many bytes are scored, and the sum of what ``shard`` knows of their log-probabilities."""
+    held = docs.sparkSession.sparkContext.broadcast(shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches, size=BLOCK):
             s = Stats(texts)
             n = len(texts)
-            total, size = np.zeros(n), np.zeros(n)
+            total, size = np.zeros(n), np.zeros(n, np.int64)
             if len(s.word_hash):
                 place, which, _ = word_types(s)
                 text, first = padded_words(s, place)
@@ -227,12 +262,30 @@ def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
                 logp[ok] = held.value.score(key[ok], order[ok])
                 of_type = np.add.reduceat(logp, first[:-1])
                 total = np.bincount(s.word_doc, of_type[which], n)
-                size = np.bincount(s.word_doc, (np.diff(first) - 1)[which], n)
-            mean = pa.array(-total / np.maximum(size, 1), pa.float64(), mask=size == 0)
-            yield record(RULES_ARROW, doc_id=batch.column(0), lang=batch.column(1), n_words=s.n_words, word_chars=s.word_chars, n_symbols=s.n_symbols, n_dup_lines=s.n_dup_lines, n_repeat_words=s.n_repeat_words, log_perplexity=mean)
+                size = np.bincount(s.word_doc, (np.diff(first) - 1)[which], n).astype(np.int64)
+            yield record(RULES_ARROW, row=batch.column(0), doc_id=batch.column(1), lang=batch.column(2), n_words=s.n_words, word_chars=s.word_chars, n_symbols=s.n_symbols, n_dup_lines=s.n_dup_lines, n_repeat_words=s.n_repeat_words, n_scored=size, logp=total)
+
+    return docs.mapInArrow(run, RULES)
 
+
+def measured(docs: DataFrame) -> DataFrame:
+    """The counts of the rules for every row of ``docs`` and the mean negative log-probability of a byte, null without words."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text").mapInArrow(run, RULES)
+    own = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
+    rows, sums = None, []
+    for k, n, shard in shards(cut(counts(docs), "counts")):
+        if k == 0 and n > 1:  # the passes' sums meet by row
+            own = cut(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        if k == 0:
+            rows = cut(measure(own, shard), "measured")
+        else:
+            sums.append(cut(measure(own, shard).select("row", "logp"), "measured"))
+    if sums:
+        every = rows.select("row", "logp")
+        for s in sums:
+            every = every.unionByName(s)
+        rows = cut(rows.drop("logp").join(every.groupBy("row").agg(F.sum("logp").alias("logp")), "row"), "summed")
+    return rows.withColumn("log_perplexity", F.expr("case when n_scored > 0 then -logp / n_scored end")).drop("row", "n_scored", "logp")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -247,7 +300,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     language of their own. Repeated rows are counted as often as they occur;
     null doc_ids are judged like others; an empty table gives no rows.
     """
-    rows = cut(measure(docs, kneser_ney(cut(counts(docs), "counts"))), "measured")
+    rows = measured(docs)
     rows = rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     quarter = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
     band = rows.where("not base_failed").groupBy(F.col("lang").alias("_lang")).agg(quarter.alias("q"))

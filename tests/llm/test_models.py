@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.cut import cut
 from tessera.llm import chat, licences, perplexity, quality, toxicity
 from tessera.llm.labelled import remainder
 from tessera.llm.stats import Stats
@@ -192,3 +193,20 @@ def test_chat_rendering(spark):
 def test_stats_of_no_words():
     s = Stats([b"", b"\n \t"])
     assert s.n_words.tolist() == [0, 0] and np.isfinite(s.features()).all()
+
+
+def test_every_ngram_counts_in_shards(spark, docs, monkeypatch):
+    """Rare n-grams keep their probability, and the discounts follow all counts, however small a broadcast table is."""
+    text = docs.select("doc_id", "lang", "text").limit(40)
+    raw = cut(perplexity.counts(text), "raw")
+    model = perplexity.kneser_ney(raw)
+    monkeypatch.setattr(perplexity, "MAX_GRAMS", 300, raising=False)
+    monkeypatch.setattr(perplexity, "SHARD_GRAMS", max(300, raw.count() // 3), raising=False)
+    got = {r["doc_id"]: r["log_perplexity"] for r in perplexity.quality_rules(text).collect()}
+    for r in text.collect():
+        s = Stats([(r["text"] or "").encode()])
+        if not len(s.word_hash):
+            assert got[r["doc_id"]] is None
+            continue
+        key, order = perplexity.grams(*perplexity.padded_words(s, np.arange(len(s.word_hash))))
+        assert abs(got[r["doc_id"]] + model.score(key[order > 1], order[order > 1]).mean()) < 1e-5
