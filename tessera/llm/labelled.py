@@ -11,16 +11,23 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % modulus
 
 
-def training_labels(labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
-    """(doc_id, y, weight): at most ``rows`` labelled doc_ids of either label for which ``learn`` holds.
+def labelled(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """(doc_id, y): the labelled doc_ids for which ``learn`` holds.
 
     Rows without a doc_id or a label are skipped; of a doc_id that is labelled
-    more than once the largest label counts. Where a label has more, those with
-    the smallest hashes stay, so the choice hangs on doc_ids alone; ``weight``
-    is how many rows of its label a row stands for.
+    more than once the largest label counts.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
-    y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
+    return y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
+
+
+def training_labels(labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
+    """(doc_id, y, weight): at most ``rows`` :func:`labelled` doc_ids of either label.
+
+    Where a label has more, those with the smallest hashes stay, so the choice
+    hangs on doc_ids alone; ``weight`` is how many rows of its label a row stands for.
+    """
+    y = labelled(labels, label, learn)
     n = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = []
     for k in (0, 1):

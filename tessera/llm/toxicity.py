@@ -8,7 +8,8 @@ kept ready, and scoring is a few gathers per word.
 
 Training runs on a bounded sample of labelled rows, in the driver; each
 gradient reaches only the words that won a pooling. A part of the sample is held
-back to calibrate the score (Platt) and a rejection threshold for each language.
+back to calibrate the score (Platt). The rejection threshold of each language comes
+from all labelled rows that were not trained on, counted by score in Spark.
 Language is no input of the score.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import remainder, training_labels
+from tessera.llm.labelled import labelled, remainder, training_labels
 from tessera.llm.scan import ALNUM, Block, record, small_batches, text_blocks
 
 TABLE_BITS = 15
@@ -37,7 +38,7 @@ BATCH = 64
 LEAST_DOCUMENTS = 3
 #: Part of the sample that calibrates instead of training.
 HELD_BACK = 5
-#: A language with fewer calibration rows of either label takes the common threshold.
+#: A language with fewer labelled rows of either label, trained rows aside, takes the common threshold.
 LEAST_ROWS = 20
 
 
@@ -215,19 +216,43 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     return (float(beta[0] / scale), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
 
-def language_thresholds(score: np.ndarray, y: np.ndarray, lang: list[str | None], common: float) -> dict[str | None, float]:
-    """For each language with rows enough, the threshold with the best F1 there, the nearest to ``common`` of equals."""
-    out: dict[str | None, float] = {}
-    for code in set(lang):
-        mine = np.array([x == code for x in lang])
-        s, t = score[mine], y[mine]
-        if min(t.sum(), len(t) - t.sum()) < LEAST_ROWS:
-            continue
-        grid = np.append(np.linspace(0.05, 0.95, 91), common)
-        f1 = [2 * ((s >= g) & (t == 1)).sum() / max(1, (s >= g).sum() + t.sum()) for g in grid]
-        best = max(f1)
-        out[code] = float(min((g for g, f in zip(grid, f1, strict=True) if f >= best - 1e-12), key=lambda g: abs(g - common)))
-    return out
+def threshold_grid(common: float) -> np.ndarray:
+    """The thresholds a language may get, ascending."""
+    return np.unique(np.append(np.linspace(0.05, 0.95, 91), common))
+
+
+def best_threshold(count: np.ndarray, common: float) -> float | None:
+    """The threshold with the best F1, the nearest to ``common`` of equals; None with too few rows of either label.
+
+    ``count[k, y]`` is how many rows of label y reach k thresholds of the grid.
+    """
+    if count.sum(0).min() < LEAST_ROWS:
+        return None
+    grid = threshold_grid(common)
+    above = count[::-1].cumsum(0)[::-1][1:]
+    f1 = 2 * above[:, 1] / np.maximum(1, above.sum(1) + count[:, 1].sum())
+    best = grid[f1 >= f1.max() - 1e-12]
+    return float(best[np.abs(best - common).argmin()])
+
+
+def language_thresholds(docs: DataFrame, y: DataFrame, model: Model) -> dict[str | None, float]:
+    """Thresholds by language from all rows of ``docs`` with a label in ``y`` (doc_id, y); one count for each language, score step and label comes here."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    grid = threshold_grid(model.threshold)
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("step", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = None
+        for batch, texts in text_blocks(batches):
+            score = score or held.value.scorer()
+            yield record(schema, doc_id=batch.column(0), lang=batch.column(1), step=np.searchsorted(grid, score(texts).astype(np.float64), "right").astype(np.int32))
+
+    steps = docs.mapInArrow(run, "doc_id long, lang string, step int").join(y, "doc_id")
+    counts: dict[str | None, np.ndarray] = {}
+    for r in steps.groupBy("lang", "step", "y").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["lang"], np.zeros((len(grid) + 1, 2), np.int64))[r["step"], r["y"]] = r["n"]
+    best = {code: best_threshold(c, model.threshold) for code, c in counts.items()}
+    return {code: t for code, t in best.items() if t is not None}
 
 
 @dataclass
@@ -248,7 +273,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most ``rows`` labelled documents of either label of those for which ``learn`` (a condition on doc_id) holds."""
+    """Fits on at most ``rows`` labelled documents of either label of those for which ``learn`` (a condition on doc_id) holds.
+
+    The thresholds by language come from all such documents but those that the net was trained on.
+    """
     wanted = training_labels(labels, "toxic", learn, rows)  # at most 2 * rows
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("y", pa.int32()), ("weight", pa.float64()), ("slots", pa.binary())])
 
@@ -268,8 +296,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.
     net = train([w for w, b in zip(words, back, strict=True) if not b], y[~back])
     z = _logits(net, [w for w, b in zip(words, back, strict=True) if b])
     net.slope, net.shift = platt(z, y[back], np.array([r["weight"] for r in got])[back])
-    score = _sigmoid(z * net.slope + net.shift)
-    return Model(net, threshold, language_thresholds(score, y[back], [r["lang"] for r, b in zip(got, back, strict=True) if b], threshold))
+    model = Model(net, threshold, {})
+    trained = sorted({(r["doc_id"],) for r, b in zip(got, back, strict=True) if not b})  # fewer than 2 * rows, unless rows repeat
+    rest = labelled(labels, "toxic", learn).join(F.broadcast(docs.sparkSession.createDataFrame(trained, "doc_id long")), "doc_id", "left_anti")
+    model.by_language = language_thresholds(own, rest, model)
+    return model
 
 
 def _logits(net: Net, words: list[np.ndarray]) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.cut import cut
 from tessera.llm import chat, licences, perplexity, quality, toxicity
-from tessera.llm.labelled import remainder
+from tessera.llm.labelled import remainder, training_labels
 from tessera.llm.stats import Stats
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -210,3 +210,22 @@ def test_every_ngram_counts_in_shards(spark, docs, monkeypatch):
             continue
         key, order = perplexity.grams(*perplexity.padded_words(s, np.arange(len(s.word_hash))))
         assert abs(got[r["doc_id"]] + model.score(key[order > 1], order[order > 1]).mean()) < 1e-5
+
+
+def test_thresholds_come_from_all_labelled_rows(larger):
+    """A small training sample leaves the thresholds to every other labelled row, in their true shares."""
+    docs, labels = larger
+    model = toxicity.fit(docs, labels, F.lit(True), rows=150)
+    sample = sorted(r["doc_id"] for r in training_labels(labels, "toxic", F.lit(True), 150).join(docs.select("doc_id"), "doc_id").collect())
+    trained = {d for i, d in enumerate(sample) if i % toxicity.HELD_BACK}
+    by_lang = {}
+    for r in toxicity.classify(docs, model).join(labels, "doc_id").collect():
+        if r["doc_id"] not in trained and r["toxic"] is not None:
+            by_lang.setdefault(r["lang"], []).append((r["score"], r["toxic"]))
+    want = {}
+    for lang, rows in by_lang.items():
+        s, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        if min((y == 1).sum(), (y == 0).sum()) >= toxicity.LEAST_ROWS:
+            f1 = {g: 2 * ((s >= g) & (y == 1)).sum() / max(1, (s >= g).sum() + y.sum()) for g in [*np.linspace(0.05, 0.95, 91), 0.3]}
+            want[lang] = min((g for g, f in f1.items() if f >= max(f1.values()) - 1e-12), key=lambda g: abs(g - 0.3))
+    assert want and model.by_language == pytest.approx(want)
