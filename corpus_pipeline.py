@@ -23,15 +23,27 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each near-duplicate group stays: the smallest doc_id, null after all others; of equal doc_ids the first row.
+
+    Rows are told apart by a written number, so repeated rows and rows without a
+    doc_id are members like others. A text without words is in no group and stays.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.selectExpr("_row as doc_id", "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "_row")).alias("_first")
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("_group").agg(first).select(F.col("_first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that 200-byte repeats cover; n_chars follows the text."""
-    cleaned = dedup_substrings(docs, with_text=True).where("n_removed > 0").selectExpr("doc_id as _doc", "kept as _kept").dropDuplicates(["_doc"])
-    out = docs.join(cleaned, F.col("doc_id") == F.col("_doc"), "left")
+    """Texts without the bytes that 200-byte repeats cover; n_chars follows the text.
+
+    A row is known by a hash of its doc_id and text: after near-dedup only rows
+    without words repeat both, and they lose the same.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    cleaned = dedup_substrings(keyed.selectExpr("_key as doc_id", "text"), with_text=True).where("n_removed > 0").selectExpr("doc_id as _doc", "kept as _kept").dropDuplicates(["_doc"])
+    out = keyed.join(cleaned, F.col("_key") == F.col("_doc"), "left")
     text = F.when(F.col("_doc").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

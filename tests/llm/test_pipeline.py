@@ -48,3 +48,19 @@ def test_run_gives_packed_pieces(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 0
+
+
+def test_repeated_rows_and_null_ids_survive_once(spark, sf):
+    text = {k: " ".join(f"{k}{i}" for i in range(90)) for k in "abcdefg"}
+    shared = " ".join(f"shared{i}" for i in range(40))
+    rows = [(1, text["a"]), (1, text["a"]), (None, text["b"]), (2, text["b"]), (None, text["c"]), (None, text["c"]), (3, text["d"]), (3, text["e"]), (4, ""), (4, ""), (None, None)]
+    rows += [(5, text["f"] + " " + shared), (None, shared + " " + text["g"])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = cut(corpus_pipeline.near(spark, docs, sf), "test")
+    once = [(1, text["a"]), (2, text["b"]), (None, text["c"]), (3, text["d"]), (3, text["e"]), (4, ""), (4, ""), (None, None)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    got = sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=order)
+    assert got == sorted([*once, *rows[-2:]], key=order)
+    out = {(r["doc_id"], r["text"]) for r in corpus_pipeline.substrings(spark, near, sf).collect()}
+    assert out >= set(once) and len(out) == len(set(once)) + 2
+    assert {t.strip() for d, t in out - set(once)} == {text["f"], text["g"]}
