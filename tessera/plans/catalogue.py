@@ -582,7 +582,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kmeans_labels")
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
-    return ml.kmeans(_vectors(spark, d), 8, starts=2, rounds=10)
+    return ml.kmeans(_vectors(spark, d), 8)
 
 
 @query("gcn_predict")
@@ -591,7 +591,7 @@ def gcn_predict(spark: SparkSession, d: str) -> DataFrame:
     ring = v.select(F.col("node").alias("source"), (F.col("node") + 1).alias("target"))
     hidden = topology.neighbour_mean(v.select("node", "features"), ring)
     hidden = cut(hidden.join(v.select("node", "label"), "node"), "hidden")
-    return ml.predict_softmax(hidden, ml.fit_softmax(hidden, epochs=10))
+    return ml.predict_softmax(hidden, ml.fit_softmax(hidden))
 
 
 @query("edit_split")

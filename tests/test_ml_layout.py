@@ -82,3 +82,27 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("k").collect())) == want == [("ACG", 3)]
     e = spark.createDataFrame([("2020-01-01 00:00:10", "a"), ("2020-01-01 00:00:50", "a"), ("2020-01-01 00:01:10", "a")], "t string, k string").select(F.to_timestamp("t").alias("t"), "k")
     assert sorted(r["n"] for r in windowed_counts(e, "t", "k", "1 minute", "1 minute").collect()) == [1, 2]
+
+
+def test_registered_queries_learn_as_long_as_the_reference(spark, sf, monkeypatch):
+    import inspect
+
+    from tessera.plans import catalogue
+
+    def arguments(name):
+        real, seen = getattr(ml, name), {}
+
+        def stop(*args, **named):
+            bound = inspect.signature(real).bind(*args, **named)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            raise InterruptedError
+
+        monkeypatch.setattr(ml, name, stop)
+        return seen
+
+    for query, name, want in ((catalogue.kmeans_labels, "kmeans", {"starts": 5, "rounds": 50}), (catalogue.gcn_predict, "fit_softmax", {"epochs": 40})):
+        seen = arguments(name)
+        with pytest.raises(InterruptedError):
+            query(spark, sf)
+        assert want.items() <= seen.items()
