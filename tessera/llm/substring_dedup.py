@@ -9,16 +9,18 @@ else in the corpus. Strings are found in two steps:
    a window meet under one anchor hash; neighbouring windows mostly share their
    anchor, and such a run of windows is one row. Rows whose anchor hash is
    unique are done.
-2. *Suffix arrays.* Runs of one anchor whose contents differ are sorted as
-   suffixes (:mod:`tessera.llm.suffix_groups`), a few groups at a time: a
-   window is repeated exactly where the next or previous suffix starts with the
-   same ``length`` bytes. Runs of equal content count as one string with a
-   weight, since a weight over one already makes each of its windows repeated.
-
-Groups with more than ``MEMBERS`` different contents are not gathered: their
+2. *Suffix arrays.* Different contents under one anchor are sorted as suffixes
+   (:mod:`tessera.llm.suffix_groups`), a few anchors at a time: a window is
+   repeated exactly where the next or previous suffix starts with the same
+   ``length`` bytes. Runs of equal bytes (by a 128-bit cryptographic digest of
+   them) count as one string with a weight, since a weight over one already
+   makes each of its windows repeated.
+
+Anchors with more than ``MEMBERS`` different contents are not gathered: their
 runs are cut into shorter ones keyed by the bytes that all windows of the
 shorter run share, and go through the same steps again. A run of one window is
-its own key, so this ends, and nothing is dropped on the way.
+its own key, so this ends, and nothing is dropped on the way. Copies are counted
+by partial sums and joined back, so an anchor that is everywhere gathers in no task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.cut import cut
 from tessera.llm.scan import POWERS, begin_task, mix, prefix_hash, record, small_batches
@@ -47,11 +50,14 @@ UNIT = 1 << 15
 POSITION_BITS = 22
 U64 = np.uint64
 
-ROW = "key long, content long, doc_id long, start int, windows int, reach int"
-SPAN = "doc_id long, a int, b int"
-ROW_ARROW = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("reach", pa.int32())])
-CUT_ARROW = pa.schema([*ROW_ARROW, ("copies", pa.int64()), ("bytes", pa.binary())])
-SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+#: A document is known by ``doc`` and ``mark`` (see ``_named``).
+ROW = "key long, content binary, doc long, mark long, start int, windows int, reach int"
+SPAN = "doc long, mark long, a int, b int"
+PLACE = [("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int32())]
+ROW_ARROW = pa.schema([("key", pa.int64()), ("content", pa.binary()), *PLACE, ("windows", pa.int32()), ("reach", pa.int32())])
+CUT_ARROW = pa.schema([*ROW_ARROW, ("copies", pa.int64()), ("members", pa.int64()), ("bytes", pa.binary())])
+SHORT_ARROW = pa.schema([*ROW_ARROW, ("weight", pa.int64()), ("bytes", pa.binary())])
+SPAN_ARROW = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,8 +74,7 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(buf: bytes, piece_start: np.ndarray, piece_end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of windows with one anchor inside the pieces: (start, windows, anchor key, content hash,
-    distance from the start to the anchor)."""
+    """Maximal runs of windows with one anchor inside the pieces: (start, windows, anchor key, distance from the start to the anchor)."""
     data = np.frombuffer(buf, np.uint8)
     prefix = prefix_hash(data)
     gram = min(GRAM, length)
@@ -87,56 +92,61 @@ def runs(buf: bytes, piece_start: np.ndarray, piece_end: np.ndarray, length: int
     edge[piece_start[ok]] = True
     start = np.flatnonzero(edge & valid)
     stop = np.flatnonzero(np.append(edge[1:] | ~valid[1:], True) & valid) + 1
-    n = stop - start
     where = anchor[start]
-    content = (prefix[stop - 1 + length] - prefix[start]) * down[start]
-    content = mix(mix(content) + ((where - start).astype(np.uint64) << U64(32)) + n.astype(np.uint64))
-    return start, n, grams[where], content, where - start
+    return start, stop - start, grams[where], where - start
+
+
+def _digest(data: bytes, salt: int = 0) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, salt=salt.to_bytes(8, "little")).digest()
 
 
-FIRST = ROW + ", weight int, others array<struct<doc_id:long,start:int>>"
-PLACE = pa.struct([("doc_id", pa.int64()), ("start", pa.int32())])
-FIRST_ARROW = pa.schema([*ROW_ARROW, ("weight", pa.int32()), ("others", pa.list_(PLACE))])
+FIRST = ROW + ", weight long, others array<struct<doc:long,mark:long,start:int>>"
+FIRST_ARROW = pa.schema([*ROW_ARROW, ("weight", pa.int64()), ("others", pa.list_(pa.struct(PLACE)))])
 
 
-def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(key, content, doc_id, start, windows, reach, weight, others): runs of windows by anchor.
+def anchors(texts: DataFrame, length: int) -> DataFrame:
+    """(key, content, doc, mark, start, windows, reach, weight, others): runs of windows by anchor; ``content`` digests their bytes.
 
     Equal runs of one slice of the scan come as one row with the places of the
     others, so a line or document that is everywhere gives a row for each slice.
     """
-    def scan(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        sizes = np.fromiter((len(p[2]) for p in pieces), np.int64, len(pieces))
+    def scan(pieces: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        sizes = np.fromiter((len(p[3]) for p in pieces), np.int64, len(pieces))
         end = np.cumsum(sizes)
         begin = end - sizes
-        start, n, key, content, reach = runs(b"".join(p[2] for p in pieces), begin, end, length)
+        buf = b"".join(p[3] for p in pieces)
+        start, n, key, reach = runs(buf, begin, end, length)
+        content = [_digest(buf[s:e]) for s, e in zip(start.tolist(), (start + n - 1 + length).tolist(), strict=True)]
         of = np.searchsorted(end, start, "right")
-        doc = np.array([p[0] for p in pieces])[of]
-        base = np.array([p[1] for p in pieces])[of] - begin[of]
-        start = (start + base).astype(np.int32)
-        _, first, kind, weight = np.unique(mix(key) + content, return_index=True, return_inverse=True, return_counts=True)
-        others: list[list | None] = [None] * len(first)
-        for i in np.flatnonzero(weight[kind] > 1):
-            k = kind[i]
-            if first[k] != i:
+        doc, mark, at = (np.array([p[k] for p in pieces], np.int64)[of] for k in range(3))
+        start = (start + at - begin[of]).astype(np.int32)
+        nth: dict[bytes, int] = {}
+        first: list[int] = []
+        others: list[list | None] = []
+        for i, c in enumerate(content):
+            k = nth.setdefault(c, len(first))
+            if k == len(first):
+                first.append(i)
+                others.append(None)
+            else:
                 others[k] = others[k] or []
-                others[k].append({"doc_id": int(doc[i]), "start": int(start[i])})
+                others[k].append({"doc": int(doc[i]), "mark": int(mark[i]), "start": int(start[i])})
         return record(
-            FIRST_ARROW, key=key[first].view(np.int64), content=content[first].view(np.int64), doc_id=doc[first], start=start[first],
-            windows=n[first].astype(np.int32), reach=reach[first].astype(np.int32), weight=weight.astype(np.int32), others=others,
+            FIRST_ARROW, key=key[first].view(np.int64), content=list(nth), doc=doc[first], mark=mark[first], start=start[first],
+            windows=n[first].astype(np.int32), reach=reach[first].astype(np.int32), weight=[1 + len(o or ()) for o in others], others=others,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
         held, total = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
                 text = text.as_py()
                 if text is None or len(text) < length:
                     continue
                 for at in range(0, len(text) - length + 1, SLICE):
                     piece = text[at : at + SLICE + length - 1]
-                    held.append((doc, at, piece))
+                    held.append((doc, mark, at, piece))
                     total += len(piece)
                     if total >= SLICE // 2:
                         yield scan(held)
@@ -144,44 +154,39 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield scan(held)
 
-    return docs.mapInArrow(run, FIRST)
+    return texts.select("doc", "mark", "text").mapInArrow(run, FIRST)
 
 
-def _judged(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (key, content, weight, ...) whose key holds another row, written, with what the key's other rows say.
+def _judged(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose anchor another row has too, and one row for each (key, content) of theirs, both written.
 
-    ``copies`` is the weight of a content within the key, ``nth`` numbers the
-    rows of a content, ``lo`` and ``hi`` differ where the key has several contents.
+    The second table has the number of ``copies`` of a content and of different
+    contents (``members``) under its key, and one place. Every count is a
+    partial sum before it is shuffled.
     """
-    j = rows.selectExpr(
-        "*",
-        "sum(weight) over (partition by key, content) as copies",
-        "row_number() over (partition by key, content order by doc_id, start) as nth",
-        "min(content) over (partition by key) as lo",
-        "max(content) over (partition by key) as hi",
-    )
-    return cut(j.where("copies > 1 or lo <> hi"), name)
+    shared = rows.groupBy("key").agg(F.sum("weight").alias("all")).where("all > 1").select("key")
+    rows = cut(rows.join(shared, "key", "left_semi"), name)
+    also = ["bytes"] if "bytes" in rows.columns else []
+    # all firsts come from one row: they are filled together
+    one = [F.first(c).alias(c) for c in ("doc", "mark", "start", "windows", "reach", *also)]
+    contents = cut(rows.groupBy("key", "content").agg(F.sum("weight").alias("copies"), *one), f"{name}-contents")
+    members = contents.groupBy("key").agg(F.count("*").alias("members"))
+    return rows, contents.join(members, "key")
 
 
-def _found(judged: DataFrame, length: int) -> DataFrame:
+def _found(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
     """Spans of the rows whose whole content is repeated; in later rounds heavier rows have given theirs already."""
     span = f"start + windows - 1 + {length} as b"
-    if "others" not in judged.columns:
-        return judged.where("copies > 1 and weight = 1").selectExpr("doc_id", "start as a", span)
-    rows = judged.where("copies > 1")
-    more = rows.where("others is not null").select("windows", F.explode("others").alias("o")).selectExpr("o.doc_id", "o.start", "windows")
-    return rows.selectExpr("doc_id", "start as a", span).unionByName(more.selectExpr("doc_id", "start as a", span))
+    rows = rows.join(contents.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
+    if "others" not in rows.columns:
+        return rows.where("weight = 1").selectExpr("doc", "mark", "start as a", span)
+    places = rows.select("windows", F.explode(F.concat(F.array(F.struct("doc", "mark", "start")), F.coalesce("others", F.expr("array()")))).alias("p"))
+    return places.selectExpr("p.doc", "p.mark", "p.start", "windows").selectExpr("doc", "mark", "start as a", span)
 
 
-def _open(judged: DataFrame) -> DataFrame:
-    """One row for each content of the keys that hold several, with the number of contents."""
-    one = judged.where("lo <> hi and nth = 1")
-    return one.drop("lo", "hi", "nth", "others").withColumn("members", F.expr("count(*) over (partition by key)"))
-
-
-def _with_bytes(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Adds the bytes that the rows' windows cover."""
-    names = [f.name for f in CUT_ARROW]
+def _with_bytes(contents: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Adds the bytes that the contents' windows cover."""
+    names = CUT_ARROW.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +198,9 @@ def _with_bytes(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 col["bytes"] = pa.array([t.as_py()[s : s + w - 1 + length] for t, s, w in of], pa.binary())
                 yield pa.RecordBatch.from_arrays([col[f] for f in names], schema=CUT_ARROW)
 
-    wanted = rows.select(*names[:-1])
-    return wanted.join(docs, "doc_id").select(*names[:-1], "text").mapInArrow(run, ROW + ", copies long, bytes binary")
+    once = texts.dropDuplicates(["doc", "mark"])  # repeated rows are one text
+    wanted = contents.select(*names[:-1])
+    return wanted.join(once, ["doc", "mark"]).select(*names[:-1], "text").mapInArrow(run, ROW + ", copies long, members long, bytes binary")
 
 
 def repeated_windows(strings: Sequence[bytes], length: int) -> list[np.ndarray]:
@@ -204,8 +210,8 @@ def repeated_windows(strings: Sequence[bytes], length: int) -> list[np.ndarray]:
     for k, (b, s) in enumerate(zip(begins, strings, strict=True)):
         n = max(0, len(s) - length + 1)
         owner[b : b + n] = [k] * n
-    out: list[list[int]] = [[] for _ in strings]
-    last, at, held = None, (0, 0), False
+    hit = bytearray(len(text))
+    last, at, held = None, 0, False
     for s in suffix_array(text):
         k = owner[s]
         if k < 0:
@@ -216,11 +222,10 @@ def repeated_windows(strings: Sequence[bytes], length: int) -> list[np.ndarray]:
             last, held = window, False
         else:
             if not held:
-                out[at[0]].append(at[1])
-                held = True
-            out[k].append(o)
-        at = (k, o)
-    return [np.array(sorted(x), np.int64) for x in out]
+                hit[at] = held = True
+            hit[s] = True
+        at = s
+    return [np.flatnonzero(np.frombuffer(hit, np.uint8)[b : b + len(s)]) for b, s in zip(begins, strings, strict=True)]
 
 
 def _as_runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,17 +234,18 @@ def _as_runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)]
 
 
-def _sorted_out(rows: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated windows in contents (key, doc_id, start, copies, bytes) that occur once."""
+def _sorted_out(contents: DataFrame, length: int) -> DataFrame:
+    """Spans of repeated windows in contents (key, doc, mark, start, copies, bytes) that occur once."""
     def solve(unit: list[tuple]) -> pa.RecordBatch:
-        doc, a, b = [], [], []
-        for (_, d, start, copies, _), found in zip(unit, repeated_windows([r[4] for r in unit], length), strict=True):
+        doc, mark, a, b = [], [], [], []
+        for (_, d, m, start, copies, _), found in zip(unit, repeated_windows([r[5] for r in unit], length), strict=True):
             if copies == 1 and len(found):
                 lo, hi = _as_runs(found)
                 doc += [d] * len(lo)
+                mark += [m] * len(lo)
                 a += (lo + start).tolist()
                 b += (hi + start + length).tolist()
-        return record(SPAN_ARROW, doc_id=doc, a=a, b=b)
+        return record(SPAN_ARROW, doc=doc, mark=mark, a=a, b=b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
@@ -250,95 +256,134 @@ def _sorted_out(rows: DataFrame, length: int) -> DataFrame:
                     yield solve(unit)
                     unit, total = [], 0
                 unit.append(r)
-                total += len(r[4])
+                total += len(r[5])
         if unit:
             yield solve(unit)
 
-    cols = ["key", "doc_id", "start", "copies", "bytes"]
-    return rows.select(*cols).repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
+    cols = ["key", "doc", "mark", "start", "copies", "bytes"]
+    return contents.select(*cols).repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
 
 
-def _shorten(rows: DataFrame, length: int, step: int) -> DataFrame:
+def _shorten(contents: DataFrame, length: int, step: int) -> DataFrame:
     """Each run as runs of at most ``step`` windows, keyed by the bytes that all windows in that stretch share.
 
     Stretches are counted from the anchor, so that equal windows stay together.
+    A run that has copies weighs two.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in CUT_ARROW}
-            for doc, start, n, reach, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: dict[str, list] = {f: [] for f in SHORT_ARROW.names}
+            for doc, mark, start, n, reach, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for stretch in range((reach - n + 1) // step, reach // step + 1):
                     far, near = min(reach, stretch * step + step - 1), max(reach - n + 1, stretch * step)
                     first, m = reach - far, far - near + 1
                     core = data[reach - stretch * step : reach - stretch * step - step + 1 + length]
                     part = data[first : first + m - 1 + length]
-                    key = hashlib.blake2b(core, digest_size=8, salt=(stretch % 2**32).to_bytes(4, "little")).digest()
-                    content = hashlib.blake2b(part, digest_size=8, salt=far.to_bytes(4, "little")).digest()
-                    values = (int.from_bytes(key, "little", signed=True), int.from_bytes(content, "little", signed=True), doc, start + first, m, far, copies, part)
+                    key = int.from_bytes(_digest(core, stretch % 2**32)[:8], "little", signed=True)
+                    values = (key, _digest(part, far), doc, mark, start + first, m, far, min(copies, 2), part)
                     for f, v in zip(out.values(), values, strict=True):
                         f.append(v)
-            yield record(CUT_ARROW, **out)
+            yield record(SHORT_ARROW, **out)
 
-    cols = ["doc_id", "start", "windows", "reach", "copies", "bytes"]
-    out = rows.select(*cols).mapInArrow(run, ROW + ", copies long, bytes binary")
-    return out.withColumn("weight", F.least("copies", F.lit(2)).cast("int")).drop("copies")
+    cols = ["doc", "mark", "start", "windows", "reach", "copies", "bytes"]
+    return contents.select(*cols).mapInArrow(run, ROW + ", weight long, bytes binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, a, b): byte spans, possibly overlapping, that together cover exactly the repeated strings."""
-    judged = _judged(anchors(docs, length), "anchors")
-    spans = [_found(judged, length)]
-    rows = cut(_with_bytes(_open(judged), docs, length).withColumn("members", F.expr("count(*) over (partition by key)")), "contents")
+def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
+    """(doc, mark, a, b): byte spans, possibly overlapping, of texts (doc, mark, text) that together cover exactly the repeated strings."""
+    rows, contents = _judged(cut(anchors(texts, length), "anchors"), "shared")
+    contents = cut(contents, "judged")
+    spans = [_found(rows, contents, length)]
+    contents = cut(_with_bytes(contents.where("members > 1"), texts, length), "open")
     for step in STEPS:
-        spans.append(_sorted_out(rows.where(f"members <= {MEMBERS}"), length))
-        large = rows.where(f"members > {MEMBERS}")
+        spans.append(_sorted_out(contents.where(f"members <= {MEMBERS}"), length))
+        large = contents.where(f"members > {MEMBERS}")
         if large.isEmpty():
             break
-        judged = _judged(_shorten(large, length, step), "shorter")
-        spans.append(_found(judged, length))
-        rows = cut(_open(judged), "contents")
+        rows, contents = _judged(cut(_shorten(large, length, step), "shorter"), "shared")
+        contents = cut(contents, "judged")
+        spans.append(_found(rows, contents, length))
+        contents = contents.where("members > 1")
     return reduce(DataFrame.unionByName, spans)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc, mark, text, row): what tells a row of ``docs`` apart from all that differ in doc_id or text, and its other columns.
+
+    ``mark`` hashes the text and whether the doc_id is null, so rows without a
+    doc_id and rows that share one are documents of their own.
+    """
+    doc = F.col("doc_id").cast("long")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(doc.isNull(), "text").alias("mark"), "text", F.struct(*rest).alias("row"))
+
+
+def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+    """(row, text, spans) for every row of ``docs``; ``spans`` is null where nothing is repeated."""
+    named = _named(small_batches(docs))
+    spans = repeated_spans(named.select("doc", "mark", "text"), length)
+    spans = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return named.join(spans, ["doc", "mark"], "left").select("row", "text", "spans")
+
+
+def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
+    """What is left of ``text``, and the number of maximal removed runs."""
+    kept, upto, n = [], 0, 0
+    for a, b in sorted((x["a"], x["b"]) for x in spans or ()):
+        if not n or a > upto:
+            kept.append(text[upto:a])
+            n += 1
+        upto = max(upto, b)
+    return b"".join(kept) + text[upto:], n
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def dedup_substrings(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of ``docs``.
+def dedup_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
 
     The UTF-8 bytes that a repeated ``length``-byte string covers go; n_spans
     counts maximal removed runs, and the digest is of the other bytes,
     concatenated. Matches never cross documents, and overlapping occurrences in
-    one document count. ``kept`` is the rest as text, for which a code point
-    that a removed run tears is dropped.
+    one document count.
 
     A null text is the empty one. Texts below ``length`` bytes lose nothing.
-    A doc_id names one text: rows that repeat both are copies of each other and
-    lose what they share. Rows without a doc_id are known by their text and come
-    out with a null. Other columns are ignored; an empty table gives no rows.
+    Rows that repeat a doc_id with other texts, and rows without a doc_id, are
+    documents of their own; rows that repeat both are copies of each other and
+    lose what they share. Other columns are ignored; an empty table gives no rows.
     """
-    docs = small_batches(docs).selectExpr("cast(doc_id as long) as own_id", "coalesce(cast(doc_id as long), xxhash64(text)) as doc_id", "text")
-    texts = docs.select("doc_id", "text")
-    spans = repeated_spans(texts, length).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if with_text else [])])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out: dict[str, list] = {f.name: [] for f in schema}
-                for own, text, found in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()), part.column(2).to_pylist(), strict=True):
+                out: dict[str, list] = {f: [] for f in RESULT_ARROW.names}
+                for doc, text, spans in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()), part.column(2).to_pylist(), strict=True):
                     text = text.as_py() or b""
-                    kept, upto, n = [], 0, 0
-                    for x in sorted((x["a"], x["b"]) for x in found or ()):
-                        if not n or x[0] > upto:
-                            kept.append(text[upto : x[0]])
-                            n += 1
-                        upto = max(upto, x[1])
-                    kept = b"".join(kept) + text[upto:]
-                    values = [own, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()]
-                    for f, v in zip(out.values(), [*values, kept.decode(errors="ignore")] if with_text else values, strict=True):
+                    kept, n = _kept(text, spans)
+                    for f, v in zip(out.values(), (doc, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()), strict=True):
                         f.append(v)
-                yield record(schema, **out)
+                yield record(RESULT_ARROW, **out)
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _with_spans(docs, length).select("row.doc_id", "text", "spans").mapInArrow(run, RESULT)
+
+
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs``, all rows and columns, with the repeated bytes gone from ``text``; a code point that a removed run tears is dropped.
 
-    return docs.join(spans, "doc_id", "left").select("own_id", "text", "spans").mapInArrow(run, RESULT + (", kept string" if with_text else ""))
+    Rows are told apart as in :func:`dedup_substrings`; a null text stays null.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                text = part.column(1).cast(pa.large_binary())
+                kept = [_kept(t.as_py(), s)[0].decode(errors="ignore") if s else t.as_py() for t, s in zip(text, part.column(2).to_pylist(), strict=True)]
+                kept = [k.decode() if isinstance(k, bytes) else k for k in kept]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string())], names=["row", "text"])
+
+    found = _with_spans(docs, length)
+    schema = StructType([found.schema["row"], StructField("text", StringType())])
+    return found.mapInArrow(run, schema).select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
