@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.cut import cut
 from tessera.llm.decontaminate import without_benchmark
-from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.near_dedup import without_near_copies
 from tessera.llm.packing import pack
-from tessera.llm.substring_dedup import dedup_substrings
+from tessera.llm.substring_dedup import without_repeats
 from tessera.llm.toxicity import accepted, fit
 
 #: No SQL expresses the trained classifier or the packing; tests hold the stages against brute force.
@@ -17,45 +17,42 @@ ORACLE_SQL = None
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose score reaches their language's threshold; the classifier learns from ``labels``."""
+    """Documents go whose score reaches their language's threshold; the classifier learns from ``labels``.
+
+    A null or empty text scores as an empty document; rows without a doc_id or a
+    language are judged like others, and an empty table stays one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return accepted(docs, fit(docs, labels, F.lit(True)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: the smallest doc_id, null after all others; of equal doc_ids the first row.
+    """One row of each near-duplicate group stays: the smallest doc_id, null after all others; of equal rows any one.
 
-    Rows are told apart by a written number, so repeated rows and rows without a
-    doc_id are members like others. A text without words is in no group and stays.
+    Rows without a doc_id and rows that share one are members like others, told
+    apart by their texts. A text without words is in no group and stays.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.selectExpr("_row as doc_id", "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "_row")).alias("_first")
-    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("_group").agg(first).select(F.col("_first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return without_near_copies(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that 200-byte repeats cover; n_chars follows the text.
 
-    A row is known by a hash of its doc_id and text: after near-dedup only rows
-    without words repeat both, and they lose the same.
+    All rows stay, those without a doc_id or a text included; a null text stays null.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    cleaned = dedup_substrings(keyed.selectExpr("_key as doc_id", "text"), with_text=True).where("n_removed > 0").selectExpr("doc_id as _doc", "kept as _kept").dropDuplicates(["_doc"])
-    out = keyed.join(cleaned, F.col("_key") == F.col("_doc"), "left")
-    text = F.when(F.col("_doc").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    out = without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; a text without words holds none."""
     return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of 1024 tokens."""
+    """Places of all documents' pieces in sequences of 1024 tokens; a null or empty text is its end id."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -65,7 +62,11 @@ STAGES = [("toxicity", toxic), ("minhash near-dedup", near), ("suffix-array dedu
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to ``documents``; each stage reads what the one before has written."""
+    """Applies STAGES to ``documents``; each stage reads what the one before has written.
+
+    Extra columns pass through all stages but the last, whatever their names;
+    an empty table gives no pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
