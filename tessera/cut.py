@@ -34,6 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more, in whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written once and read back, so that later plans start from a scan."""
     spark = df.sparkSession
