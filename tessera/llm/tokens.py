@@ -28,13 +28,13 @@ def _even(text: str) -> bool:
 
 
 class Encoder:
-    """Ids of texts, without special tokens; their literal strings are ordinary text.
+    """Ids of texts as the library gives them by default: nothing is added, and the literal string of an added token is that token.
 
     A word's ids are computed once and looked up afterwards. That is exact for
     pre-tokenizers that end a word at every space or newline that stands alone
     between other characters, and between a letter or digit and one comma
     or full stop at a word's end; ``_kind`` knows two. Texts with other white
-    space, and other tokenizer files, are encoded whole.
+    space or an added token's string, and other tokenizer files, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,8 +42,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
         self.kind = _kind(path)
+        #: strings of added tokens; in any case, since words are stored lower-cased for the second kind
+        self.added = [t.content.encode().lower() for t in self.tool.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
         self.stage = -1
         self.stops = {c: self._whole([c])[0] for c in ",."}
@@ -89,8 +90,8 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         if self.kind is None:
             return self._whole([t.decode() for t in texts])
-        if self.kind == "lower":  # the file lower-cases anyway; A-Z can go first
-            texts = [t.lower() for t in texts]
+        low = [t.lower() for t in texts]
+        given = low if self.kind == "lower" else texts  # the file lower-cases anyway; A-Z can go first
         if len(self.ids) > KEPT_WORDS:
             self.ids = {}
         known = self.ids.get
@@ -98,10 +99,10 @@ class Encoder:
         lacking: list[tuple[int, list[str], list[int]]] = []  # document, its words, the places of unknown ones
         odd: list[tuple[int, str]] = []
         new: set[str] = set()
-        for k, t in enumerate(texts):
+        for k, t in enumerate(given):
             t = t.decode()
-            if not t or not _even(t):
-                odd.append((k, t))
+            if not t or not _even(t) or any(a in low[k] for a in self.added):
+                odd.append((k, texts[k].decode()))
                 out.append([])
                 continue
             # a word of the first kind keeps its newline; the text's first word has no space before it

@@ -17,14 +17,13 @@ def whole(path, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_words_and_whole_texts_give_the_same_ids(path):
     rng = random.Random(4)
-    bits = ["a", "The", "x'", "'s", " ", "  ", "\n", "\n\n", " \n", "\t", "é", "É", "́", "12", "!", "...", ",", ".", "_", "\x01", " ", "　", "ς", "漢字", "😀", "<|endoftext|>", "\r\n"]
+    bits = ["a", "The", "x'", "'s", " ", "  ", "\n", "\n\n", " \n", "\t", "é", "É", "́", "12", "!", "...", ",", ".", "_", "\x01", " ", "　", "ς", "漢字", "😀", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "\r\n"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
     texts += [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(500)]
     assert Encoder(path).encode([t.encode() for t in texts]) == whole(path, texts)
