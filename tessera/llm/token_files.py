@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.cut import shared_dir
+from tessera.cut import remove, shared_dir
 from tessera.llm.scan import record, small_batches, text_blocks
 from tessera.llm.tokens import END, encoder
 
@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     """Codes every row of ``docs`` (doc_id, text) into block files under ``path``, ascending by doc_id.
 
     A null text is the empty one and leaves the end id alone. Rows that repeat a
-    doc_id stay side by side, ordered by their ids; null doc_ids
+    doc_id stay side by side, ordered by their lengths; null doc_ids
     come first. Other columns are ignored. An empty table writes no block.
     """
     spark = small_batches(docs).sparkSession
@@ -134,10 +134,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
         if held:
             yield close()
 
-    # dealt as it was read, so that the sampling of doc_ids runs no Python
+    # dealt as it was read, so that the sampling of doc_ids runs no Python; a doc_id that many rows share is dealt by its rows' numbers
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = once.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("row")]
+    dealt = once.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("row")
     dealt.mapInArrow(to_blocks, BLOCK).write.parquet(f"{path}/blocks")
+    remove(spark, raw)
 
 
 def _ranks(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:

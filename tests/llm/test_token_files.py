@@ -51,3 +51,20 @@ def test_odd_rows(odd, empty):
     starts = sorted((r["start"], r["n_tokens"]) for r in rows)
     assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(len(starts))]
     assert token_files(empty, WORDS).count() == 0
+
+
+def test_literal_special_strings_are_their_ids(spark):
+    """As the library has it by default: one id for the string, in its own case only."""
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "<|startoftext|>", "x<|endoftext|>y", "plain words here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["ids"]) for r in token_files(df, WORDS).collect()}
+    assert got == dict(expected(df))
+    assert 49407 in np.frombuffer(got[0], "<u4") and 49406 in np.frombuffer(got[2], "<u4") and 49407 not in np.frombuffer(got[1], "<u4")
+
+
+def test_a_doc_id_that_all_rows_share_is_dealt_to_all_shards(spark, tmp_path):
+    df = spark.range(400).selectExpr("5L as doc_id", "concat('word ', id % 3) as text")
+    path = str(tmp_path / "t")
+    write_token_files(df, path, WORDS, shards=4)
+    sizes = [r["n"] for r in spark.read.parquet(f"{path}/blocks").selectExpr("shard", "size(doc_ids) as k").groupBy("shard").agg({"k": "sum"}).withColumnRenamed("sum(k)", "n").collect()]
+    assert sum(sizes) == 400 and max(sizes) < 250
