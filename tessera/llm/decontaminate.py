@@ -11,8 +11,9 @@ dropped (positional and length bounds). What is left is compared word by word
 over the window.
 
 The windows are the stated queries: they go to the tasks in blocks of at most
-``BLOCK_WINDOWS``, so what is broadcast has a fixed bound however large the
-benchmark is, and the documents are never shuffled.
+``BLOCK_WINDOWS``, with their words and a number each, so what is broadcast has a
+fixed bound however large the benchmark is and however many items share a
+window. Texts are never shuffled; what was found in them is joined with the items.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
+from tessera.llm.rows import named
 from tessera.llm.scan import ALNUM, Block, record, shingle_hash, small_batches, text_blocks
 
 SHINGLE = 4
@@ -94,9 +96,9 @@ def shingle_counts(docs: DataFrame, keys: np.ndarray, sizes: list[int]) -> DataF
 class Windows:
     """A block of windows by prefix shingle."""
 
-    def __init__(self, windows: list[bytes], items: list[list[str]], keys: list[np.ndarray], counts: dict[int, int]) -> None:
+    def __init__(self, windows: list[bytes], numbers: list[int], keys: list[np.ndarray], counts: dict[int, int]) -> None:
         self.words = [w.split(b" ") for w in windows]
-        self.items = items
+        self.number = np.array(numbers, np.int64)
         place = [min(range(len(k)), key=lambda i: (counts.get(int(k[i]), 0), i)) for k in keys]
         prefix = np.array([k[p] for k, p in zip(keys, place, strict=True)], np.int64).view(np.uint64)
         order = np.argsort(prefix, kind="stable")
@@ -125,21 +127,21 @@ class Windows:
         return tuple(np.array(found, np.int64).reshape(-1, 3).T)
 
 
-HIT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+HIT = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("windows", pa.list_(pa.int64()))])
 
 
-def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
-    """(row columns of docs, n_words, hits, items): first and last word of each maximal hit run, and the items found."""
-    held = docs.sparkSession.sparkContext.broadcast(windows)
+def _scan(rows: DataFrame, windows: Windows) -> DataFrame:
+    """(doc, mark, doc_id, n_words, hits, windows): first and last word of each maximal hit run, and the windows found."""
+    held = rows.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
             block = Block(texts, ALNUM, lower=True)
             hits: list[list[int]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
+            found: list[set[int]] = [set() for _ in texts]
             start, size, window = held.value.occurrences(block)
             order = np.argsort(start, kind="stable")
-            for s, n, w in zip(start[order].tolist(), size[order].tolist(), window[order].tolist(), strict=True):
+            for s, n, w in zip(start[order].tolist(), size[order].tolist(), held.value.number[window[order]].tolist(), strict=True):
                 doc = int(np.searchsorted(block.first, s, "right")) - 1
                 s -= int(block.first[doc])
                 run_ = hits[doc]
@@ -147,10 +149,11 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
                     run_[-1] = max(run_[-1], s + n)
                 else:
                     run_ += [s, s + n]
-                items[doc].update(held.value.items[w])
-            yield record(HIT, doc_id=batch.column(0), n_words=block.n_words, hits=hits, items=[sorted(x) for x in items])
+                found[doc].add(w)
+            own = dict(zip(("doc", "mark", "doc_id"), batch.columns, strict=False))
+            yield record(HIT, **own, n_words=block.n_words, hits=hits, windows=[sorted(x) for x in found])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, hits array<int>, items array<string>")
+    return rows.select("doc", "mark", "doc_id", "text").mapInArrow(run, "doc long, mark long, doc_id long, n_words long, hits array<int>, windows array<long>")
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -166,18 +169,30 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
     A null or empty text has no words and no hits; an item without words has no
     window; a null item_id counts as the empty string. Repeated documents and
-    repeated items are judged as they stand (an item_id counts once). Other
-    columns are ignored. No items, or no documents, give no hits, or no rows.
+    repeated items are judged as they stand (an item_id counts once); rows
+    without a doc_id or with a shared one have their own hits. Other columns
+    are ignored. No items, or no documents, give no hits, or no rows.
     """
-    parts = [_scan(docs, w) for w in _window_blocks(docs, items, window)]
-    found = parts[0] if len(parts) == 1 else _merged(parts)
-    return found.mapInArrow(_summary, RESULT)
+    rows = named(docs.select("doc_id", "text"))
+    of_items, blocks = _window_blocks(docs, items, window)
+    every, found = None, None
+    for windows in blocks:
+        part = _scan(rows, windows)
+        if every is None:
+            every = found = cut(part, "scanned")
+        else:
+            found = found.unionByName(cut(part.where("size(hits) > 0"), "scanned"))
+    found = found.where("size(hits) > 0")
+    runs = found.groupBy("doc", "mark").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    ids = found.select("doc", "mark", F.explode("windows").alias("number")).distinct().join(of_items, "number").groupBy("doc", "mark").agg(F.collect_set("item_id").alias("items"))
+    out = every.drop("hits").join(runs.join(ids, ["doc", "mark"]), ["doc", "mark"], "left").select("doc_id", "n_words", "hits", "items")
+    return out.mapInArrow(_summary, RESULT)
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item window occurs: passes over the table and no shuffle."""
     names = docs.columns
-    for windows in _window_blocks(docs, items, window):
+    for windows in _window_blocks(docs, items, window)[1]:
         held = docs.sparkSession.sparkContext.broadcast(windows)
 
         def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
@@ -192,28 +207,24 @@ def without_benchmark(docs: DataFrame, items: DataFrame, window: int = 10) -> Da
     return docs.select(*names)
 
 
-def _window_blocks(docs: DataFrame, items: DataFrame, window: int) -> Iterator[Windows]:
-    """The items' windows, at most about BLOCK_WINDOWS at a time, with prefixes chosen by counts over ``docs``."""
-    windows = item_windows(small_batches(items), window).groupBy("window", "keys").agg(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("items"))
+def _window_blocks(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, Iterator[Windows]]:
+    """(number, item_id) of the items' windows, and the windows, at most about BLOCK_WINDOWS at a time, with prefixes chosen by counts over ``docs``."""
+    each = cut(item_windows(small_batches(items), window), "item-windows")
+    windows = each.select("window", "keys").distinct().withColumn("number", F.monotonically_increasing_id())
     windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(1 << 20))), "windows")
-    blocks = max(1, -(-windows.count() // (BLOCK_WINDOWS // 2)))
-    for k in range(blocks):
-        rows = windows.where(F.col("block") % blocks == k).orderBy("window").collect()
-        keys = [np.array(r["keys"], np.int64) for r in rows]
-        flat = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
-        sizes = sorted({min(SHINGLE, r["window"].count(" ") + 1) for r in rows})
-        counts = {r["key"]: r["n"] for r in shingle_counts(docs, flat, sizes).collect()} if rows else {}
-        yield Windows([r["window"].encode() for r in rows], [r["items"] for r in rows], keys, counts)
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row for each document with the runs and items of all blocks."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    hit = rows.where("size(hits) > 0").groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    every = parts[0].select("doc_id", "n_words")
-    return every.join(hit, every.doc_id.eqNullSafe(hit.doc_id) & (every.n_words == hit.n_words), "left").select(every.doc_id, every.n_words, "hits", "items")
+    n = max(1, -(-windows.count() // (BLOCK_WINDOWS // 2)))
+
+    def blocks() -> Iterator[Windows]:
+        for k in range(n):
+            rows = windows.where(F.col("block") % n == k).orderBy("window").collect()
+            keys = [np.array(r["keys"], np.int64) for r in rows]
+            flat = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
+            sizes = sorted({min(SHINGLE, r["window"].count(" ") + 1) for r in rows})
+            counts = {r["key"]: r["n"] for r in shingle_counts(docs, flat, sizes).collect()} if rows else {}
+            yield Windows([r["window"].encode() for r in rows], [r["number"] for r in rows], keys, counts)
+
+    of_items = each.join(windows.select("window", "number"), "window").select("number", F.coalesce("item_id", F.lit("")).alias("item_id")).distinct()
+    return of_items, blocks()
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.cut import cut
+from tessera.llm.rows import named, unpacked
 from tessera.llm.scan import POWERS, begin_task, mix, prefix_hash, record, small_batches
 from tessera.llm.suffix_groups import joined, suffix_array
 
@@ -50,7 +51,7 @@ UNIT = 1 << 15
 POSITION_BITS = 22
 U64 = np.uint64
 
-#: A document is known by ``doc`` and ``mark`` (see ``_named``).
+#: A document is known by ``doc`` and ``mark`` (see :func:`tessera.llm.rows.named`).
 ROW = "key long, content binary, doc long, mark long, start int, windows int, reach int"
 SPAN = "doc long, mark long, a int, b int"
 PLACE = [("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int32())]
@@ -307,23 +308,12 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     return reduce(DataFrame.unionByName, spans)
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """(doc, mark, text, row): what tells a row of ``docs`` apart from all that differ in doc_id or text, and its other columns.
-
-    ``mark`` hashes the text and whether the doc_id is null, so rows without a
-    doc_id and rows that share one are documents of their own.
-    """
-    doc = F.col("doc_id").cast("long")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return docs.select(F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(doc.isNull(), "text").alias("mark"), "text", F.struct(*rest).alias("row"))
-
-
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """(row, text, spans) for every row of ``docs``; ``spans`` is null where nothing is repeated."""
-    named = _named(small_batches(docs))
-    spans = repeated_spans(named.select("doc", "mark", "text"), length)
+    rows = named(small_batches(docs), "text")
+    spans = repeated_spans(rows.select("doc", "mark", "text"), length)
     spans = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return named.join(spans, ["doc", "mark"], "left").select("row", "text", "spans")
+    return rows.join(spans, ["doc", "mark"], "left").select("row", "text", "spans")
 
 
 def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -386,4 +376,4 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     found = _with_spans(docs, length)
     schema = StructType([found.schema["row"], StructField("text", StringType())])
-    return found.mapInArrow(run, schema).select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return unpacked(found.mapInArrow(run, schema), docs.columns, "text")

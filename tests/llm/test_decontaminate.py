@@ -45,6 +45,19 @@ def test_short_and_repeated_items(spark, odd, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [200_000, 2])
+def test_rows_that_share_ids_or_lack_them(spark, monkeypatch, block):
+    """Texts of equal length under one doc_id, or without one, keep their own hits, in however many blocks the windows go out."""
+    monkeypatch.setattr(dc, "BLOCK_WINDOWS", block)
+    items = spark.createDataFrame([(k, f"{a} {b} {c}") for k, (a, b, c) in enumerate(["abc", "def", "ghi", "jkl"])], "item_id long, text string")
+    texts = ["a b c", "x y z", "d e f", "a b c", "g h i", None, "j k l"]
+    rows = [(5, t) for t in texts] + [(None, t) for t in texts] + [(0, "a b c"), (0, "q q q")]
+    got, want = run(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert got == want
+    left = dc.without_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted((tuple(r) for r in left.collect()), key=str) == sorted([(5, "x y z"), (None, "x y z"), (5, None), (None, None), (0, "q q q")], key=str)
+
+
 def test_no_items(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in dc.decontaminate(odd, none).collect())
