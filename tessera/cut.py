@@ -10,10 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+#: Paths of the tables cut so far that are not deleted.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +48,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str = "settled") -> DataFrame:
+    """``make()`` written and read back, after which the tables that were cut on its way are deleted."""
+    before = len(_MADE)
+    out = cut(make(), name)
+    for path in _MADE[before:-1]:
+        remove(out.sparkSession, path)
+    del _MADE[before:-1]
+    return out
+
+
 def cut_round(df: DataFrame, name: str = "round") -> DataFrame:
     """:func:`cut` for a round that keeps part of the table before it: no more files than shuffle partitions.
 

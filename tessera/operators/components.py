@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.cut import cut
+from tessera.cut import cut, settled
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -18,7 +18,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     logarithmic in the diameter. Nodes that appear in no edge are not returned;
     self loops and null ends are ignored.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    return settled(lambda: _contracted(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")), "components")
+
+
+def _contracted(e: DataFrame) -> DataFrame:
     cur = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
     while True:
