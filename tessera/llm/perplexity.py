@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.cut import cut
+from tessera.cut import cut, settled
 from tessera.llm.scan import LOWER, mix, record, small_batches, text_blocks
 from tessera.llm.stats import Stats
 
@@ -215,7 +215,7 @@ class Shard:
 
 def shards(raw: DataFrame) -> Iterator[tuple[int, int, Shard]]:
     """(number, how many in all, shard): the n-grams of a shard are those of a range of hashes, about SHARD_GRAMS."""
-    every = cut(probabilities(raw), "probabilities")
+    every = settled(lambda: probabilities(cut(raw, "counts")), "probabilities")
     n = max(1, -(-every.count() // SHARD_GRAMS))
     for k in range(n):
         t = every.where(F.pmod(F.xxhash64("gram"), F.lit(n)) == k).toArrow()
@@ -273,7 +273,7 @@ def measured(docs: DataFrame) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
     rows, sums = None, []
-    for k, n, shard in shards(cut(counts(docs), "counts")):
+    for k, n, shard in shards(counts(docs)):
         if k == 0 and n > 1:  # the passes' sums meet by row
             own = cut(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
         if k == 0:

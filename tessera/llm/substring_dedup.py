@@ -26,7 +26,7 @@ by partial sums and joined back, so an anchor that is everywhere gathers in no t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessera.cut import cut
+from tessera.cut import cut, settled
 from tessera.llm.rows import named, unpacked
 from tessera.llm.scan import POWERS, begin_task, mix, prefix_hash, record, small_batches
 from tessera.llm.suffix_groups import joined, suffix_array
@@ -158,27 +158,45 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("doc", "mark", "text").mapInArrow(run, FIRST)
 
 
-def _judged(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose anchor another row has too, and one row for each (key, content) of theirs, both written.
+def _semi(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The written ``rows`` that ``wanted`` (on, n: how many rows of that kind there are) names.
+
+    Kinds that hold more than a thousandth of the rows, at most 1000 of them, are broadcast, and
+    their rows stay where they are; only the others are shuffled.
+    """
+    many = F.lit(rows.count() // 1000)
+    hot = F.broadcast(wanted.where(F.col("n") > many).select(*on))
+    return rows.join(hot, on, "left_semi").unionByName(rows.join(hot, on, "left_anti").join(wanted.where(F.col("n") <= many).select(*on), on, "left_semi"))
+
+
+def _judged(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+    """Of the rows that ``make`` gives those whose anchor another row has too, and one row for each (key, content) of theirs, both written.
 
     The second table has the number of ``copies`` of a content and of different
     contents (``members``) under its key, and one place. Every count is a
     partial sum before it is shuffled.
     """
-    shared = rows.groupBy("key").agg(F.sum("weight").alias("all")).where("all > 1").select("key")
-    rows = cut(rows.join(shared, "key", "left_semi"), name)
+    def shared() -> DataFrame:
+        every = cut(make(), "runs")
+        return _semi(every, cut(every.groupBy("key").agg(F.sum("weight").alias("all"), F.count("*").alias("n")).where("all > 1"), "keys"), ["key"])
+
+    rows = settled(shared, name)
     also = ["bytes"] if "bytes" in rows.columns else []
     # all firsts come from one row: they are filled together
     one = [F.first(c).alias(c) for c in ("doc", "mark", "start", "windows", "reach", *also)]
-    contents = cut(rows.groupBy("key", "content").agg(F.sum("weight").alias("copies"), *one), f"{name}-contents")
-    members = contents.groupBy("key").agg(F.count("*").alias("members"))
-    return rows, contents.join(members, "key")
+    contents = rows.groupBy("key", "content").agg(F.sum("weight").alias("copies"), F.count("*").alias("n"), *one)
+
+    def counted() -> DataFrame:
+        each = cut(contents, "contents")
+        return each.join(each.groupBy("key").agg(F.count("*").alias("members")), "key")
+
+    return rows, settled(counted, f"{name}-contents")
 
 
 def _found(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
     """Spans of the rows whose whole content is repeated; in later rounds heavier rows have given theirs already."""
     span = f"start + windows - 1 + {length} as b"
-    rows = rows.join(contents.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
+    rows = _semi(rows, contents.where("copies > 1"), ["key", "content"])
     if "others" not in rows.columns:
         return rows.where("weight = 1").selectExpr("doc", "mark", "start as a", span)
     places = rows.select("windows", F.explode(F.concat(F.array(F.struct("doc", "mark", "start")), F.coalesce("others", F.expr("array()")))).alias("p"))
@@ -292,8 +310,7 @@ def _shorten(contents: DataFrame, length: int, step: int) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     """(doc, mark, a, b): byte spans, possibly overlapping, of texts (doc, mark, text) that together cover exactly the repeated strings."""
-    rows, contents = _judged(cut(anchors(texts, length), "anchors"), "shared")
-    contents = cut(contents, "judged")
+    rows, contents = _judged(lambda: anchors(texts, length), "shared")
     spans = [_found(rows, contents, length)]
     contents = cut(_with_bytes(contents.where("members > 1"), texts, length), "open")
     for step in STEPS:
@@ -301,8 +318,7 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
         large = contents.where(f"members > {MEMBERS}")
         if large.isEmpty():
             break
-        rows, contents = _judged(cut(_shorten(large, length, step), "shorter"), "shared")
-        contents = cut(contents, "judged")
+        rows, contents = _judged(lambda: _shorten(large, length, step), "shared")
         spans.append(_found(rows, contents, length))
         contents = contents.where("members > 1")
     return reduce(DataFrame.unionByName, spans)
@@ -311,8 +327,8 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """(row, text, spans) for every row of ``docs``; ``spans`` is null where nothing is repeated."""
     rows = named(small_batches(docs), "text")
-    spans = repeated_spans(rows.select("doc", "mark", "text"), length)
-    spans = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    texts = rows.select("doc", "mark", "text")
+    spans = settled(lambda: repeated_spans(texts, length).groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
     return rows.join(spans, ["doc", "mark"], "left").select("row", "text", "spans")
 
 
