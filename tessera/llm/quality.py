@@ -94,7 +94,7 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from at most ``rows`` labelled documents of either label for which ``learn`` holds."""
+    """Trees from at most ``rows`` labelled documents of either label for which ``learn`` holds; a doc_id that several rows share gives one."""
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("weight", pa.float64()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_RO
 
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = own.join(F.broadcast(training_labels(labels, "quality", learn, rows)), "doc_id").select("doc_id", "y", "weight", "text")
-    got = sorted(sample.mapInArrow(run, "doc_id long, y int, weight double, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    once = sample.mapInArrow(run, "doc_id long, y int, weight double, x binary").groupBy("doc_id").agg(F.min(F.struct("y", "weight", "x")).alias("s"))
+    got = sorted(once.select("doc_id", "s.*").collect(), key=lambda r: r["doc_id"])
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, FEATURES)
     return grow(x, np.array([r["y"] for r in got]), np.array([r["weight"] for r in got], float))
 

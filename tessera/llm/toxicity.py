@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cut import cut
 from tessera.llm.labelled import labelled, remainder, training_labels
 from tessera.llm.scan import ALNUM, Block, record, small_batches, text_blocks
 
@@ -32,6 +33,8 @@ FILTERS = 12
 DIM = 12
 #: The most labelled rows of either label that the model is fitted on.
 SAMPLE_ROWS = 5000
+#: The most words of that sample, four bytes each in the driver; rows that no longer fit are left out, in the order of their ids' hashes.
+SAMPLE_WORDS = 6_000_000
 STEPS = 800
 BATCH = 64
 #: A word trains its table rows only if it stands in so many documents of the sample; the rest are blanks.
@@ -47,7 +50,7 @@ def word_slots(block: Block) -> np.ndarray:
     h = block.word_hash()
     low = np.uint64((1 << TABLE_BITS) - 1)
     first = (h & low).astype(np.int32)
-    second = ((h >> np.uint64(32)) & low).astype(np.int32) + (1 << TABLE_BITS)
+    second = ((h >> np.uint64(32)) & low).astype(np.int32) + (1 << TABLE_BITS)  # both fit 16 bits
     return np.stack([first, second], 1)
 
 
@@ -272,32 +275,47 @@ class Model:
         return score
 
 
+def within(sizes: list[tuple[int, int]], limit: int) -> list[int]:
+    """The ids of (id, size), in their order, that fit into ``limit`` together; what does not fit is passed over."""
+    out, left = [], limit
+    for doc, n in sizes:
+        if n <= left:
+            out.append(doc)
+            left -= n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most ``rows`` labelled documents of either label of those for which ``learn`` (a condition on doc_id) holds.
 
-    The thresholds by language come from all such documents but those that the net was trained on.
+    A doc_id that several rows share gives one of them, and the sample holds at
+    most SAMPLE_WORDS words. The thresholds by language come from all such
+    documents but those that the net was trained on.
     """
     wanted = training_labels(labels, "toxic", learn, rows)  # at most 2 * rows
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("y", pa.int32()), ("weight", pa.float64()), ("slots", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("y", pa.int32()), ("weight", pa.float64()), ("slots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
             block = Block(texts, ALNUM, lower=True)
-            slots = word_slots(block)
-            yield record(schema, doc_id=batch.column(0), lang=batch.column(1), y=batch.column(2), weight=batch.column(3), slots=[slots[a:b].tobytes() for a, b in zip(block.first[:-1], block.first[1:], strict=True)])
+            slots = word_slots(block).astype(np.uint16)
+            yield record(schema, doc_id=batch.column(0), n=block.n_words, y=batch.column(1), weight=batch.column(2), slots=[slots[a:b].tobytes() for a, b in zip(block.first[:-1], block.first[1:], strict=True)])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
-    sample = own.join(F.broadcast(wanted), "doc_id").select("doc_id", "lang", "y", "weight", "text").mapInArrow(run, "doc_id long, lang string, y int, weight double, slots binary")
-    got = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["slots"])))
-    words = [np.frombuffer(r["slots"], np.int32).reshape(-1, 2) for r in got]
+    sample = own.join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "weight", "text").mapInArrow(run, "doc_id long, n long, y int, weight double, slots binary")
+    sample = cut(sample.groupBy("doc_id").agg(F.min(F.struct("n", "y", "weight", "slots")).alias("s")).select("doc_id", "s.*"), "sample")
+    sizes = sample.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most 2 * rows
+    chosen = within(sizes, SAMPLE_WORDS)
+    got = sorted(sample.where(F.col("n") <= SAMPLE_WORDS).join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in chosen], "doc_id long")), "doc_id", "left_semi").collect(), key=lambda r: r["doc_id"])
+    words = [np.frombuffer(r["slots"], np.uint16).reshape(-1, 2).astype(np.int32) for r in got]
     y = np.array([r["y"] for r in got], np.int64)
     back = np.arange(len(got)) % HELD_BACK == 0
     net = train([w for w, b in zip(words, back, strict=True) if not b], y[~back])
     z = _logits(net, [w for w, b in zip(words, back, strict=True) if b])
     net.slope, net.shift = platt(z, y[back], np.array([r["weight"] for r in got])[back])
     model = Model(net, threshold, {})
-    trained = sorted({(r["doc_id"],) for r, b in zip(got, back, strict=True) if not b})  # fewer than 2 * rows, unless rows repeat
+    trained = [(r["doc_id"],) for r, b in zip(got, back, strict=True) if not b]  # fewer than 2 * rows
     rest = labelled(labels, "toxic", learn).join(F.broadcast(docs.sparkSession.createDataFrame(trained, "doc_id long")), "doc_id", "left_anti")
     model.by_language = language_thresholds(own, rest, model)
     return model
