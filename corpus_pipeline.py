@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.cut import cut
+from tessera.cut import settled
 from tessera.llm.decontaminate import without_benchmark
 from tessera.llm.near_dedup import without_near_copies
 from tessera.llm.packing import pack
@@ -69,7 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, f"stage{k}")
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage{k}")
