@@ -23,9 +23,19 @@ def oriented(s: Column, strand: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """Array of all windows of length ``k``; empty where the sequence is shorter."""
-    n = F.length(s) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Array of all windows of length ``k``; empty where the sequence is shorter.
+
+    A substring is found by walking from its text's start, so windows are taken
+    from stretches of the sequence, and those from longer stretches.
+    """
+    def windows(text: Column, steps: tuple[int, ...]) -> Column:
+        n = F.length(text) - k + 1
+        if not steps:
+            return F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(k)))
+        pieces = F.transform(F.sequence(F.lit(1), n, F.lit(steps[0])), lambda i: F.substring(text, i, F.lit(steps[0] + k - 1)))
+        return F.flatten(F.transform(pieces, lambda piece: windows(piece, steps[1:])))
+
+    return F.when(F.length(s) >= k, windows(s, (4096, 64))).otherwise(F.array().cast("array<string>"))
 
 
 def canonical(kmer: Column) -> Column:
@@ -108,3 +118,53 @@ def route_number(value: Column) -> Column:
     """Leading integer after the first colon; null where there is none."""
     digits = F.regexp_extract(value, r"^[^:]*:(\d+)", 1)
     return F.when(digits != "", digits.cast("long"))
+
+
+def base4_tag(index: Column) -> Column:
+    """``index`` + 1 in base 4, lowest digit first, with digits ACGT."""
+    return F.reverse(F.translate(F.conv((index + 1).cast("string"), 10, 4), "0123", "ACGT"))
+
+
+def accession(read_id: Column) -> Column:
+    """The first two tokens of a read's name; a name without an underscore is an error."""
+    return F.when(F.instr(read_id, "_") > 0, F.substring_index(read_id, "_", 2)).otherwise(F.raise_error(F.concat(F.lit("no accession in the read name "), read_id)))
+
+
+def read_genome(read_id: Column) -> Column:
+    """What stands before the first underscore of a read's name."""
+    return F.substring_index(read_id, "_", 1)
+
+
+def file_sample(name: Column) -> Column:
+    """The sample of a read file named ``<sample>_full_R1...``, with ``sample_`` before it."""
+    return F.concat(F.lit("sample_"), F.substring_index(name, "_full_R", 1))
+
+
+def header_coverage(header: Column) -> Column:
+    """The number behind ``multi=`` or ``_cov_`` in a contig's header; null where there is none."""
+    return F.regexp_extract(header, r"(?:\bmulti=|_cov_)([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+
+
+def contig_k(name: Column) -> Column:
+    """k of a file called ``k<number>.contigs.fa``; null for other names, such as final contigs."""
+    return F.regexp_extract(name, r"k(\d+)\.contigs\.fa$", 1).try_cast("long")
+
+
+def even_share(values: Column) -> Column:
+    """Percentage of ``values`` (an array) with an even route number; null for none, values without a number count as odd."""
+    even = F.filter(values, lambda v: F.coalesce(route_number(v) % 2 == 0, F.lit(False)))
+    return F.when(F.size(values) > 0, 100.0 * F.size(even) / F.size(values))
+
+
+def float_cell(x: Column) -> Column:
+    return F.format_string("%.10f", x.cast("double"))
+
+
+def letters_digest(s: Column) -> Column:
+    """SHA-256 of the letters of a sequence, upper-cased."""
+    return F.sha2(F.upper(F.regexp_replace(s, "[^A-Za-z]", "")), 256)
+
+
+def place_key(name: Column) -> Column:
+    """A place name without differences of case and blanks; letters whose folded form is longer (sharp s) are unfolded."""
+    return F.lower(F.upper(tidy(name)))

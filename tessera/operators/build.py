@@ -1,25 +1,37 @@
-"""Graph construction from sequences: k-mer graphs, overlap graphs, simulated reads."""
+"""Graph construction from sequences and visits: k-mer graphs, overlap graphs, successive stops."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.errors import ContractError
+from tessera.cut import cut
+from tessera.errors import ContractError, require_none
 from tessera.functions import seq
 from tessera.operators.ids import numbered, ranked
 
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes (node_id, sequence, ...) and edges (edge_id, source, target, orientation, overlap, ...)."""
+    """nodes (node_id, sequence, ...) and edges (edge_id, source, target, orientation, overlap, ...).
+
+    Edges may be given as a function, which runs when they are first asked for.
+    ``exact`` says that overlaps hold by construction.
+    """
 
     nodes: DataFrame
-    edges: DataFrame
+    given: DataFrame | Callable[[], DataFrame]
     kind: str = "de_bruijn"
     k: int | None = None
+    exact: bool = False
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self.given() if callable(self.given) else self.given
 
 
 def kmer_rows(reads: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -36,38 +48,47 @@ def de_bruijn(reads: DataFrame, k: int) -> Graph:
     """
     if k < 2:
         raise ContractError(["k must be an integer > 1"])
-    pairs = kmer_rows(reads, k + 1).select(F.left("kmer", F.lit(k)).alias("l"), F.right("kmer", F.lit(k)).alias("r")).distinct()
+    pairs = cut(kmer_rows(reads, k + 1).select("kmer").distinct(), "pairs").select(F.left("kmer", F.lit(k)).alias("l"), F.right("kmer", F.lit(k)).alias("r"))
     single = reads.where(F.length("seq") == k).select(F.col("seq").alias("kmer"))
     kmers = pairs.select(F.explode(F.array("l", "r")).alias("kmer")).unionByName(single).distinct()
     nodes = ranked(kmers, ["kmer"]).select(numbered("n", "rank").alias("node_id"), F.col("kmer").alias("sequence"))
-    named = ranked(pairs, ["l", "r"])
-    ends = nodes.select(F.col("sequence").alias("l"), F.col("node_id").alias("source"))
-    tails = nodes.select(F.col("sequence").alias("r"), F.col("node_id").alias("target"))
-    edges = named.join(ends, "l").join(tails, "r").select(numbered("e", "rank").alias("edge_id"), "source", "target", F.lit("++").alias("orientation"), F.lit(k - 1).alias("overlap"))
-    return Graph(nodes, edges, "de_bruijn", k)
 
+    def edges() -> DataFrame:
+        ends = nodes.select(F.col("sequence").alias("l"), F.col("node_id").alias("source"))
+        tails = nodes.select(F.col("sequence").alias("r"), F.col("node_id").alias("target"))
+        named = ranked(pairs, ["l", "r"]).join(ends, "l").join(tails, "r")
+        return named.select(numbered("e", "rank").alias("edge_id"), "source", "target", F.lit("++").alias("orientation"), F.lit(k - 1).alias("overlap"))
+
+    return Graph(nodes, edges, "de_bruijn", k, exact=True)
 
-def overlap_graph(contigs: DataFrame, k: int) -> DataFrame:
+
+def overlap_pairs(contigs: DataFrame, k: int) -> DataFrame:
     """(source, target): the last k-1 letters of one contig are the first k-1 of another (contigs: id, seq)."""
     a = contigs.select(F.col("id").alias("source"), F.right("seq", F.lit(k - 1)).alias("o"))
     b = contigs.select(F.col("id").alias("target"), F.left("seq", F.lit(k - 1)).alias("o"))
     return a.join(b, "o").where("source <> target").select("source", "target")
 
 
-def simulate_reads(genomes: DataFrame, abundances: DataFrame, length: int, seed: int) -> DataFrame:
-    """Deterministic reads of (genome_id, seq) for each (sample_id, genome_id, n).
-
-    Read i starts at (seed + 3 i + sum of the genome id's character codes)
-    modulo the number of possible starts; ids are sample_genome_%04d.
-    """
-    codes = F.aggregate(F.split("genome_id", ""), F.lit(0), lambda a, c: a + F.ascii(c))
-    rows = abundances.join(genomes, "genome_id").where(F.length("seq") >= length).where("n > 0")
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    start = (F.lit(seed) + 3 * F.col("i") + codes) % (F.length("seq") - length + 1)
-    return rows.select(
-        F.format_string("%s_%s_%04d", "sample_id", "genome_id", "i").alias("read_id"), "sample_id", "genome_id",
-        F.substring(F.col("seq"), (start + 1).cast("int"), F.lit(length)).alias("seq"),
+def overlap_graph(contigs: DataFrame, k: int) -> Graph:
+    """Contigs (id, seq, pos) as nodes numbered by ``pos``, and their overlaps as edges in the order of their ends; a contig shorter than k is an error."""
+    require_none(contigs.where(F.length("seq") < k).select("id"), lambda r: f"contig {r['id']} has fewer than {k} letters")
+    nodes = cut(ranked(contigs, ["pos"]).select("rank", numbered("n", "rank").alias("node_id"), F.col("seq").alias("sequence")), "contigs")
+    pairs = overlap_pairs(nodes.select(F.col("rank").alias("id"), F.col("sequence").alias("seq")), k)
+    edges = ranked(pairs.select(F.col("source").alias("a"), F.col("target").alias("b")), ["a", "b"]).select(
+        numbered("e", "rank").alias("edge_id"), numbered("n", "a").alias("source"), numbered("n", "b").alias("target"), F.lit("++").alias("orientation"), F.lit(k - 1).alias("overlap")
     )
+    return Graph(nodes.select("node_id", "sequence"), edges, "de_bruijn", k, exact=True)
+
+
+def repeat_graph(nodes: DataFrame, links: DataFrame) -> Graph:
+    """A graph without k from nodes (id, sequence, coverage, colors) and links (id, source, target, coverage, colors[, orientation])."""
+    if nodes.isEmpty():
+        raise ContractError(["a graph needs at least one node"])
+    sets = lambda: F.array_sort(F.array_distinct(F.col("colors").cast("array<int>"))).alias("color_ids")
+    strand = F.coalesce("orientation", F.lit("++")) if "orientation" in links.columns else F.lit("++")
+    n = nodes.select(F.col("id").cast("string").alias("node_id"), "sequence", F.col("coverage").cast("double").alias("coverage"), sets())
+    e = links.select(F.col("id").cast("string").alias("edge_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "target")], strand.alias("orientation"), F.col("coverage").cast("double").alias("coverage"), sets(), F.lit(None).cast("int").alias("overlap"))
+    return Graph(n, e, "repeat")
 
 
 def consecutive(visits: DataFrame, group: str, order: list[str], stop: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from tessera.cut import cut
 from tessera.errors import ContractError
 from tessera.functions import seq
 from tessera.functions.sets import combine, only
-
+from tessera.operators.ids import ranked
+from tessera.operators.ml import kmeans
 
 
 def apply_colours(elements: DataFrame, incoming: DataFrame, key: str, operation: str) -> DataFrame:
@@ -98,8 +100,8 @@ def decaying_mass(evidence: DataFrame, edges: DataFrame, decay: float = 0.5, ite
     its own evidence and is normalised again; without such a vote it returns to
     its evidence. Edges (source, target[, weight]) need a positive weight.
     """
-    errors = [] if 0 <= decay <= 1 else ["decay must be in [0, 1]"]
-    errors += [] if iterations >= 1 else ["iterations must be >= 1"]
+    errors = [] if 0 <= decay <= 1 else [f"decay is {decay}, and must lie between 0 and 1"]
+    errors += [] if iterations >= 1 else [f"iterations is {iterations}, and must be 1 or more"]
     if errors:
         raise ContractError(errors)
 
@@ -167,3 +169,83 @@ def paint(elements: DataFrame, values: DataFrame, dictionary: DataFrame, namespa
     given = values.join(named, "value").groupBy("id").agg(F.array_sort(F.collect_set("color_id")).alias("colors"))
     new = named.select("color_id", F.lit(namespace).alias("namespace"), "value")
     return apply_colours(elements, given, "id", operation), new if operation == "replace" else dictionary.unionByName(new)
+
+
+#: Letters of a seed by which a sequence is looked for in longer ones.
+SEED = 16
+
+
+def _inside(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, large): pairs of (id, s) rows in which the one's text stands in the other's.
+
+    The first ``SEED`` letters, or the whole of a shorter text, are joined with
+    the windows of that length, and what follows is compared where they meet.
+    """
+    n = F.length("s")
+    found = None
+    for size in [SEED, *[r[0] for r in small.where((n > 0) & (n < SEED)).select(n).distinct().orderBy(n).collect()]]:  # fewer than SEED lengths
+        part = small.where(n >= SEED if size == SEED else n == size).select(F.col("id").alias("small"), F.left("s", F.lit(size)).alias("seed"), F.col("s").alias("_small"))
+        at = large.where(n >= size).select(F.col("id").alias("large"), F.posexplode(seq.kmers(F.col("s"), size)).alias("at", "seed"))
+        met = at.join(part, "seed")
+        if size == SEED:
+            text = large.select(F.col("id").alias("large"), F.col("s").alias("_large"))
+            met = met.join(text, "large").where(F.substring("_large", F.col("at") + 1, F.length("_small")) == F.col("_small"))
+        pairs = met.select("small", "large")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def colour_any_nodes_by_reads(nodes: DataFrame, reads: DataFrame, min_depth: int = 1) -> DataFrame:
+    """(node_id, sample_id, depth) for nodes of any length: reads of a sample that hold the node, or that a longer node holds, on either strand."""
+    if min_depth < 1:
+        raise ContractError([f"min_depth is {min_depth}, and must be 1 or more"])
+    strands = reads.where("seq <> ''").select(F.col("read_id").alias("id"), F.explode(F.array_distinct(F.array("seq", seq.reverse_complement(F.col("seq"))))).alias("s"))
+    plain = nodes.select(F.col("node_id").alias("id"), F.col("sequence").alias("s"))
+    held = _inside(plain, strands).select(F.col("small").alias("node_id"), F.col("large").alias("read_id"))
+    holding = _inside(strands, plain).select(F.col("large").alias("node_id"), F.col("small").alias("read_id"))
+    hits = held.unionByName(holding).distinct().join(reads.select("read_id", "sample_id"), "read_id")
+    return hits.groupBy("node_id", "sample_id").agg(F.count("*").alias("depth")).where(F.col("depth") >= min_depth)
+
+
+def colour_by_accession(nodes: DataFrame, edges: DataFrame, reads: DataFrame, k: int, min_depth: int = 1, min_density: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges coloured by the accession in the reads' names instead of their samples (reads: read_id, seq)."""
+    own = reads.select("read_id", seq.accession(F.col("read_id")).alias("sample_id"), "seq")
+    return colour_any_nodes_by_reads(nodes, own, min_depth), colour_edges_by_reads(edges, nodes, own, k, min_density)
+
+
+def composition_vectors(nodes: DataFrame, k: int = 4) -> DataFrame:
+    """(node_id, features): the shares of :func:`composition` as a vector over all canonical k-mers in order; zeros for a node without windows."""
+    every = sorted({min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in map("".join, itertools.product("ACGT", repeat=k))})
+    shares = composition(nodes, k).groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "x"))).alias("_m"))  # at most one entry for each k-mer
+    values = F.array(*[F.coalesce(F.try_element_at("_m", F.lit(w)), F.lit(0.0)) for w in every])
+    return nodes.select("node_id").join(shares, "node_id", "left").select("node_id", values.alias("features"))
+
+
+def colour_by_composition(nodes: DataFrame, edges: DataFrame, k: int = 4, clusters: int = 8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(node_id, value) and (edge_id, value): ``cluster_<i>`` of each node by k-means on its composition, and of edges whose ends share it."""
+    ids = cut(ranked(composition_vectors(nodes, k), ["node_id"], "node"), "composition")
+    of = kmeans(ids.select("node", "features"), clusters, seed).select("node", F.concat(F.lit("cluster_"), F.col("cluster").cast("string")).alias("value"))
+    named = cut(ids.join(of, "node").select("node_id", "value"), "clusters")
+    return named, shared_values(edges, named)
+
+
+def shared_values(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(edge_id, value): the value that both ends of an edge have (values: node_id, value)."""
+    s, t = (values.select(F.col("node_id").alias(side), F.col("value").alias(name)) for side, name in (("source", "_l"), ("target", "_r")))
+    return edges.join(s, "source").join(t, "target").where("_l = _r").select("edge_id", F.col("_l").alias("value"))
+
+
+#: Colourings by name, in the order in which they are tried, with the namespace of their colours.
+COLOURINGS: dict[str, str] = {"reads": "sample", "accession": "accession", "calls": "taxon", "composition": "composition", "decaying": "taxon"}
+
+
+def namespaces_for(names: Sequence[str]) -> list[str]:
+    """Namespaces of the named colourings, each once, in the order of the names."""
+    if unknown := [n for n in names if n not in COLOURINGS]:
+        raise ContractError([f"{n} is no colouring" for n in unknown])
+    return list(dict.fromkeys(COLOURINGS[n] for n in names))
+
+
+def operation_for(elements: DataFrame) -> str:
+    """How a colouring is added: ``merge`` where an element has colours already, else ``replace``."""
+    return "merge" if not elements.where(F.size("color_ids") > 0).isEmpty() else "replace"

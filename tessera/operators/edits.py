@@ -92,3 +92,12 @@ def upsert(values: DataFrame, changes: DataFrame) -> DataFrame:
     """(id, value) with changed and new values of ``changes`` (id, value)."""
     new = changes.select("id", F.col("value").alias("_new"), F.lit(True).alias("_set"))
     return values.join(new, "id", "full").select("id", F.when(F.col("_set"), F.col("_new")).otherwise(F.col("value")).alias("value"))
+
+
+def fresh_names(wanted: DataFrame, used: DataFrame) -> DataFrame:
+    """(id, fresh): the wanted names, and where one is in use the name with the smallest free suffix from ``_2`` on."""
+    n = F.regexp_extract("id", r"_(\d+)$", 1).try_cast("int")
+    suffixes = used.select(F.regexp_replace("id", r"_\d+$", "").alias("id"), n.alias("n")).where("n >= 2").groupBy("id").agg(F.collect_set("n").alias("taken"))
+    rows = wanted.join(used.select("id", F.lit(True).alias("_used")).distinct(), "id", "left").join(suffixes, "id", "left")
+    free = F.expr("array_min(array_except(sequence(2, size(coalesce(taken, array())) + 2), coalesce(taken, array())))")
+    return rows.select("id", F.when(F.col("_used"), F.concat_ws("_", "id", free)).otherwise(F.col("id")).alias("fresh"))

@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
-from tessera.errors import ContractError
+from tessera.errors import ContractError, gathered
 from tessera.operators.ids import ranked
+from tessera.operators.topology import neighbour_mean
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -143,7 +144,7 @@ def kmeans(rows: DataFrame, clusters: int, seed: int = 0, starts: int = 5, round
     data = cut(ranked(standardised(rows), ["node"], "row"), "scaled")
     n = data.count()
     if n < 2:
-        raise ContractError(["k-means needs at least two rows"])
+        raise ContractError([f"{n} rows are too few to cluster"])
     clusters = min(clusters, max(2, n))
     rng = np.random.default_rng(seed)
     best, centres = np.inf, None
@@ -182,3 +183,122 @@ def kmeans(rows: DataFrame, clusters: int, seed: int = 0, starts: int = 5, round
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :], 0)
+
+
+def predictions(rows: DataFrame, model_id: str, model_version: str, classes: int) -> DataFrame:
+    """(target_id, predicted_class, probability, confidence, model_id, model_version) for rows (target_id, predicted_class, probability[, confidence]).
+
+    A class outside the model's, or a number outside 0 to 1, is an error; the
+    confidence is the probability where it is not given.
+    """
+    errors = [f"{what} is empty" for what, v in (("model_id", model_id), ("model_version", model_version)) if not v]
+    out = rows if "confidence" in rows.columns else rows.withColumn("confidence", F.col("probability"))
+    outside = ~F.coalesce(F.col("predicted_class").between(0, classes - 1) & F.col("probability").between(0, 1) & F.col("confidence").between(0, 1), F.lit(False))
+    errors += gathered(out.where(outside).select("target_id", "predicted_class", "probability"), lambda r: f"{r['target_id']} has class {r['predicted_class']} with probability {r['probability']}")
+    if errors:
+        raise ContractError(errors)
+    return out.select("target_id", "predicted_class", "probability", "confidence", F.lit(model_id).alias("model_id"), F.lit(model_version).alias("model_version"))
+
+
+def covering_rows(rows: DataFrame, share: float) -> DataFrame:
+    """(id): rows to train on that hold every label which any row has, then the first others up to ``share`` of all.
+
+    rows (id, order, labels): distinct ``order`` says in which order rows are
+    drawn. The first row with a label is taken for it; with more than one row,
+    at least one is left out.
+    """
+    first = rows.select("order", F.explode("labels").alias("label")).groupBy("label").agg(F.min("order").alias("order")).select("order").distinct()
+    begun = first.agg(F.min("order").alias("_least"))
+    # rows without labels are drawn only before the first row with one; a row without labels that comes first counts as drawn
+    blank = rows.where(F.size("labels") == 0).join(F.broadcast(begun)).where("_least is null or order < _least").select("order")
+    need = cut(first.unionByName(blank).distinct(), "needed")
+    n, k = rows.count(), need.count()
+    target = min(n - 1 if n > 1 else 1, max(k, round(share * n), 1))
+    rest = ranked(rows.join(need, "order", "left_anti").select("id", "order"), ["order"], "_r").where(F.col("_r") <= target - k)
+    return rows.join(need, "order", "left_semi").select("id").unionByName(rest.select("id"))
+
+
+def class_weights(labels: DataFrame, classes: int) -> DataFrame:
+    """(label, weight): all rows over ``classes`` times the rows of a label, for every label that occurs."""
+    n = labels.groupBy("label").agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("_all")))).select("label", (F.col("_all") / (classes * F.col("n"))).alias("weight"))  # one row
+
+
+def accuracies(rows: DataFrame) -> DataFrame:
+    """One row (train, heldout, majority) for rows (label, predicted, trained): shares of right classes, and of the commonest trained class (the smallest of equals) on held-out rows; NaN without rows."""
+    common = rows.where("trained").groupBy("label").agg(F.count("*").alias("n")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("_common"))
+    nan = F.lit(float("nan"))
+    share = lambda c, where: F.coalesce(F.avg(F.when(where, c.cast("double"))), nan)
+    right = F.col("label") == F.col("predicted")
+    return rows.crossJoin(F.broadcast(common)).agg(share(right, F.col("trained")).alias("train"), share(right, ~F.col("trained")).alias("heldout"), share(F.col("label") == F.coalesce("_common", F.lit(0)), ~F.col("trained")).alias("majority"))  # one row
+
+
+def micro_f1(rows: DataFrame) -> DataFrame:
+    """One row (train, heldout) for rows (targets, guesses, trained) of 0/1 arrays; NaN without rows, 0 without a hit."""
+    def of(where: Column) -> Column:
+        part = F.when(where, F.arrays_zip("targets", "guesses"))
+        count = lambda t, g: F.coalesce(F.sum(F.size(F.filter(part, lambda x: (x["targets"] == t) & (x["guesses"] == g)))), F.lit(0))
+        hit, extra, lost = count(1, 1), count(0, 1), count(1, 0)
+        return F.when(F.count_if(where & (F.size("targets") > 0)) == 0, float("nan")).when(hit == 0, 0.0).otherwise(2 * hit / (2 * hit + extra + lost))
+
+    return rows.agg(of(F.col("trained")).alias("train"), of(~F.col("trained")).alias("heldout"))
+
+
+def flagged(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(id, name, target, predicted) where a label is wanted or given, for rows (id, targets, guesses) of 0/1 arrays in the order of ``names``."""
+    each = rows.select("id", F.posexplode(F.arrays_zip("targets", "guesses")).alias("at", "x"))
+    return each.where("x.targets = 1 or x.guesses = 1").select("id", F.array(*map(F.lit, names))[F.col("at")].alias("name"), F.col("x.targets").alias("target"), F.col("x.guesses").alias("predicted"))
+
+
+@dataclass
+class Multitask:
+    """A model of node classes and of several yes-or-no labels of edges over scaled places and coverages."""
+
+    node: Softmax
+    edge: Softmax
+    centre: np.ndarray
+    scale: np.ndarray
+    threshold: float = 0.5
+
+
+def _inputs(nodes: DataFrame, edges: DataFrame, centre: np.ndarray, scale: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Neighbour means of scaled node features, and for edges (edge_id, source, target) those of both ends side by side."""
+    m, s = F.array(*map(F.lit, centre.tolist())), F.array(*map(F.lit, scale.tolist()))
+    scaled = nodes.select("node", F.transform(F.arrays_zip(F.col("features").alias("x"), m.alias("m"), s.alias("s")), lambda z: (z["x"] - z["m"]) / z["s"]).alias("features"))
+    hidden = cut(neighbour_mean(scaled, edges), "hidden")
+    l, r = (hidden.select(F.col("node").alias(side), F.col("features").alias(name)) for side, name in (("source", "_l"), ("target", "_r")))
+    return hidden, edges.join(l, "source").join(r, "target").withColumn("features", F.concat("_l", "_r")).drop("_l", "_r")
+
+
+def fit_multitask(nodes: DataFrame, edges: DataFrame, classes: int, epochs: int = 80, seed: int = 0, rate: float = 0.2, threshold: float = 0.5) -> Multitask:
+    """Fits nodes (node, features, label, trained) with weights by class, and edges (edge_id, source, target, targets, trained)."""
+    rows = cut(nodes, "nodes")
+    facts = rows.where("trained").select("features")
+    width = rows.agg(F.max(F.size("features"))).first()[0] or 0
+    stat = facts.agg(*[f(F.col("features")[i]).alias(f"{n}{i}") for i in range(width) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    centre = np.array([stat[f"m{i}"] or 0.0 for i in range(width)])
+    scale = np.array([stat[f"s{i}"] or 0.0 for i in range(width)])
+    scale = np.where(scale < 1e-8, 1.0, scale)
+    hidden, ends = _inputs(rows.select("node", "features"), edges, centre, scale)
+    known = hidden.join(rows.where("trained").select("node", "label"), "node")
+    weighted = known.join(F.broadcast(class_weights(known, classes)), "label")  # one row for each class
+    node = fit_softmax(weighted.select("features", "label", "weight"), epochs, seed, rate)
+    edge = fit_sigmoid(ends.where("trained").select("features", "targets"), epochs, seed + 1, rate)
+    return Multitask(node, edge, centre, scale, threshold)
+
+
+def infer_multitask(model: Multitask, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, predicted_class, probability) and (edge_id, probabilities, guesses) for nodes (node, features) and edges (edge_id, source, target)."""
+    hidden, ends = _inputs(nodes.select("node", "features"), edges, model.centre, model.scale)
+    held = nodes.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("edge_id", pa.string()), ("probabilities", pa.list_(pa.float64())), ("guesses", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                m = held.value
+                p = sigmoid(_matrix(b.column(1)) @ m.edge.weight + m.edge.bias)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(p.tolist(), schema.field(1).type), pa.array((p >= m.threshold).astype(np.int32).tolist(), schema.field(2).type)], schema=schema)
+
+    scored = ends.select(F.col("edge_id").cast("string"), "features").mapInArrow(run, "edge_id string, probabilities array<double>, guesses array<int>")
+    return predict_softmax(hidden, model.node), scored

@@ -65,7 +65,7 @@ def profile_scores(predicted: DataFrame, truth: DataFrame, minimum: float = 0.0)
 RANKS = ("species", "genus", "family")
 
 
-def rank_rollup(taxonomy: DataFrame, target: str, limit: int = 64) -> DataFrame:
+def rank_rollup(taxonomy: DataFrame, target: str) -> DataFrame:
     """(taxon_id, ancestor): the nearest node of rank ``target`` at or above each taxon, null where there is none.
 
     taxonomy (taxon_id, parent_id, rank). Climbs by doubling, so a lineage of n
@@ -76,8 +76,8 @@ def rank_rollup(taxonomy: DataFrame, target: str, limit: int = 64) -> DataFrame:
     found = F.when(F.col("rank") == target, F.col("taxon_id"))
     top = F.col("parent_id").isNull() | (F.col("parent_id") == F.col("taxon_id"))
     state = cut(taxonomy.select("taxon_id", found.alias("ancestor"), F.when(~top, F.col("parent_id")).alias("up")), "lineage")
-    span = 1
-    while span < limit and state.where("ancestor is null and up is not null").limit(1).count():
+    span, taxa = 1, state.count()
+    while span < 2 * taxa and not state.where("ancestor is null and up is not null").isEmpty():  # a longer climb runs in a circle
         above = state.select(F.col("taxon_id").alias("up"), F.col("ancestor").alias("_a"), F.col("up").alias("_u"))
         climbed = state.where("ancestor is null and up is not null").join(above, "up", "left").select("taxon_id", F.col("_a").alias("ancestor"), F.col("_u").alias("up"))
         state = cut_round(state.where("ancestor is not null or up is null").unionByName(climbed), "lineage")
@@ -91,13 +91,42 @@ def abundance_rollup(counts: DataFrame, lineage: DataFrame) -> DataFrame:
     return up.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).where("_all > 0").select("taxon", (F.col("n") / F.col("_all")).alias("share"))
 
 
-def largest_remainder(weights: DataFrame, total: int) -> DataFrame:
-    """(id, n): ``total`` dealt in proportion to weights; what is left goes to the largest fractions, then smallest ids."""
+def largest_remainder(weights: DataFrame, total: int, least: int = 0) -> DataFrame:
+    """(id, n): ``total`` dealt in proportion to weights; what is left goes to the largest fractions, then smallest ids.
+
+    With ``least`` 1 every id gets one at least: what that takes is given up,
+    one at a time, by the ids that have most, the smallest of equals first.
+    """
     w = weights.crossJoin(F.broadcast(weights.agg(F.sum("weight").alias("_all")))).select("id", (F.col("weight") * total / F.col("_all")).alias("q"))
     w = w.select("id", F.floor("q").alias("base"), (F.col("q") - F.floor("q")).alias("frac"))
-    order = w.withColumn("r", F.row_number().over(Window.orderBy(F.desc("frac"), "id")))  # one row for each taxon
+    order = ranked(w.withColumn("down", -F.col("frac")), ["down", "id"], "r")
     left = w.agg((F.lit(total) - F.sum("base")).alias("_left"))
-    return order.crossJoin(F.broadcast(left)).select("id", (F.col("base") + (F.col("r") <= F.col("_left")).cast("long")).alias("n"))
+    dealt = order.crossJoin(F.broadcast(left)).select("id", (F.col("base") + (F.col("r") <= F.col("_left")).cast("long")).alias("n"))
+    return dealt if not least else _at_least_one(cut(dealt, "dealt"), total)
+
+
+def _at_least_one(dealt: DataFrame, total: int) -> DataFrame:
+    """Lifts zeros to one; donors are levelled from the top, which is what giving one at a time comes to.
+
+    Donors end at a common level h or below it: h is the largest level at which those above it hold
+    the wanted number in all, and of those at h + 1 after that the largest ids keep one more.
+    """
+    facts = dealt.agg(F.count("*").alias("ids"), F.sum((F.col("n") == 0).cast("long")).alias("zero"), F.max("n").alias("top")).first()
+    if facts["ids"] > total:
+        raise ContractError([f"{total} cannot give {facts['ids']} ids one each"])
+    if not facts["zero"]:
+        return dealt
+    low, high = 1, facts["top"]
+    while low < high:  # the largest level that frees enough
+        mid = (low + high + 1) // 2
+        freed = dealt.agg(F.sum(F.greatest(F.col("n") - mid, F.lit(0)))).first()[0]
+        low, high = (mid, high) if freed >= facts["zero"] else (low, mid - 1)
+    above = dealt.where(F.col("n") > low)
+    spare = above.agg(F.sum(F.col("n") - low)).first()[0] - facts["zero"]
+    # the largest ids keep one above the level, as the smallest gave first
+    keeps = ranked(above.select("id"), ["id"], "r").where(F.col("r") > above.count() - spare).select("id", F.lit(1).alias("extra"))
+    out = dealt.join(keeps, "id", "left")
+    return out.select("id", F.when(F.col("n") == 0, 1).when(F.col("n") > low, low + F.coalesce("extra", F.lit(0))).otherwise(F.col("n")).cast("long").alias("n"))
 
 
 def halves(pairs: DataFrame) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import ContractError
+from tessera.cut import cut
+from tessera.errors import ContractError, gathered, require_none
 from tessera.functions import seq
+from tessera.operators.compact import Compacted
 from tessera.operators.ids import ranked
+from tessera.operators.topology import csr_slots, pointers
 
 
 def dense_ids(elements: DataFrame, key: str) -> DataFrame:
@@ -75,3 +79,117 @@ def coloured_rows(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, D
     named = ranked(first, ["c", "pos", "value"], "color_id").select((F.col("color_id") - 1).cast("int").alias("color_id"), "namespace", "value")
     sets = cells.join(named, ["namespace", "value"]).groupBy("id").agg(F.array_sort(F.collect_set("color_id")).alias("color_ids"))
     return rows.select("id").join(sets, "id", "left").select("id", F.coalesce("color_ids", F.array().cast("array<int>")).alias("color_ids")), named
+
+
+@dataclass(frozen=True)
+class Layout:
+    """nodes (dense_id, source_id, members, features, colors, label), slots (slot, src, dst, link_id, features, colors) and pointers (dense_id, indptr)."""
+
+    nodes: DataFrame
+    slots: DataFrame
+    pointers: DataFrame
+    node_features: list[str]
+    edge_features: list[str]
+
+
+def feature_names(width: int, given: Sequence[str] | None, sidecar: Sequence[str] = ()) -> list[str]:
+    """Names of all places: ``f0``, ``f1``, ... or given ones for the first ``width``, then those of annotation layers."""
+    own = [f"f{i}" for i in range(width)] if given is None else list(given)
+    names = own if len(own) == width + len(sidecar) and given is not None else [*own, *sidecar]
+    if len(names) != width + len(sidecar) or len(set(names)) < len(names):
+        raise ContractError([f"{len(names)} distinct names are wanted for {width + len(sidecar)} features: {', '.join(names)}"])
+    return names
+
+
+def feature_registry(names: Sequence[str], explicit: int, positional: bool, sources: Sequence[tuple[str, str]] = ()) -> list[dict]:
+    """What each feature column is: its name and place, and whether it was given, numbered, or comes from an annotation layer."""
+    if len(names) != explicit + len(sources):
+        raise ContractError([f"{len(names)} names for {explicit} given and {len(sources)} annotated features"])
+    own = [{"name": n, "place": i, "origin": "positional" if positional else "explicit", "namespace": None, "source": None} for i, n in enumerate(names[:explicit])]
+    return own + [{"name": n, "place": explicit + i, "origin": "annotation", "namespace": ns, "source": src} for i, (n, (ns, src)) in enumerate(zip(names[explicit:], sources, strict=True))]
+
+
+def aligned(elements: DataFrame, features: DataFrame | None, key: str) -> DataFrame:
+    """``elements`` with float features by key: each needs one vector, all of one width, and no vector may be left over."""
+    if features is None:
+        return elements.withColumn("features", F.array().cast("array<float>"))
+    own = features.select(key, F.col("features").cast("array<float>").alias("features"))
+    errors = gathered(elements.select(key).join(own, key, "left_anti"), lambda r: f"{r[key]} has no features")
+    errors += gathered(own.select(key).join(elements, key, "left_anti"), lambda r: f"features of {r[key]}, which is not in the graph")
+    errors += gathered(own.groupBy(key).count().where("count > 1").select(key), lambda r: f"{r[key]} has features twice")
+    widths = [r[0] for r in own.select(F.size("features")).distinct().limit(3).collect()]
+    errors += ["features differ in width"] if len(widths) > 1 else []
+    if errors:
+        raise ContractError(errors)
+    return elements.join(own, key)
+
+
+def layout(c: Compacted, node_features: DataFrame | None = None, edge_features: DataFrame | None = None, palette: Sequence[int] = (), labels: DataFrame | None = None, node_names: Sequence[str] | None = None, edge_names: Sequence[str] | None = None) -> Layout:
+    """The dense layout of a compacted graph: unitigs in order of their ids, links in row order.
+
+    Features are (unitig_id, features) and (link_id, features), labels (unitig_id,
+    label) for every unitig. A link without both of its unitigs is an error.
+    """
+    known = c.unitigs.select("unitig_id")
+    ends = c.links.select("link_id", F.explode(F.array("source", "target")).alias("unitig_id")).join(known, "unitig_id", "left_anti")
+    require_none(ends.select("link_id").distinct(), lambda r: f"link {r['link_id']} has an unknown end")
+
+    def coloured(rows: DataFrame) -> DataFrame:
+        return colour_masks(rows if "color_ids" in rows.columns else rows.withColumn("color_ids", F.array().cast("array<int>")), palette) if palette else rows.withColumn("colors", F.array().cast("array<tinyint>"))
+
+    nodes = coloured(aligned(c.unitigs, node_features, "unitig_id"))
+    if labels is not None:
+        require_none(known.join(labels, "unitig_id", "left_anti"), lambda r: f"{r['unitig_id']} has no label")
+        nodes = nodes.join(labels.select("unitig_id", F.col("label").cast("long").alias("label")), "unitig_id")
+    else:
+        nodes = nodes.withColumn("label", F.lit(None).cast("long"))
+    nodes = cut(dense_ids(nodes, "unitig_id").select("dense_id", F.col("unitig_id").alias("source_id"), "members", "features", "colors", "label"), "layout-nodes")
+    of = nodes.select(F.col("source_id").alias("node_id"), "dense_id")
+    slots = csr_slots(c.links, of)
+    links = coloured(aligned(c.links, edge_features, "link_id")).select("link_id", "features", "colors")
+    slots = cut(slots.join(links, "link_id").select("slot", "src", "dst", "link_id", "features", "colors"), "layout-slots")
+    width = lambda rows: rows.agg(F.coalesce(F.max(F.size("features")), F.lit(0))).first()[0]
+    return Layout(nodes, slots, pointers(slots, nodes, "src"), feature_names(width(nodes), node_names), feature_names(width(slots), edge_names))
+
+
+def from_rows(pointers_: DataFrame, indices: DataFrame) -> DataFrame:
+    """(slot, src, dst, ...): an outside graph's rows with targets in order, whatever goes with a place moved along.
+
+    pointers_ (dense_id, indptr) has a row for each node and one more for the
+    end; indices (place, dst, ...) a row for each edge. A target that stands
+    twice in a row, or pointers that do not rise from 0 to the number of edges, are errors.
+    """
+    spans = pointers_.select(F.col("dense_id").alias("src"), "indptr").join(pointers_.select((F.col("dense_id") - 1).alias("src"), F.col("indptr").alias("upto")), "src")
+    n = indices.count()
+    ends = pointers_.agg(F.min_by("indptr", "dense_id"), F.max_by("indptr", "dense_id")).first()
+    errors = [] if ends[0] == 0 and ends[1] == n else [f"pointers run from {ends[0]} to {ends[1]}, and must from 0 to {n}"]
+    errors += gathered(spans.where("upto < indptr").select("src"), lambda r: f"the pointers of node {r['src']} fall")
+    if errors:
+        raise ContractError(errors)
+    places = spans.where("upto > indptr").select("src", "indptr", F.explode(F.sequence(F.col("indptr"), F.col("upto") - 1)).alias("place"))
+    rows = places.join(indices, "place")
+    require_none(rows.groupBy("src", "dst").count().where("count > 1").select("src", "dst"), lambda r: f"node {r['src']} has the target {r['dst']} twice")
+    rest = [c for c in indices.columns if c not in ("place", "dst")]
+    return rows.selectExpr("indptr + row_number() over (partition by src order by dst) - 1 as slot", "src", "dst", *rest)
+
+
+def resolved(nodes: DataFrame, unitigs: DataFrame, dense: DataFrame) -> DataFrame:
+    """(dense_id, source_id, sequence) of the wanted dense ids; one that the layout or the graph does not know is an error."""
+    rows = dense.select("dense_id").join(nodes.select("dense_id", "source_id"), "dense_id", "left").join(unitigs.select(F.col("unitig_id").alias("source_id"), "sequence"), "source_id", "left")
+    require_none(rows.where("sequence is null").select("dense_id"), lambda r: f"nothing stands behind dense id {r['dense_id']}")
+    return rows.select("dense_id", "source_id", "sequence")
+
+
+def geometric_states(c: Compacted, places: DataFrame) -> DataFrame:
+    """(unitig_id, lon, lat, coverage): means over a unitig's members (places: node_id, lon, lat, coverage)."""
+    rows = c.mapping.join(places, "node_id", "left")
+    require_none(rows.where("lon is null or lat is null or coverage is null").select("node_id"), lambda r: f"node {r['node_id']} has no place or coverage")
+    return rows.groupBy("unitig_id").agg(*[F.avg(x).alias(x) for x in ("lon", "lat", "coverage")])
+
+
+def edge_targets(links: DataFrame, dictionary: DataFrame, namespaces: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(link_id, targets): a 0/1 place for each colour of the namespaces, in their order and that of colour ids, and the places' names."""
+    order = F.expr("case " + " ".join(f"when namespace = '{n}' then {i}" for i, n in enumerate(namespaces)) + " end")
+    palette = dictionary.withColumn("_o", order).where("_o is not null").orderBy("_o", "color_id").collect()  # a dictionary: one row per colour
+    masks = colour_masks(links, [r["color_id"] for r in palette])
+    return masks.select("link_id", F.col("colors").cast("array<int>").alias("targets")), [f"{r['namespace']}:{r['value']}" for r in palette]

@@ -25,32 +25,34 @@ def strand_junctions(edges: DataFrame) -> DataFrame:
 
 
 def bubble_sources(edges: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(source): nodes with two same-strand departures that meet again within ``max_depth`` further steps.
+    """(source): forks of one strand whose branches join again at most ``max_depth`` steps behind their first nodes.
 
-    Reached sets are built per departure, one deduplicated join a step, and
-    only for nodes that branch. Two departures meet where they reach a common
-    node that is no departure itself, or where one reaches the other's start.
+    A branch is an edge out of a strand that has several, known by a number.
+    Each round moves all branches one step on, by one join and a distinct over
+    (branch, place). Two branches of a fork join where both come to a node at
+    which none of the fork begins, or where one comes to the other's first node.
     """
     if max_depth < 1:
-        raise ContractError(["bubble depth must be >= 1"])
-    e = cut(_strands(edges).distinct(), "strands")
-    branching = e.groupBy("source", "leaves").count().where("count > 1").select("source", "leaves")
-    starts = cut(e.join(branching, ["source", "leaves"]).select("source", "leaves", F.col("target").alias("start"), F.col("arrives").alias("entry")), "starts")
-    key = ["source", "leaves", "start", "entry"]
-    front = starts.withColumn("node", F.col("start")).withColumn("strand", F.col("entry"))
+        raise ContractError([f"max_depth is {max_depth}, and must be 1 or more"])
+    e = cut(_strands(edges).distinct().select(F.concat("source", "leaves").alias("at"), F.concat("target", "arrives").alias("next")), "strands")
+    forks = e.groupBy("at").count().where("count > 1").select("at")
+    branches = e.join(forks, "at").withColumn("branch", F.monotonically_increasing_id())
+    branches = cut(branches.select("branch", F.col("at").alias("fork"), F.col("next").alias("start")), "branches")
+    front = branches.select("branch", F.col("start").alias("at"))
     seen, reached = front, None
-    step = e.select(F.col("source").alias("node"), F.col("leaves").alias("strand"), F.col("target").alias("next"), F.col("arrives").alias("next_strand"))
-    for _ in range(max_depth):
-        front = cut(front.join(step, ["node", "strand"]).select(*key, F.col("next").alias("node"), F.col("next_strand").alias("strand")).distinct(), "front")
-        reached = front.select(*key, "node") if reached is None else reached.unionByName(front.select(*key, "node"))
-        front = front.join(seen, [*key, "node", "strand"], "left_anti")
-        seen = seen.unionByName(front)
-    reached = cut(reached.distinct(), "reached")
-    shared = reached.join(starts.select("source", "leaves", F.col("start").alias("node")).distinct(), ["source", "leaves", "node"], "left_anti")
-    met = shared.groupBy("source", "leaves", "node").count().where("count > 1").select("source")
-    other = starts.select("source", "leaves", F.col("start").alias("node"), F.col("entry").alias("_entry"))
-    crossed = reached.join(other, ["source", "leaves", "node"]).where("not (node = start and entry = _entry)").select("source")
-    return met.unionByName(crossed).distinct()
+    for step in range(max_depth):
+        front = cut(front.join(e, "at").select("branch", F.col("next").alias("at")).distinct(), "front")
+        reached = front if reached is None else reached.unionByName(front)
+        if step + 1 < max_depth:
+            front = front.join(seen, ["branch", "at"], "left_anti")
+            seen = seen.unionByName(front)
+    node = lambda c: F.expr(f"left({c}, length({c}) - 1)")
+    came = cut(reached.distinct().join(branches, "branch").select("branch", "fork", "start", "at", node("at").alias("node")), "reached")
+    begin = branches.select("fork", node("start").alias("node"), F.col("start").alias("other"), F.lit(True).alias("begins"))
+    plain = came.select("branch", "fork", "node").distinct().join(begin.select("fork", "node").distinct(), ["fork", "node"], "left_anti")
+    joined = plain.groupBy("fork", "node").count().where("count > 1").select("fork")
+    crossed = came.join(begin, ["fork", "node"]).where("other <> start").select("fork")
+    return joined.unionByName(crossed).select(node("fork").alias("source")).distinct()
 
 
 def csr_slots(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.cut import cut
 from tessera.functions import seq
 from tessera.functions.sets import OPERATIONS, text
 from tessera.operators import annotate, build, colour, edits, identity, ml, score, tensor, topology, transit, validate
-from tessera.operators.compact import compact, expand
+from tessera.operators.compact import Compacted, compact, expand
 from tessera.operators.components import connected_components
 from tessera.operators.ids import ranked
 from tessera.operators.proposals import apply_proposal
@@ -80,19 +80,7 @@ def dbg_edges(spark: SparkSession, d: str) -> DataFrame:
 @query("contig_overlap", f"WITH {READS} SELECT a.read_id AS source, b.read_id AS target FROM reads a JOIN reads b ON right(a.seq, 8) = left(b.seq, 8) AND a.read_id <> b.read_id WHERE length(a.seq) >= 9 AND length(b.seq) >= 9")
 def contig_overlap(spark: SparkSession, d: str) -> DataFrame:
     contigs = reads(spark, d).where(F.length("seq") >= 9).select(F.col("read_id").alias("id"), "seq")
-    return build.overlap_graph(contigs, 9)
-
-
-@query(
-    "simulate_reads",
-    f"""WITH {READS}, g AS (SELECT read_id AS genome_id, seq FROM reads WHERE length(seq) >= 60),
-r AS (SELECT genome_id, seq, unnest(range(0, length(seq) // 60)) AS i FROM g)
-SELECT 's_' || genome_id || '_' || printf('%04d', i) AS read_id, genome_id, substr(seq, (1 + 3 * i + list_sum(list_transform(string_split(genome_id, ''), lambda c: ascii(c)))::BIGINT) % (length(seq) - 16 + 1) + 1, 16) AS seq FROM r""",
-)
-def simulate_reads(spark: SparkSession, d: str) -> DataFrame:
-    genomes = reads(spark, d).where(F.length("seq") >= 60).select(F.col("read_id").alias("genome_id"), "seq")
-    dealt = genomes.select(F.lit("s").alias("sample_id"), "genome_id", F.floor(F.length("seq") / 60).alias("n"))
-    return build.simulate_reads(genomes, dealt, 16, 1).select("read_id", "genome_id", "seq")
+    return build.overlap_pairs(contigs, 9)
 
 
 # Topology -------------------------------------------------------------------
@@ -135,7 +123,7 @@ def compact_unitigs(spark: SparkSession, d: str) -> DataFrame:
     return compact(read_graph(spark, d, K)).unitigs.select("unitig_id", "sequence", F.size("members").cast("long").alias("n_members"))
 
 
-LINKS = "links AS (SELECT e.edge_id AS link_id, a.unitig_id AS source, b.unitig_id AS target FROM edges e JOIN mapping a ON a.node_id = e.source JOIN mapping b ON b.node_id = e.target WHERE e.edge_id NOT IN (SELECT edge_id FROM absorbed))"
+LINKS = "links AS (SELECT e.edge_id AS link_id, a.unitig_id AS source, b.unitig_id AS target FROM (SELECT * FROM edges ANTI JOIN absorbed USING (edge_id)) e JOIN mapping a ON a.node_id = e.source JOIN mapping b ON b.node_id = e.target)"
 
 
 @query("compact_links", f"WITH RECURSIVE {graph_sql(K)}, {UNITIGS}, {LINKS} SELECT link_id, source, target FROM links")
@@ -358,8 +346,19 @@ def annot_union(spark: SparkSession, d: str) -> DataFrame:
     return annotate.aggregate(members, c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value")), "union", "category")
 
 
-@query("annot_majority", "SELECT \"group\", value FROM (SELECT c_nationkey::BIGINT AS \"group\", c_mktsegment AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY c_nationkey, c_mktsegment) WHERE r = 1")
+#: Orders of a customer with their value twice, so that every customer has one most frequent value.
+@query("annot_majority", "SELECT o_custkey AS \"group\", min(o_orderpriority) AS value FROM orders GROUP BY 1")
 def annot_majority(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    least = o.groupBy("o_custkey").agg(F.min("o_orderpriority").alias("value"), F.count("*").alias("n"))
+    own = o.select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("value"))
+    more = least.select(F.col("o_custkey").alias("group"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int") + 1)).alias("i"), "value")
+    rows = own.unionByName(more.select("group", (-F.col("group") * 100000 - F.col("i")).alias("id"), "value"))
+    return annotate.aggregate(rows.select("group", "id"), rows.select("id", "value"), "majority", "category").select("group", "value")
+
+
+@query("most_frequent", "SELECT \"group\", value FROM (SELECT c_nationkey::BIGINT AS \"group\", c_mktsegment AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY c_nationkey, c_mktsegment) WHERE r = 1")
+def most_frequent(spark: SparkSession, d: str) -> DataFrame:
     return annotate.most_frequent(table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("group"), F.col("c_mktsegment").alias("value")))
 
 
@@ -460,11 +459,31 @@ def stop_clusters(spark: SparkSession, d: str) -> DataFrame:
 # Edits, validation, identity ------------------------------------------------
 
 
+def _as_links(spark: SparkSession, d: str) -> Compacted:
+    """Suppliers as unitigs of one member and their edges as links."""
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("unitig_id"), seq.base4(F.col("s_suppkey"), 8).alias("sequence"))
+    none = F.array().cast("array<string>")
+    unitigs = names.select("unitig_id", "sequence", F.array(F.concat(F.lit("m"), "unitig_id")).alias("members"), none.alias("internal_edge_ids"), F.array().cast("array<int>").alias("internal_overlaps"))
+    mapping = unitigs.select(F.col("members")[0].alias("node_id"), "unitig_id", F.lit(0).alias("ordinal"), F.length("sequence").alias("length"))
+    e = supplier_edges(spark, d)
+    links = e.select(F.concat_ws(">", "source", "target").alias("link_id"), F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.lit("++").alias("orientation"), F.lit(None).cast("int").alias("overlap"))
+    internal = spark.createDataFrame([], "edge_id string, source string, target string, overlap int")
+    return Compacted(mapping, unitigs, links, internal)
+
+
 @query("edit_remove", f"WITH {HOPS} SELECT source || '>' || target AS link_id FROM g_edges WHERE (source + target) % 4 <> 0")
 def edit_remove(spark: SparkSession, d: str) -> DataFrame:
-    e = supplier_edges(spark, d)
-    gone = e.where("(source + target) % 4 = 0")
-    return e.join(gone, ["source", "target"], "left_anti").select(F.concat_ws(">", "source", "target").alias("link_id"))
+    c = _as_links(spark, d)
+    return edits.remove_edges(c, c.links.where("(cast(source as long) + cast(target as long)) % 4 = 0").select("link_id")).links.select("link_id")
+
+
+@query("edit_remove_nodes", "SELECT s_suppkey::VARCHAR AS unitig_id FROM supplier WHERE s_suppkey % 3 <> 0")
+def edit_remove_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every third supplier's unitig, after the links that touch one."""
+    c = _as_links(spark, d)
+    third = c.unitigs.where("cast(unitig_id as long) % 3 = 0").select("unitig_id")
+    touching = c.links.where("cast(source as long) % 3 = 0 or cast(target as long) % 3 = 0").select("link_id")
+    return edits.remove_nodes(edits.remove_edges(c, touching), third).unitigs.select("unitig_id")
 
 
 @query("edit_upsert", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'MARKED' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT -c_custkey - 1, 'NEW' FROM customer WHERE c_custkey % 50 = 0")
@@ -569,7 +588,13 @@ def physical_stops(spark: SparkSession, d: str) -> DataFrame:
     return out.select("trip_id", F.col("pos").cast("long").alias("pos"), "stop_id")
 
 
-@query("repeat_junctions")
+JUNCTIONS = """ends AS (SELECT side || s_suppkey AS j FROM supplier, (VALUES ('p:'), ('s:')) v(side)), glue AS (SELECT 's:' || source AS a, 'p:' || target AS b FROM g_edges),
+both_ AS (SELECT a, b FROM glue UNION SELECT b, a FROM glue), walk AS (SELECT j AS node, j AS root FROM ends UNION SELECT both_.b, root FROM walk JOIN both_ ON both_.a = node),
+least AS (SELECT node AS j, min(root) AS root FROM walk GROUP BY 1), class_ AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS number FROM (SELECT DISTINCT root FROM least)),
+block AS (SELECT j, array_to_string(list_transform(range(19, -1, -1), lambda p: substr('ACGT', 1 + (number // (4::HUGEINT ** p)::BIGINT) % 4, 1)), '') AS b FROM least JOIN class_ USING (root))"""
+
+
+@query("repeat_junctions", f"WITH RECURSIVE {HOPS}, {JUNCTIONS} SELECT s_suppkey::VARCHAR AS node, p.b || s.b AS sequence FROM supplier JOIN block p ON p.j = 'p:' || s_suppkey JOIN block s ON s.j = 's:' || s_suppkey")
 def repeat_junctions(spark: SparkSession, d: str) -> DataFrame:
     e = supplier_edges(spark, d).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))
@@ -594,7 +619,12 @@ def gcn_predict(spark: SparkSession, d: str) -> DataFrame:
     return ml.predict_softmax(hidden, ml.fit_softmax(hidden))
 
 
-@query("edit_split")
+@query(
+    "edit_split",
+    f"""WITH RECURSIVE {graph_sql(K)}, {UNITIGS}, u AS (SELECT unitig_id, count(*) AS n FROM mapping GROUP BY 1), one AS (SELECT unitig_id, n FROM u WHERE n > 1 ORDER BY n DESC, unitig_id LIMIT 1)
+SELECT unitig_id, ({K} + n - 1)::INT AS length, n::INT AS n_members FROM u WHERE unitig_id NOT IN (SELECT unitig_id FROM one)
+UNION ALL SELECT 'u_p_x_a', {K}, 1 FROM one UNION ALL SELECT 'u_p_x_b', ({K} + n - 2)::INT, (n - 1)::INT FROM one""",
+)
 def edit_split(spark: SparkSession, d: str) -> DataFrame:
     """The longest unitig cut behind its first member."""
     c = compact(read_graph(spark, d, K))

@@ -58,15 +58,15 @@ def read_graph(spark: SparkSession, d: str, k: int) -> Graph:
 #: CTEs of the compacted graph: heads and cycle roots, then one step of the path at a time.
 UNITIGS = """outd AS (SELECT source, count(*) AS n FROM edges GROUP BY 1), ind AS (SELECT target, count(*) AS n FROM edges GROUP BY 1),
 merging AS (SELECT e.* FROM edges e JOIN outd USING (source) JOIN ind USING (target) WHERE outd.n = 1 AND ind.n = 1 AND source <> target),
-headed AS (SELECT node_id AS head FROM nodes WHERE node_id NOT IN (SELECT target FROM merging)),
+headed AS (SELECT node_id AS head FROM nodes ANTI JOIN merging ON node_id = target),
 walk AS (SELECT head, head AS node, 0 AS ordinal FROM headed UNION ALL SELECT head, target, ordinal + 1 FROM walk JOIN merging ON source = node),
-ringed AS (SELECT node_id AS node FROM nodes WHERE node_id NOT IN (SELECT node FROM walk)),
+ringed AS (SELECT node_id AS node FROM nodes ANTI JOIN walk ON node_id = node),
 around AS (SELECT node AS root, node, 0 AS ordinal FROM ringed UNION ALL SELECT root, target, ordinal + 1 FROM around JOIN merging ON source = node WHERE target <> root),
 roots AS (SELECT root FROM around GROUP BY root HAVING min(node) = root),
 placed AS (SELECT head, node, ordinal FROM walk UNION ALL SELECT root, node, ordinal FROM around WHERE root IN (SELECT root FROM roots)),
 named AS (SELECT head, printf('u%06d', row_number() OVER (ORDER BY head)) AS unitig_id FROM (SELECT DISTINCT head FROM placed)),
 mapping AS (SELECT node AS node_id, unitig_id, ordinal FROM placed JOIN named USING (head)),
-absorbed AS (SELECT * FROM merging WHERE target NOT IN (SELECT root FROM roots))"""
+absorbed AS (SELECT * FROM merging ANTI JOIN roots ON target = root)"""
 
 
 def hops(spark: SparkSession, d: str) -> DataFrame:

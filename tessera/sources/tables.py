@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.errors import ContractError
-from tessera.sources.text import tsv
+from tessera.errors import ContractError, gathered, require_none
+from tessera.sources.text import tsv, write_tsv
 
 
 def taxdump(spark: SparkSession, nodes: str, names: str) -> DataFrame:
@@ -67,8 +67,24 @@ def pin_pairs(spark: SparkSession, path: str) -> DataFrame:
     roles = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list("role")).alias("r")).where("r <> array('db', 'sim')")
     key = F.substring_index("accession", ".", 1)
     twice = rows.where("role = 'sim'").groupBy(key.alias("k")).count().where("count > 1")
-    errors = [f"pair {r['pair_id']} needs one sim and one db row" for r in roles.orderBy("pair_id").limit(100).collect()]
-    errors += [f"repeated sim accession {r['k']}" for r in twice.orderBy("k").limit(100).collect()]
+    errors = gathered(roles.select("pair_id"), lambda r: f"pair {r['pair_id']} has not one row of sim and one of db")
+    errors += gathered(twice.select("k"), lambda r: f"sim accession {r['k']} stands in more than one pair")
     if errors:
         raise ContractError(errors)
     return rows
+
+
+def bin_scores(spark: SparkSession, path: str, gold: str = "Gold standard") -> DataFrame:
+    """The one row of a binning result table that is a tool's and not the gold standard's; more or fewer are an error."""
+    rows = tsv(spark, path)
+    own = rows.where(F.col("Tool") != gold)
+    if (n := own.count()) != 1:
+        raise ContractError([f"{path} has {n} rows of tools where one is wanted"])
+    return own
+
+
+def write_bins(contigs: DataFrame, truth: DataFrame, path: str) -> None:
+    """(SEQUENCEID, BINID, LENGTH) of every contig (id, length) by ``truth`` (id, bin), in order of ids; a contig without a bin is an error."""
+    rows = contigs.join(truth, "id", "left")
+    require_none(rows.where("bin is null").select("id"), lambda r: f"contig {r['id']} has no bin")
+    write_tsv(rows.orderBy("id").select(F.col("id").alias("SEQUENCEID"), F.col("bin").alias("BINID"), F.col("length").alias("LENGTH")), path)

@@ -33,7 +33,7 @@ def test_decaying_mass(spark):
     assert got == {("a", 1): 0.5, ("a", 2): 0.375, ("a", 3): 0.125, ("b", 2): 0.75, ("b", 3): 0.25}
     kept = {r["node"]: r["colours"] for r in colour.decaying_colours(colour.decaying_mass(own, edges, iterations=1)).collect()}
     assert kept == {"a": [1], "b": [2]}
-    with pytest.raises(ContractError, match="decay must be"):
+    with pytest.raises(ContractError, match="decay is 2.0"):
         colour.decaying_mass(own, edges, decay=2.0)
 
 

@@ -4,7 +4,7 @@ import pytest
 
 from tessera.errors import ContractError
 from tessera.operators import topology
-from tessera.operators.build import Graph, de_bruijn, overlap_graph, simulate_reads
+from tessera.operators.build import Graph, de_bruijn, overlap_graph
 from tessera.operators.compact import compact, expand
 from tessera.operators.components import connected_components
 from tessera.operators.edits import merge_unitigs, remove_edges, remove_nodes, split_unitig, upsert
@@ -69,7 +69,7 @@ def test_chain_sequence_and_round_trip(spark):
 
 
 def test_overlap_mismatch_is_refused(spark):
-    with pytest.raises(ContractError, match="overlap mismatch on edge e1"):
+    with pytest.raises(ContractError, match="edge e1: the last 2 letters of a do not begin b"):
         compact(graph(spark, [("a", "ACG"), ("b", "TTT")], [("e1", "a", "b", "++", 2)]))
 
 
@@ -79,15 +79,12 @@ def test_read_of_exactly_k_letters_is_a_node(spark):
 
 
 def test_contig_overlap(spark):
-    rows = spark.createDataFrame([("n1", "AACGTT"), ("n2", "GTTAAA"), ("n3", "CCCCCC")], "id string, seq string")
-    assert [tuple(r) for r in overlap_graph(rows, 4).collect()] == [("n1", "n2")]
-
-
-def test_simulated_reads_are_deterministic(spark):
-    g = spark.createDataFrame([("g", "ACGTACGTAC")], "genome_id string, seq string")
-    a = spark.createDataFrame([("s", "g", 3), ("s", "g", 0)], "sample_id string, genome_id string, n int")
-    got = sorted(tuple(r) for r in simulate_reads(g, a, 4, 1).collect())
-    assert got == [(f"s_g_{i:04d}", "s", "g", "ACGTACGTAC"[(1 + 3 * i + 103) % 7 :][:4]) for i in range(3)]
+    rows = spark.createDataFrame([("x", "AACGTT", 1), ("w", "GTTAAA", 2), ("v", "CCCCCC", 3)], "id string, seq string, pos int")
+    g = overlap_graph(rows, 4)
+    assert sorted(map(tuple, g.nodes.collect())) == [("n000001", "AACGTT"), ("n000002", "GTTAAA"), ("n000003", "CCCCCC")]
+    assert [tuple(r) for r in g.edges.collect()] == [("e000001", "n000001", "n000002", "++", 3)]
+    with pytest.raises(ContractError, match="fewer than 7 letters"):
+        overlap_graph(rows, 7)
 
 
 @pytest.mark.parametrize(

@@ -13,7 +13,7 @@ def put(tmp_path, name, content):
 def test_fasta(spark, tmp_path):
     p = put(tmp_path, "x.fa", ">a one\nacg\nTT\n>b\n\nGG\n")
     assert [(r["id"], r["seq"]) for r in text.fasta(spark, p).orderBy("id").collect()] == [("a", "ACGTT"), ("b", "GG")]
-    with pytest.raises(ContractError, match="duplicate FASTA id a"):
+    with pytest.raises(ContractError, match="2 records are called a"):
         text.require_records(text.fasta(spark, put(tmp_path, "y.fa", ">a\nA\n>a\nC\n")))
 
 

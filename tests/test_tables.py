@@ -50,7 +50,7 @@ def test_reports_and_pins(spark, tmp_path):
     bad = put(tmp_path, "q.tsv", "pair_id\trole\taccession\n1\tsim\tA.1\n2\tsim\tA.2\n2\tdb\tB.1\n")
     with pytest.raises(ContractError) as caught:
         tables.pin_pairs(spark, bad)
-    assert caught.value.errors == ["pair 1 needs one sim and one db row", "repeated sim accession A"]
+    assert caught.value.errors == ["pair 1 has not one row of sim and one of db", "sim accession A stands in more than one pair"]
 
 
 def test_transfer(spark):
