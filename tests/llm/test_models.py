@@ -229,3 +229,109 @@ def test_thresholds_come_from_all_labelled_rows(larger):
             f1 = {g: 2 * ((s >= g) & (y == 1)).sum() / max(1, (s >= g).sum() + y.sum()) for g in [*np.linspace(0.05, 0.95, 91), 0.3]}
             want[lang] = min((g for g, f in f1.items() if f >= max(f1.values()) - 1e-12), key=lambda g: abs(g - 0.3))
     assert want and model.by_language == pytest.approx(want)
+
+
+def test_the_first_split_is_the_best_of_all():
+    """The root of the first tree against a search over every feature and cut, by sums over rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5)).astype(np.float32)
+    x[:, 3] = rng.integers(0, 4, 300)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 3] > 2)).astype(int)
+    weight = rng.uniform(0.5, 2, 300)
+    trees = quality.grow(x, y, weight)
+    p = 1 / (1 + np.exp(-trees.base))
+    g, h = weight * (p - y), weight * p * (1 - p)
+    best = {}
+    for f in range(5):
+        for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])).astype(np.float32):
+            left = x[:, f] <= c
+            if min(h[left].sum(), h[~left].sum()) >= quality.LEAST_WEIGHT:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + quality.L2) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + quality.L2)
+                best[f, float(c)] = gain
+    chosen = best[int(trees.feature[0, 0]), float(trees.limit[0, 0])]
+    assert chosen >= max(best.values()) - 1e-9
+    # a leaf moves the score by the rate times the Newton step of its rows
+    node = np.zeros(300, int)
+    for _ in range(quality.DEPTH):
+        node = 2 * node + 1 + (x[np.arange(300), trees.feature[0, node]] > trees.limit[0, node])
+    for k in set(node.tolist()):
+        rows = node == k
+        assert np.isclose(trees.leaf[0, k - (2**quality.DEPTH - 1)], -quality.RATE * g[rows].sum() / (h[rows].sum() + quality.L2))
+
+
+def test_thresholds_against_every_choice():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        n = 200
+        y = (rng.random(n) < 0.3).astype(int)
+        score = np.clip(0.25 * y + rng.random(n) * 0.7, 0, 1)
+        grid = toxicity.threshold_grid(0.3)
+        count = np.zeros((len(grid) + 1, 2), int)
+        np.add.at(count, (np.searchsorted(grid, score, "right"), y), 1)
+
+        def f1(t, y=y, score=score):
+            hit = ((score >= t) & (y == 1)).sum()
+            return 2 * hit / max(1, (score >= t).sum() + y.sum())
+
+        got = toxicity.best_threshold(count, 0.3)
+        assert f1(got) >= max(f1(t) for t in grid) - 1e-9
+        assert all(abs(got - 0.3) <= abs(t - 0.3) + 1e-12 for t in grid if f1(t) >= f1(got) - 1e-12)
+    assert toxicity.best_threshold(np.array([[30, 5], [0, 0]]), 0.3) is None
+
+
+def kneser_ney_by_loops(texts, order=5):
+    """Interpolated modified Kneser-Ney over the padded bytes of words, from dictionaries."""
+    padded = [b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in w) + b" " for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode())]
+    c = {n: {} for n in range(1, order + 1)}
+    for p in padded:
+        for i in range(1, len(p)):
+            g = p[max(0, i - order + 1) : i + 1]
+            c[len(g)][g] = c[len(g)].get(g, 0) + 1
+    for n in range(order - 1, 0, -1):  # how many different bytes stand before; beginnings of words keep their counts
+        for g in c[n + 1]:
+            c[n][g[1:]] = c[n].get(g[1:], 0) + 1
+    prob = {0: {}}
+    for n in range(1, order + 1):
+        of = [sum(v == k for v in c[n].values()) for k in (1, 2, 3, 4)]
+        if of[0] and of[1] and of[2]:
+            y = of[0] / (of[0] + 2 * of[1])
+            d = [min(max(v, 0.05), top) for v, top in zip((1 - 2 * y * of[1] / of[0], 2 - 3 * y * of[2] / of[1], 3 - 4 * y * of[3] / of[2]), (0.95, 1.9, 2.9), strict=True)]
+        else:
+            d = [0.5, 0.75, 0.9]
+        total, left = {}, {}
+        for g, v in c[n].items():
+            total[g[:-1]] = total.get(g[:-1], 0) + v
+            left[g[:-1]] = left.get(g[:-1], 0.0) + max(v - d[min(v, 3) - 1], 0.0)
+        prob[n] = {}
+        for g, v in c[n].items():
+            gamma = max(1 - left[g[:-1]] / total[g[:-1]], 1e-9)
+            lower = 1 / 256 if n == 1 else prob[n - 1][g[1:]]
+            prob[n][g] = max(v - d[min(v, 3) - 1], 0.0) / total[g[:-1]] + gamma * lower
+    return prob
+
+
+def test_language_model_and_verdict_against_loops(spark):
+    rng = np.random.default_rng(8)
+    stems = ["lamo", "riva", "tesk", "undo", "the", "Par", "él", "onto"]
+    texts = [" ".join(stems[i] + ("" if j else "s") for i, j in zip(rng.integers(0, 8, 70), rng.integers(0, 3, 70), strict=True)) for _ in range(24)]
+    texts += [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(70)), "too short"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in perplexity.quality_rules(df).collect()}
+    prob = kneser_ney_by_loops(texts)
+    logs = []
+    for t in texts:
+        total = n = 0
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode()):
+            p = b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in w) + b" "
+            for i in range(1, len(p)):
+                g = p[max(0, i - 4) : i + 1]
+                total -= np.log(prob[len(g)][g])
+                n += 1
+        logs.append(total / n)
+    assert all(abs(rows[i]["log_perplexity"] - x) < 1e-5 for i, x in enumerate(logs))
+    passed = sorted(x for i, x in enumerate(logs) if not rows[i]["base_failed"])
+    quarter = lambda q: passed[int(np.ceil(q * len(passed))) - 1]
+    low, high = quarter(0.25), quarter(0.75)
+    reach = perplexity.SPREAD * max(high - low, 0.01)
+    want = [not rows[i]["base_failed"] and low - reach <= x <= high + reach for i, x in enumerate(logs)]
+    assert [rows[i]["kept"] for i in range(len(texts))] == want and want.count(False) == 2
