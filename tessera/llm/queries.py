@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licences
+from tessera.llm import decontaminate as windows
+from tessera.llm import licences, near_dedup
 from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.near_dedup import near_duplicates
@@ -40,12 +41,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), length=200)
 
 
-@registry.add("op5_minhash_near_dedup")
+@registry.add("op5_minhash_near_dedup", near_dedup.oracle_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
-@registry.add("op4_benchmark_decontamination")
+@registry.add("op4_benchmark_decontamination", windows.oracle_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
