@@ -158,17 +158,6 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("doc", "mark", "text").mapInArrow(run, FIRST)
 
 
-def _semi(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """The written ``rows`` that ``wanted`` (on, n: how many rows of that kind there are) names.
-
-    Kinds that hold more than a thousandth of the rows, at most 1000 of them, are broadcast, and
-    their rows stay where they are; only the others are shuffled.
-    """
-    many = F.lit(rows.count() // 1000)
-    hot = F.broadcast(wanted.where(F.col("n") > many).select(*on))
-    return rows.join(hot, on, "left_semi").unionByName(rows.join(hot, on, "left_anti").join(wanted.where(F.col("n") <= many).select(*on), on, "left_semi"))
-
-
 def _judged(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
     """Of the rows that ``make`` gives those whose anchor another row has too, and one row for each (key, content) of theirs, both written.
 
@@ -178,13 +167,13 @@ def _judged(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, DataFr
     """
     def shared() -> DataFrame:
         every = cut(make(), "runs")
-        return _semi(every, cut(every.groupBy("key").agg(F.sum("weight").alias("all"), F.count("*").alias("n")).where("all > 1"), "keys"), ["key"])
+        return every.join(every.groupBy("key").agg(F.sum("weight").alias("all")).where("all > 1").select("key"), "key", "left_semi")
 
     rows = settled(shared, name)
     also = ["bytes"] if "bytes" in rows.columns else []
     # all firsts come from one row: they are filled together
     one = [F.first(c).alias(c) for c in ("doc", "mark", "start", "windows", "reach", *also)]
-    contents = rows.groupBy("key", "content").agg(F.sum("weight").alias("copies"), F.count("*").alias("n"), *one)
+    contents = rows.groupBy("key", "content").agg(F.sum("weight").alias("copies"), *one)
 
     def counted() -> DataFrame:
         each = cut(contents, "contents")
@@ -196,7 +185,7 @@ def _judged(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, DataFr
 def _found(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
     """Spans of the rows whose whole content is repeated; in later rounds heavier rows have given theirs already."""
     span = f"start + windows - 1 + {length} as b"
-    rows = _semi(rows, contents.where("copies > 1"), ["key", "content"])
+    rows = rows.join(contents.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
     if "others" not in rows.columns:
         return rows.where("weight = 1").selectExpr("doc", "mark", "start as a", span)
     places = rows.select("windows", F.explode(F.concat(F.array(F.struct("doc", "mark", "start")), F.coalesce("others", F.expr("array()")))).alias("p"))
