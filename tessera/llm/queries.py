@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as windows
-from tessera.llm import licences, near_dedup
+from tessera.llm import clusters, licences, middle, near_dedup, passages
 from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.near_dedup import near_duplicates
@@ -74,3 +75,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op6_chat_transcripts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
+
+
+@registry.add("op11_centroid_clustering", clusters.oracle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.kmeans(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+@registry.add("op12_substring_dedup", passages.oracle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup_passages(table(spark, sf_dir, "documents"), window=13)
+
+
+@registry.add("op13_fill_in_middle", middle.oracle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=42, plain=50, spm=80)
+    digest = F.sha2("output", 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest.alias("output_sha256"), F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
