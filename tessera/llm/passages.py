@@ -154,8 +154,8 @@ def shared_runs(texts: DataFrame, window: int) -> DataFrame:
         for open_, chosen in ((True, asks & ~both), (False, asks & both)):
             some = np.flatnonzero(chosen)
             some = some[np.argsort(bucket[some], kind="stable")]
-            edges = np.flatnonzero(np.append(True, bucket[some][1:] != bucket[some][:-1])) if len(some) else np.zeros(0, np.int64)
-            for a, b in zip(edges, np.append(edges[1:], len(some)), strict=True):
+            edges = np.flatnonzero(np.append(True, bucket[some][1:] != bucket[some][:-1])) if len(some) else some
+            for a, b in zip(edges, [*edges[1:], len(some)], strict=False):
                 one = some[a:b]
                 yield record(BLOB_ARROW, bucket=[int(bucket[one[0]])], open=[open_], **{n: [x[one].tobytes()] for n, x in (("key", key), ("doc", doc), ("mark", mark), ("run", run))})
         some = np.flatnonzero(both)
