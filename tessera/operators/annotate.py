@@ -18,7 +18,7 @@ POLICIES = (*NUMERIC, "union", "majority", "keep_per_member")
 
 def check_policy(policy: str, dtype: str, vector: bool = False) -> None:
     if policy not in POLICIES:
-        raise ContractError([f"unknown aggregation policy {policy}"])
+        raise ContractError([f"{policy} is none of the policies {', '.join(POLICIES)}"])
     if policy in NUMERIC and dtype == "category":
         raise ContractError([f"{policy} needs a numeric layer"])
     if policy in ("union", "majority") and (vector or dtype == "float64"):
@@ -29,7 +29,8 @@ def aggregate(members: DataFrame, values: DataFrame, policy: str, dtype: str = "
     """(group, value) from members (group, id) and values (id, value).
 
     Every member needs a value. ``weighted_mean`` needs weights (id, weight),
-    all positive; ``majority`` needs one most frequent value in each group.
+    all positive and finite; ``majority`` needs one most frequent value in each
+    group; ``keep_per_member`` gives every member's value.
     """
     check_policy(policy, dtype)
     rows = members.join(values, "id", "left")
@@ -45,8 +46,9 @@ def aggregate(members: DataFrame, values: DataFrame, policy: str, dtype: str = "
         if weights is None:
             raise ContractError(["weighted_mean needs weights"])
         w = rows.join(weights, "id", "left")
-        if w.where("weight is null or not weight > 0").limit(1).count():
-            raise ContractError(["weights must be finite and > 0 for every member"])
+        weight = F.col("weight").cast("double")
+        sound = F.coalesce((weight > 0) & (weight < float("inf")) & ~F.isnan(weight), F.lit(False))
+        require_none(w.where(~sound).select("id"), lambda r: f"member {r['id']} has no weight above 0")
         return w.groupBy("group").agg((F.sum(F.col("weight") * v) / F.sum("weight")).alias("value"))
     if policy == "union":
         return g.agg(F.array_join(F.array_sort(F.collect_set(v.cast("string"))), "|").alias("value"))
@@ -83,7 +85,7 @@ def transfer(rows: DataFrame, key: str, columns: list[str], targets: DataFrame)
     return long
 
 
-#: Fields that tell where a layer comes from.
+# Fields, target types, value types and the pattern of names that layers of other tools have.
 PROVENANCE = ("source", "method", "version", "parameters", "parent_graph_id", "parent_schema_version", "parent_contract_version")
 TARGETS = ("node", "internal_node", "edge", "internal_edge")
 DTYPES = ("float64", "int64", "category")
@@ -94,13 +96,14 @@ NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.-]*")
 class Layers:
     """Annotation layers: ``about`` has a row for each layer, ``values`` one for each annotated element.
 
-    A number or a vector stands in ``numbers``, a category in ``category``.
+    A float64 number or vector stands in ``numbers``, an int64 one in ``whole``,
+    and a category in ``category``.
     """
 
     ABOUT: ClassVar[str] = "namespace string, feature string, target_type string, dtype string, kind string, aggregation string, provenance map<string,string>"
-    VALUES: ClassVar[str] = "target_id string, numbers array<double>, category string, namespace string, feature string, target_type string"
+    VALUES: ClassVar[str] = "target_id string, numbers array<double>, whole array<long>, category string, namespace string, feature string, target_type string"
     ABOUT_COLUMNS: ClassVar[tuple[str, ...]] = ("namespace", "feature", "target_type", "dtype", "kind", "aggregation", "provenance")
-    VALUE_COLUMNS: ClassVar[tuple[str, ...]] = ("target_id", "numbers", "category", "namespace", "feature", "target_type")
+    VALUE_COLUMNS: ClassVar[tuple[str, ...]] = ("target_id", "numbers", "whole", "category", "namespace", "feature", "target_type")
 
     about: DataFrame
     values: DataFrame
@@ -110,12 +113,14 @@ class Layers:
         return Layers(spark.createDataFrame([], Layers.ABOUT), spark.createDataFrame([], Layers.VALUES))
 
 
-def provenance_errors(provenance: dict, graph_id: str | None = None) -> list[str]:
-    """What is wrong with a layer's provenance: lacking or unknown fields, or another parent graph."""
+def provenance_errors(provenance: dict, graph: dict | None = None) -> list[str]:
+    """What is wrong with a layer's provenance: lacking, empty or unknown fields, or another parent than the graph with these metadata."""
     errors = [f"provenance lacks {f}" for f in PROVENANCE if f not in provenance]
     errors += [f"provenance has no field {f}" for f in sorted(set(provenance) - set(PROVENANCE))]
-    if graph_id is not None and provenance.get("parent_graph_id", graph_id) != graph_id:
-        errors.append(f"the parent graph is {graph_id} and not {provenance['parent_graph_id']}")
+    errors += [f"the field {f} of provenance is empty or no text" for f in PROVENANCE if f in provenance and f != "parameters" and not (isinstance(provenance[f], str) and provenance[f])]
+    for name in ("graph_id", "schema_version", "contract_version") if graph is not None else ():
+        if (said := provenance.get(f"parent_{name}")) is not None and said != graph.get(name):
+            errors.append(f"the parent's {name} is {graph.get(name)} and not {said}")
     return errors
 
 
@@ -123,47 +128,60 @@ def _of(rows: DataFrame, key: tuple[str, str, str]) -> Column:
     return (F.col("namespace") == key[0]) & (F.col("feature") == key[1]) & (F.col("target_type") == key[2])
 
 
-def attach(layers: Layers, rows: DataFrame, targets: DataFrame, key: tuple[str, str, str], dtype: str, provenance: dict, kind: str = "scalar", replace: bool = False, aggregation: str | None = None) -> Layers:
+def attach(layers: Layers, rows: DataFrame, targets: DataFrame, key: tuple[str, str, str], dtype: str, provenance: dict, kind: str = "scalar", replace: bool = False, aggregation: str | None = None, graph: dict | None = None) -> Layers:
     """Layers with one more: ``rows`` (target_id, value) under ``key`` (namespace, feature, target_type).
 
     Every target must be one of ``targets`` (target_id), be named once and have a
-    value of the declared type; vectors are arrays of one width. A key in use is
-    an error unless it is to be replaced. All errors are raised together.
+    value of the declared type; vectors are arrays of one width, and float64
+    values are finite. With the metadata of the ``graph`` the provenance must name
+    it as parent. A key in use is an error unless it is to be replaced. All
+    errors are raised together.
     """
     errors = [f"{what} {v!r} is no safe name" for what, v in (("namespace", key[0]), ("feature", key[1])) if not NAME.fullmatch(v)]
     errors += [f"target type {key[2]} is none of {', '.join(TARGETS)}"] if key[2] not in TARGETS else []
     if dtype not in DTYPES or kind not in ("scalar", "vector") or (kind == "vector" and dtype == "category"):
         errors.append(f"{kind} layers of {dtype} are not supported")
-    errors += provenance_errors(provenance)
+    errors += provenance_errors(provenance, graph)
     if not replace and not layers.about.where(_of(layers.about, key)).isEmpty():
         errors.append(f"layer {':'.join(key)} exists already")
     if errors:
         raise ContractError(errors)
     errors = gathered(rows.join(targets, "target_id", "left_anti").select("target_id").distinct(), lambda r: f"{r['target_id']} is no {key[2]} of the graph")
     errors += gathered(rows.groupBy("target_id").count().where("count > 1"), lambda r: f"{r['target_id']} has {r['count']} values")
+    typed = rows.schema["value"].dataType.simpleString()
+    if dtype == "int64" and re.search("double|float|decimal", typed):
+        raise ContractError([*errors, f"int64 layers hold whole numbers, not {typed}"])
     text = F.col("value").cast("string")
+
+    def number(x: Column) -> Column:
+        return x.cast("string").try_cast("double" if dtype == "float64" else "long")
+
+    def unsound(x: Column) -> Column:
+        return number(x).isNull() | F.isnan(number(x).cast("double")) | (F.abs(number(x).cast("double")) == float("inf"))
+
     if kind == "vector":
         width = rows.agg(F.max(F.size("value"))).first()[0]
-        bad = F.col("value").isNull() | (F.size("value") != F.lit(width)) | F.exists("value", lambda x: x.isNull() | F.isnan(x.cast("double")))
+        bad = F.col("value").isNull() | (F.size("value") != F.lit(width)) | (F.size("value") < 1) | F.exists("value", unsound)
     elif dtype == "category":
         bad = F.coalesce(F.trim(text), F.lit("")) == ""
     else:
-        bad = text.try_cast("double" if dtype == "float64" else "long").isNull() | F.isnan(text.try_cast("double"))
+        bad = unsound(F.col("value"))
     errors += gathered(rows.where(bad).select("target_id"), lambda r: f"{r['target_id']} has no value of type {dtype}")
     if errors:
         raise ContractError(errors)
-    numbers = F.lit(None) if dtype == "category" else F.col("value") if kind == "vector" else F.array(text.cast("double"))
-    new = rows.select("target_id", numbers.cast("array<double>").alias("numbers"), (text if dtype == "category" else F.lit(None).cast("string")).alias("category"), *[F.lit(v).alias(n) for n, v in zip(("namespace", "feature", "target_type"), key, strict=True)])
+    values = F.lit(None) if dtype == "category" else F.transform("value", number) if kind == "vector" else F.array(number(F.col("value")))
+    of = lambda name: values if dtype == name else F.lit(None)
+    new = rows.select("target_id", of("float64").cast("array<double>").alias("numbers"), of("int64").cast("array<long>").alias("whole"), (text if dtype == "category" else F.lit(None).cast("string")).alias("category"), *[F.lit(v).alias(n) for n, v in zip(("namespace", "feature", "target_type"), key, strict=True)])
     spark = rows.sparkSession
     entry = spark.createDataFrame([(*key, dtype, kind, aggregation, {k: str(v) for k, v in provenance.items()})], Layers.ABOUT)
     return Layers(layers.about.where(~_of(layers.about, key)).unionByName(entry), layers.values.where(~_of(layers.values, key)).unionByName(new))
 
 
 def layer(layers: Layers, key: tuple[str, str, str]) -> DataFrame:
-    """(target_id, numbers, category) of the layer with that key."""
+    """(target_id, numbers, whole, category) of the layer with that key."""
     if layers.about.where(_of(layers.about, key)).isEmpty():
         raise ContractError([f"there is no layer {':'.join(key)}"])
-    return layers.values.where(_of(layers.values, key)).select("target_id", "numbers", "category")
+    return layers.values.where(_of(layers.values, key)).select("target_id", "numbers", "whole", "category")
 
 
 def feature_block(layers: Layers, names: Sequence[tuple[str, str]], keys: DataFrame, target_type: str) -> tuple[DataFrame, list[str]]:
@@ -181,6 +199,7 @@ def feature_block(layers: Layers, names: Sequence[tuple[str, str]], keys: DataFr
         if rows.where("category is not null").limit(1).count():
             raise ContractError([f"layer {':'.join(key)} holds categories"])
         require_none(keys.join(rows, "target_id", "left_anti").select("target_id"), lambda r, key=key: f"{r['target_id']} has no value in {':'.join(key)}")
+        rows = rows.select("target_id", F.coalesce("numbers", F.col("whole").cast("array<double>")).alias("numbers"))
         width = rows.agg(F.max(F.size("numbers"))).first()[0] or 0
         scalar = layers.about.where(_of(layers.about, key)).first()["kind"] == "scalar"
         places += [f"{namespace}:{feature}"] if scalar else [f"{namespace}:{feature}:{i}" for i in range(width)]
@@ -199,3 +218,59 @@ def marked(flags: DataFrame, ids: DataFrame, known: DataFrame) -> DataFrame:
     """(id, value): the layer of suspicious elements with a 1 for each of ``ids``, which must be ``known``."""
     require_none(ids.join(known, "id", "left_anti").select("id"), lambda r: f"{r['id']} is no element of the graph")
     return flags.select("id", F.col("value").cast("long").alias("value")).join(ids, "id", "left_anti").unionByName(ids.select("id").distinct().withColumn("value", F.lit(1).cast("long")))
+
+
+def aggregate_layer(layers: Layers, key: tuple[str, str, str], members: DataFrame, target_type: str, policy: str, provenance: dict, weights: DataFrame | None = None, graph: dict | None = None, feature: str | None = None) -> Layers:
+    """Layers with one more: the layer ``key`` of members (group, id) brought to their groups, with the policy on record.
+
+    The new layer has the namespace of the old one and the name ``feature``, or
+    the old name and the policy. ``keep_per_member`` keeps the members' own
+    values and target type.
+    """
+    about = layers.about.where(_of(layers.about, key)).first()
+    if about is None:
+        raise ContractError([f"there is no layer {':'.join(key)}"])
+    check_policy(policy, about["dtype"], about["kind"] == "vector")
+    if about["kind"] == "vector" and policy != "keep_per_member":
+        raise ContractError([f"{policy} of a vector layer is not supported"])
+    own = {"float64": "numbers", "int64": "whole"}.get(about["dtype"])
+    value = F.col("category") if own is None else F.col(own) if about["kind"] == "vector" else F.col(own)[0]
+    rows = layer(layers, key).select(F.col("target_id").alias("id"), value.alias("value"))
+    name = feature or f"{key[1]}.{policy}"
+    if policy == "keep_per_member":
+        require_none(members.join(rows, "id", "left_anti").select("id"), lambda r: f"no value for member {r['id']}")
+        kept = rows.join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("target_id"), "value")
+        return attach(layers, kept, members.select(F.col("id").alias("target_id")).distinct(), (key[0], name, key[2]), about["dtype"], provenance, about["kind"], aggregation=policy, graph=graph)
+    made = aggregate(members, rows, policy, about["dtype"], weights).withColumnRenamed("group", "target_id")
+    whole = about["dtype"] == "int64" and policy in ("sum", "min", "max", "majority")
+    dtype = "category" if policy == "union" or about["dtype"] == "category" else "int64" if whole else "float64"
+    return attach(layers, made, members.select(F.col("group").alias("target_id")).distinct(), (key[0], name, target_type), dtype, provenance, aggregation=policy, graph=graph)
+
+
+def transfer_layers(layers: Layers, nodes: DataFrame, edges: DataFrame, members: DataFrame, links: DataFrame, internal: DataFrame, columns: dict[str, dict[str, str]], namespace: str, provenance: dict, graph: dict | None = None) -> Layers:
+    """Layers with the declared columns of an original graph's nodes (node_id, ...) and edges (edge_id, ...).
+
+    ``columns`` gives the value types of the columns of ``node`` and ``edge``. Node
+    columns become layers of the members (node_id); an edge column becomes a
+    layer of the links (link_id) and one of the edges inside unitigs (edge_id), of
+    which an empty one is left out. Both tables must name exactly what the
+    compacted graph has, and no cell may be blank.
+    """
+    if not any(columns.get(kind) for kind in ("node", "edge")):
+        raise ContractError(["no column is to be transferred"])
+    ids = members.select(F.col("node_id").alias("id"))
+    outer, inner = links.select(F.col("link_id").alias("id")), internal.select(F.col("edge_id").alias("id"))
+    both = gathered(outer.join(inner, "id", "left_semi"), lambda r: f"edge {r['id']} is a link and inside a unitig")
+    if both:
+        raise ContractError(both)
+    moved = []
+    if columns.get("node"):
+        moved.append((transfer(nodes, "node_id", list(columns["node"]), ids), ids, "internal_node", columns["node"]))
+    if columns.get("edge"):
+        long = transfer(edges, "edge_id", list(columns["edge"]), outer.unionByName(inner))
+        moved += [(long.join(part, "id", "left_semi"), part, kind, columns["edge"]) for part, kind in ((inner, "internal_edge"), (outer, "edge")) if not part.isEmpty()]
+    for long, targets, kind, types in moved:
+        for name, dtype in types.items():
+            rows = long.where(F.col("feature") == name).select(F.col("id").alias("target_id"), "value")
+            layers = attach(layers, rows, targets.select(F.col("id").alias("target_id")), (namespace, name, kind), dtype, provenance, graph=graph)
+    return layers

@@ -13,6 +13,7 @@ from tessera.cut import cut
 from tessera.errors import ContractError, require_none
 from tessera.functions import seq
 from tessera.operators.ids import numbered, ranked
+from tessera.operators.kmers import distinct_kmers
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,9 @@ class Graph:
     """nodes (node_id, sequence, ...) and edges (edge_id, source, target, orientation, overlap, ...).
 
     Edges may be given as a function, which runs when they are first asked for.
-    ``exact`` says that overlaps hold by construction.
+    ``exact`` says that overlaps hold by construction, and ``placed`` that the
+    edges as given also have ``bucket`` and ``junction``: all edges out of one
+    node have the same of both, and so have all edges into one node.
     """
 
     nodes: DataFrame
@@ -28,11 +31,16 @@ class Graph:
     kind: str = "de_bruijn"
     k: int | None = None
     exact: bool = False
+    placed: bool = False
 
     @cached_property
-    def edges(self) -> DataFrame:
+    def located(self) -> DataFrame:
         return self.given() if callable(self.given) else self.given
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self.located.drop("bucket", "junction") if self.placed else self.located
+
 
 def kmer_rows(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     """(kept columns, pos, kmer): every window of every read; shorter reads give none."""
@@ -42,24 +50,24 @@ def kmer_rows(reads: DataFrame, k: int, *keep: str) -> DataFrame:
 def de_bruijn(reads: DataFrame, k: int) -> Graph:
     """Distinct k-mers as nodes, distinct consecutive pairs as edges.
 
-    Both come from one explode of (k+1)-mers: a window's first and last k
-    letters are the pair, so no window function and no self-join is needed, and
-    only a read of exactly k letters adds a node by itself.
+    Both come from the distinct (k+1)-mers: a window's first and last k letters
+    are the pair, so no window function and no self-join is needed, and only a
+    read of exactly k letters adds a node by itself. Letters are ASCII.
     """
     if k < 2:
         raise ContractError(["k must be an integer > 1"])
-    pairs = cut(kmer_rows(reads, k + 1).select("kmer").distinct(), "pairs").select(F.left("kmer", F.lit(k)).alias("l"), F.right("kmer", F.lit(k)).alias("r"))
+    pairs = cut(distinct_kmers(reads, k + 1), "pairs")
     single = reads.where(F.length("seq") == k).select(F.col("seq").alias("kmer"))
-    kmers = pairs.select(F.explode(F.array("l", "r")).alias("kmer")).unionByName(single).distinct()
+    kmers = pairs.select(F.explode(F.array(F.left("kmer", F.lit(k)), F.right("kmer", F.lit(k)))).alias("kmer")).unionByName(single).distinct()
     nodes = ranked(kmers, ["kmer"]).select(numbered("n", "rank").alias("node_id"), F.col("kmer").alias("sequence"))
 
     def edges() -> DataFrame:
         ends = nodes.select(F.col("sequence").alias("l"), F.col("node_id").alias("source"))
         tails = nodes.select(F.col("sequence").alias("r"), F.col("node_id").alias("target"))
-        named = ranked(pairs, ["l", "r"]).join(ends, "l").join(tails, "r")
-        return named.select(numbered("e", "rank").alias("edge_id"), "source", "target", F.lit("++").alias("orientation"), F.lit(k - 1).alias("overlap"))
+        named = ranked(pairs, ["kmer"]).select("rank", "bucket", F.xxhash64(F.substring("kmer", 2, k - 1)).alias("junction"), F.left("kmer", F.lit(k)).alias("l"), F.right("kmer", F.lit(k)).alias("r"))
+        return named.join(ends, "l").join(tails, "r").select(numbered("e", "rank").alias("edge_id"), "source", "target", F.lit("++").alias("orientation"), F.lit(k - 1).alias("overlap"), "bucket", "junction")
 
-    return Graph(nodes, edges, "de_bruijn", k, exact=True)
+    return Graph(nodes, edges, "de_bruijn", k, exact=True, placed=True)
 
 
 def overlap_pairs(contigs: DataFrame, k: int) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
-from tessera.errors import ContractError
+from tessera.errors import ContractError, require_none
 from tessera.functions import seq
 from tessera.functions.sets import combine, only
 from tessera.operators.ids import ranked
+from tessera.operators.kmers import sample_counts
 from tessera.operators.ml import kmeans
 
 
@@ -53,35 +54,38 @@ def filter_colours(elements: DataFrame, dictionary: DataFrame, namespaces: Seque
 def colour_nodes_by_reads(nodes: DataFrame, reads: DataFrame, k: int, min_depth: int = 1) -> DataFrame:
     """(node_id, sample_id, depth): reads of a sample that hold a k-letter node on either strand.
 
-    A read counts once for a node; a read shorter than k covers a node that
-    holds it, which is found by the windows of that length.
+    A read counts once for a node. Windows are counted by sample in their
+    canonical form, which both strands share, before they meet the nodes. A read
+    shorter than k covers a node that holds it, which is found by the windows of
+    that length.
     """
     if min_depth < 1:
         raise ContractError(["min_vertex_depth must be >= 1"])
-    long = reads.where(F.length("seq") >= k).select("read_id", "sample_id", F.explode(F.array_distinct(seq.kmers(F.col("seq"), k))).alias("kmer"))
-    both = long.select("read_id", "sample_id", F.explode(F.array("kmer", seq.reverse_complement(F.col("kmer")))).alias("kmer")).distinct()
     n = nodes.select("node_id", F.col("sequence").alias("kmer"))
-    hits = both.join(n, "kmer").select("node_id", "sample_id", "read_id")
+    own = n.select("node_id", seq.canonical(F.col("kmer")).alias("kmer"))
+    hits = own.join(sample_counts(reads, k, by_read=True), "kmer").select("node_id", "sample_id", "n")
     short = reads.where((F.length("seq") < k) & (F.length("seq") > 0))
-    for size in [r[0] for r in short.select(F.length("seq")).distinct().orderBy(F.length("seq")).collect()]:  # fewer than k lengths
-        s = short.where(F.length("seq") == size).select("read_id", "sample_id", F.explode(F.array("seq", seq.reverse_complement(F.col("seq")))).alias("w"))
-        inside = n.select("node_id", F.explode(F.array_distinct(seq.kmers(F.col("kmer"), size))).alias("w"))
-        hits = hits.unionByName(s.join(inside, "w").select("node_id", "sample_id", "read_id"))
-    return hits.distinct().groupBy("node_id", "sample_id").agg(F.count("*").alias("depth")).where(F.col("depth") >= min_depth)
+    sizes = [r[0] for r in short.select(F.length("seq")).distinct().collect()]  # fewer than k lengths
+    if sizes:
+        counts = short.groupBy("sample_id", seq.canonical(F.col("seq")).alias("w")).agg(F.count("*").alias("n"))
+        windows = F.concat(*[seq.kmers(F.col("kmer"), size) for size in sizes])
+        inside = n.select("node_id", F.explode(F.array_distinct(F.transform(windows, seq.canonical))).alias("w"))
+        hits = hits.unionByName(inside.join(counts, "w").select("node_id", "sample_id", "n"))
+    return hits.groupBy("node_id", "sample_id").agg(F.sum("n").alias("depth")).where(F.col("depth") >= min_depth)
 
 
 def colour_edges_by_reads(edges: DataFrame, nodes: DataFrame, reads: DataFrame, k: int, min_density: int = 2) -> DataFrame:
-    """(edge_id, sample_id, density): occurrences of an edge's (k+1)-mer in a sample, on either strand."""
+    """(edge_id, sample_id, density): occurrences of an edge's (k+1)-mer in a sample, on either strand; an unknown orientation is an error."""
     if min_density < 1:
         raise ContractError(["min_edge_kmer_density must be >= 1"])
-    counts = reads.where(F.length("seq") > k).select("sample_id", F.explode(seq.kmers(F.col("seq"), k + 1)).alias("motif")).groupBy("sample_id", "motif").agg(F.count("*").alias("n"))
+    o = F.when(F.coalesce("orientation", F.lit("")) == "", "++").otherwise(F.col("orientation"))
+    require_none(edges.where(~o.isin("++", "+-", "-+", "--")).select("edge_id", "orientation"), lambda r: f"edge {r['edge_id']} has the orientation {r['orientation']}")
     s = nodes.select(F.col("node_id").alias("source"), F.col("sequence").alias("_l"))
     t = nodes.select(F.col("node_id").alias("target"), F.col("sequence").alias("_r"))
-    o = F.coalesce(F.col("orientation"), F.lit("++"))
     e = edges.join(s, "source").join(t, "target")
-    e = e.select("edge_id", seq.junction(seq.oriented(F.col("_l"), F.left(o, F.lit(1))), seq.oriented(F.col("_r"), F.right(o, F.lit(1))), k).alias("motif"))
-    both = e.select("edge_id", F.explode(F.array_distinct(F.array("motif", seq.reverse_complement(F.col("motif"))))).alias("motif"))
-    return both.join(counts, "motif").groupBy("edge_id", "sample_id").agg(F.sum("n").alias("density")).where(F.col("density") >= min_density)
+    motif = seq.junction(seq.oriented(F.col("_l"), F.left(o, F.lit(1))), seq.oriented(F.col("_r"), F.right(o, F.lit(1))), k)
+    found = e.select("edge_id", seq.canonical(motif).alias("kmer")).join(sample_counts(reads, k + 1, by_read=False), "kmer")
+    return found.select("edge_id", "sample_id", F.col("n").alias("density")).where(F.col("density") >= min_density)
 
 
 def colour_from_calls(edges: DataFrame, calls: DataFrame) -> DataFrame:

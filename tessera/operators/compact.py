@@ -2,16 +2,22 @@
 
 An edge u -> v merges where it is the only one out of u and the only one into v,
 u is not v, its orientation is forward or missing and its overlap is known.
-Merging edges form disjoint paths and cycles. Each node's distance to its path's
-head is found by pointer doubling, so a path of n nodes takes log2(n) rounds;
-what never finds a head lies on a cycle, which is opened at its smallest node.
+Merging edges form disjoint paths and cycles. Where edges come with the minimiser
+of their junction, a task sees all edges of its junctions: it decides which of
+them merge and joins them to paths as far as it sees. What is left are the ends
+at which paths of different tasks meet; a path's distance to its head is found by
+pointer doubling over those pieces, so n of them take log2(n) rounds. What never
+finds a head lies on a cycle, which is opened at its smallest node.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.cut import cut, cut_round
@@ -21,6 +27,12 @@ from tessera.operators.build import Graph
 from tessera.operators.ids import numbered, ranked
 
 
+#: Edges that a task joins to paths at a time.
+CHUNK = 1 << 18
+#: Members, or letters, of a unitig that are handled together.
+STRETCH = 4096
+
+
 @dataclass(frozen=True)
 class Compacted:
     """mapping (node_id, unitig_id, ordinal, length), unitigs, links and the edges inside unitigs."""
@@ -54,8 +66,8 @@ def _walk(state: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _cycle_minimum(ring: DataFrame, n: int) -> DataFrame:
-    """(node, least): the smallest node of each node's cycle, for ring (node, prev)."""
-    state = ring.select("node", F.col("prev").alias("jump"), F.least("node", "prev").alias("least"))
+    """(node, least): the smallest ``least`` of each cycle, for ring (node, prev, least)."""
+    state = ring.select("node", F.col("prev").alias("jump"), "least")
     span = 1
     while span < n:
         hop = state.select(F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("least").alias("other"))
@@ -73,40 +85,151 @@ def overlap_mismatches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return wrong.select("edge_id", "source", "target", "overlap")
 
 
+MERGED = "edge_id string, source string, target string, overlap int, head string, dist int, last boolean, root string"
+
+
+def _chains(located: DataFrame) -> DataFrame:
+    """MERGED rows: the merging edges, joined to paths as far as the edges of a task's junctions go.
+
+    ``head`` is the first node of such a path, ``dist`` the number of edges from it
+    to ``target``, and ``last`` whether the path ends there. Of a cycle that lies
+    in the task altogether, ``root`` is the smallest node; its edge into the root
+    is left out.
+    """
+    def solve(edges: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(edges).combine_chunks()
+        n = table.num_rows
+        ends = pa.concat_arrays([table["source"].combine_chunks(), table["target"].combine_chunks()]).dictionary_encode()
+        names, code = ends.dictionary, ends.indices.to_numpy()
+        source, target = code[:n], code[n:]
+        size = len(names)
+        plain = np.array([o in (None, "", "++") for o in table["orientation"].to_pylist()], bool) & table["overlap"].is_valid().to_numpy()
+        merges = np.flatnonzero(plain & (source != target) & (np.bincount(source, minlength=size)[source] == 1) & (np.bincount(target, minlength=size)[target] == 1))
+        before = np.full(size, -1)
+        before[target[merges]] = source[merges]
+        head, dist = np.where(before >= 0, before, np.arange(size)), (before >= 0).astype(np.int64)
+        for _ in range(size.bit_length()):
+            dist, head = dist + dist[head], head[head]
+        ring = before[head] >= 0
+        root = np.full(size, -1)
+        for x in np.flatnonzero(ring).tolist():
+            if root[x] >= 0:
+                continue
+            loop = [x]
+            while before[loop[-1]] != x:
+                loop.append(int(before[loop[-1]]))
+            loop.reverse()
+            at = loop.index(min(loop, key=lambda i: names[i].as_py()))
+            for d, node in enumerate(loop[at:] + loop[:at]):
+                head[node], dist[node], root[node] = loop[at], d, loop[at]
+        merges = merges[dist[target[merges]] > 0]
+        goes_on = np.zeros(size, bool)
+        goes_on[source[merges]] = True
+        t = target[merges]
+        rows = table.take(merges)
+        return pa.RecordBatch.from_arrays(
+            [*[rows[c].combine_chunks() for c in ("edge_id", "source", "target", "overlap")], names.take(pa.array(head[t])), pa.array(dist[t], pa.int32()), pa.array(~goes_on[t]), names.take(pa.array(np.maximum(root[t], 0), mask=root[t] < 0))],
+            names=[f.split()[0] for f in MERGED.split(", ")],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            if total >= CHUNK:
+                # what follows may belong to the junction that is held last
+                junction = batch.column(5).to_numpy()
+                same = int(np.argmax(np.append(junction != held[-1].column(5)[-1].as_py(), True)))
+                held.append(batch.slice(0, same))
+                batch = batch.slice(same)
+                if batch.num_rows:
+                    yield solve(held)
+                    held, total = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                total += batch.num_rows
+        if held:
+            yield solve(held)
+
+    edges = located.select("edge_id", "source", "target", F.col("orientation"), F.col("overlap").cast("int").alias("overlap"), "junction", "bucket")
+    parts = int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartitionByRange(parts, "bucket", "junction").sortWithinPartitions("bucket", "junction").mapInArrow(run, MERGED)
+
+
+def _joined(merge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_id, head, ordinal, overlap, edge_id) of every node behind its path's first one, and the edges that paths take up (MERGED).
+
+    A path that goes on in another task has its last node as that one's head; only
+    such pieces, one row each, go through pointer doubling.
+    """
+    piece = merge.where("last and root is null").select("head", F.col("target").alias("tail"), F.col("dist").alias("size"))
+    prior = piece.select(F.col("tail").alias("node"), F.col("head").alias("prev"), "size")
+    start = piece.select(F.col("head").alias("node")).join(prior, "node", "left")
+    start = start.select("node", F.coalesce("prev", "node").alias("jump"), F.coalesce("size", F.lit(0)).cast("long").alias("dist"), F.col("prev").isNull().alias("done"))
+    state, rings = _walk(cut(start, "start"))
+    inside = merge.where("root is not null").select(F.col("target").alias("node_id"), F.col("root").alias("head"), F.col("dist").cast("long").alias("ordinal"), "overlap", "edge_id")
+    base = state.where("done").select(F.col("node").alias("head"), F.col("jump").alias("first"), F.col("dist").alias("base"), F.lit(None).cast("long").alias("around"))
+    if rings:
+        # A cycle over several pieces starts at its smallest node, wherever in a piece that lies.
+        ring = cut(state.where("not done").select("node").join(prior, "node"), "rings")
+        own = merge.where("root is null").join(ring.select(F.col("node").alias("head")), "head", "left_semi")
+        least = own.groupBy("head").agg(F.min("target").alias("least"))
+        roots = cut(_cycle_minimum(ring.join(least.withColumnRenamed("head", "node"), "node"), rings), "least")
+        begin = own.join(roots.select(F.col("least").alias("target")).distinct(), "target").select(F.col("head").alias("node"), F.col("dist").alias("at"))
+        opened = ring.join(begin, "node", "left")
+        again = opened.select("node", F.when(F.col("at").isNotNull(), F.col("node")).otherwise(F.col("prev")).alias("jump"), F.when(F.col("at").isNotNull(), 0).otherwise(F.col("size")).cast("long").alias("dist"), F.col("at").isNotNull().alias("done"))
+        state, _ = _walk(cut(again, "start"))
+        sizes = ring.join(roots, "node").groupBy("least").agg(F.sum("size").alias("around"))
+        turned = state.select("node", F.col("jump"), "dist").join(begin.select(F.col("node").alias("jump"), "at"), "jump").join(roots, "node").join(sizes, "least")
+        base = base.unionByName(turned.select(F.col("node").alias("head"), F.col("least").alias("first"), (F.col("dist") - F.col("at") + F.col("around")).alias("base"), F.col("around").cast("long").alias("around")))
+    base = cut(base, "pieces")
+    far = F.col("base") + F.col("dist")
+    placed = merge.where("root is null").join(base, "head").select(F.col("target").alias("node_id"), F.col("first").alias("head"), F.when(F.col("around").isNull(), far).otherwise(far % F.col("around")).alias("ordinal"), "overlap", "edge_id")
+    placed = cut(placed.unionByName(inside).where("ordinal > 0"), "placed")
+    return placed, merge.join(placed.select("edge_id"), "edge_id", "left_semi") if rings else merge
+
+
+def running(rows: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over a group's rows up to each, for ``order`` 0, 1, 2, ...
+
+    Sums go over stretches of ``STRETCH`` rows, and then over those, so a long
+    group is not one task's.
+    """
+    rows = rows.withColumn("_v", value).withColumn("_b", F.expr(f"{order} div {STRETCH}"))
+    whole = rows.groupBy(group, "_b").agg(F.sum("_v").alias("_s"))
+    whole = whole.select(group, "_b", (F.sum("_s").over(Window.partitionBy(group).orderBy("_b")) - F.col("_s")).alias("_s"))
+    inside = F.sum("_v").over(Window.partitionBy(group, "_b").orderBy(order))
+    return rows.join(whole, [group, "_b"]).withColumn(name, inside + F.col("_s")).drop("_v", "_b", "_s")
+
+
 def compact(graph: Graph) -> Compacted:
     """Unitigs of the graph with a lossless mapping to its nodes and edges."""
-    nodes, edges = cut(graph.nodes, "nodes"), cut(graph.edges, "edges")
+    nodes, located = cut(graph.nodes, "nodes"), cut(graph.located, "edges")
+    edges = located.drop("bucket", "junction") if graph.placed else located
     if not graph.exact:
         require_none(overlap_mismatches(nodes, edges), lambda r: f"edge {r['edge_id']}: the last {r['overlap']} letters of {r['source']} do not begin {r['target']}")
-    merge = cut(mergeable(edges), "mergeable")
-    prev = merge.select(F.col("target").alias("node"), F.col("source").alias("prev"))
-    start = nodes.select(F.col("node_id").alias("node")).join(prev, "node", "left")
-    start = start.select("node", F.coalesce("prev", "node").alias("jump"), F.col("prev").isNotNull().cast("int").alias("dist"), F.col("prev").isNull().alias("done"))
-    state, rings = _walk(cut(start, "start"))
-    placed = state.where("done").select("node", F.col("jump").alias("head"), F.col("dist").alias("ordinal"))
-    if rings:
-        ring = cut(state.where("not done").select("node").join(prev, "node"), "rings")
-        least = cut(_cycle_minimum(ring, rings), "least")
-        roots = least.where("node = least").select("node")
-        merge = cut(merge.join(roots.select(F.col("node").alias("target")), "target", "left_anti"), "mergeable")
-        opened = ring.join(roots.withColumn("root", F.lit(True)), "node", "left")
-        again = opened.select("node", F.when(F.col("root").isNotNull(), F.col("node")).otherwise(F.col("prev")).alias("jump"), F.when(F.col("root").isNotNull(), 0).otherwise(1).alias("dist"), F.col("root").isNotNull().alias("done"))
-        state, _ = _walk(cut(again, "start"))
-        placed = placed.unionByName(state.select("node", F.col("jump").alias("head"), F.col("dist").alias("ordinal")))
-    placed = cut_round(placed, "placed")
-    heads = ranked(placed.where("ordinal = 0").select("head"), ["head"]).select("head", numbered("u", "rank").alias("unitig_id"))
-    mapping = placed.join(heads, "head").join(nodes.select(F.col("node_id").alias("node"), F.length("sequence").alias("length")), "node")
-    mapping = cut(mapping.select(F.col("node").alias("node_id"), "unitig_id", "ordinal", "length"), "mapping")
-
-    inner = merge.select(F.col("target").alias("node_id"), "edge_id", "overlap")
-    pieces = mapping.join(nodes.select("node_id", "sequence"), "node_id").join(inner, "node_id", "left")
-    parts = F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "edge_id", "overlap", F.expr("substring(sequence, coalesce(overlap, 0) + 1)").alias("piece"))))
-    unitigs = pieces.groupBy("unitig_id").agg(parts.alias("p")).select(
+    if graph.placed:
+        merge = _chains(located)
+    else:
+        merge = mergeable(edges).select("edge_id", "source", "target", "overlap", F.col("source").alias("head"), F.lit(1).alias("dist"), F.lit(True).alias("last"), F.lit(None).cast("string").alias("root"))
+    placed, merge = _joined(cut(merge, "mergeable"))
+    of = nodes.select("node_id", "sequence", F.length("sequence").alias("length")).join(placed, "node_id", "left")
+    of = of.select("node_id", "sequence", "length", F.coalesce("head", "node_id").alias("head"), F.coalesce("ordinal", F.lit(0)).cast("int").alias("ordinal"), "overlap", "edge_id")
+    of = cut(of, "placed")
+    heads = ranked(of.where("ordinal = 0").select("head"), ["head"]).select("head", numbered("u", "rank").alias("unitig_id"))
+    of = cut(of.join(heads, "head").drop("head"), "mapping")
+    mapping = of.select("node_id", "unitig_id", "ordinal", "length")
+
+    pieces = of.select("unitig_id", "ordinal", "node_id", "edge_id", "overlap", F.expr("substring(sequence, coalesce(overlap, 0) + 1)").alias("piece"))
+    # by stretches first, so that what is sorted at once stays small
+    pieces = pieces.withColumn("part", F.expr(f"ordinal div {STRETCH}")).repartition("unitig_id")
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "edge_id", "overlap", "piece")))
+    parts = pieces.groupBy("unitig_id", "part").agg(rows.alias("p")).select("unitig_id", "part", F.array_join("p.piece", "").alias("letters"), F.col("p.node_id").alias("members"), F.col("p.edge_id").alias("edges"), F.col("p.overlap").alias("overlaps"))
+    unitigs = parts.groupBy("unitig_id").agg(F.array_sort(F.collect_list(F.struct("part", "letters", "members", "edges", "overlaps"))).alias("p")).select(
         "unitig_id",
-        F.array_join(F.col("p.piece"), "").alias("sequence"),
-        F.col("p.node_id").alias("members"),
-        F.expr("slice(p.edge_id, 2, greatest(size(p) - 1, 0))").alias("internal_edge_ids"),
-        F.expr("slice(p.overlap, 2, greatest(size(p) - 1, 0))").alias("internal_overlaps"),
+        F.array_join(F.col("p.letters"), "").alias("sequence"),
+        F.flatten("p.members").alias("members"),
+        F.expr("slice(flatten(p.edges), 2, greatest(size(flatten(p.edges)) - 1, 0))").alias("internal_edge_ids"),
+        F.expr("slice(flatten(p.overlaps), 2, greatest(size(flatten(p.overlaps)) - 1, 0))").alias("internal_overlaps"),
     )
     at = mapping.select("node_id", "unitig_id")
     links = (
@@ -118,20 +241,35 @@ def compact(graph: Graph) -> Compacted:
     return Compacted(mapping, unitigs, links, merge.select("edge_id", "source", "target", "overlap"))
 
 
+def sequence_pieces(unitigs: DataFrame, size: int = STRETCH) -> DataFrame:
+    """(unitig_id, piece, letters): stretches of ``2 * size`` letters that begin every ``size`` letters, so that up to ``size`` letters from anywhere are in one."""
+    n = F.greatest((F.length("sequence") - 1) / size, F.lit(0)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("piece"), F.substring("sequence", i * size + 1, F.lit(2 * size)).alias("letters")))
+    return unitigs.select("unitig_id", F.explode(each).alias("p")).select("unitig_id", "p.*")
+
+
+def member_sequences(c: Compacted, size: int = STRETCH) -> DataFrame:
+    """(node_id, sequence) of all members, read from the stretches of their unitigs."""
+    joint = c.internal.select(F.col("target").alias("node_id"), F.col("overlap").alias("joint"))
+    rows = c.mapping.join(joint, "node_id", "left").withColumn("joint", F.when(F.col("ordinal") > 0, F.col("joint")).otherwise(0))
+    rows = running(rows, "unitig_id", "ordinal", F.col("length") - F.coalesce("joint", F.lit(0)), "end").select("node_id", "unitig_id", "length", (F.col("end") - F.col("length")).cast("int").alias("start"))
+    rows = cut(rows, "starts")
+    pieces = cut(sequence_pieces(c.unitigs, size), "letters")
+    short = rows.where(F.col("length") <= size).withColumn("piece", F.expr(f"cast(start div {size} as int)")).join(pieces, ["unitig_id", "piece"])
+    short = short.select("node_id", F.expr(f"substring(letters, start - piece * {size} + 1, length)").alias("sequence"))
+    long = rows.where(F.col("length") > size).select("*", F.explode(F.expr(f"sequence(cast(start div {size} as int), cast((start + length - 1) div {size} as int))")).alias("piece"))
+    part = F.expr(f"substring(left(letters, {size}), greatest(start - piece * {size}, 0) + 1, start + length - greatest(start, piece * {size}))")
+    long = long.join(pieces, ["unitig_id", "piece"]).select("node_id", "piece", part.alias("part"))
+    long = long.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("piece", "part"))).alias("p")).select("node_id", F.array_join("p.part", "").alias("sequence"))
+    return short.unionByName(long)
+
+
 def expand(c: Compacted) -> Graph:
-    """The original nodes and edges from unitigs, mapping and links."""
-    rows = c.unitigs.select("unitig_id", "sequence", F.posexplode("members").alias("ordinal", "node_id"), "internal_overlaps", "internal_edge_ids")
-    rows = rows.join(c.mapping.select("node_id", "length"), "node_id")
-    joint = F.when(F.col("ordinal") > 0, F.expr("internal_overlaps[ordinal - 1]")).otherwise(0)
-    upto = F.expr("sum(length - joint) over (partition by unitig_id order by ordinal)")
-    rows = rows.withColumn("joint", joint).withColumn("end", upto)
-    nodes = rows.select("node_id", F.expr("substring(sequence, cast(end - length + 1 as int), length)").alias("sequence"))
-    before = F.expr("lag(node_id) over (partition by unitig_id order by ordinal)")
-    inner = rows.withColumn("source", before).where("ordinal > 0").select(F.expr("internal_edge_ids[ordinal - 1]").alias("edge_id"), "source", F.col("node_id").alias("target"), F.lit("++").alias("orientation"), F.col("joint").alias("overlap"))
-    last = F.expr("max_by(node_id, ordinal)")
-    ends = c.mapping.groupBy("unitig_id").agg(F.expr("min_by(node_id, ordinal)").alias("head"), last.alias("tail"))
+    """The original nodes and edges from unitigs, mapping, links and the edges inside unitigs."""
+    inner = c.internal.select("edge_id", "source", "target", F.lit("++").alias("orientation"), "overlap")
+    ends = c.mapping.groupBy("unitig_id").agg(F.expr("min_by(node_id, ordinal)").alias("head"), F.expr("max_by(node_id, ordinal)").alias("tail"))
     outer = (
         c.links.join(ends.select(F.col("unitig_id").alias("source"), "tail"), "source").join(ends.select(F.col("unitig_id").alias("target"), "head"), "target")
         .select(F.col("link_id").alias("edge_id"), F.col("tail").alias("source"), F.col("head").alias("target"), F.coalesce("orientation", F.lit("++")).alias("orientation"), "overlap")
     )
-    return Graph(nodes, inner.unionByName(outer))
+    return Graph(member_sequences(c), inner.unionByName(outer))

@@ -60,7 +60,7 @@ def merge_unitigs(c: Compacted, left: str, right: str, proposal: str, edit: str)
         raise ContractError([f"{left} and {right} are not joined by a sole forward link"])
     link, o = out[0], out[0]["overlap"]
     if o and l["sequence"][-o:] != r["sequence"][:o]:
-        raise ContractError([f"overlap mismatch on {link['link_id']}"])
+        raise ContractError([f"{left} does not end as {right} begins, by the {o} letters of {link['link_id']}"])
     new = f"u_{proposal}_{edit}_m"
     spark = c.unitigs.sparkSession
     joined = spark.createDataFrame([(new, l["sequence"] + r["sequence"][o:], l["members"] + r["members"], l["internal_edge_ids"] + [link["link_id"]] + r["internal_edge_ids"], l["internal_overlaps"] + [o] + r["internal_overlaps"])], c.unitigs.schema)

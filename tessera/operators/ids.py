@@ -11,17 +11,16 @@ from tessera.cut import cut
 def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds ``name``: 1, 2, ... in ascending ``order``, whose values should be distinct.
 
-    Rows are range-partitioned and counted per partition; only those counts (one
-    row for each partition) meet in one task, and ranks inside a partition are a
-    window over that partition.
+    Rows are range-partitioned, sorted and numbered in that order as they are
+    written; only one count for each partition meets in one task.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    dealt = cut(dealt, "ranked").withColumn("_part", F.shiftrightunsigned("_id", 33))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    out = dealt.withColumn("_inside", inside).join(F.broadcast(before), "_part")
-    return out.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_part", "_id", "_before")
 
 
 def numbered(prefix: str, rank: str) -> Column:

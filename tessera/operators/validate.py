@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import ContractError
+from tessera.errors import ContractError, gathered
 from tessera.operators.compact import Compacted
 
 ORIENTATIONS = ("++", "+-", "-+", "--")
@@ -50,15 +51,18 @@ def require_valid(violations: DataFrame, most: int = 1000) -> None:
         raise ContractError([r["message"] for r in rows] + ([f"and {n - most} more"] if n > most else []))
 
 
-#: Words in a column name, and namespaces, that would give a target away.
-LEAKING = ("label", "truth", "target", "answer", "gold")
+# Parts of column and feature names, and colour namespaces, that would give a target away.
+LEAKING = ("truth_taxon", "truth_taxon_id", "expected_action", "genome_abundance", "target_metric", "gold_standard", "gold_taxon")
+NAMESPACES = ("truth", "gold", "target", "expected_action")
 
 
-def leaking_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if any(w in c.lower() for w in LEAKING)]
+def leaking_names(names: Iterable[str]) -> list[str]:
+    """Those of the names, of columns or of a layout's features, that would give a target away."""
+    return [n for n in names if any(w in n.lower() for w in LEAKING)]
 
 
-NAMESPACES = ("genome", "truth", "gold", "answer")
+def leaking_columns(df: DataFrame) -> list[str]:
+    return leaking_names(df.columns)
 
 
 def leaking_namespaces(dictionary: DataFrame) -> DataFrame:
@@ -66,6 +70,15 @@ def leaking_namespaces(dictionary: DataFrame) -> DataFrame:
     return dictionary.where(F.lower("namespace").isin(*NAMESPACES)).select("namespace").distinct()
 
 
+def leaks(metadata: dict, nodes: DataFrame, edges: DataFrame, dictionary: DataFrame | None = None) -> list[str]:
+    """What gives a target away in a graph: declared features, columns of its tables, namespaces of its colours."""
+    declared = [name for kind in ("node", "edge") for name in (metadata.get("features") or {}).get(kind) or {}]
+    found = [f"column {n} gives a target away" for n in dict.fromkeys(leaking_names([*declared, *nodes.columns, *edges.columns]))]
+    if dictionary is not None:
+        found += gathered(leaking_namespaces(dictionary), lambda r: f"colour namespace {r['namespace']} gives a target away")
+    return found
+
+
 DTYPE_PATTERNS = {
     "int": r"^-?\d+$", "label": r"^-?\d+$", "float": r"^-?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$", "str": r"^[\s\S]*$", "orientation": r"^(\+\+|\+-|-\+|--)$",
     "color_set": r"^(\s*\d+\s*(,\s*\d+\s*)*)?$",

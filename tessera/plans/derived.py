@@ -120,10 +120,10 @@ def validate_tables(spark: SparkSession, d: str) -> DataFrame:
     return validate.table_violations(TABLE_META, nodes, sequences, edges, colors, labels).select(F.col("rule").cast("long").alias("rule"), "at")
 
 
-@query("leaking_namespaces", "SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'Truth' ELSE 'gold' END AS namespace FROM nation WHERE n_nationkey % 3 <> 0")
+@query("leaking_namespaces", "SELECT DISTINCT n AS namespace FROM (SELECT CASE c_custkey % 6 WHEN 0 THEN 'Truth' WHEN 1 THEN 'gold' WHEN 2 THEN 'TARGET' WHEN 3 THEN 'expected_action' WHEN 4 THEN 'genome' ELSE 'answer' END AS n FROM customer) WHERE n IN ('Truth', 'gold', 'TARGET', 'expected_action')")
 def leaking_namespaces(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    return validate.leaking_namespaces(n.select(F.when(F.col("n_nationkey") % 3 == 0, "place").when(F.col("n_nationkey") % 2 == 0, "Truth").otherwise("gold").alias("namespace")))
+    n = F.element_at(F.array(*map(F.lit, ("Truth", "gold", "TARGET", "expected_action", "genome", "answer"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return validate.leaking_namespaces(table(spark, d, "customer").select(n.alias("namespace")))
 
 
 @query("layout_violations", f"""WITH {HOPS}, ids AS (SELECT DISTINCT source AS k FROM g_edges UNION SELECT target FROM g_edges), n AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS dense_id FROM ids)

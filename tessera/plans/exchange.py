@@ -221,7 +221,7 @@ def bundle_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compacted_bundle(spark: SparkSession, d: str) -> bundle.CompactedBundle:
-    """Unitigs of the read graph; a node has the colour of its number modulo 3, and a layer counts a unitig's members."""
+    """Unitigs of the read graph; a node has the colour of its number modulo 3, and a layer of numbers that no double holds counts a unitig's members."""
     c = compact(read_graph(spark, d, K))
     own = (F.expr("cast(substring(node_id, 2) as int)") % 3).cast("int")
     mapping = c.mapping.withColumn("color_ids", F.array(own))
@@ -230,7 +230,7 @@ def _compacted_bundle(spark: SparkSession, d: str) -> bundle.CompactedBundle:
     colors = spark.range(3).select(F.col("id").cast("int").alias("color_id"), F.when(F.col("id") == 2, "two").otherwise("low").alias("namespace"), F.col("id").cast("string").alias("value"))
     g = Compacted(mapping, unitigs, c.links, c.internal)
     source = dict.fromkeys(PROVENANCE, "x")
-    layers = attach(Layers.none(spark), unitigs.select(F.col("unitig_id").alias("target_id"), F.size("members").alias("value")), unitigs.select(F.col("unitig_id").alias("target_id")), ("size", "members", "node"), "int64", source)
+    layers = attach(Layers.none(spark), unitigs.select(F.col("unitig_id").alias("target_id"), (F.size("members") + F.lit(2**53).cast("long")).alias("value")), unitigs.select(F.col("unitig_id").alias("target_id")), ("size", "members", "node"), "int64", source)
     return bundle.CompactedBundle({"schema_version": "1.0", "graph_type": "de_bruijn", "k": K}, g, colors, layers)
 
 
@@ -255,10 +255,10 @@ def bundle_projected(spark: SparkSession, d: str) -> DataFrame:
     return _compacted(spark, d, ["two"]).graph.unitigs.select("unitig_id", F.array_join("color_ids", ",").alias("colors"))
 
 
-@query("layer_values", f"WITH RECURSIVE {graph_sql(K)}, {UNITIGS} SELECT unitig_id AS target_id, count(*)::DOUBLE AS value FROM mapping GROUP BY 1")
+@query("layer_values", f"WITH RECURSIVE {graph_sql(K)}, {UNITIGS} SELECT unitig_id AS target_id, count(*) + {2**53} AS value FROM mapping GROUP BY 1")
 def layer_values(spark: SparkSession, d: str) -> DataFrame:
     layers = _compacted(spark, d).layers
-    return layer(layers, ("size", "members", "node")).select("target_id", F.col("numbers")[0].alias("value"))
+    return layer(layers, ("size", "members", "node")).select("target_id", F.col("whole")[0].alias("value"))
 
 
 @query("layer_features", "SELECT s_suppkey::VARCHAR AS target_id, round(s_acctbal, 2) AS a, s_nationkey::DOUBLE AS b, (s_suppkey % 7)::DOUBLE AS c, 'm:x,m:v:0,m:v:1' AS names FROM supplier")

@@ -72,6 +72,8 @@ def gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     odd = rows.where("c[0] not in ('S', 'L', 'H', 'P', 'W', 'C') and not c[0] like '#%'").select(F.col("c")[0].alias("k")).first()
     if odd:
         raise ContractError([f"unknown GFA record {odd['k']}"])
+    short = rows.where("size(c) < case c[0] when 'S' then 3 when 'L' then 6 else 0 end").select("line", "c")
+    require_none(short, lambda r: f"a GFA record has too few cells: {' '.join(r['c'])}")
     nodes = rows.where("c[0] = 'S'").select(F.col("c")[1].alias("node_id"), F.upper(F.col("c")[2]).alias("sequence"))
     links = rows.where("c[0] = 'L'")
     cigar = links.where("not c[5] rlike '^[0-9]+M$'").first()
@@ -141,6 +143,7 @@ def kraken2(spark: SparkSession, path: str) -> DataFrame:
     c = spark.read.text(path).where(F.trim("value") != "").select(F.split("value", "\t").alias("c"), F.monotonically_increasing_id().alias("line"))
     if c.isEmpty():
         raise ContractError([f"{path} has no lines"])
+    require_none(c.where("size(c) < 3").select("line", "c"), lambda r: f"a line of {path} has too few cells: {' '.join(r['c'])}")
     c = c.groupBy(F.col("c")[1]).agg(F.max_by("c", "line").alias("c")).select("c")
     pairs = F.expr("filter(transform(split(trim(coalesce(get(c, 4), '')), ' +'), x -> struct(try_cast(split(x, ':')[0] as int) as t, try_cast(get(split(x, ':'), 1) as long) as n)), x -> x.t > 0 and x.n is not null)")
     rows = c.select(F.col("c")[0].alias("call"), F.col("c")[1].alias("seq_id"), F.col("c")[2].try_cast("int").alias("taxid"), pairs.alias("p"))
@@ -151,6 +154,7 @@ def kraken2(spark: SparkSession, path: str) -> DataFrame:
 def kaiju(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, taxa): the call of classified reads."""
     c = spark.read.text(path).where(F.trim("value") != "").select(F.split("value", "\t").alias("c"))
+    require_none(c.where("size(c) < 3").select("c"), lambda r: f"a line of {path} has too few cells: {' '.join(r['c'])}")
     taxid = F.col("c")[2].try_cast("int")
     return c.select(F.col("c")[1].alias("seq_id"), F.when((F.col("c")[0] == "C") & (taxid > 0), F.array(taxid)).otherwise(F.array().cast("array<int>")).alias("taxa"))
 
