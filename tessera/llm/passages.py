@@ -44,7 +44,7 @@ from tessera.llm.substring_dedup import sliding_argmin
 PREFIX = 4
 #: Runs that a task holds before it sends them on, and contents.
 SLICE = 1 << 18
-CONTENTS = 1 << 15
+CONTENTS = 1 << 17
 #: Bytes of text whose runs one bucket gets, on average.
 BUCKET_BYTES = 64 << 20
 #: Runs under one prefix beyond which its windows are keyed by all their words.
@@ -159,8 +159,8 @@ def shared_runs(texts: DataFrame, window: int) -> DataFrame:
                 one = some[a:b]
                 yield record(BLOB_ARROW, bucket=[int(bucket[one[0]])], open=[open_], **{n: [x[one].tobytes()] for n, x in (("key", key), ("doc", doc), ("mark", mark), ("run", run))})
         some = np.flatnonzero(both)
-        for lo in range(0, len(some), SLICE // 8):
-            one = some[lo : lo + SLICE // 8]
+        for lo in range(0, len(some), 4096):
+            one = some[lo : lo + 4096]
             yield record(BLOB_ARROW, bucket=[int(bucket[one[0]])], open=[False], key=[b""], **{n: [x[one].tobytes()] for n, x in (("doc", doc), ("mark", mark), ("run", run))})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,14 +361,27 @@ def _from_trees(runs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
-        unit, leaves = [], 0
+        unit: list[tuple] = []
+        group: list[tuple] = []
+        leaves = 0
+
+        def closed() -> None:
+            """A prefix that one content alone has shares nothing."""
+            nonlocal leaves
+            if len(group) > 1:
+                unit.extend(group)
+                leaves += sum(r[4] for r in group)
+            group.clear()
+
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if leaves >= LEAVES and r[0] != unit[-1][0]:
-                    yield solve(unit)
-                    unit, leaves = [], 0
-                unit.append(r)
-                leaves += r[4]
+                if group and r[0] != group[0][0]:
+                    closed()
+                    if leaves >= LEAVES:
+                        yield solve(unit)
+                        unit, leaves = [], 0
+                group.append(r)
+        closed()
         if unit:
             yield solve(unit)
 
@@ -400,12 +413,11 @@ def passages(texts: DataFrame, window: int = 13) -> DataFrame:
     runs = cut(contents(texts, shared_runs(texts, window), window), "contents")
     spans = runs.where("content is null").select("windows", F.explode("places").alias("p")).selectExpr("p.doc", "p.mark", "p.start as a", f"p.start + windows - 1 + {window} as b")
     runs = runs.where("content is not null")
-    members = cut(runs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "members")
-    large = members.where(f"members > {MEMBERS}")
-    spans = spans.unionByName(_from_trees(runs.join(members.where(f"members <= {MEMBERS}").select("key"), "key", "left_semi"), window))
+    large = cut(runs.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {MEMBERS}").select("key"), "large")
     if large.isEmpty():
-        return spans
-    return spans.unionByName(_from_windows(runs.join(large.select("key"), "key", "left_semi"), window))
+        return spans.unionByName(_from_trees(runs, window))
+    spans = spans.unionByName(_from_trees(runs.join(large, "key", "left_anti"), window))
+    return spans.unionByName(_from_windows(runs.join(large, "key", "left_semi"), window))
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
