@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cut import cut
-from tessera.llm.rows import named
+from tessera.llm.rows import named, packed, unpacked
 from tessera.llm.scan import ALNUM, Block, record, shingle_hash, small_batches, text_blocks
 
 SHINGLE = 4
@@ -191,7 +191,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 def without_benchmark(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item window occurs: passes over the table and no shuffle."""
-    names = docs.columns
+    rows = packed(docs, "text")
     for windows in _window_blocks(docs, items, window)[1]:
         held = docs.sparkSession.sparkContext.broadcast(windows)
 
@@ -203,8 +203,8 @@ def without_benchmark(docs: DataFrame, items: DataFrame, window: int = 10) -> Da
                 hit[np.searchsorted(block.first, start, "right") - 1] = True
                 yield batch.filter(pa.array(~hit))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs.select(*names)
+        rows = rows.mapInArrow(run, rows.schema)
+    return unpacked(rows, docs.columns)
 
 
 def _window_blocks(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, Iterator[Windows]]:

@@ -186,7 +186,7 @@ def shared_runs(texts: DataFrame, window: int) -> DataFrame:
                     continue
                 seen.add((doc, mark))
                 before = 0
-                for piece in pieces(plain_words(text.as_py() or b""), window):
+                for piece in pieces(plain_words(text.as_py() or b""), window, BLOCK_BYTES):
                     block.append(piece)
                     of.append((doc, mark, before))
                     room += len(piece)

@@ -21,3 +21,8 @@ def named(docs: DataFrame, *without: str) -> DataFrame:
 def unpacked(rows: DataFrame, columns: list[str], *beside: str) -> DataFrame:
     """The given columns out of ``row``, but those that stand ``beside`` it."""
     return rows.select(*[F.col(c) if c in beside else F.col("row").getField(c).alias(c) for c in columns])
+
+
+def packed(docs: DataFrame, *beside: str) -> DataFrame:
+    """``docs`` as one column ``row`` of all columns, whatever their names, and the columns ``beside`` it that there are."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(c) for c in beside if c in docs.columns])

@@ -22,9 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.cut import cut
 from tessera.llm.labelled import labelled, remainder, training_labels
+from tessera.llm.rows import packed, unpacked
 from tessera.llm.scan import ALNUM, Block, record, small_batches, text_blocks
 
 TABLE_BITS = 15
@@ -353,17 +355,17 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, that are not rejected: one pass over the table and no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    rows = packed(docs, "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = None
         for batch, texts in text_blocks(batches):
             score = score or held.value.scorer()
-            lang = batch.column(names.index("lang")).to_pylist() if "lang" in names else [None] * len(texts)
+            lang = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
             limit = np.array([held.value.by_language.get(x, held.value.threshold) for x in lang])
-            yield batch.filter(pa.array(score(texts) < limit))
+            yield batch.select([0]).filter(pa.array(score(texts) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return unpacked(rows.mapInArrow(run, StructType([rows.schema["row"]])), docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:

@@ -30,7 +30,7 @@ def odd(spark):
         (5, long, "de", "s", len(long)), (None, "null id text here now", "en", "s", 5), (6, "é漢😀 \t\n\n  x", None, "s", 9), (7, "\x00\x01 a\x00b", "en", "s", 5), (8, "a " * 400, "en", "s", 800),
     ]
     df = spark.createDataFrame(rows, DOC)
-    return df.selectExpr("*", "1 as key", "2 as rep", "'x' as band", "3 as start", "4 as component_id", "5 as _kept")
+    return df.selectExpr("*", "1 as key", "2 as rep", "'x' as band", "3 as start", "4 as component_id", "5 as _kept", "6 as `a.b`")
 
 
 @pytest.fixture(scope="session")

@@ -75,7 +75,6 @@ def test_rows_that_share_ids_or_lack_them(spark):
 
 def test_long_texts_and_words_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(ps, "BLOCK_BYTES", 700)
-    monkeypatch.setattr(ps.pieces, "__defaults__", (700,))
     rng = random.Random(4)
     words = [f"w{rng.randint(0, 400)}" for _ in range(3000)]
     huge = "z" * 9000

@@ -64,3 +64,18 @@ def test_repeated_rows_and_null_ids_survive_once(spark, sf):
     out = {(r["doc_id"], r["text"]) for r in corpus_pipeline.substrings(spark, near, sf).collect()}
     assert out >= set(once) and len(out) == len(set(once)) + 2
     assert {t.strip() for d, t in out - set(once)} == {text["f"], text["g"]}
+
+
+def test_odd_and_empty_tables_pass_all_stages(spark, sf, odd, empty, tmp_path):
+    """Null ids and texts, long texts, repeats and columns with clashing or dotted names; every stage but the last returns all columns."""
+    for docs, most in ((odd.selectExpr("*", "7 as row", "8 as mark", "9 as spans"), 10), (empty, 0)):
+        at = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = cut(stage(spark, at, sf), "test")
+            assert at.columns == docs.columns and at.count() <= most
+        folder = tmp_path / str(most)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+        packed = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len({r["doc_id"] for r in packed}) == len({r["doc_id"] for r in at.collect()}) and bool(packed) == bool(most)
