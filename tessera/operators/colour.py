@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tessera.cut import cut
 from tessera.errors import ContractError, require_none
 from tessera.functions import seq
 from tessera.functions.sets import combine, only
+from tessera.operators.build import Graph
 from tessera.operators.ids import ranked
 from tessera.operators.kmers import sample_counts
 from tessera.operators.ml import kmeans
@@ -32,9 +34,9 @@ def apply_colours(elements: DataFrame, incoming: DataFrame, key: str, operation:
 
 
 def fresh_ids(values: DataFrame, first: int) -> DataFrame:
-    """(value, color_id): new ids from ``first`` on, by first appearance (values: value, phase, pos)."""
-    seen = values.groupBy("value").agg(F.min(F.struct("phase", "pos")).alias("at"))
-    return seen.selectExpr("value", f"cast(row_number() over (order by at) - 1 + {first} as int) as color_id")  # a dictionary: one row per colour
+    """(value, color_id): new ids from ``first`` on, by first appearance (values: value, phase, pos), equal places by value."""
+    seen = values.groupBy("value").agg(F.min(F.struct("phase", "pos")).alias("at")).select("value", "at.phase", "at.pos")
+    return ranked(seen, ["phase", "pos", "value"], "color_id").select("value", (F.col("color_id") - 1 + first).cast("int").alias("color_id"))
 
 
 def filter_colours(elements: DataFrame, dictionary: DataFrame, namespaces: Sequence[str] | None = None, ids: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +53,12 @@ def filter_colours(elements: DataFrame, dictionary: DataFrame, namespaces: Seque
     return elements.crossJoin(F.broadcast(one)).withColumn("color_ids", only(F.col("color_ids"), F.col("_keep"))).drop("_keep"), keep
 
 
+def require_samples(reads: DataFrame, samples: DataFrame) -> None:
+    """Raises where a read's sample is none of ``samples`` (sample_id), a null one included."""
+    lost = reads.select("sample_id").distinct().join(samples, reads.sample_id == samples.sample_id, "left_anti")
+    require_none(lost, lambda r: f"read sample {r['sample_id']} is not in the dictionary")
+
+
 def colour_nodes_by_reads(nodes: DataFrame, reads: DataFrame, k: int, min_depth: int = 1) -> DataFrame:
     """(node_id, sample_id, depth): reads of a sample that hold a k-letter node on either strand.
 
@@ -179,23 +187,37 @@ def paint(elements: DataFrame, values: DataFrame, dictionary: DataFrame, namespa
 SEED = 16
 
 
+def _rarest(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, off, seed, _small): for each text of ``small`` with SEED letters or more its window that ``large`` has least often, and where it begins.
+
+    A text of which a window is nowhere in ``large`` is in none of its texts, and
+    goes. Ties go by the place.
+    """
+    windows = lambda rows: rows.where(F.length("s") >= SEED).select("id", F.posexplode(seq.kmers(F.col("s"), SEED)).alias("off", "seed"))
+    own = cut(windows(small), "seeds")
+    counts = windows(large).join(own.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("n"))
+    met = own.join(counts, "seed", "left")
+    best = met.groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "seed")).alias("b")).where("b.n > 0")
+    return best.join(small, "id").select(F.col("id").alias("small"), "b.off", "b.seed", F.col("s").alias("_small"))
+
+
 def _inside(small: DataFrame, large: DataFrame) -> DataFrame:
     """(small, large): pairs of (id, s) rows in which the one's text stands in the other's.
 
-    The first ``SEED`` letters, or the whole of a shorter text, are joined with
-    the windows of that length, and what follows is compared where they meet.
+    A text of SEED letters or more is looked for by the rarest of its windows, so
+    repeats that many texts hold are no keys; a shorter one is a window itself.
+    The whole text is compared where the windows meet.
     """
     n = F.length("s")
-    found = None
-    for size in [SEED, *[r[0] for r in small.where((n > 0) & (n < SEED)).select(n).distinct().orderBy(n).collect()]]:  # fewer than SEED lengths
-        part = small.where(n >= SEED if size == SEED else n == size).select(F.col("id").alias("small"), F.left("s", F.lit(size)).alias("seed"), F.col("s").alias("_small"))
-        at = large.where(n >= size).select(F.col("id").alias("large"), F.posexplode(seq.kmers(F.col("s"), size)).alias("at", "seed"))
-        met = at.join(part, "seed")
-        if size == SEED:
-            text = large.select(F.col("id").alias("large"), F.col("s").alias("_large"))
-            met = met.join(text, "large").where(F.substring("_large", F.col("at") + 1, F.length("_small")) == F.col("_small"))
-        pairs = met.select("small", "large")
-        found = pairs if found is None else found.unionByName(pairs)
+    part = _rarest(small, large)
+    at = large.where(n >= SEED).select(F.col("id").alias("large"), F.posexplode(seq.kmers(F.col("s"), SEED)).alias("at", "seed"))
+    text = large.select(F.col("id").alias("large"), F.col("s").alias("_large"))
+    met = at.join(part, "seed").where("at >= off").join(text, "large")
+    found = met.where(F.substring("_large", F.col("at") - F.col("off") + 1, F.length("_small")) == F.col("_small")).select("small", "large")
+    sizes = [r[0] for r in small.where((n > 0) & (n < SEED)).select(n).distinct().collect()]  # fewer than SEED lengths
+    if sizes:
+        windows = large.select(F.col("id").alias("large"), F.explode(F.array_distinct(F.concat(*[seq.kmers(F.col("s"), size) for size in sizes]))).alias("seed"))
+        found = found.unionByName(windows.join(small.where(n < SEED).select(F.col("id").alias("small"), F.col("s").alias("seed")), "seed").select("small", "large"))
     return found
 
 
@@ -239,15 +261,81 @@ def shared_values(edges: DataFrame, values: DataFrame) -> DataFrame:
     return edges.join(s, "source").join(t, "target").where("_l = _r").select("edge_id", F.col("_l").alias("value"))
 
 
-#: Colourings by name, in the order in which they are tried, with the namespace of their colours.
-COLOURINGS: dict[str, str] = {"reads": "sample", "accession": "accession", "calls": "taxon", "composition": "composition", "decaying": "taxon"}
+@dataclass(frozen=True)
+class Colouring:
+    """A way to colour: the namespace of its colours, the inputs that it needs, and what gives (node_id, value) and (edge_id, value) from a graph and those."""
 
+    namespace: str
+    needs: tuple[str, ...]
+    run: Callable[[Graph, dict], tuple[DataFrame, DataFrame]]
 
-def namespaces_for(names: Sequence[str]) -> list[str]:
-    """Namespaces of the named colourings, each once, in the order of the names."""
+
+def _pairs(nodes: DataFrame, edges: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    return nodes.select("node_id", F.col(column).alias("value")), edges.select("edge_id", F.col(column).alias("value"))
+
+
+def _by_calls(g: Graph, given: dict) -> tuple[DataFrame, DataFrame]:
+    nodes = given["calls"].select("node_id", F.col("taxon").cast("string").alias("value")).distinct()
+    return nodes, colour_from_calls(g.edges, given["calls"]).select("edge_id", F.explode("values").alias("value"))
+
+
+def _by_decay(g: Graph, given: dict) -> tuple[DataFrame, DataFrame]:
+    evidence = given["calls"].select(F.col("node_id").alias("node"), F.col("taxon").cast("string").alias("colour"), F.lit(1.0).alias("weight"))
+    nodes = decaying_colours(decaying_mass(evidence, g.edges)).select(F.col("node").alias("node_id"), F.explode("colours").alias("value"))
+    return nodes, colour_from_calls(g.edges, nodes.withColumnRenamed("value", "taxon")).select("edge_id", F.explode("values").alias("value"))
+
+
+#: Colourings by name, in the order in which they are tried.
+COLOURINGS: dict[str, Colouring] = {
+    "reads": Colouring("sample", ("reads", "k"), lambda g, x: _pairs(colour_nodes_by_reads(g.nodes, x["reads"], x["k"]), colour_edges_by_reads(g.edges, g.nodes, x["reads"], x["k"]), "sample_id")),
+    "accession": Colouring("accession", ("reads", "k"), lambda g, x: _pairs(*colour_by_accession(g.nodes, g.edges, x["reads"], x["k"]), "sample_id")),
+    "calls": Colouring("taxon", ("calls",), _by_calls),
+    "composition": Colouring("composition", (), lambda g, _: colour_by_composition(g.nodes, g.edges)),
+    "decaying": Colouring("taxon", ("calls",), _by_decay),
+}
+
+
+def _known(names: Sequence[str]) -> list[str]:
     if unknown := [n for n in names if n not in COLOURINGS]:
         raise ContractError([f"{n} is no colouring" for n in unknown])
-    return list(dict.fromkeys(COLOURINGS[n] for n in names))
+    return list(dict.fromkeys(names))
+
+
+def namespaces_for(names: Sequence[str]) -> list[str]:
+    """Namespaces of the named colourings, each once, in the order of the names."""
+    return list(dict.fromkeys(COLOURINGS[n].namespace for n in _known(names)))
+
+
+def available(inputs: dict) -> list[str]:
+    """Colourings for which the inputs (reads, k, calls) are there, in the registry's order."""
+    return [n for n, c in COLOURINGS.items() if all(inputs.get(x) is not None for x in c.needs)]
+
+
+def colour(graph: Graph, dictionary: DataFrame, names: Sequence[str], inputs: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node_id, color_ids), (edge_id, color_ids) and the dictionary after the named colourings, in the registry's order.
+
+    The first one replaces what there is where nothing is coloured yet, and all
+    others are merged in. One whose inputs are missing is an error, and so is a
+    read whose sample is not among the input ``samples``, if there is one.
+    """
+    wanted = _known(names)
+    if lacking := [n for n in wanted if n not in available(inputs)]:
+        raise ContractError([f"colouring {n} needs {' and '.join(COLOURINGS[n].needs)}" for n in lacking])
+    if "reads" in wanted and inputs.get("samples") is not None:
+        require_samples(inputs["reads"], inputs["samples"])
+    none = F.array().cast("array<int>")
+    nodes, edges = (rows.select(F.col(key).alias("id"), (F.col("color_ids") if "color_ids" in rows.columns else none).alias("color_ids")) for rows, key in ((graph.nodes, "node_id"), (graph.edges, "edge_id")))
+    kinds = [F.lit(k) for k in ("node", "edge")]
+    state = cut(nodes.select(kinds[0].alias("kind"), "*").unionByName(edges.select(kinds[1].alias("kind"), "*")), "colours")
+    for name in (n for n in COLOURINGS if n in wanted):
+        values = [v.toDF("id", "value").select(kind.alias("kind"), F.col("id").cast("string").alias("id"), F.col("value").cast("string").alias("value")) for v, kind in zip(COLOURINGS[name].run(graph, inputs), kinds, strict=True)]
+        both = values[0].unionByName(values[1]).where("value is not null").distinct()
+        keyed = state.select(F.struct("kind", F.col("id").cast("string").alias("id")).alias("id"), "color_ids")
+        given = both.select(F.struct("kind", "id").alias("id"), "value", F.struct("value", "kind", "id").alias("pos"))
+        painted, dictionary = paint(keyed, given, dictionary, COLOURINGS[name].namespace, operation_for(state))
+        state, dictionary = cut(painted.select("id.kind", F.col("id.id").alias("id"), "color_ids"), "colours"), cut(dictionary, "dictionary")
+    part = lambda kind, key: state.where(F.col("kind") == kind).select(F.col("id").alias(key), "color_ids")
+    return part("node", "node_id"), part("edge", "edge_id"), dictionary
 
 
 def operation_for(elements: DataFrame) -> str:

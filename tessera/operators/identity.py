@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.errors import require_none
 from tessera.operators.ids import ranked
 
 FAN = 4096
@@ -43,3 +44,47 @@ def mapping_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     a = members_of(left, left)
     b = members_of(right, right).withColumnRenamed("members", "other")
     return a.join(b, "unitig_id", "full").where("not (members <=> other)")
+
+
+def edge_index(nodes: DataFrame, slots: DataFrame, mapping: DataFrame, internal: DataFrame) -> DataFrame:
+    """(kind, at, place, edge_id): the graph edges behind every row and slot of a dense layout.
+
+    A ``slot`` has its link's edge at place 0; a ``node`` (a row by its dense id) has
+    the edges inside its unitig at places 1, 2, ... of the path. nodes
+    (dense_id, source_id) and slots (slot, link_id) are the layout's; a unitig
+    that it does not know is an error.
+    """
+    of = nodes.select("dense_id", F.col("source_id").alias("unitig_id"))
+    require_none(mapping.select("unitig_id").distinct().join(of, "unitig_id", "left_anti"), lambda r: f"unitig {r['unitig_id']} has no row in the layout")
+    inner = internal.select("edge_id", F.col("target").alias("node_id")).join(mapping.select("node_id", "unitig_id", "ordinal"), "node_id").join(of, "unitig_id")
+    links = slots.select(F.lit("slot").alias("kind"), F.col("slot").cast("long").alias("at"), F.lit(0).alias("place"), F.col("link_id").alias("edge_id"))
+    return links.unionByName(inner.select(F.lit("node").alias("kind"), F.col("dense_id").cast("long").alias("at"), F.col("ordinal").cast("int").alias("place"), "edge_id"))
+
+
+def identity_lines(metadata: dict, tables: dict[str, DataFrame], palette: DataFrame | None = None) -> DataFrame:
+    """(section, nth, line): what makes a graph itself, as lines for :func:`digest` in the order of section and nth.
+
+    First its id, type and k; then each table's rows in ascending order, cells by
+    tabs, sections in the order of their names; then the palette by colour id.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    head = [("00 graph", f"{i:020d}", f"{key}={metadata.get(key)}") for i, key in enumerate(("graph_id", "graph_type", "k"))]
+    out = spark.createDataFrame(head, "section string, nth string, line string")
+
+    def cell(c: str, kind: str) -> Column:
+        x = F.col(f"`{c}`")
+        return F.coalesce(F.array_join(x.cast("array<string>"), ",") if kind.startswith("array<") else x.cast("string"), F.lit(""))
+
+    for name in sorted(tables):
+        rows = tables[name]
+        line = F.concat_ws("\t", *[cell(c, t) for c, t in rows.dtypes])
+        out = out.unionByName(rows.select(F.lit(f"10 {name}").alias("section"), line.alias("nth"), line.alias("line")))
+    if palette is not None:
+        line = F.concat_ws("\t", F.col("color_id").cast("string"), "namespace", "value")
+        out = out.unionByName(palette.select(F.lit("20 palette").alias("section"), F.lpad(F.col("color_id").cast("string"), 20, "0").alias("nth"), line.alias("line")))
+    return out
+
+
+def graph_digest(metadata: dict, tables: dict[str, DataFrame], palette: DataFrame | None = None) -> DataFrame:
+    """One row (digest, n) over :func:`identity_lines`: graphs agree in it where they agree in id, type, k, tables and palette."""
+    return digest(identity_lines(metadata, tables, palette), ["section", "nth"], "line")

@@ -6,6 +6,7 @@ partial sum from each partition back, so the driver holds parameters only.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -218,6 +219,47 @@ def covering_rows(rows: DataFrame, share: float) -> DataFrame:
     return rows.join(need, "order", "left_semi").select("id").unionByName(rest.select("id"))
 
 
+#: Bits of one half of a number that :func:`permuted` takes.
+HALF = 20
+
+
+def _rounds(seed: int) -> list[tuple[int, int]]:
+    """Multiplier and summand of the rounds of :func:`permuted`."""
+    draw = random.Random(seed)
+    return [(draw.randrange(1 << 41) * 2 + 1, draw.randrange(1 << 42)) for _ in range(6)]
+
+
+def permuted(number: Column, seed: int) -> Column:
+    """A seeded permutation of the numbers below 2**40, by a Feistel network: distinct numbers stay distinct.
+
+    Ordering rows by it draws them in an order that hangs on nothing but their
+    numbers and the seed, without a sort of random keys and without the driver.
+    """
+    mask = F.lit((1 << HALF) - 1).cast("long")
+    number = number.cast("long")
+    left, right = F.shiftright(number, HALF).bitwiseAND(mask), number.bitwiseAND(mask)
+    for factor, summand in _rounds(seed):
+        left, right = right, left.bitwiseXOR(F.shiftright(right * F.lit(factor).cast("long") + F.lit(summand).cast("long"), 22).bitwiseAND(mask))
+    return F.when((number >= 0) & (number < 1 << 2 * HALF), left * (1 << HALF) + right).otherwise(F.raise_error(F.concat(F.lit("a number to permute lies outside 0 to 2**40 - 1: "), number.cast("string"))))
+
+
+def permuted_sql(number: str, seed: int) -> str:
+    """:func:`permuted` in SQL; the halves of every round are columns of one more subquery."""
+    mask = (1 << HALF) - 1
+    inner = f"(SELECT *, ({number}) >> {HALF} AS _l, ({number}) & {mask} AS _r"
+    out = inner + " FROM {source})"
+    for factor, summand in _rounds(seed):
+        out = f"(SELECT * REPLACE (_r AS _l, xor(_l, ((_r * {factor} + {summand}) >> 22) & {mask}) AS _r) FROM {out})"
+    return f"(SELECT * EXCLUDE (_l, _r), _l * {1 << HALF} + _r AS drawn FROM {out})"
+
+
+def covering_split(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """(id, trained): :func:`covering_rows` of rows (id, number, labels), drawn in the seed's order of their distinct numbers."""
+    rows = cut(rows.select("id", permuted(F.col("number"), seed).alias("order"), "labels"), "drawn")
+    chosen = covering_rows(rows, share).withColumn("_t", F.lit(True))
+    return rows.select("id").join(chosen, "id", "left").select("id", F.col("_t").isNotNull().alias("trained"))
+
+
 def class_weights(labels: DataFrame, classes: int) -> DataFrame:
     """(label, weight): all rows over ``classes`` times the rows of a label, for every label that occurs."""
     n = labels.groupBy("label").agg(F.count("*").alias("n"))
@@ -270,9 +312,24 @@ def _inputs(nodes: DataFrame, edges: DataFrame, centre: np.ndarray, scale: np.nd
     return hidden, edges.join(l, "source").join(r, "target").withColumn("features", F.concat("_l", "_r")).drop("_l", "_r")
 
 
-def fit_multitask(nodes: DataFrame, edges: DataFrame, classes: int, epochs: int = 80, seed: int = 0, rate: float = 0.2, threshold: float = 0.5) -> Multitask:
-    """Fits nodes (node, features, label, trained) with weights by class, and edges (edge_id, source, target, targets, trained)."""
-    rows = cut(nodes, "nodes")
+def _with_split(rows: DataFrame, key: str, labels: Column, share: float, seed: int) -> DataFrame:
+    """``rows`` with a column ``trained``, by :func:`covering_split` over their places in the order of ``key``, where they have none."""
+    if "trained" in rows.columns:
+        return rows
+    numbered = ranked(rows.select(F.col(key).alias("id"), labels.alias("labels")), ["id"], "number")
+    split = covering_split(numbered.select("id", F.col("number") - 1, "labels").toDF("id", "number", "labels"), share, seed)
+    return rows.join(split.withColumnRenamed("id", key), key)
+
+
+def fit_multitask(nodes: DataFrame, edges: DataFrame, classes: int, epochs: int = 80, seed: int = 0, rate: float = 0.2, threshold: float = 0.5, share: float = 0.8) -> Multitask:
+    """Fits nodes (node, features, label[, trained]) with weights by class, and edges (edge_id, source, target, targets[, trained]).
+
+    Rows without ``trained`` are split by the seed: ``share`` of them, and every
+    label at least once, are trained on.
+    """
+    rows = cut(_with_split(nodes, "node", F.array("label"), share, seed), "nodes")
+    held = F.filter(F.transform("targets", lambda t, i: F.when(t > 0, i)), lambda i: i.isNotNull())
+    edges = cut(_with_split(edges, "edge_id", held, share, seed), "edges")
     facts = rows.where("trained").select("features")
     width = rows.agg(F.max(F.size("features"))).first()[0] or 0
     stat = facts.agg(*[f(F.col("features")[i]).alias(f"{n}{i}") for i in range(width) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()

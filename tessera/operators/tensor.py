@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tessera.cut import cut
 from tessera.errors import ContractError, gathered, require_none
 from tessera.functions import seq
+from tessera.operators.build import Graph
 from tessera.operators.compact import Compacted
-from tessera.operators.ids import ranked
+from tessera.operators.ids import numbered, ranked
 from tessera.operators.topology import csr_slots, pointers
+from tessera.operators.transit import repeat_junction_sequences
 
 
 def dense_ids(elements: DataFrame, key: str) -> DataFrame:
@@ -81,6 +83,73 @@ def coloured_rows(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, D
     return rows.select("id").join(sets, "id", "left").select("id", F.coalesce("color_ids", F.array().cast("array<int>")).alias("color_ids")), named
 
 
+@dataclass(frozen=True)
+class Digraph:
+    """A coloured directed graph: nodes (node_id, sequence, columns, color_ids), edges (edge_id, source, target, orientation, columns, color_ids), its dictionary and the declared types of its columns."""
+
+    graph: Graph
+    dictionary: DataFrame
+    features: dict[str, dict[str, str]]
+
+
+def column_types(rows: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """``float`` for a column whose filled cells are all numbers, ``str`` for another; a column without filled cells is left out.
+
+    Every column is one aggregate: how many cells are filled, and how many of them are no numbers.
+    """
+    if not columns:
+        return {}
+    cell = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    counts = [x for i, c in enumerate(columns) for x in (F.count_if(cell(c) != "").alias(f"n{i}"), F.count_if((cell(c) != "") & F.trim(cell(c)).try_cast("double").isNull()).alias(f"t{i}"))]
+    found = rows.agg(*counts).first()
+    return {c: "str" if found[f"t{i}"] else "float" for i, c in enumerate(columns) if found[f"n{i}"]}
+
+
+def coloured_digraph(nodes: DataFrame, edges: DataFrame, k: int, colour_columns: Sequence[str], keep_columns: Sequence[str] = ()) -> Digraph:
+    """A directed graph with sequences from its junctions, coloured by columns of its rows.
+
+    nodes (node_id, pos, ...) and edges (source, target, pos, ...); ``pos`` orders the
+    rows. Colours are numbered column by column; within one, values count from
+    their first sight, over the nodes and then over the edges. Edges are named in
+    their order. Colour columns are kept as texts and the others with the type
+    that :func:`column_types` finds; a column that an input lacks is blank there.
+    """
+    errors = ([] if isinstance(k, int) and k >= 2 else [f"k is {k}, and must be a whole number above 1"]) + ([] if colour_columns else ["no column gives colours"])
+    if errors:
+        raise ContractError(errors)
+    nodes, edges = cut(nodes, "digraph-nodes"), cut(edges, "digraph-edges")
+    errors = ["there are no nodes"] if nodes.isEmpty() else []
+    errors += gathered(nodes.groupBy("node_id").count().where("count > 1 or coalesce(node_id, '') = ''"), lambda r: f"{r['count']} nodes are called {r['node_id']!r}")
+    known = nodes.select("node_id")
+    for side in ("source", "target"):
+        errors += gathered(edges.join(known, edges[side] == known.node_id, "left_anti").select("pos", side), lambda r, side=side: f"the {side} {r[side]} of the edge at {r['pos']} is no node")
+    if errors:
+        raise ContractError(errors)
+    e = cut(ranked(edges, ["pos"], "_rank").withColumn("edge_id", numbered("e", "_rank")).drop("_rank"), "digraph-edges")
+    blank = F.lit("")
+    own = lambda rows, c: seq.tidy(F.coalesce(F.col(f"`{c}`").cast("string"), blank)) if c in rows.columns else blank
+    cells = lambda rows, key, phase: rows.select(F.lit(phase).alias("phase"), F.col(key).alias("id"), "pos", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(c).alias("namespace"), own(rows, c).alias("value")) for i, c in enumerate(colour_columns)])).alias("v")).select("phase", "id", "pos", "v.*").where("value <> ''")
+    every = cut(cells(nodes, "node_id", 0).unionByName(cells(e, "edge_id", 1)), "digraph-cells")
+    if every.isEmpty():
+        raise ContractError(["the colour columns have no values"])
+    first = every.groupBy("c", "namespace", "value").agg(F.min(F.struct("phase", "pos")).alias("at")).select("c", "namespace", "value", "at.phase", "at.pos")
+    dictionary = ranked(first, ["c", "phase", "pos", "value"], "color_id").select((F.col("color_id") - 1).cast("int").alias("color_id"), "namespace", "value")
+    dictionary = cut(dictionary, "digraph-colours")
+    sets = cut(every.join(dictionary, ["namespace", "value"]).groupBy("phase", "id").agg(F.array_sort(F.collect_set("color_id")).alias("color_ids")), "digraph-sets")
+
+    def coloured(rows: DataFrame, key: str, phase: int) -> DataFrame:
+        mine = sets.where(F.col("phase") == phase).select(F.col("id").alias(key), "color_ids")
+        return rows.join(mine, key, "left").withColumn("color_ids", F.coalesce("color_ids", F.array().cast("array<int>")))
+
+    kept = lambda rows: {c: "str" for c in column_types(rows, [c for c in colour_columns if c in rows.columns])}
+    types = {"node": {**kept(nodes), **column_types(nodes, [c for c in keep_columns if c in nodes.columns])}, "edge": {"orientation": "orientation", **kept(e)}}
+    shown = lambda rows, kind: [(own(rows, c).try_cast("double") if t == "float" else own(rows, c)).alias(c) for c, t in types[kind].items() if t != "orientation"]
+    sequences = repeat_junction_sequences(nodes.select(F.col("node_id").alias("node")), e.select("source", "target"), k).withColumnRenamed("node", "node_id")
+    n = coloured(nodes.select("node_id", *shown(nodes, "node")), "node_id", 0).join(sequences, "node_id")
+    made = coloured(e.select("edge_id", "source", "target", F.lit("++").alias("orientation"), *shown(e, "edge")), "edge_id", 1).withColumn("overlap", F.lit(k - 1))
+    return Digraph(Graph(cut(n, "digraph"), cut(made, "digraph"), "de_bruijn", k), dictionary, types)
+
+
 @dataclass(frozen=True)
 class Layout:
     """nodes (dense_id, source_id, members, features, colors, label), slots (slot, src, dst, link_id, features, colors) and pointers (dense_id, indptr)."""

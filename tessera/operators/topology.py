@@ -27,32 +27,34 @@ def strand_junctions(edges: DataFrame) -> DataFrame:
 def bubble_sources(edges: DataFrame, max_depth: int = 4) -> DataFrame:
     """(source): forks of one strand whose branches join again at most ``max_depth`` steps behind their first nodes.
 
-    A branch is an edge out of a strand that has several, known by a number.
-    Each round moves all branches one step on, by one join and a distinct over
-    (branch, place). Two branches of a fork join where both come to a node at
-    which none of the fork begins, or where one comes to the other's first node.
+    Two branches of a fork join where both come to a node at which none of the
+    fork begins, or where one comes to the other's first node. Strands of nodes
+    are numbers; a branch is known by the strand that it begins with. A round
+    moves all branches one step on and keeps, for each fork and place, the least
+    and the greatest branch that came there: where they differ the fork's search
+    is over, so what moves on is one branch a row, however many a fork has.
     """
     if max_depth < 1:
         raise ContractError([f"max_depth is {max_depth}, and must be 1 or more"])
-    e = cut(_strands(edges).distinct().select(F.concat("source", "leaves").alias("at"), F.concat("target", "arrives").alias("next")), "strands")
-    forks = e.groupBy("at").count().where("count > 1").select("at")
-    branches = e.join(forks, "at").withColumn("branch", F.monotonically_increasing_id())
-    branches = cut(branches.select("branch", F.col("at").alias("fork"), F.col("next").alias("start")), "branches")
-    front = branches.select("branch", F.col("start").alias("at"))
-    seen, reached = front, None
+    strands = _strands(edges).distinct()
+    names = strands.select(F.explode(F.array("source", "target")).alias("name")).distinct().withColumn("n", F.monotonically_increasing_id())
+    names = cut(names, "names")
+    place = lambda n, strand: F.col(n) * 2 + (F.col(strand) == "-").cast("int")
+    ends = [names.select(F.col("name").alias(side), F.col("n").alias(n)) for side, n in (("source", "s"), ("target", "t"))]
+    e = cut(strands.join(ends[0], "source").join(ends[1], "target").select(place("s", "leaves").alias("at"), place("t", "arrives").alias("next")), "strands")
+    forks = e.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at")
+    branches = cut(e.join(forks, "at").select(F.col("at").alias("fork"), F.col("next").alias("start")), "branches")
+    front = branches.select("fork", "start", F.col("start").alias("at"))
+    none = F.lit(None).cast("long")
+    all_ = branches.select("fork", F.expr("start div 2").alias("node"), none.alias("lo"), none.alias("hi"), F.col("start").alias("begins"))
     for step in range(max_depth):
-        front = cut(front.join(e, "at").select("branch", F.col("next").alias("at")).distinct(), "front")
-        reached = front if reached is None else reached.unionByName(front)
-        if step + 1 < max_depth:
-            front = front.join(seen, ["branch", "at"], "left_anti")
-            seen = seen.unionByName(front)
-    node = lambda c: F.expr(f"left({c}, length({c}) - 1)")
-    came = cut(reached.distinct().join(branches, "branch").select("branch", "fork", "start", "at", node("at").alias("node")), "reached")
-    begin = branches.select("fork", node("start").alias("node"), F.col("start").alias("other"), F.lit(True).alias("begins"))
-    plain = came.select("branch", "fork", "node").distinct().join(begin.select("fork", "node").distinct(), ["fork", "node"], "left_anti")
-    joined = plain.groupBy("fork", "node").count().where("count > 1").select("fork")
-    crossed = came.join(begin, ["fork", "node"]).where("other <> start").select("fork")
-    return joined.unionByName(crossed).select(node("fork").alias("source")).distinct()
+        moved = front.join(e, "at").groupBy("fork", "next").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+        moved = cut(moved, "front") if step + 1 < max_depth else moved
+        all_ = all_.unionByName(moved.select("fork", F.expr("next div 2").alias("node"), "lo", "hi", none.alias("begins")))
+        front = moved.where("lo = hi").select("fork", F.col("lo").alias("start"), F.col("next").alias("at"))
+    met = all_.groupBy("fork", "node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("begins").alias("first"), F.max("begins").alias("last"))
+    met = met.where("lo < hi or lo <> first or lo <> last").select(F.expr("fork div 2").alias("n")).distinct()
+    return met.join(names, "n").select(F.col("name").alias("source"))
 
 
 def csr_slots(edges: DataFrame, nodes: DataFrame) -> DataFrame:

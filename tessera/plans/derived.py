@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.cut import cut
 from tessera.functions import seq
 from tessera.operators import annotate, build, colour, edits, identity, ml, tensor, transit, validate
+from tessera.operators.annotate import PROVENANCE, Layers, attach
 from tessera.operators.compact import Compacted, compact, overlap_mismatches
 from tessera.operators.ids import ranked
 from tessera.operators.layout_rules import layout_violations
 from tessera.operators.proposals import application_violations, apply_proposal
+from tessera.operators.spacing import nearest_neighbour_ratio
 from tessera.operators.topology import csr_slots, pointers
+from tessera.operators.versions import Version, apply_batch
 from tessera.plans import table
-from tessera.plans.catalogue import K, registry
+from tessera.plans.catalogue import K, _as_links, registry
 from tessera.plans.views import DOC_SEQS, HOPS, READS, UNITIGS, doc_seqs, encoded_sql, graph_sql, rc_sql, read_graph, reads, supplier_edges
 
 query = registry.add
@@ -204,28 +208,23 @@ def edge_target_rows(spark: SparkSession, d: str) -> DataFrame:
 
 # Colours --------------------------------------------------------------------
 
-SHORT = f"short AS (SELECT read_id, sample_id, substr(seq, 1, 12 + length(seq) % 30) AS seq FROM reads WHERE seq <> '')"
+COVERED = f"""{UNITIGS}, n AS (SELECT unitig_id AS node_id, string_agg(CASE WHEN ordinal = 0 THEN kmer ELSE right(kmer, 1) END, '' ORDER BY ordinal) AS s FROM mapping JOIN nodes USING (node_id) GROUP BY unitig_id),
+hits AS (SELECT node_id, read_id, sample_id FROM n JOIN reads ON CASE WHEN length(seq) < length(s) THEN seq <> '' AND (contains(s, seq) OR contains(s, {rc_sql('seq')})) ELSE contains(seq, s) OR contains({rc_sql('seq')}, s) END)"""
 
 
-def _short(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).where("seq <> ''").select("read_id", "sample_id", F.expr("substring(seq, 1, 12 + length(seq) % 30)").alias("seq"))
-
-
-@query("colour_any_nodes", f"""WITH {READS}, {SHORT}, n AS (SELECT read_id AS node_id, left(seq, 5 + length(seq) % 60) AS s FROM reads WHERE seq <> '')
-SELECT node_id, sample_id, count(*) AS depth FROM n JOIN short ON CASE WHEN length(seq) < length(s) THEN contains(s, seq) OR contains(s, {rc_sql('seq')}) ELSE contains(seq, s) OR contains({rc_sql('seq')}, s) END GROUP BY 1, 2""")
+@query("colour_any_nodes", f"WITH RECURSIVE {graph_sql(K)}, {COVERED} SELECT node_id, sample_id, count(*) AS depth FROM hits GROUP BY 1, 2")
 def colour_any_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Beginnings of reads as nodes of many lengths, coloured by other beginnings."""
-    n = reads(spark, d).where("seq <> ''").select(F.col("read_id").alias("node_id"), F.expr("left(seq, 5 + length(seq) % 60)").alias("sequence"))
-    return colour.colour_any_nodes_by_reads(n, _short(spark, d))
+    """Unitigs of the read graph as nodes of many lengths, coloured by whole reads."""
+    n = compact(read_graph(spark, d, K)).unitigs.select(F.col("unitig_id").alias("node_id"), "sequence")
+    return colour.colour_any_nodes_by_reads(cut(n, "nodes"), cut(reads(spark, d), "reads"))
 
 
-@query("colour_accession", f"""WITH {READS}, {SHORT}, n AS (SELECT read_id AS node_id, left(seq, 9) AS s FROM reads WHERE length(seq) >= 9)
-SELECT node_id, 'A_' || split_part(read_id, '_', 2) AS accession, count(*) AS depth FROM n JOIN short ON contains(seq, s) OR contains({rc_sql('seq')}, s) GROUP BY 1, 2""")
+@query("colour_accession", f"WITH RECURSIVE {graph_sql(K)}, {COVERED} SELECT node_id, 'A_' || split_part(read_id, '_', 2) AS accession, count(*) AS depth FROM hits GROUP BY 1, 2")
 def colour_accession(spark: SparkSession, d: str) -> DataFrame:
-    n = reads(spark, d).where("length(seq) >= 9").select(F.col("read_id").alias("node_id"), F.left("seq", F.lit(9)).alias("sequence"))
-    r = _short(spark, d).select(F.concat(F.lit("A_"), F.substring_index("read_id", "_", -1), F.lit("_"), "read_id").alias("read_id"), "seq")
+    n = compact(read_graph(spark, d, K)).unitigs.select(F.col("unitig_id").alias("node_id"), "sequence")
+    r = reads(spark, d).select(F.concat(F.lit("A_"), F.substring_index("read_id", "_", -1), F.lit("_"), "read_id").alias("read_id"), "seq")
     none = spark.createDataFrame([], "edge_id string, source string, target string, orientation string")
-    return colour.colour_by_accession(n, none, r, 9)[0].select("node_id", F.col("sample_id").alias("accession"), "depth")
+    return colour.colour_by_accession(cut(n, "nodes"), none, cut(r, "reads"), K)[0].select("node_id", F.col("sample_id").alias("accession"), "depth")
 
 
 @query("composition_edges", f"WITH {HOPS}, v AS (SELECT s_suppkey, 'cluster_' || (s_nationkey % 3) AS value FROM supplier) SELECT source || '>' || target AS edge_id, a.value FROM g_edges JOIN v a ON a.s_suppkey = source JOIN v b ON b.s_suppkey = target WHERE a.value = b.value")
@@ -283,8 +282,6 @@ def fresh_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("edit_add_edges", f"WITH {HOPS} SELECT source || '>' || target AS link_id, source::VARCHAR AS source, target::VARCHAR AS target FROM g_edges UNION ALL SELECT 'l_p_a' || s_suppkey, s_suppkey::VARCHAR, (s_suppkey - 1)::VARCHAR FROM supplier WHERE s_suppkey % 5 = 1")
 def edit_add_edges(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.plans.catalogue import _as_links
-
     k = F.col("s_suppkey")
     new = table(spark, d, "supplier").where("s_suppkey % 5 = 1").select(F.concat(F.lit("a"), k.cast("string")).alias("edit_id"), F.lit("add_edge").alias("kind"), k.cast("string").alias("unitig_id"), (k - 1).cast("string").alias("other"), F.lit(None).cast("string").alias("link_id"), F.lit(None).cast("int").alias("cut_after"), F.lit("+-").alias("orientation"), F.lit(None).cast("int").alias("overlap"))
     return apply_proposal(_as_links(spark, d), new, "p", "suppliers").graph.links.select("link_id", "source", "target")
@@ -300,6 +297,132 @@ def edit_lineage(spark: SparkSession, d: str) -> DataFrame:
     return application_violations(before, after).select(F.col("rule").cast("long").alias("rule"), "at")
 
 
+EDIT_ROW = ["edit_id", "kind", "unitig_id", "other", "link_id", "cut_after", "orientation", "overlap", "nth", "target", "target_type", "namespace", "feature", "dtype", "value"]
+
+
+def _edits(rows: DataFrame, **given: str) -> DataFrame:
+    """Edits with the given expressions and nulls for all else."""
+    types = {"cut_after": "int", "overlap": "int", "nth": "int"}
+    return rows.selectExpr(*[f"cast({given.get(c, 'null')} as {types.get(c, 'string')}) as {c}" for c in EDIT_ROW])
+
+
+@query(
+    "edit_versions",
+    f"""WITH RECURSIVE {graph_sql(K)}, {UNITIGS}, u AS (SELECT unitig_id, count(*) AS n FROM mapping GROUP BY 1)
+SELECT 'size' AS namespace, 'node' AS target_type, unitig_id AS target_id, CASE WHEN n = 1 THEN 1 WHEN substr(unitig_id, 2)::INT % 2 = 0 THEN 300 ELSE 202 END::BIGINT AS value FROM u WHERE n < 3
+UNION ALL SELECT 'qc', 'node', unitig_id, 1 FROM u WHERE n = 1
+UNION ALL SELECT 'support', CASE WHEN ordinal = 1 AND n > 3 THEN 'edge' ELSE 'internal_edge' END, edge_id, substr(edge_id, 2)::BIGINT FROM absorbed JOIN mapping ON node_id = target JOIN u USING (unitig_id)""",
+)
+def edit_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches over the read graph's unitigs: splits with changes and marks of others, then merges of the halves and further changes; values of split edges move with them."""
+    c = compact(read_graph(spark, d, K))
+    c = Compacted(c.mapping, cut(c.unitigs, "unitigs"), c.links, c.internal)
+    u = cut(c.unitigs.select("unitig_id", F.size("members").alias("n")), "sizes")
+    source = dict.fromkeys(PROVENANCE, "x")
+    small = u.where("n < 3").select(F.col("unitig_id").alias("target_id"), F.col("n").alias("value"))
+    layers = attach(Layers.none(spark), small, u.select(F.col("unitig_id").alias("target_id")), ("size", "members", "node"), "int64", source)
+    inner = c.internal.select(F.col("edge_id").alias("target_id"), F.expr("cast(substring(edge_id, 2) as long)").alias("value"))
+    layers = attach(layers, inner, inner.select("target_id"), ("support", "place", "internal_edge"), "int64", source)
+    change = {"kind": "'change_annotation'", "target": "unitig_id", "namespace": "'size'", "feature": "'members'", "dtype": "'int64'"}
+    two = u.where("n = 2")
+    first = _edits(u.where("n >= 3"), edit_id="unitig_id", kind="'split'", unitig_id="unitig_id", cut_after="0", nth="0")
+    for nth, value in ((2, 202), (1, 102)):
+        first = first.unionByName(_edits(two, edit_id=f"concat('c{nth}', unitig_id)", nth=str(nth), value=str(value), **change))
+    first = first.unionByName(_edits(u.where("n = 1"), edit_id="concat('m', unitig_id)", kind="'mark_suspicious'", target="unitig_id", nth="3"))
+    halves = [f"concat('u_p_', unitig_id, '_{side}')" for side in "ab"]
+    second = _edits(u.where("n = 3"), edit_id="concat('j', unitig_id)", kind="'merge'", unitig_id=halves[0], other=halves[1], nth="0")
+    second = second.unionByName(_edits(two.where("cast(substring(unitig_id, 2) as int) % 2 = 0"), edit_id="concat('c', unitig_id)", nth="1", value="300", **change))
+    made = apply_batch(apply_batch(Version.first(spark, c, layers, "reads"), first, "p"), second, "q")
+    return made.layers.values.select("namespace", "target_type", "target_id", F.col("whole")[0].alias("value"))
+
+
+# Directed graphs of tables ---------------------------------------------------
+
+DIGRAPH = f"""{HOPS}, e AS (SELECT 'e' || lpad(row_number() OVER (ORDER BY source, target)::VARCHAR, 6, '0') AS edge_id, source, target, source * 1000000 + target AS pos FROM g_edges),
+seen AS (SELECT 0 AS phase, s_suppkey AS pos, s_suppkey::VARCHAR AS id, 0 AS c, 'nation' AS namespace, s_nationkey::VARCHAR AS value FROM supplier
+UNION ALL SELECT 0, s_suppkey, s_suppkey::VARCHAR, 1, 'band', 'b ' || s_suppkey % 4 FROM supplier WHERE s_suppkey % 5 <> 0
+UNION ALL SELECT 1, pos, edge_id, 0, 'nation', ((source + target) % 40)::VARCHAR FROM e UNION ALL SELECT 1, pos, edge_id, 1, 'band', 'b ' || target % 6 FROM e WHERE target % 3 <> 0),
+dict AS (SELECT row_number() OVER (ORDER BY c, seen_at, value) - 1 AS color_id, namespace, value FROM (SELECT c, namespace, value, min((phase, pos)) AS seen_at FROM seen GROUP BY 1, 2, 3)),
+sets AS (SELECT phase, id, string_agg(color_id, ',' ORDER BY color_id) AS colors FROM seen JOIN dict USING (namespace, value) GROUP BY 1, 2)"""
+
+
+def _digraph(spark: SparkSession, d: str) -> tensor.Digraph:
+    """Suppliers that follow each other in orders, coloured by two columns of both tables."""
+    k = F.col("s_suppkey")
+    band = F.when(k % 5 != 0, F.concat(F.lit(" b\t"), (k % 4).cast("string"))).otherwise("  ")
+    nodes = table(spark, d, "supplier").select(k.cast("string").alias("node_id"), k.alias("pos"), F.col("s_nationkey").cast("string").alias("nation"), band.alias("band"), F.col("s_acctbal").cast("string").alias("balance"), F.col("s_name").alias("name"), F.lit("").alias("unused"))
+    s, t = F.col("source"), F.col("target")
+    edges = supplier_edges(spark, d).select(s.cast("string").alias("source"), t.cast("string").alias("target"), (s * 1000000 + t).alias("pos"), ((s + t) % 40).cast("string").alias("nation"), F.when(t % 3 != 0, F.concat(F.lit("b "), (t % 6).cast("string"))).alias("band"))
+    return tensor.coloured_digraph(nodes, edges, 21, ["nation", "band"], ["balance", "name", "unused"])
+
+
+@query("digraph_nodes", f"WITH {DIGRAPH} SELECT s_suppkey::VARCHAR AS node_id, s_nationkey::VARCHAR AS nation, CASE WHEN s_suppkey % 5 <> 0 THEN 'b ' || s_suppkey % 4 ELSE '' END AS band, round(s_acctbal, 2) AS balance, s_name AS name, colors, 40 AS length FROM supplier LEFT JOIN sets ON phase = 0 AND id = s_suppkey::VARCHAR")
+def digraph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = _digraph(spark, d).graph.nodes
+    return n.select("node_id", "nation", "band", F.round("balance", 2).alias("balance"), "name", F.array_join("color_ids", ",").alias("colors"), F.length("sequence").alias("length"))
+
+
+@query("digraph_edges", f"WITH {DIGRAPH} SELECT edge_id, source::VARCHAR AS source, target::VARCHAR AS target, ((source + target) % 40)::VARCHAR AS nation, CASE WHEN target % 3 <> 0 THEN 'b ' || target % 6 ELSE '' END AS band, colors FROM e LEFT JOIN sets ON phase = 1 AND id = edge_id")
+def digraph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _digraph(spark, d).graph.edges.select("edge_id", "source", "target", "nation", "band", F.array_join("color_ids", ",").alias("colors"))
+
+
+@query("digraph_dictionary", f"WITH {DIGRAPH} SELECT color_id, namespace, value FROM dict")
+def digraph_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return _digraph(spark, d).dictionary.select(F.col("color_id").cast("long").alias("color_id"), "namespace", "value")
+
+
+@query(
+    "nearest_ratio",
+    """WITH p AS (SELECT row_number() OVER () AS r, x, y FROM (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings UNION ALL SELECT embedding[1]::DOUBLE, embedding[2]::DOUBLE FROM embeddings WHERE label = 3)),
+d AS (SELECT a.r, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM p a JOIN p b ON a.r <> b.r GROUP BY 1)
+SELECT count(*) AS n, round(median(d), 9) AS median, round(median(d) / (1.5 * sqrt(1.0 / count(*))), 9) AS ratio FROM d""",
+)
+def nearest_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """First two components of the vectors as places; those of one label stand twice."""
+    v = table(spark, d, "embeddings")
+    place = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xy")]
+    both = v.select(*place).unionByName(v.where("label = 3").select(*place))
+    return nearest_neighbour_ratio(both, 1.5).select("n", F.round("median", 9).alias("median"), F.round("ratio", 9).alias("ratio"))
+
+
+@query(
+    "edge_index",
+    f"""WITH RECURSIVE {graph_sql(K)}, {UNITIGS}, u AS (SELECT unitig_id, count(*) AS n FROM mapping GROUP BY 1),
+at_ AS (SELECT node_id, CASE WHEN n < 3 THEN unitig_id WHEN n = 3 THEN 'u_q_j' || unitig_id || '_m' WHEN ordinal = 0 THEN 'u_p_' || unitig_id || '_a' ELSE 'u_p_' || unitig_id || '_b' END AS uid, CASE WHEN n > 3 AND ordinal > 0 THEN ordinal - 1 ELSE ordinal END AS place FROM mapping JOIN u USING (unitig_id)),
+dense AS (SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS dense_id FROM (SELECT DISTINCT uid FROM at_)),
+ends AS (SELECT e.edge_id, a.dense_id AS src, b.dense_id AS dst, y.place, x.uid = y.uid AND ab.edge_id IS NOT NULL AS inner_ FROM edges e JOIN at_ x ON x.node_id = e.source JOIN at_ y ON y.node_id = e.target JOIN dense a ON a.uid = x.uid JOIN dense b ON b.uid = y.uid LEFT JOIN absorbed ab ON ab.edge_id = e.edge_id)
+SELECT 'node' AS kind, dst AS at, place::INTEGER AS place, edge_id FROM ends WHERE inner_ UNION ALL SELECT 'slot', row_number() OVER (ORDER BY src, dst, edge_id) - 1, 0, edge_id FROM ends WHERE NOT inner_""",
+)
+def edge_index(spark: SparkSession, d: str) -> DataFrame:
+    """Edges behind a layout of the read graph after its longer unitigs were split and those of three members merged again."""
+    c = compact(read_graph(spark, d, K))
+    u = cut(c.unitigs.select("unitig_id", F.size("members").alias("n")), "sizes")
+    columns = EDIT_ROW[:8]
+    splits = _edits(u.where("n >= 3"), edit_id="unitig_id", kind="'split'", unitig_id="unitig_id", cut_after="0").select(*columns)
+    first = apply_proposal(c, splits, "p", "reads").graph
+    halves = [f"concat('u_p_', unitig_id, '_{side}')" for side in "ab"]
+    merges = _edits(u.where("n = 3"), edit_id="concat('j', unitig_id)", kind="'merge'", unitig_id=halves[0], other=halves[1]).select(*columns)
+    made = apply_proposal(first, merges, "q", "reads__p").graph
+    built = tensor.layout(made)
+    return identity.edge_index(built.nodes, built.slots, made.mapping, made.internal)
+
+
+@query(
+    "graph_digest",
+    f"""WITH {HOPS}, lines AS (SELECT '00 graph' AS section, lpad(i::VARCHAR, 20, '0') AS nth, v AS line FROM (VALUES (0, 'graph_id=suppliers'), (1, 'graph_type=transit'), (2, 'k=None')) t(i, v)
+UNION ALL SELECT '10 edges', x, x FROM (SELECT source || chr(9) || target || chr(9) || (source % 5) || ',' || (target % 3) AS x FROM g_edges) UNION ALL SELECT '10 nodes', x, x FROM (SELECT s_suppkey || chr(9) || s_name AS x FROM supplier)
+UNION ALL SELECT '20 palette', lpad(r_regionkey::VARCHAR, 20, '0'), r_regionkey || chr(9) || 'region' || chr(9) || r_name FROM region),
+r AS (SELECT line, row_number() OVER (ORDER BY section, nth) - 1 AS i FROM lines), a AS (SELECT i // 4096 AS g, sha256(string_agg(line, chr(10) ORDER BY i)) AS h FROM r GROUP BY 1)
+SELECT CASE WHEN count(*) > 1 THEN sha256(string_agg(h, chr(10) ORDER BY g)) ELSE any_value(h) END AS digest, (SELECT count(*) FROM r) AS n FROM a""",
+)
+def graph_digest(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    edges = supplier_edges(spark, d).withColumn("color_ids", F.array(F.col("source") % 5, F.col("target") % 3))
+    palette = table(spark, d, "region").select(F.col("r_regionkey").alias("color_id"), F.lit("region").alias("namespace"), F.col("r_name").alias("value"))
+    return identity.graph_digest({"graph_id": "suppliers", "graph_type": "transit", "k": None}, {"nodes": nodes, "edges": edges}, palette)
+
+
 # Learning -------------------------------------------------------------------
 
 
@@ -312,6 +435,18 @@ def covering_rows(spark: SparkSession, d: str) -> DataFrame:
     return ml.covering_rows(table(spark, d, "part").select(k.alias("id"), k.alias("order"), labels.alias("labels")), 0.8)
 
 
+COVERING = f"""d AS (SELECT p_partkey AS id, p_size, drawn FROM {ml.permuted_sql('p_partkey', 11).format(source='part')}), l AS (SELECT id, drawn, unnest([p_size % 7, id % 5]) AS label FROM d WHERE id % 4 <> 0), f AS (SELECT label, min(drawn) AS drawn FROM l GROUP BY 1),
+need AS (SELECT DISTINCT drawn FROM f UNION SELECT drawn FROM d WHERE id % 4 = 0 AND drawn < (SELECT min(drawn) FROM f)), r AS (SELECT id, row_number() OVER (ORDER BY drawn) AS r FROM d WHERE drawn NOT IN (SELECT drawn FROM need))"""
+
+
+@query("covering_drawn", f"WITH {COVERING} SELECT id, drawn IN (SELECT drawn FROM need) OR coalesce(r <= greatest((SELECT count(*) FROM need), (SELECT round(0.8 * count(*)) FROM part)) - (SELECT count(*) FROM need), FALSE) AS trained FROM d LEFT JOIN r USING (id)")
+def covering_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of covering_rows drawn in a seed's order."""
+    k = F.col("p_partkey")
+    labels = F.when(k % 4 != 0, F.array_distinct(F.array((F.col("p_size") % 7).cast("long"), k % 5))).otherwise(F.array().cast("array<long>"))
+    return ml.covering_split(table(spark, d, "part").select(k.alias("id"), k.alias("number"), labels.alias("labels")), 0.8, 11)
+
+
 @query("class_weights", "SELECT label, round((SELECT count(*) FROM embeddings) / (10.0 * count(*)), 9) AS weight FROM embeddings GROUP BY 1")
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
     return ml.class_weights(table(spark, d, "embeddings").select("label"), 10).select("label", F.round("weight", 9).alias("weight"))

@@ -45,9 +45,9 @@ def graph_sql(k: int) -> str:
     """CTEs nodes(node_id, kmer) and edges(edge_id, source, target) of the reads' de Bruijn graph."""
     return (
         f"{READS}, {kmers_sql(k)}, {kmers_sql(k + 1, 'pairs_')}, "
-        "nodes AS (SELECT printf('n%06d', row_number() OVER (ORDER BY kmer)) AS node_id, kmer FROM (SELECT DISTINCT kmer FROM kmers)), "
+        "nodes AS MATERIALIZED (SELECT printf('n%06d', row_number() OVER (ORDER BY kmer)) AS node_id, kmer FROM (SELECT DISTINCT kmer FROM kmers)), "
         f"pairs AS (SELECT DISTINCT left(kmer, {k}) AS l, right(kmer, {k}) AS r FROM pairs_), "
-        "edges AS (SELECT printf('e%06d', row_number() OVER (ORDER BY l, r)) AS edge_id, a.node_id AS source, b.node_id AS target FROM pairs JOIN nodes a ON a.kmer = l JOIN nodes b ON b.kmer = r)"
+        "edges AS MATERIALIZED (SELECT printf('e%06d', row_number() OVER (ORDER BY l, r)) AS edge_id, a.node_id AS source, b.node_id AS target FROM pairs JOIN nodes a ON a.kmer = l JOIN nodes b ON b.kmer = r)"
     )
 
 
@@ -65,8 +65,8 @@ around AS (SELECT node AS root, node, 0 AS ordinal FROM ringed UNION ALL SELECT
 roots AS (SELECT root FROM around GROUP BY root HAVING min(node) = root),
 placed AS (SELECT head, node, ordinal FROM walk UNION ALL SELECT root, node, ordinal FROM around WHERE root IN (SELECT root FROM roots)),
 named AS (SELECT head, printf('u%06d', row_number() OVER (ORDER BY head)) AS unitig_id FROM (SELECT DISTINCT head FROM placed)),
-mapping AS (SELECT node AS node_id, unitig_id, ordinal FROM placed JOIN named USING (head)),
-absorbed AS (SELECT * FROM merging ANTI JOIN roots ON target = root)"""
+mapping AS MATERIALIZED (SELECT node AS node_id, unitig_id, ordinal FROM placed JOIN named USING (head)),
+absorbed AS MATERIALIZED (SELECT * FROM merging ANTI JOIN roots ON target = root)"""
 
 
 def hops(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.cut import cut
 from tessera.errors import ContractError, gathered, require_none
 from tessera.sources.text import tsv, write_tsv
 
@@ -33,24 +40,80 @@ def read_taxa(spark: SparkSession, path: str) -> DataFrame:
     return c.groupBy(taxon.cast("long").alias("taxon_id")).agg(F.count("*").alias("n"))
 
 
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(member, size) of a zip archive, read through Spark's own file access."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(data.as_py())) as archive:
+                    found = archive.infolist()
+                yield pa.RecordBatch.from_arrays([pa.array([x.filename for x in found], pa.string()), pa.array([x.file_size for x in found], pa.int64())], names=["member", "size"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "member string, size long")
+
+
+def zip_table(spark: SparkSession, path: str, member: str, columns: Sequence[str]) -> DataFrame:
+    """The named columns, as texts, of a headed comma-separated member of a zip archive.
+
+    A member is unpacked by one task as a stream and leaves it in batches; each
+    member is read by a task of its own. A member without one of the columns has
+    nulls there, and a ragged row is an error.
+    """
+    names = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, pa.string()) for n in names])
+        for batch in batches:
+            for data in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(data.as_py())) as archive, archive.open(member) as raw:
+                    rows = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
+                    head = [h.strip() for h in next(rows, [])]
+                    at, held = [head.index(n) if n in head else None for n in names], []
+                    for row in rows:
+                        if not row:
+                            continue
+                        if len(row) != len(head):
+                            raise ValueError(f"a row of {member} has {len(row)} cells, and its header {len(head)}")
+                        held.append([None if i is None else row[i].strip() for i in at])
+                        if len(held) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=schema)
+                            held = []
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=schema)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
+
+
+FEED = {"routes": ("route_id", "route_type", "route_short_name"), "trips": ("trip_id", "route_id"), "stop_times": ("trip_id", "stop_sequence", "stop_id"), "stops": ("stop_id", "stop_name", "stop_lat", "stop_lon")}
+
+
 def timetable(spark: SparkSession, folder: str, modes: dict[int, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stops, routes and visits of an unpacked transit feed, for routes whose type is in ``modes``.
+    """Stops, routes and visits of a transit feed, unpacked or a zip archive, for routes whose type is in ``modes``.
 
     stops (stop_id, name, lat, lon), routes (trip_id, route_id, mode, short_name),
-    visits (trip_id, stop_sequence, stop_id). A trip of an unknown route is an error.
+    visits (trip_id, stop_sequence, stop_id). A trip of an unknown route is an
+    error, and so is an archive without one of the four tables.
     """
-    def csv(name: str) -> DataFrame:
+    zipped = folder.lower().endswith(".zip")
+    if zipped:
+        there = {r["member"] for r in zip_members(spark, folder).collect()}  # a feed's few members
+        if lost := [f"{folder} has no {name}.txt" for name in FEED if f"{name}.txt" not in there]:
+            raise ContractError(lost)
+
+    def table(name: str) -> DataFrame:
+        if zipped:
+            return cut(zip_table(spark, folder, f"{name}.txt", FEED[name]), name)
         return spark.read.option("header", True).option("encoding", "UTF-8").csv(f"{folder}/{name}.txt")
 
     mode = F.create_map(*[F.lit(x) for k, v in modes.items() for x in (str(k), v)])
-    routes = csv("routes").select("route_id", F.col("route_type"), F.col("route_short_name").alias("short_name"))
-    trips = csv("trips").select("trip_id", "route_id")
+    routes = table("routes").select("route_id", F.col("route_type"), F.col("route_short_name").alias("short_name"))
+    trips = table("trips").select("trip_id", "route_id")
     lost = trips.join(routes, "route_id", "left_anti").agg(F.min("route_id")).first()[0]
     if lost is not None:
         raise ContractError([f"trip of an unknown route {lost}"])
     used = trips.join(routes, "route_id").select("trip_id", "route_id", F.try_element_at(mode, F.col("route_type")).alias("mode"), "short_name").where("mode is not null")
-    visits = csv("stop_times").select("trip_id", F.col("stop_sequence").cast("int").alias("stop_sequence"), "stop_id").join(used.select("trip_id"), "trip_id", "left_semi")
-    stops = csv("stops").select("stop_id", F.col("stop_name").alias("name"), F.col("stop_lat").cast("double").alias("lat"), F.col("stop_lon").cast("double").alias("lon"))
+    visits = table("stop_times").select("trip_id", F.col("stop_sequence").cast("int").alias("stop_sequence"), "stop_id").join(used.select("trip_id"), "trip_id", "left_semi")
+    stops = table("stops").select("stop_id", F.col("stop_name").alias("name"), F.col("stop_lat").cast("double").alias("lat"), F.col("stop_lon").cast("double").alias("lon"))
     return stops.join(visits.select("stop_id").distinct(), "stop_id", "left_semi"), used, visits
 
 
