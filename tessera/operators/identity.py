@@ -64,8 +64,9 @@ def edge_index(nodes: DataFrame, slots: DataFrame, mapping: DataFrame, internal:
 def identity_lines(metadata: dict, tables: dict[str, DataFrame], palette: DataFrame | None = None) -> DataFrame:
     """(section, nth, line): what makes a graph itself, as lines for :func:`digest` in the order of section and nth.
 
-    First its id, type and k; then each table's rows in ascending order, cells by
-    tabs, sections in the order of their names; then the palette by colour id.
+    First its id, type and k; then each table's rows in ascending order, the
+    table's name and the cells by tabs, tables in the order of their names; then
+    the palette by colour id.
     """
     spark = next(iter(tables.values())).sparkSession
     head = [("00 graph", f"{i:020d}", f"{key}={metadata.get(key)}") for i, key in enumerate(("graph_id", "graph_type", "k"))]
@@ -77,10 +78,10 @@ def identity_lines(metadata: dict, tables: dict[str, DataFrame], palette: DataFr
 
     for name in sorted(tables):
         rows = tables[name]
-        line = F.concat_ws("\t", *[cell(c, t) for c, t in rows.dtypes])
+        line = F.concat_ws("\t", F.lit(name), *[cell(c, t) for c, t in rows.dtypes])
         out = out.unionByName(rows.select(F.lit(f"10 {name}").alias("section"), line.alias("nth"), line.alias("line")))
     if palette is not None:
-        line = F.concat_ws("\t", F.col("color_id").cast("string"), "namespace", "value")
+        line = F.concat_ws("\t", F.lit("palette"), F.col("color_id").cast("string"), "namespace", "value")
         out = out.unionByName(palette.select(F.lit("20 palette").alias("section"), F.lpad(F.col("color_id").cast("string"), 20, "0").alias("nth"), line.alias("line")))
     return out
 

@@ -411,8 +411,8 @@ def edge_index(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "graph_digest",
     f"""WITH {HOPS}, lines AS (SELECT '00 graph' AS section, lpad(i::VARCHAR, 20, '0') AS nth, v AS line FROM (VALUES (0, 'graph_id=suppliers'), (1, 'graph_type=transit'), (2, 'k=None')) t(i, v)
-UNION ALL SELECT '10 edges', x, x FROM (SELECT source || chr(9) || target || chr(9) || (source % 5) || ',' || (target % 3) AS x FROM g_edges) UNION ALL SELECT '10 nodes', x, x FROM (SELECT s_suppkey || chr(9) || s_name AS x FROM supplier)
-UNION ALL SELECT '20 palette', lpad(r_regionkey::VARCHAR, 20, '0'), r_regionkey || chr(9) || 'region' || chr(9) || r_name FROM region),
+UNION ALL SELECT '10 edges', x, x FROM (SELECT 'edges' || chr(9) || source || chr(9) || target || chr(9) || (source % 5) || ',' || (target % 3) AS x FROM g_edges) UNION ALL SELECT '10 nodes', x, x FROM (SELECT 'nodes' || chr(9) || s_suppkey || chr(9) || s_name AS x FROM supplier)
+UNION ALL SELECT '20 palette', lpad(r_regionkey::VARCHAR, 20, '0'), 'palette' || chr(9) || r_regionkey || chr(9) || 'region' || chr(9) || r_name FROM region),
 r AS (SELECT line, row_number() OVER (ORDER BY section, nth) - 1 AS i FROM lines), a AS (SELECT i // 4096 AS g, sha256(string_agg(line, chr(10) ORDER BY i)) AS h FROM r GROUP BY 1)
 SELECT CASE WHEN count(*) > 1 THEN sha256(string_agg(h, chr(10) ORDER BY g)) ELSE any_value(h) END AS digest, (SELECT count(*) FROM r) AS n FROM a""",
 )

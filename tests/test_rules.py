@@ -3,6 +3,7 @@
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,8 +115,8 @@ def test_fit_splits_by_seed_alone(spark):
     nodes = spark.createDataFrame([(i, [float(i % 2), rng.random()], i % 2) for i in range(40)], "node long, features array<double>, label int")
     edges = spark.createDataFrame([(f"e{i}", i, (i + 2) % 40, [i % 2, int(i == 17)]) for i in range(40)], "edge_id string, source long, target long, targets array<int>")
     one, two, three = (ml.fit_multitask(nodes, edges, 2, epochs=4, seed=s) for s in (5, 5, 6))
-    assert (one.node.weight == two.node.weight).all() and (one.edge.weight == two.edge.weight).all()
-    assert not (one.node.weight == three.node.weight).all()
+    assert np.allclose(one.node.weight, two.node.weight) and np.allclose(one.edge.weight, two.edge.weight)
+    assert not np.allclose(one.node.weight, three.node.weight)
     split = ml.covering_split(spark.createDataFrame([(i, i, [0] if i == 17 else []) for i in range(40)], "id long, number long, labels array<int>"), 0.5, 5)
     chosen = {r["id"] for r in split.where("trained").collect()}
     assert 17 in chosen and len(chosen) == 20

@@ -19,8 +19,7 @@ def clumps(rng):
     return out + out[:20] + [(-1e5, 7.0)] * 3
 
 
-@pytest.mark.parametrize("crowd", [spacing.CROWD, 2])
-@pytest.mark.parametrize("make", [clumps, lambda r: [(0.0, 0.0), (3.0, 4.0)], lambda r: [(1.0, 1.0)] * 5, lambda r: [(r.random(), 0.0) for _ in range(33)]])
+@pytest.mark.parametrize(("crowd", "make"), [(spacing.CROWD, clumps), (4, lambda r: [(r.random(), 0.0) for _ in range(33)] + [(9.0, 9.0)]), (spacing.CROWD, lambda r: [(1.0, 1.0)] * 5)])
 def test_against_all_pairs(spark, monkeypatch, crowd, make):
     monkeypatch.setattr(spacing, "CROWD", crowd)
     points = make(random.Random(3))
