@@ -239,6 +239,8 @@ def _arrays(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[by], np.log(table.column(1).to_numpy()[by]).astype(np.float32)
 
 
+#: Bins of a unit of log-perplexity in which quartiles are counted.
+BINS = 1 << 16
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored")
 RULES = "row long, doc_id long, lang string, " + ", ".join(f"{f} long" for f in COUNTS) + ", logp double"
 RULES_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in COUNTS), ("logp", pa.float64())])
@@ -302,9 +304,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
     rows = measured(docs)
     rows = rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    quarter = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
-    band = rows.where("not base_failed").groupBy(F.col("lang").alias("_lang")).agg(quarter.alias("q"))
-    band = band.select("_lang", F.expr(f"q[0] - {SPREAD} * greatest(q[1] - q[0], 0.01)").alias("low"), F.expr(f"q[1] + {SPREAD} * greatest(q[1] - q[0], 0.01)").alias("high"))
+    # counted in narrow bins, so that no order of merging shows in the quartiles
+    bins = rows.where("not base_failed and log_perplexity is not null").groupBy(F.col("lang").alias("_lang"), F.floor(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.min("log_perplexity").alias("least"))
+    bins = bins.select("_lang", "least", F.expr("sum(n) over (partition by _lang order by bin)").alias("upto"), F.expr("sum(n) over (partition by _lang)").alias("all"))
+    quarter = [F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * part), F.col("least"))) for part in (0.25, 0.75)]
+    band = bins.groupBy("_lang").agg(F.array(*quarter).alias("q")).select("_lang", F.expr(f"q[0] - {SPREAD} * greatest(q[1] - q[0], 0.01)").alias("low"), F.expr(f"q[1] + {SPREAD} * greatest(q[1] - q[0], 0.01)").alias("high"))
     out = rows.join(band, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", (~F.col("base_failed") & inside).alias("kept"))
