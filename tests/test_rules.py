@@ -117,7 +117,7 @@ def test_fit_splits_by_seed_alone(spark):
     one, two, three = (ml.fit_multitask(nodes, edges, 2, epochs=4, seed=s) for s in (5, 5, 6))
     assert np.allclose(one.node.weight, two.node.weight) and np.allclose(one.edge.weight, two.edge.weight)
     assert not np.allclose(one.node.weight, three.node.weight)
-    split = ml.covering_split(spark.createDataFrame([(i, i, [0] if i == 17 else []) for i in range(40)], "id long, number long, labels array<int>"), 0.5, 5)
+    split = ml.covering_split(spark.createDataFrame([(i, i, [int(i == 17)]) for i in range(40)], "id long, number long, labels array<int>"), 0.5, 5)
     chosen = {r["id"] for r in split.where("trained").collect()}
     assert 17 in chosen and len(chosen) == 20
 
