@@ -9,66 +9,22 @@ from pyspark.sql import functions as F
 
 from tessera.errors import ContractError
 from tessera.operators.compact import Compacted
+from tessera.operators.proposals import apply_proposal
 
 
-def _unitig(c: Compacted, unitig_id: str) -> dict:
-    row = c.unitigs.where(F.col("unitig_id") == unitig_id).first()
-    if row is None:
-        raise ContractError([f"unknown unitig {unitig_id}"])
-    return row.asDict()
+EDIT = "edit_id string, kind string, unitig_id string, other string, link_id string, cut_after int, orientation string, overlap int"
 
 
 def split_unitig(c: Compacted, unitig_id: str, cut_after: int, proposal: str, edit: str) -> Compacted:
     """Cuts a unitig behind member ``cut_after``; the edge there becomes a forward link between the halves."""
-    row = _unitig(c, unitig_id)
-    n = len(row["members"])
-    if not 0 <= cut_after < n - 1:
-        raise ContractError([f"cut_after must lie between members of {unitig_id}"])
-    a, b = (f"u_{proposal}_{edit}_{half}" for half in "ab")
-    lengths = {r["node_id"]: r["length"] for r in c.mapping.where(F.col("unitig_id") == unitig_id).collect()}
-    overlap = row["internal_overlaps"][cut_after]
-    first = sum(lengths[m] for m in row["members"][: cut_after + 1]) - sum(row["internal_overlaps"][:cut_after])
-    at = cut_after + 1
-    spark = c.unitigs.sparkSession
-    halves = spark.createDataFrame(
-        [
-            (a, row["sequence"][:first], row["members"][:at], row["internal_edge_ids"][:cut_after], row["internal_overlaps"][:cut_after]),
-            (b, row["sequence"][first - overlap :], row["members"][at:], row["internal_edge_ids"][at:], row["internal_overlaps"][at:]),
-        ],
-        c.unitigs.schema,
-    )
-    mine = F.col("unitig_id") == unitig_id
-    later = mine & (F.col("ordinal") > cut_after)
-    mapping = c.mapping.select(
-        "node_id",
-        F.when(later, b).when(mine, a).otherwise(F.col("unitig_id")).alias("unitig_id"),
-        F.when(later, F.col("ordinal") - at).otherwise(F.col("ordinal")).alias("ordinal"),
-        "length",
-    )
-    moved = c.links.withColumn("source", F.when(F.col("source") == unitig_id, b).otherwise(F.col("source"))).withColumn("target", F.when(F.col("target") == unitig_id, a).otherwise(F.col("target")))
-    edge = row["internal_edge_ids"][cut_after]
-    link = spark.createDataFrame([(edge, a, b, "++", overlap)], c.links.schema)
-    return replace(c, mapping=mapping, unitigs=c.unitigs.where(~mine).unionByName(halves), links=moved.unionByName(link), internal=c.internal.where(F.col("edge_id") != edge))
+    row = c.unitigs.sparkSession.createDataFrame([(edit, "split", unitig_id, None, None, cut_after, None, None)], EDIT)
+    return apply_proposal(c, row, proposal, "").graph
 
 
 def merge_unitigs(c: Compacted, left: str, right: str, proposal: str, edit: str) -> Compacted:
     """Joins two unitigs whose one forward link is the only one out of the first and into the second."""
-    l, r = _unitig(c, left), _unitig(c, right)
-    out = c.links.where(F.col("source") == left).collect()
-    into = c.links.where(F.col("target") == right).count()
-    if len(out) != 1 or into != 1 or out[0]["target"] != right or (out[0]["orientation"] or "++") != "++" or out[0]["overlap"] is None:
-        raise ContractError([f"{left} and {right} are not joined by a sole forward link"])
-    link, o = out[0], out[0]["overlap"]
-    if o and l["sequence"][-o:] != r["sequence"][:o]:
-        raise ContractError([f"{left} does not end as {right} begins, by the {o} letters of {link['link_id']}"])
-    new = f"u_{proposal}_{edit}_m"
-    spark = c.unitigs.sparkSession
-    joined = spark.createDataFrame([(new, l["sequence"] + r["sequence"][o:], l["members"] + r["members"], l["internal_edge_ids"] + [link["link_id"]] + r["internal_edge_ids"], l["internal_overlaps"] + [o] + r["internal_overlaps"])], c.unitigs.schema)
-    pair = F.col("unitig_id").isin(left, right)
-    mapping = c.mapping.select("node_id", F.when(pair, new).otherwise(F.col("unitig_id")).alias("unitig_id"), F.when(F.col("unitig_id") == right, F.col("ordinal") + len(l["members"])).otherwise(F.col("ordinal")).alias("ordinal"), "length")
-    links = c.links.where(F.col("link_id") != link["link_id"]).withColumn("source", F.when(F.col("source") == right, new).otherwise(F.col("source"))).withColumn("target", F.when(F.col("target") == left, new).otherwise(F.col("target")))
-    inner = spark.createDataFrame([(link["link_id"], l["members"][-1], r["members"][0], o)], c.internal.schema)
-    return replace(c, mapping=mapping, unitigs=c.unitigs.where(~pair).unionByName(joined), links=links, internal=c.internal.unionByName(inner))
+    row = c.unitigs.sparkSession.createDataFrame([(edit, "merge", left, right, None, None, None, None)], EDIT)
+    return apply_proposal(c, row, proposal, "").graph
 
 
 def remove_edges(c: Compacted, link_ids: DataFrame) -> Compacted:
