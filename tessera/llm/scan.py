@@ -135,13 +135,18 @@ def run_hash(words: np.ndarray) -> np.uint64:
     return shingle_hash(words, len(words))[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def begin_task() -> None:
     """Frees what the worker holds from earlier stages and gives freed memory back to the system."""
     task = TaskContext.get()
     if task is not None:
         tokens.forget(task.stageId())
-    if _TRIM is not None:
-        _TRIM(0)
+    trim()
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from tessera.cut import cut
 from tessera.llm.labelled import labelled, remainder, training_labels
 from tessera.llm.rows import packed, unpacked
-from tessera.llm.scan import ALNUM, Block, record, small_batches, text_blocks
+from tessera.llm.scan import ALNUM, Block, record, small_batches, text_blocks, trim
 
 TABLE_BITS = 15
 WIDTHS = (1, 2, 3)
@@ -318,6 +318,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.
     net.slope, net.shift = platt(z, y[back], np.array([r["weight"] for r in got])[back])
     model = Model(net, threshold, {})
     trained = [(r["doc_id"],) for r, b in zip(got, back, strict=True) if not b]  # fewer than 2 * rows
+    del got, words, z  # the driver has done with the sample
+    trim()
     rest = labelled(labels, "toxic", learn).join(F.broadcast(docs.sparkSession.createDataFrame(trained, "doc_id long")), "doc_id", "left_anti")
     model.by_language = language_thresholds(own, rest, model)
     return model
