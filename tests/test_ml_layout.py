@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +74,14 @@ def test_digest_follows_order_and_content(spark):
     assert identity.digest(rows.where("false"), ["i"], "line").first()["n"] == 0
 
 
+def test_digest_has_two_levels_as_its_sql(spark):
+    """Ten lines in runs of two: more than 2 * 2 lines make no third level."""
+    rows = spark.createDataFrame([(i, f"l{i}") for i in range(10)], "i long, line string")
+    runs = [hashlib.sha256(f"l{i}\nl{i + 1}".encode()).hexdigest() for i in range(0, 10, 2)]
+    assert tuple(identity.digest(rows, ["i"], "line", fan=2).first()) == (hashlib.sha256("\n".join(runs).encode()).hexdigest(), 10)
+    assert identity.digest(rows.where("i < 2"), ["i"], "line", fan=2).first()["digest"] == runs[0]
+
+
 def test_streams(spark, tmp_path):
     reads = spark.createDataFrame([("ACGT",), ("ACG",), ("A",)], "seq string")
     reads.write.parquet(str(tmp_path / "r"))
