@@ -15,12 +15,16 @@ Size and skew
 * A band group is never expanded into pairs. Its members are compared with the
   smallest one (a star); that joins most groups into one component. Groups that
   still hold several components are cut into tiles of ``TILE`` members, and
-  pairs of different components are compared on sketches inside a tile.
+  pairs of different components are compared on sketches inside a tile. What they
+  do not rule out is verified there too: the texts of the members are sent to the
+  tile once, whatever the number of pairs, and links that join nothing new are
+  left out, so no more links than members leave a tile.
 * Most tiles join a block of strays with the blocks of one large component, so
   they grow with the group and not with its square. Where more than ``LARGE``
-  members are strays, the group is split by the other bands of its members, and
-  its parts go the same way, stars first; a pair at the threshold that met in such
-  a group shares a further band with probability above 1 - 1e-7.
+  members are strays, stars of the parts that the members' other bands make come
+  first, which joins more of them; the group is compared whole after that, so its
+  size decides on the work and not on the links. True strays of one group are
+  compared in tiles of fixed size, whose number grows with their square.
 * Links are confirmed on the shingles' words, not on hashes of them.
 * Components are found with shuffled joins; nothing is gathered on the driver.
 """
@@ -47,9 +51,11 @@ MANTISSA = 10
 ROWS = 4
 EMPTY = 0xFFFF
 TILE = 256
-#: A group is split while ``SPLITS`` allows it if more members than this lie outside its largest component.
+#: Stars of a group's parts come before its tiles, ``SPLITS`` times at most, while more members than this lie outside its largest component.
 LARGE = 16_384
 SPLITS = 2
+#: Shingles of the members whose texts are held together.
+HELD = 1 << 21
 #: Standard deviations that an estimate may fall short of the threshold and still be verified.
 SLACK = 5.0
 U64 = np.uint64
@@ -196,21 +202,27 @@ def word_sets(text: bytes, n: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[k:] for k in range(n)), strict=False)) if len(words) >= n else {tuple(words)} if words else set()
 
 
+def _linked(x: np.ndarray, y: np.ndarray, left: bytes, right: bytes, n: int, percent: int) -> bool:
+    """Whether two texts, with the hashes x and y of their shingles, satisfy 100 * intersection >= percent * union."""
+    def enough(a: int, b: int, common: int) -> bool:
+        return 100 * common >= percent * (a + b - common)
+
+    # hashes that coincide add to what is common; only what they leave is compared word by word
+    if not enough(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))):
+        return False
+    a, b = word_sets(left, n), word_sets(right, n)
+    return enough(len(a), len(b), len(a & b))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets satisfy 100 * intersection >= percent * union, by texts (rep, text)."""
-    def linked(x: int, y: int, common: int) -> bool:
-        return 100 * common >= percent * (x + y - common)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok, at = np.zeros(batch.num_rows, bool), 0
             for part, left in text_blocks(iter([batch]), "ta"):
                 right = [t or b"" for t in part.column(3).cast(pa.large_binary()).to_pylist()]
                 for i, (x, y) in enumerate(zip(block_sets(left, n), block_sets(right, n), strict=True)):
-                    # hashes that coincide add to what is common; only what they leave is compared word by word
-                    if linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))):
-                        x, y = word_sets(left[i], n), word_sets(right[i], n)
-                        ok[at + i] = linked(len(x), len(y), len(x & y))
+                    ok[at + i] = _linked(x, y, left[i], right[i], n, percent)
                 at += part.num_rows
             yield batch.select([0, 1]).filter(pa.array(ok))
 
@@ -267,17 +279,17 @@ def _finer(large: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "band long, used long, rep long").distinct()
 
 
-def _crossing(open_bands: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Plausible pairs of different components inside the given groups (band, used, rep, comp).
+def _tiles(open_bands: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """(band, i, j, part, rep, comp, others): the members of each tile that have plausible partners in other components, with those of them that are larger.
 
     Members are numbered by component and cut into blocks of TILE, so that most
     blocks hold one component; two blocks of the same single component make no tile.
-    A pair that shares several bands comes out of its first one only (of the first
-    groups: where that one is too large, a part of it holds the pair).
+    A pair that shares several bands comes out of its first one only. A tile comes
+    in parts of at most about HELD shingles, each with its pairs.
     """
     # blocks are cut inside the parts of a range partitioning, so a large band is numbered by many tasks
     parts = int(open_bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(open_bands.select("band", "used", "rep", "comp").repartitionByRange(parts, "band", "comp", "rep").withColumn("part", F.spark_partition_id()), "dealt")
+    dealt = cut(open_bands.select("band", "rep", "comp").repartitionByRange(parts, "band", "comp", "rep").withColumn("part", F.spark_partition_id()), "dealt")
     m = dealt.withColumn("block", F.expr(f"(cast(part as long) << 32) + (row_number() over (partition by part, band order by comp, rep) - 1) div {TILE}"))
     m = cut(m.drop("part"), "members")
     blocks = m.groupBy("band", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -291,32 +303,53 @@ def _crossing(open_bands: DataFrame, reps: DataFrame, similarity: float) -> Data
     rows = (
         sides.join(m, ["band", "block"])
         .join(reps.select("rep", "regs", "n_shingles"), "rep")
-        .select("band", "i", "j", "block", "rep", "comp", "n_shingles", "regs", "used")
+        .select("band", "i", "j", "block", "rep", "comp", "n_shingles", "regs")
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
     )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("band", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("part", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("others", pa.list_(pa.int64()))])
 
-    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def plausible_pairs(rows: list[tuple]) -> Iterator[tuple[tuple, tuple]]:
         i, j = rows[0][1], rows[0][2]
         left = [r for r in rows if r[3] == i]
         right = left if i == j else [r for r in rows if r[3] == j]
         regs = np.frombuffer(b"".join(r[7] for r in right), np.uint16).reshape(-1, BUCKETS)
-        size, comp, rep = (np.array([r[k] for r in right]) for k in (6, 5, 4))
+        size, comp = (np.array([r[k] for r in right]) for k in (6, 5))
         keys, filled = band_keys(regs)
-        here, whole = rows[0][0], not rows[0][8]
+        here = rows[0][0]
         for r in left:
             other = np.flatnonzero(comp > r[5]) if i == j else np.flatnonzero(comp != r[5])
             if not len(other):
                 continue
             own = np.frombuffer(r[7], np.uint16).reshape(1, BUCKETS)
             hit = other[plausible(np.broadcast_to(own, (len(other), BUCKETS)), regs[other], np.full(len(other), r[6]), size[other], similarity)]
-            if whole:
-                key, _ = band_keys(own)
-                first = ((keys[hit] == key) & filled[hit]).argmax(1)
-                hit = hit[key[0, first].view(np.int64) == here]
-            if len(hit):
-                yield record(schema, a=np.minimum(rep[hit], r[4]), b=np.maximum(rep[hit], r[4]))
+            key, _ = band_keys(own)
+            first = ((keys[hit] == key) & filled[hit]).argmax(1)
+            for q in hit[key[0, first].view(np.int64) == here].tolist():
+                yield r, right[q]
+
+    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        others: dict[int, list[int]] = {}
+        comps: dict[int, int] = {}
+        part = total = 0
+
+        def out() -> pa.RecordBatch:
+            n = len(others)
+            return record(schema, **{c: [rows[0][k]] * n for k, c in enumerate(("band", "i", "j"))}, part=[part] * n, rep=list(others), comp=[comps[x] for x in others], others=list(others.values()))
+
+        for r, q in plausible_pairs(rows):
+            more = sum(x[6] for x in (r, q) if x[4] not in others)
+            if others and total + more > HELD:
+                yield out()
+                others, comps, part, total = {}, {}, part + 1, 0
+                more = r[6] + q[6]
+            total += more
+            for x in (r, q):
+                others.setdefault(x[4], [])
+                comps[x[4]] = x[5]
+            others[min(r[4], q[4])].append(max(r[4], q[4]))
+        if others:
+            yield out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -330,6 +363,49 @@ def _crossing(open_bands: DataFrame, reps: DataFrame, similarity: float) -> Data
         if len(held) > 1:
             yield from compare(held)
 
+    return rows.mapInArrow(run, "band long, i long, j long, part int, rep long, comp long, others array<long>")
+
+
+def _crossing(open_bands: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links between different components of the given groups (band, rep, comp), enough to join all that their tiles join."""
+    tiles = cut(_tiles(open_bands, reps, percent / 100), "tiles")
+    rows = tiles.join(texts, "rep").select("band", "i", "j", "part", "rep", "comp", "others", "text").repartition("band", "i", "j", "part").sortWithinPartitions("band", "i", "j", "part")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        of = {rep: (found, text) for rep, _, _, found, text in held}
+        # components before are numbered apart from the members
+        top = {("comp", comp): ("comp", comp) for _, comp, _, _, _ in held} | {rep: ("comp", comp) for rep, comp, _, _, _ in held}
+
+        def root(x: object) -> object:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        joins = []
+        for a, _, others, found, text in held:
+            for b in others:
+                x, y = root(a), root(b)
+                if x != y and _linked(found, of[b][0], text, of[b][1], n, percent):
+                    top[x] = y
+                    joins.append((a, b))
+        return record(schema, a=[a for a, _ in joins], b=[b for _, b in joins])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch, block in text_blocks(batches):
+            sets = block_sets(block, n)
+            fields = [c.to_pylist() for c in batch.columns[:7]]
+            for *at, rep, comp, others, found, text in zip(*fields, sets, block, strict=True):
+                if at != key:
+                    if held:
+                        yield links(held)
+                    key, held = at, []
+                held.append((rep, comp, others, found, text))
+        if held:
+            yield links(held)
+
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -342,17 +418,16 @@ def _placed(classes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFr
     texts = cut(texts.select("rep", "text"), "grouped-texts")
 
     every = cut(_verified(_promising(_stars(members), reps, similarity), texts, n, percent), "edges")
-    crossing = None
-    for level in range(SPLITS + 1):
-        opened = _open(members, connected_components(every, "a", "b"))
-        small = _crossing(opened.where(f"strays <= {LARGE}" if level < SPLITS else "true"), reps, similarity)
-        crossing = small if crossing is None else crossing.unionByName(small)
-        large = opened.where(f"strays > {LARGE}")
-        if level == SPLITS or large.isEmpty():
+    opened = parts = _open(members, connected_components(every, "a", "b"))
+    for _ in range(SPLITS):
+        large = parts.where(f"strays > {LARGE}")
+        if large.isEmpty():
             break
-        members = _grouped(_finer(large, reps))
-        every = cut(every.unionByName(_verified(_promising(_stars(members), reps, similarity), texts, n, percent)), "edges")
-    late = _verified(cut(crossing.distinct(), "crossing"), texts, n, percent)
+        finer = _grouped(_finer(large, reps))
+        every = cut(every.unionByName(_verified(_promising(_stars(finer), reps, similarity), texts, n, percent)), "edges")
+        found = connected_components(every, "a", "b")
+        opened, parts = _open(members, found), _open(finer, found)
+    late = _crossing(opened, reps, texts, n, percent)
     labels = connected_components(cut(every.unionByName(late), "all-edges"), "a", "b")
 
     return classes.join(labels, classes.rep == labels.node, "left").select("d1", "d2", "n_shingles", "least", F.coalesce("component", "rep").alias("group"))

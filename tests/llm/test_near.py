@@ -67,6 +67,45 @@ def test_groups_of_variants(spark, monkeypatch, tile, large):
     assert got == want
 
 
+def variants(spark, n):
+    rng, rows = random.Random(8), []
+    for _ in range(2):
+        base = [f"v{rng.randrange(5000)}" for _ in range(60)]
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(w)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_large_groups_are_compared_whole(spark, monkeypatch):
+    """Links do not hang on a further band: the parts of a large group may hold none of them."""
+    monkeypatch.setattr(nd, "LARGE", 0)
+    monkeypatch.setattr(nd, "_finer", lambda large, reps: large.select("band", "used", "rep").limit(0))
+    got, want = run(variants(spark, 40), 4)
+    assert got == want
+
+
+def test_tiles_leave_out_links_that_join_nothing(spark, monkeypatch):
+    """Without stars all links come out of tiles, in parts of few members: fewer of them than pairs that are linked."""
+    counts, crossing = [], nd._crossing
+
+    def counted(*a):
+        found = nd.cut(crossing(*a))
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(nd, "HELD", 2000, raising=False)
+    monkeypatch.setattr(nd, "_crossing", counted)
+    monkeypatch.setattr(nd, "_stars", lambda members: members.where("rep < hub").selectExpr("hub as a", "rep as b"))
+    df = variants(spark, 60)
+    got, want = run(df, 4)
+    assert got == want
+    of = [sets(r["text"], 4) for r in df.collect()]
+    assert 0 < counts[0] < sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(of) for b in of[:i])
+
+
 def test_odd_rows(odd, empty):
     got = nd.near_duplicates(odd, 4).collect()
     assert len(got) == odd.count()
