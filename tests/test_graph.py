@@ -150,3 +150,15 @@ def test_upsert(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, value string")
     b = spark.createDataFrame([(2, "z"), (3, "w")], "id long, value string")
     assert sorted(map(tuple, upsert(a, b).collect())) == [(1, "x"), (2, "z"), (3, "w")]
+
+
+def test_compaction_leaves_only_tables_that_are_read_later(spark):
+    """Of the tables written on the way the nodes and edges of the graph, its merging edges, places and mapping stay."""
+    from tessera import cut
+    from tessera.operators import build, compact
+
+    before = len(cut._MADE)
+    c = compact.compact(build.de_bruijn(spark.createDataFrame([("ACGTTGCAACGGT",), ("GGTACCATT",)], "seq string"), 4))
+    left = [path.rsplit("/", 1)[-1].rsplit("-", 1)[0] for path in cut._MADE[before:]]
+    assert sorted(left) == ["edges", "mapping", "mergeable", "pairs", "placed", "ranked", "ranked"]
+    assert c.mapping.count() == sum(len(r["members"]) for r in c.unitigs.collect()) and c.links.count() + c.internal.count() > 0
