@@ -84,6 +84,28 @@ def test_junction_tasks_agree_with_plain_doubling(spark, monkeypatch, chunk, see
     assert {r["sequence"] for r in a.unitigs.collect()} == {r["sequence"] for r in b.unitigs.collect()}
 
 
+def test_read_graph_with_paths_over_many_tasks(spark, monkeypatch):
+    """Paths and cycles that many tasks make, and reads of exactly k letters inside other reads, against plain doubling; no table of all nodes is joined to one of all edges."""
+    monkeypatch.setattr(kmers, "SLICE", 12)
+    rng = random.Random(3)
+    rings = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (40, 7)]
+    reads = [*texts(rng, n=6), *[r + r[:7] for r in rings], "GATTACAGATTACAGATT", "TTAGCC", "ATTAGCCA", "TTAGCCTT"]
+    g = de_bruijn(spark.createDataFrame([(r,) for r in reads], "seq string").repartition(3), 6)
+    want = sorted({r[i : i + 6] for r in reads for i in range(len(r) - 5)})
+    assert [r["sequence"] for r in g.nodes.orderBy("node_id").collect()] == want
+    pairs = sorted({r[i : i + 7] for r in reads for i in range(len(r) - 6)})
+    assert sorted((r["edge_id"], r["source"], r["target"]) for r in g.edges.collect()) == [(f"e{i:06d}", f"n{want.index(p[:6]) + 1:06d}", f"n{want.index(p[1:]) + 1:06d}") for i, p in enumerate(pairs, 1)]
+    a, b = c.compact(g), c.compact(Graph(g.nodes, g.edges, "de_bruijn", 6, exact=True))
+    assert paths(a) == paths(b)
+    assert sorted(map(tuple, a.links.collect())) == sorted(map(tuple, b.links.collect()))
+    assert sorted(map(tuple, a.mapping.collect())) == sorted(map(tuple, b.mapping.collect()))
+    fields = lambda x: sorted((r["unitig_id"], r["sequence"], r["internal_edge_ids"], r["internal_overlaps"]) for r in x.unitigs.collect())
+    assert fields(a) == fields(b)
+    assert sorted(map(tuple, c.expand(a).nodes.collect())) == sorted(map(tuple, g.nodes.collect()))
+    plan = a.unitigs._jdf.queryExecution().sparkPlan().toString() + a.internal._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_long_path_compacts_and_expands(spark):
     """One unitig of 100 000 members: no row of its expansion holds more than a stretch of its letters."""
     rng = random.Random(11)
