@@ -119,3 +119,24 @@ def test_colouring_names():
     assert colour.namespaces_for(["calls", "reads", "decaying"]) == ["taxon", "sample"]
     with pytest.raises(ContractError, match="smell is no colouring"):
         colour.namespaces_for(["smell"])
+
+
+def test_compacted_bundles_make_their_tables_once(spark, tmp_path):
+    """Rules and files read written tables: what makes unitigs runs once for a dump."""
+    from tessera.operators.build import de_bruijn
+    from tessera.operators.compact import Compacted, compact
+
+    c = compact(de_bruijn(spark.createDataFrame([("ACGTTGCAACGGT",)], "seq string"), 4))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    u = c.unitigs
+    u = u.mapInArrow(counted, u.schema)
+    bundle.dump_compacted(bundle.CompactedBundle({"schema_version": "1.0", "graph_type": "de_bruijn", "k": 4}, Compacted(c.mapping, u, c.links, c.internal)), str(tmp_path / "b"))
+    assert seen.value == c.unitigs.count()
+    back = bundle.load_compacted(spark, str(tmp_path / "b")).graph
+    assert sorted(map(tuple, back.internal.collect())) == sorted(map(tuple, c.internal.collect()))
