@@ -116,3 +116,29 @@ def test_violations_are_all_reported(spark):
         validate.require_valid(validate.graph_violations(nodes, edges))
     assert caught.value.errors == ["duplicate node_id a", "node b has no sequence", "node a has letters outside ACGTN", "edge e has an unknown target z", "edge e has orientation +?"]
     validate.require_valid(validate.graph_violations(nodes.where("sequence = 'ACG'"), edges.where("false")))
+
+
+def test_decaying_mass_joins_by_shuffles(spark):
+    """A round whose joins are too large to broadcast; its plan failed where partitions were put together."""
+    own = spark.range(300).selectExpr("id as node", "id % 25 as colour", "cast(1 + id % 2 as double) as weight").where("node % 3 <> 0")
+    edges = spark.range(3000).selectExpr("id % 300 as source", "(id * 7 + id div 300) % 300 as target", "1 + id % 3 as weight")
+    want = {}
+    for r in own.collect():
+        want.setdefault(r["node"], {})[r["colour"]] = 1.0
+    first, links = dict(want), edges.collect()
+    for _ in range(3):
+        after = {}
+        for node in first:
+            votes = [(r["weight"], want[r["target"]]) for r in links if r["source"] == node and r["target"] in want]
+            total = sum(w for w, _ in votes)
+            colours = {c for _, m in votes for c in m} | set(first[node])
+            after[node] = {c: 0.5 * sum(w * m.get(c, 0.0) for w, m in votes) / total + 0.5 * first[node].get(c, 0.0) for c in colours} if votes else first[node]
+        want = after
+    held = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if spark.conf.get(c, None)}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {(r["node"], r["colour"]): r["mass"] for r in colour.decaying_mass(own, edges, 0.5, 3).collect()}
+    finally:
+        for c, value in held.items():
+            spark.conf.set(c, value)
+    assert got == pytest.approx({(n, c): m for n, cells in want.items() for c, m in cells.items()})
