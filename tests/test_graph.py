@@ -162,3 +162,16 @@ def test_compaction_leaves_only_tables_that_are_read_later(spark):
     left = [path.rsplit("/", 1)[-1].rsplit("-", 1)[0] for path in cut._MADE[before:]]
     assert sorted(left) == ["edges", "mapping", "mergeable", "pairs", "placed", "ranked", "ranked"]
     assert c.mapping.count() == sum(len(r["members"]) for r in c.unitigs.collect()) and c.links.count() + c.internal.count() > 0
+
+
+def test_only_turning_forks_have_bubbles(spark):
+    """Bubbles of a graph of short repeats are found among the forks whose letters allow them, and nowhere else; most forks are left out."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT") for _ in range(400)) for _ in range(20)]
+    texts += ["".join(rng.choice(["A", "AC", "ACG", "AAT"]) * rng.randint(2, 7) for _ in range(30)) for _ in range(20)]
+    for k in (4, 7):
+        g = de_bruijn(spark.createDataFrame([(t,) for t in texts], "seq string"), k)
+        edges, among = g.edges.localCheckpoint(), topology.turning_kmers(g.nodes, k).localCheckpoint()
+        whole = {r[0] for r in topology.bubble_sources(edges).collect()}
+        assert {r[0] for r in topology.bubble_sources(edges, among=among).collect()} == whole and whole
+    assert 4 * among.count() < g.nodes.count()
