@@ -23,8 +23,9 @@ Size and skew
   they grow with the group and not with its square. Where more than ``LARGE``
   members are strays, stars of the parts that the members' other bands make come
   first, which joins more of them; the group is compared whole after that, so its
-  size decides on the work and not on the links. True strays of one group are
-  compared in tiles of fixed size, whose number grows with their square.
+  size decides on the work and not on the links. A group's blocks grow by the root
+  of its size, so its tiles grow with it, and its members are sent to that root of
+  tiles each; true strays are all compared inside them, which grows with their square.
 * Links are confirmed on the shingles' words, not on hashes of them.
 * Components are found with shuffled joins; nothing is gathered on the driver.
 """
@@ -246,12 +247,12 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, components: DataFrame) -> DataFrame:
-    """The members of bands that hold several components, with theirs and the number outside the band's largest, written."""
+    """The members of bands that hold several components, with theirs, the band's ``size`` and the number outside its largest, written."""
     def opened() -> DataFrame:
         placed = members.drop("hub").join(components, members.rep == components.node, "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
         placed = cut(placed, "placed")
         sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("band").agg((F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+        split = sizes.groupBy("band").agg(F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
         return placed.join(split, "band")
 
     return settled(opened, "open")
@@ -284,14 +285,16 @@ def _tiles(open_bands: DataFrame, reps: DataFrame, similarity: float) -> DataFra
 
     Members are numbered by component and cut into blocks of TILE, so that most
     blocks hold one component; two blocks of the same single component make no tile.
+    Blocks of a larger group are longer by the root of its size, so that tiles grow
+    with the group and not with its square.
     A pair that shares several bands comes out of its first one only. A tile comes
     in parts of at most about HELD shingles, each with its pairs.
     """
     # blocks are cut inside the parts of a range partitioning, so a large band is numbered by many tasks
     parts = int(open_bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(open_bands.select("band", "rep", "comp").repartitionByRange(parts, "band", "comp", "rep").withColumn("part", F.spark_partition_id()), "dealt")
-    m = dealt.withColumn("block", F.expr(f"(cast(part as long) << 32) + (row_number() over (partition by part, band order by comp, rep) - 1) div {TILE}"))
-    m = cut(m.drop("part"), "members")
+    dealt = cut(open_bands.select("band", "rep", "comp", "size").repartitionByRange(parts, "band", "comp", "rep").withColumn("part", F.spark_partition_id()), "dealt")
+    m = dealt.withColumn("block", F.expr(f"(cast(part as long) << 32) + (row_number() over (partition by part, band order by comp, rep) - 1) div greatest({TILE}, cast(ceil(sqrt({TILE} * size)) as long))"))
+    m = cut(m.drop("part", "size"), "members")
     blocks = m.groupBy("band", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     x, y = blocks.alias("x"), blocks.alias("y")
     tiles = (

@@ -146,3 +146,17 @@ def test_estimates_follow_jaccard():
             est, _ = nd.jaccard(r[:1], r[1:], np.array([len(a)]), np.array([len(b)]))
             errors.append(est[0] - true)
         assert abs(np.mean(errors)) < 0.03
+
+
+def test_tiles_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """Members of one group in as many components: every pair stands in a tile, and a member is sent to few tiles."""
+    monkeypatch.setattr(nd, "TILE", 4)
+    regs = np.random.default_rng(3).integers(1, 2000, nd.BUCKETS).astype(np.uint16)
+    band = int(nd.band_keys(regs[None])[0][0, 0].astype(np.int64))
+    n = 144
+    reps = spark.createDataFrame([(i, bytearray(regs.tobytes()), 50) for i in range(n)], "rep long, regs binary, n_shingles long")
+    members = spark.createDataFrame([(band, i, i, n) for i in range(n)], "band long, rep long, comp long, size long")
+    rows = nd._tiles(members, reps, 0.8).collect()
+    pairs = [(r["rep"], x) for r in rows for x in r["others"]]
+    assert len(pairs) == len(set(pairs)) == n * (n - 1) // 2
+    assert len({(r["i"], r["j"]) for r in rows}) <= n
