@@ -3,7 +3,7 @@ import json
 import pytest
 
 from tessera.errors import ContractError
-from tessera.operators import colour, ml, score, tensor
+from tessera.operators import colour, ids, ml, score, tensor
 from tessera.operators.annotate import PROVENANCE, Layers, attach, feature_block, layer
 from tessera.operators.compact import Compacted
 from tessera.sources import bundle
@@ -140,3 +140,15 @@ def test_compacted_bundles_make_their_tables_once(spark, tmp_path):
     assert seen.value == c.unitigs.count()
     back = bundle.load_compacted(spark, str(tmp_path / "b")).graph
     assert sorted(map(tuple, back.internal.collect())) == sorted(map(tuple, c.internal.collect()))
+
+
+def test_layouts_write_no_members_and_sequences(spark, monkeypatch):
+    """What a layout writes grows with its unitigs and not with their members."""
+    u = spark.createDataFrame([("u2", "ACGT", ["a", "c"], ["e"], [2]), ("u1", "GGTA", ["b"], [], [])], "unitig_id string, sequence string, members array<string>, internal_edge_ids array<string>, internal_overlaps array<int>")
+    links = spark.createDataFrame([("l", "u1", "u2", "++", 2)], "link_id string, source string, target string, orientation string, overlap int")
+    written = []
+    for module in (tensor, ids):
+        monkeypatch.setattr(module, "cut", lambda df, name, cut=module.cut: written.append(set(df.columns)) or cut(df, name))
+    g = tensor.layout(Compacted(u, u, links, u))
+    assert written and not any(x & {"members", "sequence", "internal_edge_ids", "internal_overlaps"} for x in written)
+    assert [(r["dense_id"], r["members"]) for r in g.nodes.orderBy("dense_id").collect()] == [(0, ["b"]), (1, ["a", "c"])]
