@@ -175,3 +175,20 @@ def test_only_turning_forks_have_bubbles(spark):
         whole = {r[0] for r in topology.bubble_sources(edges).collect()}
         assert {r[0] for r in topology.bubble_sources(edges, among=among).collect()} == whole and whole
     assert 4 * among.count() < g.nodes.count()
+
+
+def test_links_are_made_without_unitigs_and_are_the_same(spark):
+    """Links alone write no unitigs; numbers of unitigs go by the names of their heads, also where those have several lengths."""
+    from tessera import cut
+    from tessera.operators import compact as module
+
+    rng = random.Random(3)
+    reads = spark.createDataFrame([("".join(rng.choice("ACGT") for _ in range(300)),) for _ in range(3)], "seq string")
+    before = len(cut._MADE)
+    links = sorted(map(tuple, module.ReadUnitigs(de_bruijn(reads, 5)).links.collect()))
+    assert "mapping" not in {path.rsplit("/", 1)[-1].rsplit("-", 1)[0] for path in cut._MADE[before:]}
+    c = compact(de_bruijn(reads, 5))
+    assert links == sorted(map(tuple, c.links.collect())) and links
+    of = {r["node_id"]: r["unitig_id"] for r in c.mapping.collect()}
+    edges = {r["edge_id"]: (of[r["source"]], of[r["target"]]) for r in de_bruijn(reads, 5).edges.collect()}
+    assert all(edges[r[0]] == (r[1], r[2]) for r in links)
