@@ -148,30 +148,34 @@ def kmeans(rows: DataFrame, clusters: int, seed: int = 0, starts: int = 5, round
         raise ContractError([f"{n} rows are too few to cluster"])
     clusters = min(clusters, max(2, n))
     rng = np.random.default_rng(seed)
-    best, centres = np.inf, None
-    for _ in range(starts):
-        chosen = rng.choice(n, size=clusters, replace=False)
-        picked = {r["row"] - 1: r["features"] for r in data.where(F.col("row").isin([int(i) + 1 for i in chosen])).collect()}  # one row per cluster
-        c = np.array([picked[int(i)] for i in chosen])
-        for _ in range(rounds):
-
-            def partial(b: dict[str, pa.Array], c: np.ndarray = c) -> np.ndarray:
-                x = _matrix(b["features"])
+    draws = [rng.choice(n, size=clusters, replace=False) for _ in range(starts)]
+    wanted = sorted({int(i) + 1 for d in draws for i in d})
+    picked = {r["row"] - 1: r["features"] for r in data.where(F.col("row").isin(wanted)).collect()}  # one row per cluster and start
+    held = [np.array([picked[int(i)] for i in d]) for d in draws]
+    inertia, open_ = [np.inf] * starts, list(range(starts))
+    for _ in range(rounds):
+        # a pass over the rows serves every start that still moves
+
+        def partial(b: dict[str, pa.Array], now: list[np.ndarray] = [held[s] for s in open_]) -> np.ndarray:  # noqa: B006
+            x, out = _matrix(b["features"]), []
+            for c in now:
                 d = _distances(x, c)
                 at = d.argmin(1)
-                sums = np.zeros((len(c), x.shape[1]))
-                np.add.at(sums, at, x)
-                return np.concatenate([sums.ravel(), np.bincount(at, minlength=len(c)), [d.min(1).sum()]])
+                out += [(np.eye(len(c))[at].T @ x).ravel(), np.bincount(at, minlength=len(c)), [d.min(1).sum()]]
+            return np.concatenate(out)
 
-            got = summed(data, partial)
-            sums, size = got[: c.size].reshape(c.shape), got[c.size : -1]
+        got, moving = np.split(summed(data, partial), len(open_)), []
+        for s, part in zip(open_, got, strict=True):
+            c = held[s]
+            sums, size = part[: c.size].reshape(c.shape), part[c.size : -1]
             new = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
-            done = np.allclose(new, c)
-            inertia, c = got[-1], c if done else new
-            if done:
-                break
-        if inertia < best:
-            best, centres = inertia, c
+            inertia[s] = part[-1]
+            if not np.allclose(new, c):
+                held[s] = new
+                moving.append(s)
+        if not (open_ := moving):
+            break
+    centres = held[int(np.argmin(inertia))]
     schema = pa.schema([("node", pa.int64()), ("cluster", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
