@@ -2,11 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cut import cut, settled
 
+#: Edges that a task holds at a time.
+CHUNK = 1 << 20
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(src, dst) with the components of ``edges`` (src, dst): of every stretch of a task's edges one for each node, to the first node of its component there.
+
+    Where nodes have many edges most of them go before anything is shuffled.
+    """
+    kind = dict(edges.dtypes)["src"]
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        both = pa.concat_arrays([table[c].combine_chunks() for c in ("src", "dst")]).dictionary_encode()
+        code, n = both.indices.to_numpy(), table.num_rows
+        a, b, root = code[:n], code[n:], np.arange(len(both.dictionary))
+        while True:
+            u, v = root[a], root[b]
+            far = u != v
+            if not far.any():
+                break
+            a, b, u, v = a[far], b[far], u[far], v[far]
+            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+            while not (root[root] == root).all():
+                root = root[root]
+        others = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(others)), both.dictionary.take(pa.array(root[others]))], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            held.append(batch)
+            total += batch.num_rows
+            if total >= CHUNK:
+                yield solve(held)
+                held, total = [], 0
+        if held:
+            yield solve(held)
+
+    whole = edges.select("src", "dst").where("src is not null and dst is not null")
+    return whole.mapInArrow(run, f"src {kind}, dst {kind}")
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.cut import cut
 from tessera.errors import ContractError, require_none
 from tessera.functions import seq
-from tessera.operators.components import connected_components
+from tessera.operators.components import connected_components, forest
 from tessera.operators.ids import numbered, ranked
 
 
@@ -58,7 +58,7 @@ def repeat_junction_sequences(nodes: DataFrame, edges: DataFrame, k: int) -> Dat
     """
     ends = nodes.select(F.explode(F.array(F.concat(F.lit("p:"), "node"), F.concat(F.lit("s:"), "node"))).alias("j"))
     glue = edges.select(F.concat(F.lit("s:"), "source").alias("src"), F.concat(F.lit("p:"), "target").alias("dst"))
-    root = connected_components(glue)
+    root = connected_components(forest(glue))
     named = cut(ends.join(root, ends.j == root.node, "left").select("j", F.coalesce("component", "j").alias("root")), "junctions")
     classes = cut(ranked(named.select("root").distinct(), ["root"], "number").withColumn("number", F.col("number") - 1), "classes")
     if classes.count() > 4 ** (k - 1):
