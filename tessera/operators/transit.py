@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +97,7 @@ def route_colours(routes: DataFrame, modes: list[str]) -> DataFrame:
     return of_mode.unionByName(dealt)
 
 
-def transit_graph(stops: DataFrame, routes: DataFrame, visits: DataFrame, modes: list[str], k: int = 21, flows: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def transit_graph(stops: DataFrame, routes: DataFrame, visits: DataFrame, modes: list[str], k: int = 21, flows: DataFrame | Callable[[DataFrame], DataFrame] | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and colours of a transit network.
 
     stops (stop_id, name[, lat, lon]), routes (route_id, mode, short_name), visits
@@ -105,13 +105,15 @@ def transit_graph(stops: DataFrame, routes: DataFrame, visits: DataFrame, modes:
     lon,] sequence, color_ids) are the visited stops; edges (edge_id, source, target,
     orientation, coverage, color_ids) distinct hops between different stops. A
     stop's coverage is the sum of its routes' flows, an edge's the mean of its ends.
+    Flows (route_id, flow) may be a function of the stops that routes serve (stop_id, route_id).
     """
-    require_none(visits.join(routes, "route_id", "left_anti").select("route_id").distinct(), lambda r: f"route {r['route_id']} is not known")
-    require_none(visits.join(stops, "stop_id", "left_anti").select("stop_id").distinct(), lambda r: f"stop {r['stop_id']} is not known")
-    served = cut(visits.select("stop_id", "route_id").distinct(), "served")
-    hop = visits.selectExpr("route_id", "stop_id as source", "lead(stop_id) over (partition by trip_id order by pos) as target").where("target is not null and source <> target")
-    hop = cut(hop.distinct(), "hops")
-    flow = flows if flows is not None else drawn_flows(served.groupBy("route_id").agg(F.count("*").alias("n")), seed)
+    # trips are put in order once; what is read again are the distinct steps
+    steps = cut(visits.selectExpr("route_id", "stop_id as source", "lead(stop_id) over (partition by trip_id order by pos) as target").distinct(), "steps")
+    served = cut(steps.select(F.col("source").alias("stop_id"), "route_id").distinct(), "served")
+    require_none(served.join(routes, "route_id", "left_anti").select("route_id").distinct(), lambda r: f"route {r['route_id']} is not known")
+    require_none(served.join(stops, "stop_id", "left_anti").select("stop_id").distinct(), lambda r: f"stop {r['stop_id']} is not known")
+    hop = steps.where("target is not null and source <> target")
+    flow = drawn_flows(served.groupBy("route_id").agg(F.count("*").alias("n")), seed) if flows is None else flows(served) if callable(flows) else flows
     colours = cut(route_colours(routes.join(served.select("route_id").distinct(), "route_id", "left_semi"), modes), "colours")
     of_mode = colours.where("namespace = 'transport_type'").select(F.col("value").alias("mode"), F.col("color_id").alias("_m"))
     of_route = colours.where("namespace = 'route'").select("route_id", F.col("color_id").alias("_r"))
